@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, quality, token_counts
+from . import ann, decontaminate, licenses, mixing, pii, quality, token_counts
 from .common import id_remainder, table, text_or_empty
 
 
@@ -36,6 +36,28 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INTEGER AS
 """
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (
+  SELECT item_id, least(5, len(w)) AS k, unnest(list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda p: array_to_string(w[p:p + least(5, len(w)) - 1], ' ')))) AS g
+  FROM i WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS n_shingles FROM g GROUP BY item_id),
+d AS (
+  SELECT doc_id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' ')))) AS g
+  FROM w, (SELECT DISTINCT k FROM g) WHERE len(w) >= k)
+SELECT d.doc_id, g.item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles, count(*) / any_value(n_shingles) AS containment
+FROM d JOIN g USING (k, g) JOIN n USING (item_id)
+GROUP BY d.doc_id, g.item_id HAVING 100 * count(*) >= 80 * any_value(n_shingles)
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,6 +66,40 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length(text_or_empty("text")).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+#: The queries' key; a deployment passes its own.
+PII_KEY = b"waymark queries"
+
+
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, PII_KEY, count_col="n_replaced")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.drop("text")
+
+
+def _op6_sql() -> str:
+    """Every place of every template is tried, without an index."""
+    rows = ", ".join(f"({t.label!r}, {t.base}, {t.words!r}, {[k for _, k in t.places()]!r}, {[p for p, _ in t.places()]!r})" for t in licenses.TEMPLATES)
+    return rf"""
+WITH t(label, base, tw, keys, spot) AS (VALUES {rows}),
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (
+  SELECT doc_id, w, label, base, tw, keys, spot, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(keys[1])] = keys[1])) AS p
+  FROM w, t WHERE len(list_intersect(w, keys[1])) > 0),
+a AS (
+  SELECT doc_id, label, base, p, len(list_filter(range(len(tw)), lambda j: p - spot[1] + j >= 0 AND w[p - spot[1] + j + 1] = tw[j + 1])) / len(tw)::DOUBLE AS s
+  FROM p WHERE len(keys) = 1 OR (p - spot[1] + spot[2] >= 0 AND w[p - spot[1] + spot[2] + 1:p - spot[1] + spot[2] + len(keys[2])] = keys[2])),
+f AS (SELECT * FROM a WHERE base OR s >= {licenses.LEAST})
+SELECT w.doc_id, any_value(len(w.w)) AS n_words, count(f.p) FILTER (f.base) AS n_base, min(f.p) FILTER (f.base) AS first_word, max(f.p) FILTER (f.base) AS last_word,
+  coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label) FILTER (f.base), '') AS base_labels, coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label), '') AS labels, coalesce(max(f.s), 0.0::DOUBLE) AS score
+FROM w LEFT JOIN f ON f.doc_id IS NOT DISTINCT FROM w.doc_id GROUP BY w.doc_id
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = quality.fit_on(docs, labels, "quality", id_remainder("doc_id", 5) != 0)
@@ -55,5 +111,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_token_counts, op9_quality, op10_nearest)}
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_token_counts, op4_surrogates, op6_licenses, op9_quality, op10_nearest)}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL, "op6_licenses": _op6_sql()}
