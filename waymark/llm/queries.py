@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, licenses, mixing, pii, quality, token_counts
+from . import ann, ctw, decontaminate, licenses, mixing, pii, quality, token_counts
 from .common import id_remainder, table, text_or_empty
 
 
@@ -75,6 +75,10 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(docs, PII_KEY, count_col="n_replaced")
 
 
+def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(table(spark, sf_dir, "documents"), id_remainder("doc_id", 7) == 2)
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scanned.drop("text")
@@ -111,5 +115,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_token_counts, op4_surrogates, op6_licenses, op9_quality, op10_nearest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_token_counts, op4_surrogates, op5_ctw, op6_licenses, op9_quality, op10_nearest)}
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL, "op6_licenses": _op6_sql()}
