@@ -79,7 +79,7 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return centres
 
 
-def fit_tree(sample: np.ndarray, radius: float, branching: int = 16, leaf_size: int = 64, seed: int = 5) -> Tree:
+def fit_tree(sample: np.ndarray, radius: float, branching: int = 16, leaf_size: int = 256, seed: int = 5) -> Tree:
     """Splits the sample by k-means until a part has at most ``leaf_size`` vectors or no two different ones."""
     tree, rng = Tree(radius), np.random.default_rng(seed)
     x = tree.lifted(sample) if len(sample) else np.zeros((0, 1))
@@ -180,18 +180,26 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, *, id_c
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, counts = least.value
+
+        def rows(out: list[tuple], b: pd.DataFrame) -> pd.DataFrame:
+            i, leaf, piece = map(list, zip(*out, strict=True))
+            own = b.iloc[i]
+            return pd.DataFrame({"query_id": own.query_id.to_numpy(), "leaf": leaf, "piece": piece, "embedding": own.embedding.to_numpy()})
+
         for b in batches:
             out = []
-            for i, (q, x) in enumerate(zip(b.query_id, b.embedding, strict=True)):
+            for i, x in enumerate(b.embedding):
                 got = 0
                 for nth, leaf in enumerate(tree.value.visit(np.asarray(x, np.float64), tree.value.leaves)):
                     if nth >= visits and got > k:  # never fewer than k where there are as many
                         break
                     got += counts.get(leaf, 0)
-                    out += [(i, q, leaf, p) for p in range(pieces.get(leaf, 0))]
+                    out += [(i, leaf, p) for p in range(pieces.get(leaf, 0))]
+                if len(out) > 2000:
+                    yield rows(out, b)
+                    out = []
             if out:
-                i, q, leaf, piece = map(list, zip(*out, strict=True))
-                yield pd.DataFrame({"query_id": q, "leaf": leaf, "piece": piece, "embedding": b.embedding.to_numpy()[i]})
+                yield rows(out, b)
 
     visiting = asked.mapInPandas(plan, "query_id long, leaf int, piece int, embedding array<float>")
     n_pieces = F.create_map(*[x for leaf, n in pieces.items() if n > 1 for x in (F.lit(leaf), F.lit(n))]) if any(n > 1 for n in pieces.values()) else None
