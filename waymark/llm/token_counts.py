@@ -67,25 +67,16 @@ _workers: dict[tuple, Lengths] = {}
 
 
 def frequent_lengths(docs: DataFrame, path: str, text_col: str, sample_docs: int, table_size: int) -> dict[str, int]:
-    """Lengths of the commonest pre-tokens of at most ``sample_docs`` rows, at most ``table_size`` of them."""
-
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, seen = pre_token_pattern(), Counter()
-        for batch in batches:
-            for text in batch[text_col]:
-                if text and not UNSAFE.search(text):
-                    seen.update(t for t in split.findall(text) if len(t) < LONG)
-        yield pd.DataFrame({"t": list(seen), "n": list(seen.values())}).astype({"t": "object", "n": "int64"})
-
-    rows = (
-        docs.select(text_col).limit(sample_docs).mapInPandas(parts, "t string, n long")
-        .groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(table_size).collect()
-    )
+    """Lengths of the commonest pre-tokens of ``sample_docs`` rows, at most ``table_size`` of them."""
+    split, seen = pre_token_pattern(), Counter()
+    for (text,) in docs.select(text_col).take(sample_docs):
+        if text and not UNSAFE.search(text):
+            seen.update(t for t in split.findall(text) if len(t) < LONG)
     lengths = Lengths(path, {}, table_size + 1)
-    return {r.t: lengths[r.t] for r in rows}
+    return {t: lengths[t] for t, _ in seen.most_common(table_size)}
 
 
-def count_tokens(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "n_tokens", *, sample_docs: int = 2000, table_size: int = 30_000, cache_size: int = 400_000) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "n_tokens", *, sample_docs: int = 500, table_size: int = 30_000, cache_size: int = 400_000) -> DataFrame:
     """``docs`` with the number of tokens of each whole text.
 
     Null and empty texts have 0 tokens. Repeated rows are counted each by itself. A column that has the name
