@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, ctw, decontaminate, jaccard, licenses, mixing, pii, quality, token_counts
+from . import ann, ctw, decontaminate, jaccard, licenses, mixing, pii, quality, repeats, token_counts
 from .common import id_remainder, table, text_or_empty
 
 
@@ -104,6 +104,11 @@ FROM w LEFT JOIN f ON f.doc_id IS NOT DISTINCT FROM w.doc_id GROUP BY w.doc_id
 """
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 100)
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
 
@@ -119,5 +124,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_token_counts, op4_surrogates, op5_ctw, op6_licenses, op8_jaccard, op9_quality, op10_nearest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_token_counts, op4_surrogates, op5_ctw, op6_licenses, op7_repeats, op8_jaccard, op9_quality, op10_nearest)}
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL, "op6_licenses": _op6_sql()}
