@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: White space and word characters of the contracts.
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of text whose A-Z is lower case: all but [^\x00-\x2F\x3A-\x60\x7B-\x7F]. Java takes ten times as long over that class itself.
+ALNUM_WORD = r"[0-9a-z\x80-\x{10FFFF}]++"
 #: Prefix of the columns that operators add for themselves and drop again.
 OWN = "__wm_"
 

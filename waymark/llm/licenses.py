@@ -61,7 +61,7 @@ TEMPLATES = (
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(f"({ALNUM_WORD})"), 1)
+    return F.regexp_extract_all(ascii_lower(text), F.lit(ALNUM_WORD), F.lit(0))
 
 
 def licence_weights(docs: DataFrame, text_col: str, templates: tuple[Template, ...]) -> dict[str, float]:
