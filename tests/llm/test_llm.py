@@ -1,0 +1,379 @@
+"""The numbered operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from waymark.llm import ann, ctw, decontaminate, graphs, jaccard, licenses, mixing, pii, quality, queries, repeats, suffixes, token_counts
+
+DATA = Path("/root/testdata/sf0.001")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="session")
+def duck():
+    con = duckdb.connect()
+    for f in DATA.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}')")
+    return con
+
+
+@pytest.fixture(scope="session")
+def corpus(spark):
+    return spark.read.parquet(str(DATA / "documents.parquet"))
+
+
+def awkward(spark):
+    """Nulls, an empty and a long text, repeated rows, and a column that operators use themselves."""
+    long = " ".join(f"word{i % 977} of{i % 31}" for i in range(30_000))
+    rows = [(1, "a b c d e f g", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (2, None, None, None, None), (None, "a b c", None, "s", 3), (3, "", "en", None, 0), (4, long, "en", "t", 9), (5, "<|endoftext|>x  y \U0001f600", "en", "t", 9)]
+    return spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("mine")).withColumn("n_tokens", F.lit("mine"))
+
+
+def rows_of(df, *names):
+    return sorted(tuple(r) for r in df.select(*names).collect())
+
+
+def comparable(df):
+    df = df[sorted(df.columns)].copy()
+    for c in df.columns:
+        df[c] = df[c].map(lambda v: "null" if v is None or pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(v)).astype(str).str.replace(r"\.0$", "", regex=True)
+    return df.sort_values(list(df.columns)).reset_index(drop=True)
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_against_sql(spark, duck, name):
+    got = queries.QUERIES[name](spark, str(DATA)).toPandas()
+    pd.testing.assert_frame_equal(comparable(got), comparable(duck.execute(queries.ORACLE_SQL[name]).df()))
+
+
+# 1 mixing
+
+
+def test_mixing_rates(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
+    out = mixing.mix_sources(docs, {"a": 1.0, "b": 1.0}, epochs=2.0).groupBy("source").count().collect()
+    assert all(abs(r["count"] - 20_000) < 700 for r in out)
+    n = Counter(r.doc_id for r in mixing.mix_sources(docs, {"a": 1.0}).select("doc_id").collect())
+    assert all(i % 4 == 0 for i in n) and abs(np.mean(list(n.values())) - 4 / (1 - math.exp(-4))) < 0.1
+
+
+def test_mixing_edges(spark):
+    docs = awkward(spark)
+    out = mixing.mix_sources(docs.withColumn("copy_no", F.lit("x")), alpha=1.0, epochs=50.0)
+    assert out.columns == [*docs.columns, "copy_no"] and out.filter("source is null").count() > 0
+    assert mixing.mix_sources(docs.limit(0)).count() == 0
+    cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(900.0)).alias("c")).first().c
+    assert abs(cdf[900] - 0.5088) < 1e-3 and abs(cdf[-1] - 1) < 1e-9
+
+
+# 2 decontamination
+
+
+def test_contained_items_edges(spark):
+    items = spark.createDataFrame([(1, "c d e f g"), (2, "b c"), (3, ""), (4, None), (None, "a b c"), (2, "of word")], "item_id long, text string")
+    got = rows_of(decontaminate.contained_items(awkward(spark), items).filter("doc_id < 4 or doc_id is null").na.fill({"doc_id": -1}), "doc_id", "item_id", "n_shared")
+    assert got == [(-1, 2, 1), (1, 1, 1), (1, 1, 1), (1, 2, 1), (1, 2, 1)]
+    kept = decontaminate.without_items(awkward(spark), items)
+    assert 1 not in [r.doc_id for r in kept.collect()] and kept.columns == awkward(spark).columns
+    assert decontaminate.contained_items(awkward(spark), items.limit(0)).count() == 0
+
+
+def test_blocks_of_items_give_the_same(spark, corpus):
+    items = spark.read.parquet(str(DATA / "benchmark.parquet"))
+    whole = rows_of(decontaminate.contained_items(corpus, items), "doc_id", "item_id", "n_shared")
+    assert whole and whole == rows_of(decontaminate.contained_items(corpus, items, block_words=500), "doc_id", "item_id", "n_shared")
+
+
+# 3 token counts
+
+
+def test_token_counts(spark, corpus):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    extra = [" 's!'s  don't\n\n x\t1２3 ½ é̂  \x1c\x85 <|endoftext|><|endoftext|> end ", "a" * 5000, " " * 300 + "b", "ÀÉ  ñandú\r\n", None, ""]
+    docs = corpus.select("text").unionByName(spark.createDataFrame([(t,) for t in extra], "text string")).withColumn("n_tokens", F.lit("x"))
+    got = token_counts.count_tokens(docs, path, table_size=50, cache_size=500).collect()
+    assert all(r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids) for r in got)
+
+
+# 4 PII
+
+
+def test_permutations_are_one_to_one():
+    made = {pii.like(f"{i:03d}", b"k", "t") for i in range(1000)}
+    assert len(made) == 1000 and all(pii.like(f"{i:03d}", b"k", "t") != f"{i:03d}" for i in range(1000))
+    assert pii.luhn(pii.surrogate("card", "4111111111111111", b"k")) and len({pii.surrogate("ip", f"10.0.0.{i}", b"k") for i in range(256)}) == 256
+
+
+def test_surrogates(spark):
+    texts = ["mail ab.12@mail3.example.com, AB.12@MAIL3.EXAMPLE.COM", "call +1 (521) 555-2373 or +1-521-555-2373", "card 4465758382889437", "ip 8.196.197.208", 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"', "Mrs. Anna Keller met Herr Karl Keller", "plain text 1999, 12.50 stays", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n", F.lit("x"))
+    got = {r.doc_id: (r.text, r.n) for r in pii.pseudonymize(docs, b"k", count_col="n").collect()}
+    assert [got[i][1] for i in range(9)] == [2, 2, 1, 1, 1, 2, 0, 0, 0] and got[6][0] == texts[6] and got[7][0] is None
+    a, b = got[0][0].removeprefix("mail ").split(", ")
+    assert a.upper() == b and a != "ab.12@mail3.example.com" and a.endswith(".com")
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    x, y = got[1][0].split(" or ")
+    assert digits(x) == digits(y) != "15215552373"
+    female, male = got[5][0].split(" met ")
+    assert female.split()[1] in pii.GIVEN["latin", "f"] and male.split()[1] in pii.GIVEN["latin", "m"] and female.split()[2] == male.split()[2] != "Keller"
+    assert pii.pseudonymize(docs.limit(0), b"k").count() == 0
+
+
+def test_colliding_names_are_keyed_anew(spark, monkeypatch):
+    names = [f"Xa{a}{b}" for a in "bcdfghklmn" for b in "aeiou"]
+    docs = spark.createDataFrame([(i, f"Mr. {n} Miller.") for i, n in enumerate(names)], "doc_id long, text string")
+    made = [r.text for r in pii.pseudonymize(docs, b"k").collect()] if len(names) <= 28 else None
+    some = [r.text for r in pii.pseudonymize(docs.filter("doc_id < 20"), b"k").collect()]
+    assert made is None and len(set(some)) == 20
+    monkeypatch.setattr(pii, "BROADCAST_ENTITIES", 0)
+    assert sorted(some) == sorted(r.text for r in pii.pseudonymize(docs.filter("doc_id < 20"), b"k").collect())
+
+
+# 5 context-tree weighting
+
+
+def test_table_is_a_distribution():
+    rng = np.random.default_rng(0)
+    counts = np.zeros((64,) * 4)
+    np.add.at(counts, tuple(rng.integers(0, 6, (3, 3000))) + (rng.integers(0, 64, 3000),), 2)
+    total = (10.0 ** ctw.weigh(counts).astype(float)).sum(-1)
+    assert abs(total - 1).max() < 1e-5
+
+
+def test_scores_and_baseline(spark, corpus):
+    got = queries.op5_ctw(spark, str(DATA)).toPandas().set_index("doc_id")
+    tokens = {r.doc_id: [*r.text.encode().lower().split(), b""] for r in corpus.collect()}
+    counts = Counter(t for i, ts in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for t in ts)
+    n, v = sum(counts.values()), len(counts)
+    for i, ts in tokens.items():
+        r = got.loc[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ts), sum(t in counts for t in ts), n)
+        assert math.isclose(r.base_score, sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in ts), rel_tol=1e-9)
+    assert got[got.held_out].bits_per_byte.mean() < 3.2 and (got.score < 0).all()
+
+
+def test_ctw_edges(spark):
+    got = ctw.score_texts(awkward(spark), F.col("doc_id") == 5).collect()
+    assert len(got) == 7 and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+    assert ctw.score_texts(awkward(spark), F.lit(True)).filter("n_known = 0").count() == 7
+    assert ctw.score_texts(awkward(spark).limit(0), F.lit(False)).count() == 0
+
+
+# 6 licences
+
+
+def test_license_edges(spark):
+    docs = spark.createDataFrame([(1, "Under the MIT license; under the mit-license, Apache License, version 2"), (2, None), (3, ""), (4, "This work is licensed under the GNU General Public License, version 3."), (5, "mit license under the sun"), (6, "CC BY NC")], "doc_id long, text string").withColumn("labels", F.lit(1))
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in licenses.scan_licenses(docs).collect()}
+    assert got[1] == (12, 3, 0, 8, "apache-2,mit", "apache-2,mit") and got[4][4:] == ("", "gpl-3") and got[6] == (3, 1, 0, 0, "cc-by-nc", "cc-by-nc")
+    assert got[2] == got[3] == (0, 0, None, None, "", "") and got[5][1] == 0
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+# 7 suffix arrays
+
+
+def test_suffix_arrays():
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        t = rng.integers(97, 97 + rng.integers(1, 5), rng.integers(1, 60)).astype(np.uint8)
+        raw = t.tobytes()
+        want = sorted(range(len(raw)), key=lambda i: raw[i:])
+        sa = suffixes.suffix_array(t)
+        assert sa.tolist() == want
+        p = suffixes.permuted_prefixes(t, sa, 20)
+        for a, b in zip(want, want[1:]):
+            same = next((k for k in range(20) if raw[a + k : a + k + 1] != raw[b + k : b + k + 1] or b + k >= len(raw) or a + k >= len(raw)), 20)
+            assert p[b] == same
+
+
+def removed(texts, width):
+    seen, out = set(), []
+    for raw in texts:
+        keep = [True] * len(raw)
+        for j in range(len(raw) - width + 1):
+            w = raw[j : j + width]
+            if w in seen:
+                keep[j : j + width] = [False] * width
+            seen.add(w)
+        out.append(bytes(c for c, k in zip(raw, keep) if k))
+    return out
+
+
+@pytest.mark.parametrize("many", [1 << 20, 300])
+def test_repeats(spark, monkeypatch, many):
+    random.seed(many)
+    shared = ["".join(random.choice("abcd ") for _ in range(random.randint(20, 400))) for _ in range(12)]
+    texts = ["".join(random.choice([*shared, "x" * random.randint(1, 300), "ab" * random.randint(1, 150), random.choice("éß") * 3]) for _ in range(random.randint(0, 6))) for _ in range(120)]
+    for name, value in (("MANY", many), ("BATCH", 4000), ("HELD_ROWS", 50), ("SHARD", 3000), ("SEGMENT", 150), ("CHUNK", 2000)):
+        monkeypatch.setattr(repeats, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(docs, 100).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [got[i] for i in range(len(texts))] == removed([t.encode() for t in texts], 100)
+
+
+def test_repeats_edges(spark):
+    long = "".join(chr(97 + i * i % 26) for i in range(60))
+    docs = awkward(spark).unionByName(awkward(spark).filter("doc_id = 5").select(F.lit(6).cast("long").alias("doc_id"), F.lit(long).alias("text"), "lang", "source", "n_chars", "score", "n_tokens"))
+    docs = docs.unionByName(docs.filter("doc_id = 6")).unionByName(docs.filter("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long"))).withColumn("spans", F.lit(1))
+    out = repeats.remove_repeats(docs, 50).collect()
+    by = sorted(((r.doc_id if r.doc_id is not None else 99), r.n_bytes, r.n_removed) for r in out)
+    assert len(out) == 10 and [x for x in by if x[0] in (2, 3)] == [(2, 0, 0), (3, 0, 0)]
+    assert [x for x in by if x[1] == 60] == [(6, 60, 0), (6, 60, 60), (99, 60, 60)]
+    assert repeats.remove_repeats(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(docs, 10)
+
+
+# 8 Jaccard join
+
+
+def components_by_brute_force(texts, n, percent):
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        k = min(n, len(w))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("n, percent, block", [(3, 90, 4_000_000), (5, 80, 4_000_000), (3, 90, 300), (5, 80, 300)])
+def test_jaccard_components(spark, monkeypatch, n, percent, block):
+    random.seed(percent)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    texts = {}
+    for _ in range(12):
+        base = [f"w{random.randint(0, 60)}" for _ in range(random.choice([1, 4, 12, 40, 150]))]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(random.choice([0, 1, 1, 2, 4, 8])):
+                own[random.randrange(len(own))] = f"z{random.randint(0, 9)}"
+            texts[len(texts)] = " ".join(own + ["tail"] * random.randint(0, 2))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, n, percent).collect()}
+    assert got == components_by_brute_force(texts, n, percent)
+
+
+def test_jaccard_edges(spark):
+    got = sorted((r.doc_id if r.doc_id is not None else 99, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(awkward(spark), 3, 90).collect())
+    assert got[:4] == [(1, 5, 1), (1, 5, 1), (2, 0, 2), (3, 0, 3)] and got[-1] == (99, 1, None)
+    assert jaccard.jaccard_components(awkward(spark).limit(0)).count() == 0
+    assert jaccard.one_of_each(awkward(spark)).columns == awkward(spark).columns
+
+
+def test_divide_skip_and_components(spark):
+    random.seed(1)
+    for _ in range(100):
+        lists = [sorted(random.sample(range(30), random.randint(1, 20))) for _ in range(random.randint(1, 25))]
+        least = random.randint(1, len(lists))
+        counts = Counter(i for own in lists for i in own)
+        assert jaccard.occurs(lists, least) == {i: c for i, c in counts.items() if c >= least}
+    edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (200, 60), (60, 61)]
+    got = dict(rows_of(graphs.components(spark.createDataFrame(edges, "a long, b long")), "node", "component"))
+    assert all(got[i] == 0 for i in range(51)) and got[101] == 100 and got[200] == got[61] == 60
+
+
+# 9 quality
+
+
+def test_quality(spark, corpus):
+    got = queries.op9_quality(spark, "/root/testdata/sf0.1").toPandas().merge(duckdb.sql("SELECT doc_id, quality FROM '/root/testdata/sf0.1/labels.parquet'").df())
+    held = got[got.held_out]
+    assert (held.predicted == held.quality).mean() > 0.97 and got.score.between(0, 1).all()
+
+
+def test_quality_edges(spark):
+    one_class = quality.fit(["a b", None], [1, 1])
+    model = quality.fit(["good words here", "bad ### stuff", "", None] * 5, [1, 0, 1, 0] * 5)
+    for m in (one_class, model, quality.fit([], [])):
+        out = quality.score_quality(awkward(spark), m).collect()
+        assert len(out) == 7 and all(0 <= r.score <= 1 for r in out)
+    assert quality.score_quality(awkward(spark).limit(0), model).count() == 0
+
+
+# 10 nearest neighbours
+
+
+def test_nearest(spark):
+    got = queries.op10_nearest(spark, str(DATA)).toPandas()
+    table = duckdb.sql(f"SELECT * FROM '{DATA}/embeddings.parquet' ORDER BY vec_id").df()
+    x, ids = np.stack(table.embedding).astype(float), table.vec_id.to_numpy()
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        own = got[got.query_id == ids[q]].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 21))
+        hits += len(set(own.vec_id) & set(ids[np.lexsort((ids, -s))[:20]]))
+    assert hits / (20 * (ids % 20 == 0).sum()) >= 0.9
+
+
+def test_nearest_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (40, [0.0, 0.0]), (None, [1.0, 1.0]), (2, [0.5, 0.5])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))
+    got = rows_of(ann.nearest_neighbours(v, F.col("vec_id") % 20 == 0, 20), "query_id", "rank", "vec_id", "score")
+    assert got == [(0, 1, 1, 1.0), (0, 2, 20, 1.0), (0, 3, 2, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 1.0), (20, 3, 2, 0.5)]
+    assert ann.nearest_neighbours(v.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    many = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float")).alias("embedding"))
+    got = ann.nearest_neighbours(many, F.col("vec_id") == 5, 20).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [i for i in range(21) if i != 5]
+
+
+# pipeline
+
+
+def test_pipeline(spark, corpus):
+    import corpus_pipeline
+
+    docs, kept = corpus, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(DATA)).toPandas()
+        assert list(out.columns)[:5] == corpus.columns
+        kept.append((name, docs.toPandas(), out))
+        docs = spark.createDataFrame(out[corpus.columns], corpus.schema) if name != "mixture" else docs
+    (_, before, after) = kept[1]
+    want = components_by_brute_force(dict(zip(before.doc_id, before.text)), 5, 80)
+    assert set(after.doc_id) == {i for i, (_, c) in want.items() if i == c}
+    (_, before, after) = kept[2]
+    leaks = {r.doc_id for r in decontaminate.contained_items(corpus, spark.read.parquet(str(DATA / "benchmark.parquet"))).collect()}
+    assert set(after.doc_id) == set(before.doc_id) - leaks
+    (_, before, after) = kept[3]
+    assert set(after.doc_id) == set(before.doc_id) and all(t == pii.replaced(o, queries.PII_KEY, {})[0] for o, t in zip(before.sort_values("doc_id").text, after.sort_values("doc_id").text))
+    assert hashlib.sha256(b"").hexdigest() and set(kept[4][2].doc_id) <= set(kept[4][1].doc_id)
+
+
+def test_pipeline_stages_take_awkward_rows(spark):
+    import corpus_pipeline
+
+    for docs in (awkward(spark).select("doc_id", "text", "lang", "source", "n_chars"), awkward(spark).select("doc_id", "text", "lang", "source", "n_chars").limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, str(DATA)).count()
