@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import confidence as conf
 from ..functions import geo, text
-from ..operators import metrics, records, rules, spatial
+from ..operators import mapping, metrics, providers, records, rules, spatial
 from .views import ADDRESSES, LATEST, SCORES, addresses, haversine_sql, key_sql, scores, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -495,3 +495,68 @@ def sliding_window_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import limiter
 
     return limiter.limited(table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("key"), "ts"), 3, 60.0)
+
+
+# provider results
+
+
+@query("""WITH d AS (SELECT l_orderkey AS id, l_linenumber * 1000000 + l_partkey * 100 + l_suppkey AS position, (l_partkey % 40 * 37 + 5)::VARCHAR AS number, (l_quantity / 50.0)::DOUBLE AS confidence FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1),
+w AS (SELECT *, confidence + 0.8::DOUBLE * row_number() OVER (PARTITION BY id, number ORDER BY position) + CASE length(number) WHEN 3 THEN 1.0::DOUBLE WHEN 4 THEN 1.5::DOUBLE WHEN 5 THEN 1.2::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM d)
+SELECT id, max_by(number, struct_pack(w := weight, p := -position)) AS number, round(max(weight), 6) AS weight FROM w GROUP BY id""")
+def ocr_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))).filter("r = 1")
+    detections = rows.select(c("l_orderkey").alias("id"), (c("l_linenumber") * 1000000 + c("l_partkey") * 100 + c("l_suppkey")).alias("position"), (c("l_partkey") % 40 * 37 + 5).cast("string").alias("number"), (c("l_quantity") / 50.0).alias("confidence"))
+    return providers.ocr_consensus(detections)
+
+
+@query(r"""WITH r AS (SELECT o_custkey AS id, o_orderkey AS position, (['street_address', 'point_of_interest', 'locality', 'route'])[o_orderkey % 4 + 1] AS t, (['ROOFTOP', 'RANGE_INTERPOLATED', 'APPROXIMATE'])[o_orderkey % 3 + 1] AS l, CASE WHEN o_orderkey % 5 < 3 THEN o_orderkey::VARCHAR || ' OAK' ELSE 'OAK' END AS a FROM orders),
+s AS (SELECT *, CASE t WHEN 'street_address' THEN 100 WHEN 'point_of_interest' THEN 25 WHEN 'locality' THEN -75 ELSE 0 END + CASE l WHEN 'ROOFTOP' THEN 40 WHEN 'RANGE_INTERPOLATED' THEN 30 ELSE 0 END + CASE WHEN regexp_matches(a, '^\d') THEN 25 ELSE 0 END AS score FROM r)
+SELECT id, max_by(a, struct_pack(s := score, p := -position)) AS formatted_address, max(score) AS score FROM s WHERE score > 0 GROUP BY id""")
+def best_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (k % len(v) + 1).cast("int"))
+    line = F.when(k % 5 < 3, F.concat(k.cast("string"), F.lit(" OAK"))).otherwise("OAK")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), k.alias("position"), F.array(pick("street_address", "point_of_interest", "locality", "route")).alias("types"), pick("ROOFTOP", "RANGE_INTERPOLATED", "APPROXIMATE").alias("location_type"), line.alias("formatted_address"))
+    return providers.best_result(rows).select("id", "formatted_address", "score")
+
+
+@query(f"""WITH {ADDRESSES} SELECT id, CASE WHEN raw_address IS NOT NULL AND lat <= 90 THEN 'both' WHEN raw_address IS NOT NULL THEN 'geocode' WHEN lat <= 90 THEN 'validator' ELSE 'skipped' END AS route FROM addr""")
+def classify_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.routes(addresses(spark, sf_dir)).select("id", "route")
+
+
+@query(f"""WITH {ADDRESSES}, r AS (SELECT DISTINCT format('{{:.3f}},{{:.3f}}', lat, lon) AS place, round(lat, 3) + CASE WHEN id % 2 = 0 THEN 0.0 ELSE 1.0 END AS y, round(lon, 3) AS x FROM addr WHERE id % 3 = 0 AND lat <= 90 AND id <= 1000)
+SELECT a.id, CASE WHEN {haversine_sql('a.lat', 'a.lon', 'r.y', 'r.x')} <= 2000.0 THEN round(r.y, 6) END AS result_lat FROM addr a LEFT JOIN r ON format('{{:.3f}},{{:.3f}}', a.lat, a.lon) = r.place WHERE a.lat <= 90""")
+def cached_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = addresses(spark, sf_dir).filter("lat <= 90").select("id", "lat", "lon")
+    y = F.round("lat", 3) + F.when(F.col("id") % 2 == 0, 0.0).otherwise(1.0)
+    results = a.filter("id % 3 = 0 and id <= 1000").select(providers.place_key(F.col("lat"), F.col("lon"), 3).alias("place"), y.alias("result_lat"), F.round("lon", 3).alias("result_lon")).distinct()
+    return providers.looked_up(a, results, 3).select("id", F.round("result_lat", 6).alias("result_lat"))
+
+
+@query(rf"""WITH {ADDRESSES} SELECT id, CASE WHEN id % 4 = 0 THEN 'Retail' WHEN regexp_matches(lower(coalesce(raw_address, '')), 'park') THEN 'Commercial' WHEN regexp_matches(lower(coalesce(raw_address, '')), '\b(st|street)\b') THEN 'Single-Family' ELSE 'Unknown' END AS land_use,
+  CASE WHEN id % 4 = 0 THEN 95 WHEN id % 5 = 0 THEN 85 WHEN id % 5 = 1 THEN 75 WHEN id % 5 = 2 THEN 30 ELSE 0 END AS confidence FROM addr""")
+def parcel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = addresses(spark, sf_dir)
+    parcel = a.filter("id % 4 = 0").select("id", F.lit("Retail").alias("land_use"))
+    kind = F.when(F.col("id") % 5 == 0, "within").when(F.col("id") % 5 == 1, "nearest")
+    county = a.filter("id % 5 < 3").select("id", F.col("city").alias("county"), kind.alias("match_type"))
+    return providers.parcels(a, parcel, county)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN least(80.0 + CASE WHEN o_orderkey % 700 <= 20 THEN 15 WHEN o_orderkey % 700 <= 50 THEN 12 WHEN o_orderkey % 700 <= 100 THEN 8 WHEN o_orderkey % 700 <= 200 THEN 4 WHEN o_orderkey % 700 > 500 THEN -12 ELSE 0 END + CASE WHEN o_orderkey % 2 = 0 THEN 8 ELSE -15 END, 99.0) ELSE 35.0 END::DOUBLE AS confidence FROM orders""")
+def forward_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    c = providers.forward_confidence(F.lit(80.0), k % 3 == 0, k % 700, F.when(k % 2 == 0, "MATCH").otherwise("MISMATCH"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", c.cast("double").alias("confidence"))
+
+
+@query(f"""WITH {SCORES}, {LATEST} SELECT address_id, string_agg(stage || ':' || score::VARCHAR, ',' ORDER BY stage) AS history, max(score) FILTER (stage IN ('agent1', 'agent2')) AS tag FROM latest GROUP BY address_id""")
+def history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = latest(spark, sf_dir).groupBy("address_id").agg(F.sort_array(F.collect_list(F.struct("stage", "score"))).alias("h"))
+    empty = F.expr("cast(array() as array<struct<stage:string,score:int,accepted:boolean>>)")
+    history = F.aggregate("h", empty, lambda acc, x: providers.history_append(acc, x["stage"], x["score"], F.lit(True)))
+    tags = F.transform("h", lambda x: F.struct(x["stage"].alias("name"), x["score"].cast("double").alias("confidence")))
+    some = F.exists("h", lambda x: x["stage"].isin("agent1", "agent2"))
+    return rows.select("address_id", F.array_join(F.transform(history, lambda x: F.concat(x["stage"], F.lit(":"), x["score"].cast("string"))), ",").alias("history"), F.when(some, providers.tag_confidence(tags, ["agent1", "agent2"]).cast("int")).alias("tag"))
