@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import confidence as conf
 from ..functions import geo, text
-from ..operators import mapping, metrics, providers, records, rules, spatial
+from ..operators import mapping, metrics, providers, records, rules, spatial, stages
 from .views import ADDRESSES, LATEST, SCORES, addresses, haversine_sql, key_sql, scores, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -237,12 +237,12 @@ def flatten_kml_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PICK = ", ".join(f"max({c}) FILTER (stage = '{s}') AS {s}_{c}" for s in (f"agent{i}" for i in range(6)) for c in ("score", "status", "structure"))
 _WIDE = f"wide AS (SELECT address_id, {_PICK} FROM latest GROUP BY address_id)"
-STAGES = [f"agent{i}" for i in range(6)]
+STAGE_NAMES = [f"agent{i}" for i in range(6)]
 
 
 @query(f"WITH {SCORES}, {LATEST}, {_WIDE} SELECT * FROM wide")
 def stage_left_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.wide_stages(latest(spark, sf_dir), STAGES)
+    return rules.wide_stages(latest(spark, sf_dir), STAGE_NAMES)
 
 
 _VOTE = """votes AS (SELECT address_id, list_filter([agent4_structure, agent5_structure, agent3_structure], lambda v: v IS NOT NULL AND v <> 'Unknown') AS v FROM wide),
@@ -251,7 +251,7 @@ kinds AS (SELECT address_id, v, CASE WHEN len(v) = 0 THEN 'Unknown' WHEN len(v)
 
 @query(f"WITH {SCORES}, {LATEST}, {_WIDE}, {_VOTE} SELECT address_id, kind FROM kinds")
 def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = rules.wide_stages(latest(spark, sf_dir), STAGES)
+    wide = rules.wide_stages(latest(spark, sf_dir), STAGE_NAMES)
     return wide.select("address_id", rules.majority(F.array("agent4_structure", "agent5_structure", "agent3_structure")).alias("kind"))
 
 
@@ -261,7 +261,7 @@ s AS (SELECT w.*, kind, least(100, trunc(coalesce(agent1_score, 0) * 0.4::DOUBLE
 SELECT address_id, CASE WHEN agent1_status = 'REJECT' THEN 'Rejected' ELSE kind END AS final_structure_type, CASE WHEN agent1_status = 'REJECT' THEN 0 ELSE score END AS final_confidence,
   CASE WHEN agent1_status = 'REJECT' OR kind = 'Vacant' THEN 'SKIP' WHEN kind = 'Commercial' THEN 'LOW' WHEN kind = 'MDU_LARGE' THEN 'HIGH' WHEN kind = 'MDU_SMALL' THEN 'MEDIUM' WHEN kind = 'SFH' AND agent1_status = 'AUTO_ACCEPT' THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM s""")
 def final_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.synthesize(rules.wide_stages(latest(spark, sf_dir), STAGES))
+    return rules.synthesize(rules.wide_stages(latest(spark, sf_dir), STAGE_NAMES))
 
 
 @query(f"WITH {SCORES}, {LATEST} SELECT address_id, stage, score, status, CASE WHEN score >= 60 AND status IN ('MATCH', 'AUTO_ACCEPT') THEN 'accepted' ELSE 'continued' END AS decision FROM latest WHERE stage = 'agent1'")
@@ -560,3 +560,75 @@ def history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.transform("h", lambda x: F.struct(x["stage"].alias("name"), x["score"].cast("double").alias("confidence")))
     some = F.exists("h", lambda x: x["stage"].isin("agent1", "agent2"))
     return rows.select("address_id", F.array_join(F.transform(history, lambda x: F.concat(x["stage"], F.lit(":"), x["score"].cast("string"))), ",").alias("history"), F.when(some, providers.tag_confidence(tags, ["agent1", "agent2"]).cast("int")).alias("tag"))
+
+
+# building, imagery, validation and discovery
+
+
+@query("""WITH p AS (SELECT p_partkey, (p_partkey % 60)::INTEGER AS d, (p_partkey * 7 % 500)::INTEGER AS a FROM part) SELECT p_partkey, d > 30 AS rejected, d > 30 AND (d > 45 OR a >= 300) AS vacant_signal,
+  greatest(72, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_partkey % 20 <= 5 THEN 92 WHEN p_partkey % 20 <= 15 THEN 88 ELSE 85 END ELSE 0 END, CASE WHEN p_partkey % 101 >= 99 THEN 90 WHEN p_partkey % 101 >= 90 THEN 85 ELSE 0 END, CASE WHEN d <= 10 THEN 90 WHEN d <= 20 THEN 85 WHEN d <= 35 THEN 80 WHEN d <= 50 THEN 75 ELSE 0 END)::INTEGER AS confidence FROM p""")
+def building_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(k, (k % 60).cast("int").alias("distance_m"), (k * 7 % 500).cast("int").alias("area_m2"), F.lit(72).alias("band"), F.when(k % 2 == 0, "MATCH").otherwise("MISMATCH").alias("coord_status"), (k % 20).alias("coord_m"), (k % 101).alias("validation"))
+    return stages.building_confidence(stages.footprint_match(rows)).select("p_partkey", "rejected", "vacant_signal", "confidence")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even(least((l_quantity / 50.0)::DOUBLE * 50 + least(l_partkey % 14, 10) + CASE WHEN l_partkey % 2 = 0 THEN 20 ELSE 0 END + least(l_suppkey % 7 * 3, 15) + least(l_linenumber % 4 * 5, 10) + CASE WHEN l_partkey % 9 = 0 THEN 10 WHEN l_partkey % 3 = 0 THEN 25 ELSE 0 END + CASE WHEN l_suppkey % 2 = 0 THEN 10 ELSE 5 END, 100.0), 0)::INTEGER AS score FROM lineitem""")
+def imagery_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    score = stages.imagery_score(F.col("l_quantity") / 50.0, p % 14, p % 2 == 0, s % 7, F.col("l_linenumber") % 4, p % 3 == 0, p % 9 == 0, s % 2 == 0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", score.alias("score"))
+
+
+@query(f"""WITH {ADDRESSES}, v AS (SELECT id, raw_address IS NOT NULL AND id % 3 <> 0 AS equal, id % 7 = 0 AS hard FROM addr)
+SELECT id, CASE WHEN hard AND equal THEN 30 WHEN equal THEN 100 WHEN hard THEN 30 ELSE 35 END AS confidence, CASE WHEN hard THEN 'REJECT' WHEN equal THEN 'AUTO_ACCEPT' ELSE 'MANUAL_REVIEW' END AS validation_status FROM v""")
+def validator_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("id")
+    rows = addresses(spark, sf_dir).select("id", "raw_address", F.when(k % 3 == 0, F.concat(F.lit("999 "), "raw_address")).otherwise(F.col("raw_address")).alias("standardized"), F.when(k % 7 == 0, "MISMATCH").otherwise("MATCH").alias("coord_status"))
+    return stages.validator_result(rows).select("id", "confidence", "validation_status")
+
+
+@query(f"WITH {SCORES} SELECT stage, count(*) AS total, count(*) FILTER (status IN ('MATCH', 'AUTO_ACCEPT')) AS matched, count(*) FILTER (status = 'REJECT') AS mismatched, count(*) FILTER (status NOT IN ('MATCH', 'AUTO_ACCEPT', 'REJECT')) AS other FROM scores GROUP BY stage")
+def status_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.status_counters(scores(spark, sf_dir), "stage")
+
+
+@query(f"WITH {ADDRESSES}, {SCORES}, {LATEST} SELECT id, raw_address FROM addr WHERE id % 4 <> 0 OR id IN (SELECT address_id FROM latest WHERE score >= 90)")
+def unconfirmed_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = addresses(spark, sf_dir).withColumn("discovered", F.col("id") % 4 == 0)
+    return stages.without_unconfirmed(rows, latest(spark, sf_dir))[0].select("id", "raw_address")
+
+
+@query(f"""WITH {ADDRESSES}, f AS (SELECT id, id AS ord, raw_address AS address, lat, lon, {key_sql('raw_address')} AS key, CASE WHEN {_ring_sql(RINGS[0][1])} THEN 1 WHEN {_ring_sql(RINGS[1][1])} THEN 2 END AS polygon_id FROM addr WHERE file_role = 'geospatial'),
+k AS (SELECT *, {key_sql('raw_address')} AS key FROM addr WHERE file_role = 'tabular' AND id % 50 = 1),
+o AS (SELECT f.*, EXISTS (SELECT 1 FROM k WHERE k.key = f.key) AS known, EXISTS (SELECT 1 FROM k WHERE abs(k.lat - f.lat) < 0.001 AND {haversine_sql('f.lat', 'f.lon', 'k.lat', 'k.lon')} <= 25.0) AS near, min(ord) OVER (PARTITION BY key) AS first FROM f)
+SELECT id, key, CASE WHEN polygon_id IS NULL THEN 'outside' WHEN known THEN 'known' WHEN near THEN 'near' WHEN key IS NOT NULL AND first < ord THEN 'repeated' ELSE 'new' END AS outcome FROM o""")
+def discovery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = addresses(spark, sf_dir).withColumnRenamed("raw_address", "address")
+    found = spatial.in_polygons(a.filter("file_role = 'geospatial'"), RINGS)
+    return stages.new_geocodes(found, a.filter("file_role = 'tabular' and id % 50 = 1"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN s >= 3600 THEN (s // 3600)::VARCHAR || 'h ' || (s % 3600 // 60)::VARCHAR || 'm' WHEN s >= 60 THEN (s // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' ELSE s::VARCHAR || 's' END AS duration FROM (SELECT o_orderkey, o_orderkey * 13 % 9000 AS s FROM orders)""")
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", stages.duration(F.col("o_orderkey") * 13 % 9000).alias("duration"))
+
+
+@query("""WITH v AS (SELECT p_partkey, (p_partkey % 32)::INTEGER AS c, CASE WHEN p_partkey % 3 = 0 THEN 15 WHEN p_partkey % 3 = 1 THEN 22 END AS r FROM part)
+SELECT p_partkey, CASE WHEN c <= 15 THEN '' ELSE array_to_string(list_concat(CASE WHEN r < c THEN [r] ELSE [] END, list_filter([25, 22, 20, 18, 15], lambda x: x < c AND (r IS NULL OR x <> r)))[1:5], ',') END AS views FROM v""")
+def tighter_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    views = stages.tighter_views((k % 32).cast("int"), F.when(k % 3 == 0, 15).when(k % 3 == 1, 22))
+    return table(spark, sf_dir, "part").select(k, F.array_join(views.cast("array<string>"), ",").alias("views"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE n_name END AS name, CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE 'true' END AS ok FROM nation")
+def loose_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, k = F.col("n_name"), F.col("n_nationkey")
+    plain = F.concat(F.lit('{"name": "'), name, F.lit('", "ok": true}'))
+    loose = F.concat(F.lit('Here:\n```json\n{"name": "'), name, F.lit('", // the name\n "ok": True,}\n```'))
+    quoted = F.concat(F.lit("{“name”: “"), name, F.lit("”, “ok”: True}"))
+    comment = F.concat(F.lit('// a comment\n{"name": "'), name, F.lit('", "ok": true,}'))
+    text_of = F.when(k % 5 == 0, plain).when(k % 5 == 1, F.regexp_replace(loose, " // the name", "")).when(k % 5 == 2, quoted).when(k % 5 == 3, comment).otherwise("no object")
+    parsed = stages.parsed_json(text_of)
+    return table(spark, sf_dir, "nation").select(k, parsed["name"].alias("name"), parsed["ok"].alias("ok"))
