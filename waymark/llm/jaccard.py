@@ -10,6 +10,10 @@ Only leaders are indexed: a set that is linked to one is its member. Jaccard dis
 a set linked to a member is within twice the distance of the leader; those leaders' members are looked at as well. Large
 groups of near copies thus cost one list entry each, and no link between different components is lost.
 
+At low thresholds the parts are so small that texts with one passage in common have equal ones. There, ``bands`` of
+MinHashes take the parts' place: fewer keys, which texts with a common passage don't share. Linked sets are then missed
+with a chance of at most ``MISS``, and only those right at the threshold.
+
 Elements are 64-bit hashes of shingles.
 """
 
@@ -34,8 +38,10 @@ from .graphs import components
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Size classes; a class is this many times as wide as the one below.
 RATIO = 1.5
-#: Up to so many shingles in all, a cluster is searched in one task (as 64-bit numbers); a larger one is cut in blocks.
-BLOCK_SHINGLES = 4_000_000
+#: Up to so many shingles in all, a cluster is searched in one task; a larger one is cut in blocks.
+BLOCK_SHINGLES = 1_500_000
+#: Chance at most that no band of two sets right at the threshold is equal, and MinHashes in a band.
+MISS, ROWS = 1e-5, 6
 
 
 class WordHashes(dict):
@@ -102,6 +108,27 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+@lru_cache(maxsize=None)
+def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(31)
+    return rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
+
+
+def bands(s: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the set's bands of MinHashes."""
+    n = int(np.ceil(np.log(MISS) / np.log(1 - (percent / 100) ** ROWS)))
+    a, b = _multipliers(n * ROWS)
+    x = (s ^ (s >> np.uint64(32))).astype(np.uint32)
+    least = np.full(n * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 4096):
+        least = np.minimum(least, (a[:, None] * x[None, at : at + 4096] + b[:, None]).min(1))
+    key = np.arange(n, dtype=np.uint64)
+    for row in least.reshape(n, ROWS).T:
+        key = (key ^ row) * MIX
+        key ^= key >> np.uint64(29)
+    return key
+
+
 class UnionFind:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -194,14 +221,17 @@ def _searched(groups: DataFrame, by: list[str], n: int, percent: int) -> DataFra
     return groups.groupBy(*by).applyInPandas(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, banded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
     A text's set is its distinct ``n``-word shingles (A-Z lower-cased, words by white space); a text with fewer words is
     one shingle, a text without words has an empty set and no links. Two texts are linked when 100 * intersection >=
     ``percent`` * union. Rows with one id are linked with each other. A row without id has no component and links
     nothing. Other columns are not read. An empty table gives an empty table.
+
+    Candidates share a part of their sets, which loses no link, or with ``banded`` a band of MinHashes, as above.
     """
+    keyed = bands if banded else signatures
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,7 +243,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col
                 s = shingle_set(t, n, hashes)
                 sizes.append(len(s))
                 if len(s) and not pd.isna(i):
-                    own = signatures(s, percent)
+                    own = keyed(s, percent)
                     keys.append(own)
                     owners.append(np.full(len(own), int(i)))
                     wholes.append((xxh3_64_intdigest(s.tobytes()) - (1 << 63), int(i)))
@@ -297,9 +327,9 @@ def _across_blocks(rows: DataFrame, members: DataFrame, found: DataFrame, n: int
     return written(_searched(texts, ["component", "block", "slice"], n, percent).unionByName(found), "jaccard-links")
 
 
-def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, *, banded: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the smallest of their component, with the columns they have; rows without id stay."""
-    reach = jaccard_components(docs, n, percent, id_col=id_col, text_col=text_col)
+    reach = jaccard_components(docs, n, percent, banded=banded, id_col=id_col, text_col=text_col)
     gone = reach.filter("component_id <> doc_id").select(F.col("doc_id").alias(f"{OWN}gone")).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col(f"{OWN}gone"), "left_anti")
 
