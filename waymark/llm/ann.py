@@ -201,7 +201,7 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, *, id_c
             if out:
                 yield rows(out, b)
 
-    visiting = asked.mapInPandas(plan, "query_id long, leaf int, piece int, embedding array<float>")
+    visiting = asked.mapInPandas(plan, f"query_id long, leaf int, piece int, embedding {points.schema['embedding'].dataType.simpleString()}")
     n_pieces = F.create_map(*[x for leaf, n in pieces.items() if n > 1 for x in (F.lit(leaf), F.lit(n))]) if any(n > 1 for n in pieces.values()) else None
     piece = F.pmod(F.xxhash64("embedding"), F.coalesce(n_pieces[F.col("leaf")], F.lit(1))).cast("int") if n_pieces is not None else F.lit(0)
     index = placed.withColumn("piece", piece)

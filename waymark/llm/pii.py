@@ -38,7 +38,7 @@ _LOW = "a-zß-öø-ÿа-яё"
 
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{0,31}[0-9])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pous]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])|(?<=[=:] [\"'])[0-9A-Za-z_+/=-]{16,200}(?=[\"'])|(?<=[=:][\"'])[0-9A-Za-z_+/=-]{16,200}(?=[\"'])",
+    "secret": r"(?:(?<=(?i:password)=)|(?<=(?i:passwd)=)|(?<=(?i:secret)=)|(?<=(?i:token)=)|(?<=(?i:key)=))[0-9A-Za-z_+/=-]{6,200}|(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{0,31}[0-9])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pous]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])|(?<=[=:] [\"'])[0-9A-Za-z_+/=-]{16,200}(?=[\"'])|(?<=[=:][\"'])[0-9A-Za-z_+/=-]{16,200}(?=[\"'])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w]|\.\d)",
@@ -48,7 +48,7 @@ PATTERNS = {
 }
 ANY = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
 #: What a text must hold to have any entity.
-MAYBE = re.compile(rf"[0-9@]|[=:] ?[\"']|(?<!\w)(?i:{'|'.join(TITLES)})\.? [{_UP}]")
+MAYBE = re.compile(rf"[0-9@=]|: ?[\"']|(?<!\w)(?i:{'|'.join(TITLES)})\.? [{_UP}]")
 
 Entity = tuple[str, str]  # kind and canonical value
 
@@ -173,7 +173,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     if kind == "secret":
         if re.fullmatch("[0-9a-f]+", value):
             return like(value, key, tweak, alphabets=("0123456789abcdef",))
-        return like(value, key, tweak, alphabets=("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        head = re.match("AKIA|gh[pous]_|sk-|", value)[0]
+        return head + like(value[len(head) :], key, f"{tweak}/{head}", alphabets=("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     if kind == "name":
         gender, given, surname = value.split("|")
         return f"{gender}|{given and given_name(given, gender, key, attempt)}|{like(surname, key, 'surname', alphabets=LETTERS)}"
