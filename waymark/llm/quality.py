@@ -2,8 +2,9 @@
 
 Each white-space word and each of its character n-grams (with word marks) has a learned vector, found by hashing. A
 word is the average of its own, a text the average of its words; a softmax layer over that gives the label's
-probability. A word that repeats the one before it is read as one mark, so that the vectors can tell stuck texts. Training is plain numpy
-stochastic gradient descent (with adaptive steps) on a bounded sample of labelled rows (``train_rows``); scoring reads every whole text.
+probability. A word that repeats the one before it is read as one mark, so that the vectors can tell stuck texts.
+Training is plain numpy stochastic gradient descent (with adaptive steps) on a bounded sample of labelled rows
+(``train_rows``, of texts up to ``longest`` bytes); scoring reads every whole text.
 
 The layers are linear, so after training one weight per hash bucket is left (the vector times the output layer): that
 array, of fixed size, is what is broadcast.
@@ -34,6 +35,7 @@ class Settings:
     batch: int = 32
     rate: float = 0.05
     train_rows: int = 4000
+    longest: int = 250_000
     seed: int = 7
     cache_words: int = 400_000
 
@@ -136,13 +138,14 @@ class Words(dict):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, usable: Column, s: Settings) -> DataFrame:
-    """At most ``train_rows`` labelled texts, chosen by a hash of the id among the rows that ``usable`` allows."""
+    """At most ``train_rows`` labelled texts of up to ``longest`` bytes, chosen by a hash of the id among the rows that ``usable`` allows."""
     keyed = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & usable).select(F.col(id_col).alias(f"{OWN}id"), F.col(label_col).cast("int").alias(f"{OWN}y"))
     order = F.xxhash64(F.lit(s.seed), f"{OWN}id")
     share = min(1.0, 1.5 * s.train_rows / max(1, keyed.count()))
     chosen = keyed.filter(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(order, f"{OWN}id", f"{OWN}y").limit(s.train_rows)
     # at most train_rows ids and labels: small enough to broadcast at any size of the corpus
-    return docs.select(F.col(id_col).alias(f"{OWN}id"), F.col(text_col).alias(f"{OWN}text")).join(F.broadcast(chosen), f"{OWN}id").orderBy(order, f"{OWN}text").limit(s.train_rows)
+    texts = docs.select(F.col(id_col).alias(f"{OWN}id"), F.col(text_col).alias(f"{OWN}text")).filter(F.coalesce(F.octet_length(f"{OWN}text"), F.lit(0)) <= s.longest)
+    return texts.join(F.broadcast(chosen), f"{OWN}id").orderBy(order, f"{OWN}text").limit(s.train_rows)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> Model:
