@@ -7,7 +7,9 @@
    settles the inside of copied passages and all text that occurs once, without their bytes being moved.
 3. The other pieces (the edges of copies) are fetched and dealt to shards by their hash. A shard's suffix array is
    built by induced sorting; permuted common prefixes of ``width`` bytes show which windows are equal. A hash with very
-   many pieces is not gathered in a shard: its windows are compared by a second hash, summed by Spark.
+   many pieces is not gathered in a shard: its pieces are parted by the text to the left or to the right of the string
+   that has the hash, as equal windows agree on either. What is still too much (many equal windows in ever different
+   surroundings) is compared by hashes of whole windows, summed by Spark.
 
 Matches never cross texts, and what counts as repeated is judged on the texts as they were.
 """
@@ -25,8 +27,11 @@ from .common import OWN, written
 from .suffixes import permuted_prefixes, suffix_array
 
 GRAM = 24
-#: Bytes hashed at a time, windows of a text taken together, bytes of a shard, and pieces of one hash from which on they aren't put in a shard.
-CHUNK, SEGMENT, SHARD, MANY = 1 << 20, 1 << 20, 1 << 20, 5000
+#: Bytes hashed at a time, windows of a text taken together, bytes of texts whose repeats are settled together, bytes of a
+#: shard, and bytes of one hash's pieces from which on they aren't put in a shard.
+CHUNK, SEGMENT, BATCH, SHARD, MANY = 1 << 20, 1 << 20, 8 << 20, 1 << 20, 1 << 20
+#: Windows of hot hashes that a task holds before it hands them on.
+HELD_ROWS = 200_000
 #: A piece's number of windows has 24 bits beside its start; the highest of them marks a piece that may repeat itself.
 LENGTH_BITS, SELF = 24, 1 << 23
 _rng = np.random.default_rng(23)
@@ -132,6 +137,20 @@ def runs(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Documents and texts, about BATCH bytes at a time."""
+    for b in batches:
+        docs, texts, size, first = b.doc.to_numpy(np.int64), [], 0, 0
+        for i, t in enumerate(b.t):
+            texts.append((t or "").encode(errors="surrogatepass"))
+            size += len(texts[-1])
+            if size >= BATCH:
+                yield docs[first : i + 1], texts
+                texts, size, first = [], 0, i + 1
+        if texts:
+            yield docs[first:], texts
+
+
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of each document, with those that overlap or touch made one."""
     if not len(doc):
@@ -156,6 +175,26 @@ def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place >> LENGTH_BITS, place & (SELF - 1)
 
 
+def parted(m: int, piece: bytes, many: int, width: int) -> list[tuple[int, int, int]]:
+    """A piece's windows by further hashes: (hash, first window, number).
+
+    In each window, the first string with the hash ``m`` has half a window of text on its left or else on its right;
+    that text, and which side it is on, are mixed into the hash. Windows between those of one hash go with them.
+    """
+    t = np.frombuffer(piece, np.uint8)
+    places = np.flatnonzero(gram_hashes(t).view(np.int64) == m)
+    half, sums, window = (width - GRAM) // 2, Sums(t), np.arange(many)
+    at = np.searchsorted(places, window)
+    left = places[at] - window >= half
+    start = places[at] - half * left
+    key = mixed((sums.of(start, GRAM + half) + left.astype(np.uint64)) * ODD[11] ^ np.array([m]).view(np.uint64)).view(np.int64)
+    kinds, which = np.unique(key, return_inverse=True)
+    first, last = np.full(len(kinds), many), np.zeros(len(kinds), np.int64)
+    np.minimum.at(first, which, window)
+    np.maximum.at(last, which, window)
+    return list(zip(kinds.tolist(), first.tolist(), (last - first + 1).tolist(), strict=True))
+
+
 def equal_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, many: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Document and start of each window of the pieces that an earlier one equals, by a suffix array."""
     t = np.frombuffer(b"".join(pieces), np.uint8)
@@ -177,10 +216,9 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     """(``doc``, ``start``, ``end``): spans of bytes to remove, not yet made one where they meet. ``docs`` has a distinct long ``doc``, which gives the order, and ``t``."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [(t or "").encode(errors="surrogatepass") for t in b.t]
+        for docs, texts in slices(batches):
             m, h, which, start, many = runs(texts, width)
-            doc = b.doc.to_numpy(np.int64)[which] if len(which) else which
+            doc = docs[which] if len(which) else which
             by = np.lexsort((start, doc, h, m))
             m, h, doc, start, many = m[by], h[by], doc[by], start[by], many[by]
             first = np.r_[True, (m[1:] != m[:-1]) | (h[1:] != h[:-1])] if len(m) else np.zeros(0, bool)
@@ -223,32 +261,53 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     spans = compared.filter("m is null").select("doc", F.col("place").alias("start"), "end")
     asked = compared.filter("m is not null").select("m", "doc", "place")
 
-    counts = asked.groupBy("m").count().filter(F.col("count") > MANY).select("m", F.lit(True).alias("hot"))
+    size = F.col("place").bitwiseAND(F.lit(SELF - 1)) + width - 1
+    counts = asked.groupBy("m").agg(F.sum(size).alias("size")).filter(F.col("size") > MANY).select("m", F.lit(True).alias("hot"))
     wanted = asked.join(counts, "m", "left").groupBy("doc").agg(F.collect_list(F.struct("m", "place", "hot")).alias("p"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pieces with their bytes; of hot hashes, the windows' second hashes instead."""
+        """Pieces with their bytes; those of hot hashes parted in two."""
+        rows: list[tuple] = []
         for b in batches:
-            rows, windows = [], []
             for doc, t, own in zip(b.doc, b.t, b.p, strict=True):
                 t = t.encode(errors="surrogatepass")
                 for p in own:
                     start, many = _unpacked(p["place"])
                     piece = t[start : start + many + width - 1]
-                    if p["hot"]:
-                        at = np.arange(many)
-                        windows.append((np.full(many, p["m"]), Sums(np.frombuffer(piece, np.uint8)).of(at, width).view(np.int64), np.full(many, doc), start + at))
-                    else:
-                        rows.append((p["m"], None, doc, start, many, piece))
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["m", "w", "doc", "start", "many", "piece"]).astype({"w": "Int64"})
+                    for m, at, n in parted(p["m"], piece, many, width) if p["hot"] else [(p["m"], 0, many)]:
+                        rows.append((m, doc, start + at, n, piece[at : at + n + width - 1]))
+                if len(rows) >= HELD_ROWS // 10:
+                    yield pd.DataFrame(rows, columns=["m", "doc", "start", "many", "piece"])
                     rows = []
-            yield pd.DataFrame(rows, columns=["m", "w", "doc", "start", "many", "piece"]).astype({"w": "Int64"})
-            if windows:
-                m, w, d, s = (np.concatenate(x) for x in zip(*windows, strict=True))
-                yield pd.DataFrame({"m": m, "w": w, "doc": d, "start": s, "many": 1, "piece": None})
+        yield pd.DataFrame(rows, columns=["m", "doc", "start", "many", "piece"])
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Hashes of the pieces' windows, with the first of equal ones here; the others are spans (w null)."""
+        held, size = [], 0
+
+        def settled() -> Iterator[pd.DataFrame]:
+            m, w, d, s = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.lexsort((s, d, w, m))
+            m, w, d, s = m[by], w[by], d[by], s[by]
+            first = np.r_[True, (m[1:] != m[:-1]) | (w[1:] != w[:-1])]
+            yield pd.DataFrame({"m": m[first], "w": pd.array(w[first], "Int64"), "doc": d[first], "start": s[first], "end": s[first] + width})
+            d, s, e = merged(d[~first], s[~first], s[~first] + width)
+            yield pd.DataFrame({"m": 0, "w": pd.array([None] * len(d), "Int64"), "doc": d, "start": s, "end": e})
+
+        for b in batches:
+            for m, doc, start, many, piece in zip(b.m, b.doc, b.start, b.many, b.piece, strict=True):
+                at = np.arange(many)
+                held.append((np.full(many, m), Sums(np.frombuffer(piece, np.uint8)).of(at, width).view(np.int64), np.full(many, doc), start + at))
+                size += many
+                if size >= HELD_ROWS:
+                    yield from settled()
+                    held, size = [], 0
+        if held:
+            yield from settled()
 
-    fetched = written(docs.join(wanted, "doc").mapInPandas(fetch, "m long, w long, doc long, start long, many long, piece binary"), "repeats-pieces")
+    fetched = written(docs.join(wanted, "doc").mapInPandas(fetch, "m long, doc long, start long, many long, piece binary"), "repeats-pieces")
+    still = fetched.groupBy("m").agg(F.sum(F.length("piece")).alias("size")).filter(F.col("size") > MANY).select("m", F.lit(True).alias("hot"))
+    fetched = fetched.join(still, "m", "left")
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Whole hashes' pieces, about SHARD bytes at a time."""
@@ -273,7 +332,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
                 cut = cut[where[cut - 1] >= SHARD] if len(cut) else cut
                 at = cut[0] if len(cut) else (0 if last.all() else int(np.flatnonzero(last)[0]))
                 held, size = [], 0
-                if at == 0:  # one hash so far: at most MANY pieces
+                if at == 0:  # one hash so far: at most MANY bytes
                     held, size = [own], int(where[-1])
                     break
                 yield sort(own.iloc[:at])
@@ -284,10 +343,13 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         if held:
             yield sort(pd.concat(held, ignore_index=True))
 
-    edges = fetched.filter("w is null").select("m", "doc", "start", "many", "piece").repartition("m").sortWithinPartitions("m").mapInPandas(shard, "doc long, start long, end long")
-    hot = fetched.filter("w is not null").select("m", "w", F.struct("doc", "start").alias("at"))
+    edges = fetched.filter("hot is null").select("m", "doc", "start", "many", "piece").repartition("m").sortWithinPartitions("m").mapInPandas(shard, "doc long, start long, end long")
+    if still.isEmpty():
+        return spans.unionByName(edges)
+    windows = written(fetched.filter("hot").select("m", "doc", "start", "many", "piece").mapInPandas(whole, "m long, w long, doc long, start long, end long"), "repeats-windows")
+    hot = windows.filter("w is not null").select("m", "w", F.struct("doc", "start", "end").alias("at"))
     firsts = hot.groupBy("m", "w").agg(F.min("at").alias("first"))
-    later = hot.join(firsts, ["m", "w"]).filter("at <> first").select("at.doc", "at.start", (F.col("at.start") + width).alias("end"))
+    later = hot.join(firsts, ["m", "w"]).filter("at <> first").select("at.*").unionByName(windows.filter("w is null").select("doc", "start", "end"))
     return spans.unionByName(edges).unionByName(later)
 
 
@@ -305,8 +367,10 @@ def remove_repeats(docs: DataFrame, width: int = 100, *, id_col: str = "doc_id",
 
     A byte goes when a string of ``width`` bytes over it also starts earlier: in a document with a smaller id, or further
     ahead in the same one. Null texts are empty. Rows whose ids repeat come in order of their texts, rows without id after
-    all others, each as a document of its own. Texts shorter than ``width`` stay. Columns with the new names are replaced.
+    all others, each as a document of its own. Texts shorter than ``width`` (48 at least) stay. Columns with the new names are replaced.
     """
+    if width < 2 * GRAM:
+        raise ValueError(f"width must be {2 * GRAM} or more")
     docs = _keyed(docs, id_col, text_col)
     spans = repeated_spans(docs.select(F.col(f"{OWN}doc").alias("doc"), F.col(text_col).alias("t")), width)
     each = spans.groupBy(F.col("doc").alias(f"{OWN}d")).agg(F.collect_list(F.struct("start", "end")).alias(f"{OWN}s"))
