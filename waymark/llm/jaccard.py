@@ -1,10 +1,10 @@
 """N-gram Jaccard join: T-occurrence search.
 
 Sets of word shingles that are linked (Jaccard at least ``percent`` / 100) differ in few elements. So a set is cut by
-hash in one part more than linked sets of its size can differ in: linked sets have an equal part. Equal parts, chained
-and never paired out, give clusters of candidates. In a cluster's task, sets are searched by T-occurrence with
-DivideSkip: the short inverted lists of the set's elements are merged by a heap, those found often enough are probed
-by binary search in the long lists, and what reaches the required overlap is linked.
+hash in one part more than linked sets of its size can differ in: linked sets have an equal part. Equal parts, each
+linked with the first of its like and never paired out, give clusters of candidates. In a cluster's task, sets are
+searched by T-occurrence with DivideSkip: the short inverted lists of the set's elements are merged by a heap, those
+found often enough are probed by binary search in the long lists, and what reaches the required overlap is linked.
 
 Only leaders are indexed: a set that is linked to one is its member. Jaccard distance obeys the triangle inequality, so
 a set linked to a member is within twice the distance of the leader; those leaders' members are looked at as well. Large
@@ -254,7 +254,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, banded
                 key, owner = key[order], owner[order]
                 first = np.r_[True, key[1:] != key[:-1]]
                 yield pd.DataFrame({"kind": 1, "a": key[first], "b": owner[first]})
-                pairs = np.unique(np.stack([owner[1:], owner[:-1]])[:, ~first[1:]], axis=1)
+                heads = owner[first][np.cumsum(first) - 1]
+                pairs = np.unique(np.stack([owner, heads])[:, owner != heads], axis=1)
                 yield pd.DataFrame({"kind": 2, "a": pairs[0], "b": pairs[1]})
                 yield pd.DataFrame(wholes, columns=["a", "b"]).assign(kind=3)[["kind", "a", "b"]]
 
@@ -264,21 +265,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, banded
     wholes = cuts.filter("kind = 3").select("a", "b")
     firsts = wholes.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "m")
     equal = written(wholes.join(firsts, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "jaccard-equal")
-    # a part is on at most one row of a batch, so that no key is hot; rows of a part are chained
+    # a part is on at most one row of a batch, so that no key is hot; rows of a part are linked with its first
     parts = cuts.filter("kind = 1").select("a", "b").repartition("a").sortWithinPartitions("a", "b")
 
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, last_owner = None, None
+    def star(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, head = None, None
         for b in batches:
             key, owner = b.a.to_numpy(), b.b.to_numpy()
             if not len(key):
                 continue
-            before = np.r_[owner[0] if last_key != key[0] else last_owner, owner[:-1]]
-            same = np.r_[last_key == key[0], key[1:] == key[:-1]] & (before != owner)
-            last_key, last_owner = key[-1], owner[-1]
-            yield pd.DataFrame(np.unique(np.stack([owner[same], before[same]], 1), axis=0), columns=["a", "b"])
-
-    candidates = parts.mapInPandas(chain, "a long, b long").unionByName(cuts.filter("kind = 2").select("a", "b")).distinct()
+            first = np.r_[True, key[1:] != key[:-1]]
+            heads = owner[first]
+            heads[0] = head if key[0] == last_key else heads[0]
+            last_key, head = key[-1], heads[-1]
+            heads = heads[np.cumsum(first) - 1]
+            linked = owner != heads
+            yield pd.DataFrame(np.unique(np.stack([owner[linked], heads[linked]], 1), axis=0), columns=["a", "b"])
+
+    candidates = parts.mapInPandas(star, "a long, b long").unionByName(cuts.filter("kind = 2").select("a", "b")).distinct()
     to_first = equal.select(F.col("a").alias("x"), F.col("b").alias("y"))
     for end in ("a", "b"):
         candidates = candidates.join(to_first, F.col(end) == F.col("x"), "left").withColumn(end, F.coalesce("y", end)).drop("x", "y")
