@@ -154,7 +154,9 @@ def test_table_is_the_ratio_of_weighted_probabilities(spark, monkeypatch):
     texts = ["".join(rng.choice("abc d") for _ in range(rng.randint(0, 60))) + "abcabd" * rng.randint(0, 5) for _ in range(40)]
     raw = [t.encode() for t in texts]
     symbol, _ = ctw.byte_codes(np.bincount(np.frombuffer(b"".join(raw), np.uint8), minlength=256))
-    table, levels = ctw.fit(spark.createDataFrame([(t,) for t in texts], "t string"), symbol)
+    table, levels, there = ctw.fit(spark.createDataFrame([(t,) for t in texts], "t string"), symbol)
+    small, first = ctw.packed(table, there)
+    assert len(small) < len(table) and np.array_equal(small[first], table[: len(first)])
     assert len(levels) == 2 and abs((10.0 ** table.astype(float)).sum(-1) - 1).max() < 1e-5
     seen = Counter()
     for t in raw:
