@@ -144,6 +144,16 @@ def test_colliding_names_are_keyed_anew(spark, monkeypatch):
     assert sorted(some) == sorted(r.text for r in pii.pseudonymize(docs.filter("doc_id < 20"), b"k").collect())
 
 
+@pytest.mark.parametrize("names", [[f"Xa{a}{b}" for a in "bcdfghklmn" for b in "aeiou"], [*pii.GIVEN["latin", "m"], *(f"Éo{a}" for a in "bcdfghklmn")], [f"Яб{a}{b}" for a in "бвг" for b in "аеиоу"]])
+def test_more_given_names_than_the_list_has(spark, names):
+    """All of them are distinct, also from the originals, and the check ends."""
+    docs = spark.createDataFrame([(i, f"Herr {n} Miller.") for i, n in enumerate(names)], "doc_id long, text string")
+    made = [r.text for r in pii.pseudonymize(docs, b"k").orderBy("doc_id").collect()]
+    assert len(set(made)) == len(names) and all(f" {n} " not in m for n, m in zip(names, made, strict=True))
+    assert len({m.split()[2] for m in made}) == 1
+    assert not any(n.lower().endswith(e) for own in pii.GIVEN.values() for n in own for e in pii.ENDINGS.values())
+
+
 # 5 context-tree weighting
 
 

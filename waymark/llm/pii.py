@@ -5,7 +5,9 @@ the same case, valid octets for octets, a card number that passes the Luhn test
 same gender and script. The mapping is a keyed permutation of all strings of one format (a Feistel network, walked
 until it stays in the format's range), so different originals stay different, one original gets one surrogate in every
 text and on every executor without a lookup, and no original is its own surrogate. Given names come from short lists,
-where two may meet; a collision check over all distinct entities of the corpus finds those and keys them anew.
+where two may meet; a collision check over all distinct entities of the corpus finds those and keys them anew. One that
+meets others ``LIST_TRIES`` times gets a permutation of its own letters with an ending that no listed name has, which is
+distinct by construction, so the check ends however many given names share a surname.
 """
 
 from __future__ import annotations
@@ -31,8 +33,13 @@ GIVEN = {
     ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга".split(),
     ("cyrillic", "m"): "Антон Борис Иван Игорь Лев Олег Павел Роман".split(),
 }
+#: So often a given name is drawn from the lists; then its letters are permuted.
+LIST_TRIES = 8
+#: Endings that no listed name has.
+ENDINGS = {"latin": "en", "cyrillic": "ин"}
 TITLES = {"mr": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "sra": "f", "dr": "", "prof": ""}
 LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщъьё")
+ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁ"
 _LOW = "a-zß-öø-ÿа-яё"
 
@@ -141,8 +148,10 @@ def canonical(kind: str, found: str) -> str:
 
 
 def given_name(given: str, gender: str, key: bytes, attempt: int) -> str:
-    """A given name of the same gender and script."""
+    """A given name of the same gender and script; after ``LIST_TRIES`` attempts, one that no other given name gets."""
     script = "cyrillic" if re.search("[а-яё]", given) else "latin"
+    if attempt >= LIST_TRIES:
+        return like(given, key, "given", alphabets=(*LETTERS, ACCENTED)) + ENDINGS[script]
     gender = next((g for (s, g), names in GIVEN.items() if s == script and given.title() in names), gender)
     names = sorted({n for (s, g), own in GIVEN.items() if s == script and g in (gender or "fm") for n in own} - {given.title()})
     digest = hashlib.blake2b(f"given|{script}|{gender}|{given}|{attempt}".encode(), key=key, digest_size=8).digest()
