@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import confidence, geo, text
-from waymark.operators import mapping, metrics, records, rules, spatial
+from waymark.operators import mapping, metrics, providers, records, rules, spatial
 from waymark.plans import queries
 from waymark.sources import placemarks, sinks, tabular
 from waymark.streaming import limiter
@@ -184,3 +184,27 @@ def test_upload_problems(spark, tmp_path):
     files = files.unionByName(spark.createDataFrame([("x/d.csv", 0, bytearray())], files.schema))  # Spark's reader leaves empty files out
     got = {r.path.rsplit("/", 1)[-1]: r.problem for r in tabular.upload_problems(files).collect()}
     assert got == {"a.csv": None, "b.kmz": "content does not match extension", "c.exe": "unsupported extension", "d.csv": "empty file", "e.kmz": None}
+
+
+def test_forward_confidence_has_all_terms(spark):
+    """Literals from the reference's constants."""
+    cases = [
+        # base, matched, metres, status, reverse, validation status and score, source, pinned, house number, estimated, expected
+        (50.0, True, 300.0, None, 80, None, None, "GOOGLE", None, None, None, 55.0),
+        (50.0, True, 300.0, None, 79, "AUTO_ACCEPT", 90, "GOOGLE", None, None, None, 56.0),
+        (50.0, True, 300.0, None, None, "REJECT", 80, "GOOGLE", None, None, None, 54.0),
+        (50.0, True, 300.0, None, None, None, None, "OSM", True, None, None, 58.0),
+        (50.0, True, 90.0, "match", None, None, None, "OSM", False, None, None, 70.0),
+        (50.0, True, 40.0, None, None, None, None, "OSM", None, None, None, 67.0),
+        (50.0, True, 300.0, None, None, None, None, "INTERPOLATED", None, True, None, 56.0),
+        (50.0, True, 30.0, None, None, None, None, "INTERPOLATED", None, True, None, 73.0),
+        (90.0, True, 10.0, "MATCH", 90, None, None, "INTERPOLATED", None, True, True, 92.0),
+        (90.0, True, 150.0, "MATCH", None, None, None, "GOOGLE", None, None, True, 88.0),
+        (90.0, True, None, "MATCH", None, None, None, "GOOGLE", None, None, True, 82.0),
+        (90.0, True, None, "MATCH", 90, None, None, None, None, None, None, 99.0),
+        (10.0, True, 900.0, "MISMATCH", None, None, None, "GOOGLE", None, None, None, 0.0),
+        (50.0, False, 10.0, "MATCH", 90, "AUTO_ACCEPT", 90, "OSM", True, None, None, 35.0),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, base double, matched boolean, m double, cs string, rs int, vs string, vp int, source string, pinned boolean, number boolean, estimated boolean, want double")
+    c = providers.forward_confidence(F.col("base"), F.col("matched"), F.col("m"), F.col("cs"), reverse_score=F.col("rs"), validation_status=F.col("vs"), validation_score=F.col("vp"), source=F.col("source"), pinned=F.col("pinned"), has_number=F.col("number"), estimated=F.col("estimated"))
+    assert [(r.i, r.got) for r in rows.select("i", c.alias("got")).orderBy("i").collect()] == [(i, case[-1]) for i, case in enumerate(cases)]

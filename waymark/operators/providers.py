@@ -39,11 +39,35 @@ def best_result(results: DataFrame) -> DataFrame:
     return scored.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct("score", -F.col("position"))).alias("best")).select("id", "best.*")
 
 
-def forward_confidence(base: Column, matched: Column, distance_m: Column, coord_status: Column) -> Column:
-    """J-27, in its main terms: the provider's base with bonuses for a matching text by distance and status; at most 35 unless the text matches, at most 99."""
+def source_bonus(source: Column, distance_m: Column, pinned: Column, has_number: Column) -> Column:
+    """J-25: for OSM 10 when pinned to the source, else 6 within 100 m; for interpolated results 8 with a house number, and 6 within 200 m or 3 within 500 m."""
+    osm = F.when(pinned, 10).when(distance_m <= 100, 6).otherwise(0)
+    interpolated = F.when(has_number, 8).otherwise(0) + F.when(distance_m <= 200, 6).when(distance_m <= 500, 3).otherwise(0)
+    return F.when(source == "OSM", osm).when(source == "INTERPOLATED", interpolated).otherwise(0)
+
+
+def fallback_penalty(source: Column, distance_m: Column) -> Column:
+    """J-24: OSM 2 and interpolated results 5, within 50 m 1 and 3."""
+    return F.when(source == "OSM", F.when(distance_m <= 50, 1).otherwise(2)).when(source == "INTERPOLATED", F.when(distance_m <= 50, 3).otherwise(5)).otherwise(0)
+
+
+def estimated_cap(estimated: Column, distance_m: Column) -> Column:
+    """J-26: 99; for estimated results 92 within 50 m, 88 within 200 m, else 82."""
+    return F.when(estimated, F.when(distance_m <= 50, 92.0).when(distance_m <= 200, 88.0).otherwise(82.0)).otherwise(99.0)
+
+
+def forward_confidence(base: Column, matched: Column, distance_m: Column, coord_status: Column, *, reverse_score: Column | None = None, validation_status: Column | None = None, validation_score: Column | None = None, source: Column | None = None, pinned: Column | None = None, has_number: Column | None = None, estimated: Column | None = None) -> Column:
+    """J-27: the provider's base. Where the text matches: bonuses by distance and status, 5 for a reverse score of 80 or more, 6 for AUTO_ACCEPT or else 4 for a validation score of 80 or more, the source's bonus and penalty; elsewhere at most 35. From 0 up to the cap of estimated results. What isn't given counts as null."""
+    pinned, has_number, estimated = (F.lit(None).cast("boolean") if c is None else c for c in (pinned, has_number, estimated))
+    source, reverse_score, validation_score, validation_status = (F.lit(None) if c is None else c for c in (source, reverse_score, validation_score, validation_status))
     bonus = F.when(distance_m <= 20, 15).when(distance_m <= 50, 12).when(distance_m <= 100, 8).when(distance_m <= 200, 4).when(distance_m > 500, -12).otherwise(0)
-    status = F.when(coord_status == "MATCH", 8).when(coord_status == "MISMATCH_WARN", -5).when(coord_status == "MISMATCH", -15).otherwise(0)
-    return F.when(matched, F.least(base + bonus + status, F.lit(99.0))).otherwise(F.least(base, F.lit(35.0)))
+    status = F.upper(F.trim(coord_status))
+    status = F.when(status == "MATCH", 8).when(status == "MISMATCH_WARN", -5).when(status == "MISMATCH", -15).otherwise(0)
+    reverse = F.when(F.floor(reverse_score) >= 80, 5).otherwise(0)
+    validated = F.when(F.upper(validation_status) == "AUTO_ACCEPT", 6).when(F.floor(validation_score) >= 80, 4).otherwise(0)
+    full = base + bonus + status + reverse + validated + source_bonus(source, distance_m, pinned, has_number) - fallback_penalty(source, distance_m)
+    score = F.when(matched, full).otherwise(F.least(base, F.lit(35.0)))
+    return F.greatest(F.lit(0.0), F.least(score, estimated_cap(estimated, distance_m)))
 
 
 def parcels(rows: DataFrame, parcel: DataFrame, county: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def coordinates_unreliable(status: Column, distance_m: Column) -> Column:
 
 
 def imagery_score(tag: Column, crops: Column, has_metadata: Column, aerial_tags: Column, agreeing_views: Column, ocr: Column, unit_words: Column, good_quality: Column) -> Column:
-    """L-37: the sum of the sub-scores, 100 at most, halves to even: tag confidence by 50, crops up to 10, metadata 20, aerial tags 3 each up to 15, agreeing views 5 each up to 10, OCR 25 (10 with unit words), quality 10 or 5."""
+    """L-37, its six sub-scores alone (structure, units, flags and floors are left out): their sum, 100 at most, halves to even: tag confidence by 50, crops up to 10, metadata 20, aerial tags 3 each up to 15, agreeing views 5 each up to 10, OCR 25 (10 with unit words), quality 10 or 5."""
     total = tag * 50 + F.least(crops, F.lit(10)) + F.when(has_metadata, 20).otherwise(0) + F.least(aerial_tags * 3, F.lit(15)) + F.least(agreeing_views * 5, F.lit(10)) + F.when(unit_words, 10).when(ocr, 25).otherwise(0) + F.when(good_quality, 10).otherwise(5)
     return F.bround(F.least(total, F.lit(100.0))).cast("int")
 
