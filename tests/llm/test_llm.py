@@ -1,8 +1,10 @@
 """The numbered operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import ipaddress
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -154,6 +156,22 @@ def test_more_given_names_than_the_list_has(spark, names):
     assert not any(n.lower().endswith(e) for own in pii.GIVEN.values() for n in own for e in pii.ENDINGS.values())
 
 
+def test_further_mentions_and_formats():
+    text = "Keller came. Mrs. Anna Keller's car; Anna Keller said, KELLER and Anna too. Kellerman and anna stay. Mr. Juan Carlos Perez, then Perez."
+    made, n = pii.replaced(text, b"k", {})
+    given, surname = re.search(r"Mrs\. (\w+) (\w+)'s", made).groups()
+    _, _, last = re.search(r"Mr\. (\w+) (\w+) (\w+)", made).groups()
+    assert made.startswith(f"{surname} came. Mrs. {given} {surname}'s car; {given} {surname} said, {surname.upper()} and {given} too. Kellerman and anna stay.") and made.endswith(f"{last}.")
+    assert n == 7 and not re.search(r"\b(Keller|KELLER|Anna|Perez|Juan|Carlos)\b", made)
+    for found in ("555 123 4567", "3782 822463 10005", "3782-822463-10005"):
+        (made, n) = pii.replaced(f"x {found} y", b"k", {})
+        assert n == 1 and re.sub(r"\d", "0", made) == re.sub(r"\d", "0", f"x {found} y") and found not in made
+    assert pii.canonical("card", "3782 822463 10005") == "378282246310005" and pii.luhn(pii.surrogate("card", "378282246310005", b"k"))
+    made = [pii.replaced(a, b"k", {}) for a in ("2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "::1", "fe80::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::")]
+    assert all(n == 1 and ipaddress.IPv6Address(t) for t, n in made) and made[0][0] == made[1][0].lower() and len({t.lower() for t, _ in made}) == 5
+    assert all(pii.replaced(t, b"k", {}) == (t, 0) for t in ("at 12:30:45 h", "std::vector and a::b", "aa:bb:cc:00:11:22"))
+
+
 # 5 context-tree weighting
 
 

@@ -8,11 +8,18 @@ text and on every executor without a lookup, and no original is its own surrogat
 where two may meet; a collision check over all distinct entities of the corpus finds those and keys them anew. One that
 meets others ``LIST_TRIES`` times gets a permutation of its own letters with an ending that no listed name has, which is
 distinct by construction, so the check ends however many given names share a surname.
+
+A name is found by its title; further whole-word mentions of its given name and surname in the same text, written as
+there or in capitals, get the same surrogates, also those before it. Not detected: names that no title introduces
+anywhere in the text, initials and names with a capital inside (McDonald, O'Brien), other scripts than Latin with
+Western European accents and Cyrillic, phones without separators or a leading plus, IPv6 addresses without a decimal
+digit, postal addresses, and dates.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -43,17 +50,22 @@ ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁ"
 _LOW = "a-zß-öø-ÿа-яё"
 
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IPV6 = "|".join([rf"(?:{_HEX}:){{7}}{_HEX}", *(rf"(?:{_HEX}:){{{n}}}(?::{_HEX}){{1,{7 - n}}}" for n in range(6, 0, -1)), rf":(?::{_HEX}){{1,7}}", rf"(?:{_HEX}:){{1,7}}:"])
+
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "secret": r"(?:(?<=(?i:password)=)|(?<=(?i:passwd)=)|(?<=(?i:secret)=)|(?<=(?i:token)=)|(?<=(?i:key)=))[0-9A-Za-z_+/=-]{6,200}|(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{0,31}[0-9])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pous]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])|(?<=[=:] [\"'])[0-9A-Za-z_+/=-]{16,200}(?=[\"'])|(?<=[=:][\"'])[0-9A-Za-z_+/=-]{16,200}(?=[\"'])",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
+    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)" rf"|(?<![\w:.])(?=[0-9A-Fa-f]{{0,4}}:)(?=[A-Fa-f:]*[0-9])(?:{_IPV6})(?![\w:]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "card": r"(?<![\w.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w]|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\w)",
+    "card": r"(?<![\w.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w]|\.\d)|(?<![\w.])\d{4}[ -]\d{6}[ -]\d{5}(?![\w]|\.\d)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "name": rf"(?<!\w)(?:(?i:{'|'.join(TITLES)}))\.? (?:[{_UP}][{_LOW}'’-]{{1,40}}(?: (?=[{_UP}])|(?![{_LOW}{_UP}]))){{1,3}}",
 }
 ANY = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
+#: What follows a name and isn't of it: a genitive, a quote or dash, a space.
+AFTER = re.compile(r"(?:['’]s)?['’ -]*$")
 #: What a text must hold to have any entity.
 MAYBE = re.compile(rf"[0-9@=]|: ?[\"']|(?<!\w)(?i:{'|'.join(TITLES)})\.? [{_UP}]")
 
@@ -140,6 +152,8 @@ def canonical(kind: str, found: str) -> str:
         return found.replace(" ", "")
     if kind == "email" or kind == "secret" and re.fullmatch("[0-9A-F]+|[0-9a-f]+", found):
         return found.lower()
+    if kind == "ip" and ":" in found:
+        return ipaddress.ip_address(found).exploded
     if kind == "name":
         title, *rest = found.split()
         given = rest[0].lower() if len(rest) > 1 else ""
@@ -165,6 +179,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
         return f"{like(local, key, tweak)}@{like(host, key, 'domain')}.{top}"
+    if kind == "ip" and ":" in value:
+        return like(value, key, tweak, alphabets=("0123456789abcdef",))
     if kind == "ip":
         n = 0
         for octet in value.split("."):
@@ -195,6 +211,9 @@ def rendered(kind: str, found: str, made: str) -> str:
     if kind in ("card", "phone", "ssn", "iban"):
         left = iter(made)
         return "".join(next(left) if c.isalnum() else c for c in found)
+    if kind == "ip" and ":" in made:
+        short = str(ipaddress.ip_address(made))
+        return short.upper() if found == found.upper() != found.lower() else short
     if kind in ("email", "secret") and found == found.upper() and made == made.lower():
         return made.upper() if any(c.isalpha() for c in found) else made
     if kind == "email":
@@ -210,16 +229,35 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
     """Start, end and kind of each entity of a text, in order and without overlap."""
     if not text or not MAYBE.search(text):
         return []
-    return [(m.start(), m.end() - (len(m[0]) - len(m[0].rstrip(" "))), m.lastgroup) for m in ANY.finditer(text)]
+    return [(m.start(), m.start() + len(AFTER.sub("", m[0]) if m.lastgroup == "name" else m[0].rstrip(" ")), m.lastgroup) for m in ANY.finditer(text)]
+
+
+def further(found: str, made: str) -> dict[str, str]:
+    """What a name found behind a title is called by elsewhere: in full, and each word of it alone."""
+    own, new = found.split()[1:], made.split()[1:]
+    pairs = [(" ".join(own), " ".join(new)), *zip(own, new, strict=True)]
+    return {a: b for x, y in pairs for a, b in ((x, y), (x.upper(), y.upper()))}
 
 
 def replaced(text: str | None, key: bytes, attempts: dict[Entity, int]) -> tuple[str | None, int]:
-    out, at, n = [], 0, 0
+    out, at, names = [], 0, {}
     for start, end, kind in mentions(text):
         value = canonical(kind, text[start:end])
-        out += [text[at:start], rendered(kind, text[start:end], surrogate(kind, value, key, attempts.get((kind, value), 0)))]
-        at, n = end, n + 1
-    return (text if not n else "".join([*out, text[at:]])), n
+        made = rendered(kind, text[start:end], surrogate(kind, value, key, attempts.get((kind, value), 0)))
+        if kind == "name":
+            names = further(text[start:end], made) | names
+        out += [text[at:start], made]
+        at = end
+    if not out:
+        return text, 0
+    out.append(text[at:])
+    n = len(out) // 2
+    if names:
+        again = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?!\w)")
+        for i in range(0, len(out), 2):
+            out[i], more = again.subn(lambda m: names[m[0]], out[i])
+            n += more
+    return "".join(out), n
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
