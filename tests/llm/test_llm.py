@@ -139,11 +139,10 @@ def test_surrogates(spark):
 def test_colliding_names_are_keyed_anew(spark, monkeypatch):
     names = [f"Xa{a}{b}" for a in "bcdfghklmn" for b in "aeiou"]
     docs = spark.createDataFrame([(i, f"Mr. {n} Miller.") for i, n in enumerate(names)], "doc_id long, text string")
-    made = [r.text for r in pii.pseudonymize(docs, b"k").collect()] if len(names) <= 28 else None
-    some = [r.text for r in pii.pseudonymize(docs.filter("doc_id < 20"), b"k").collect()]
-    assert made is None and len(set(some)) == 20
+    made = [r.text for r in pii.pseudonymize(docs, b"k").collect()]
+    assert len(set(made)) == 50
     monkeypatch.setattr(pii, "BROADCAST_ENTITIES", 0)
-    assert sorted(some) == sorted(r.text for r in pii.pseudonymize(docs.filter("doc_id < 20"), b"k").collect())
+    assert sorted(made) == sorted(r.text for r in pii.pseudonymize(docs, b"k").collect())
 
 
 @pytest.mark.parametrize("names", [[f"Xa{a}{b}" for a in "bcdfghklmn" for b in "aeiou"], [*pii.GIVEN["latin", "m"], *(f"Éo{a}" for a in "bcdfghklmn")], [f"Яб{a}{b}" for a in "бвг" for b in "аеиоу"]])
@@ -255,11 +254,11 @@ def test_license_edges(spark):
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     for _ in range(150):
-        t = rng.integers(97, 97 + rng.integers(1, 5), rng.integers(1, 60)).astype(np.uint8)
+        t = np.tile(rng.integers(97, 97 + rng.integers(1, 5), rng.integers(1, 30)), rng.integers(1, 4)).astype(np.uint8)
         raw = t.tobytes()
         want = sorted(range(len(raw)), key=lambda i: raw[i:])
         sa = suffixes.suffix_array(t)
-        assert sa.tolist() == want
+        assert sa.tolist() == want == suffixes.suffix_array(t.astype(np.int32)).tolist()
         p = suffixes.permuted_prefixes(t, sa, 20)
         for a, b in zip(want, want[1:]):
             same = next((k for k in range(20) if raw[a + k : a + k + 1] != raw[b + k : b + k + 1] or b + k >= len(raw) or a + k >= len(raw)), 20)
@@ -293,6 +292,25 @@ def test_repeats(spark, monkeypatch, many):
     assert [got[i] for i in range(len(texts))] == removed([t.encode() for t in texts], 100)
 
 
+@pytest.mark.parametrize("many", [1 << 20, 300])
+def test_texts_that_hashes_modulo_a_power_of_two_confuse_are_kept(spark, monkeypatch, many):
+    """Blocks with one of two tails in the order of Thue and Morse, and with the tails swapped: their polynomials are equal modulo 2 ** 64."""
+    monkeypatch.setattr(repeats, "MANY", many)
+    random.seed(5)
+    own = lambda n: "".join(random.choice("abcdefghij") for _ in range(n))
+    head, tails, middles = own(24), (own(24), own(24)), [own(16) for _ in range(128)]
+    texts = ["".join(head + m + tails[i.bit_count() & 1 ^ swap] for i, m in enumerate(middles)) for swap in (0, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in repeats.remove_repeats(docs, 100).collect()] == [0, 0]
+
+
+def test_a_window_in_two_pieces_does_not_repeat_itself():
+    text = bytes(random.Random(3).choices(b"abcdefgh", k=140))
+    docs, starts, many = np.array([7, 7]), np.array([0, 10]), np.array([31, 31])
+    doc, _ = repeats.equal_windows([text[:130], text[10:]], docs, starts, many, 100)
+    assert not len(doc)
+
+
 def test_repeats_edges(spark):
     long = "".join(chr(97 + i * i % 26) for i in range(60))
     docs = awkward(spark).unionByName(awkward(spark).filter("doc_id = 5").select(F.lit(6).cast("long").alias("doc_id"), F.lit(long).alias("text"), "lang", "source", "n_chars", "score", "n_tokens"))

@@ -3,13 +3,16 @@
 1. In each text, windows of ``width`` bytes are grouped in runs by the smallest hash of the short strings in them, which
    depends on the window alone: equal windows have the same, wherever they stand. A run of windows is a piece of text.
 2. Pieces are brought together by that hash, each different piece once from each batch of rows (the batch's own
-   repeats are settled where they are read). Where all pieces of a hash are equal, all but the first repeat it. That
-   settles the inside of copied passages and all text that occurs once, without their bytes being moved.
+   repeats are settled where they are read). Pieces are equal when their 128-bit cryptographic digests are. Where all
+   pieces of a hash are equal, all but the first repeat it. That settles the inside of copied passages and all text that
+   occurs once, without their bytes being moved.
 3. The other pieces (the edges of copies) are fetched and dealt to shards by their hash. A shard's suffix array is
    built by induced sorting; permuted common prefixes of ``width`` bytes show which windows are equal. A hash with very
    many pieces is not gathered in a shard: its pieces are parted by the text to the left or to the right of the string
    that has the hash, as equal windows agree on either. What is still too much (many equal windows in ever different
-   surroundings) is compared by hashes of whole windows, summed by Spark.
+   surroundings) is parted to the end, by the digests of whole windows, which Spark sums up.
+
+The other hashes only bring text together: whatever they collide on, it is told apart by digest or suffix array.
 
 Matches never cross texts, and what counts as repeated is judged on the texts as they were.
 """
@@ -17,6 +20,7 @@ Matches never cross texts, and what counts as repeated is judged on the texts as
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -64,8 +68,15 @@ def least_of(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (w - k)], m[w - k :]) if w > k else m
 
 
+def digests(t: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two columns that tell parts of a string apart: their 128-bit cryptographic digests."""
+    view = memoryview(t)
+    found = [blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+
+
 class Sums:
-    """Hashes of any part of a string, from sums of its bytes times powers."""
+    """Hashes of any part of a string, from sums of its bytes times powers. Equal hashes don't prove equal parts."""
 
     def __init__(self, t: np.ndarray):
         power = np.full(len(t) + 1, ODD[15])
@@ -80,7 +91,7 @@ class Sums:
         return mixed((self.total[start + size] - self.total[start]) * self.back[start] + np.uint64(1) * np.asarray(size).astype(np.uint64))
 
 
-def segments(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def segments(texts: list[bytes], width: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
     """About CHUNK bytes at a time: joined bytes, and for each part its text's number, its place there, and its size."""
     own: list[tuple[int, int, bytes]] = []
     size = 0
@@ -95,15 +106,16 @@ def segments(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.nd
         yield _joined(own)
 
 
-def _joined(own: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _joined(own: list[tuple[int, int, bytes]]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     which, at, parts = zip(*own, strict=True)
-    return np.frombuffer(b"".join(parts), np.uint8), np.array(which), np.array(at, np.int64), np.array([len(p) for p in parts], np.int64)
+    return b"".join(parts), np.array(which), np.array(at, np.int64), np.array([len(p) for p in parts], np.int64)
 
 
 def runs(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
-    """Smallest hash, piece's hash, text's number, start in it, and number of windows (with SELF), of each run."""
+    """Smallest hash, piece's digest, text's number, start in it, and number of windows (with SELF), of each run."""
     out = []
-    for t, which, at, size in segments(texts, width):
+    for raw, which, at, size in segments(texts, width):
+        t = np.frombuffer(raw, np.uint8)
         w = width - GRAM + 1
         g = gram_hashes(t)
         m = least_of(g, w)
@@ -131,9 +143,10 @@ def runs(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
         for mask, window in ((left, before), (right & ~same, behind)):
             twice += np.bincount(run[window[mask]], minlength=len(twice))[: len(twice)]
         alone = np.where(twice[:-1] > 1, SELF, 0)
-        out.append((m[start], Sums(t).of(start, many + width - 1), which[part], at[part] + start - begins[part], many + alone))
+        digest = digests(raw, start, many + width - 1)
+        out.append((m[start].view(np.int64), digest[:, 0], digest[:, 1], which[part], at[part] + start - begins[part], many + alone))
     if not out:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
+        return (np.zeros(0, np.int64),) * 6
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -208,8 +221,10 @@ def equal_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, man
     group = group[np.repeat(begins, many) + nth]
     doc, start = np.repeat(docs, many), np.repeat(starts, many) + nth
     by = np.lexsort((start, doc, group))
-    later = np.r_[False, group[by][1:] == group[by][:-1]]
-    return doc[by][later], start[by][later]
+    doc, start, group = doc[by], start[by], group[by]
+    # a window that is in two pieces doesn't repeat itself
+    later = np.r_[False, (group[1:] == group[:-1]) & ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))]
+    return doc[later], start[later]
 
 
 def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
@@ -217,28 +232,28 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for docs, texts in slices(batches):
-            m, h, which, start, many = runs(texts, width)
+            m, h, g, which, start, many = runs(texts, width)
             doc = docs[which] if len(which) else which
-            by = np.lexsort((start, doc, h, m))
-            m, h, doc, start, many = m[by], h[by], doc[by], start[by], many[by]
-            first = np.r_[True, (m[1:] != m[:-1]) | (h[1:] != h[:-1])] if len(m) else np.zeros(0, bool)
-            yield pd.DataFrame({"m": m[first].view(np.int64), "h": h[first].view(np.int64), "doc": doc[first], "place": _packed(start[first], many[first])})
+            by = np.lexsort((start, doc, g, h, m))
+            m, h, g, doc, start, many = m[by], h[by], g[by], doc[by], start[by], many[by]
+            first = np.r_[True, (m[1:] != m[:-1]) | (h[1:] != h[:-1]) | (g[1:] != g[:-1])] if len(m) else np.zeros(0, bool)
+            yield pd.DataFrame({"m": m[first], "h": h[first], "g": g[first], "doc": doc[first], "place": _packed(start[first], many[first])})
             d, s, e = merged(doc[~first], start[~first], start[~first] + (many[~first] & (SELF - 1)) + width - 1)
             # settled here: they ride along under hashes of their own, as spans (negative place)
-            yield pd.DataFrame({"m": mixed(d.astype(np.uint64)).view(np.int64), "h": e, "doc": d, "place": -1 - s})
+            yield pd.DataFrame({"m": mixed(d.astype(np.uint64)).view(np.int64), "h": e, "g": np.zeros(len(d), np.int64), "doc": d, "place": -1 - s})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by m, h, doc, place. Out: spans (m null), and pieces whose hash has different ones."""
-        last_m = last_h = None
+        """Rows come sorted by m, h, g, doc, place. Out: spans (m null), and pieces whose hash has different ones."""
+        last_m = last_h = last_g = None
         waiting: tuple | None = None  # the first piece of a hash of which no other piece has come yet
         for b in batches:
-            m, h, doc, place = (b[c].to_numpy() for c in ("m", "h", "doc", "place"))
+            m, h, g, doc, place = (b[c].to_numpy() for c in ("m", "h", "g", "doc", "place"))
             span = place < 0
             spans = [(doc[span], -1 - place[span], h[span])]
-            m, h, doc, place = m[~span], h[~span], doc[~span], place[~span]
+            m, h, g, doc, place = m[~span], h[~span], g[~span], doc[~span], place[~span]
             if len(m):
                 new_m = np.r_[m[0] != last_m, m[1:] != m[:-1]]
-                new_h = new_m | np.r_[h[0] != last_h, h[1:] != h[:-1]]
+                new_h = new_m | np.r_[h[0] != last_h or g[0] != last_g, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
                 start, many = _unpacked(place)
                 spans.append((doc[~new_h], start[~new_h], start[~new_h] + many[~new_h] + width - 1))
                 at = np.flatnonzero(new_h)
@@ -251,12 +266,12 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
                 if own.shape[1] and not several[-1]:
                     waiting, own, several = tuple(own[:, -1].tolist()), own[:, :-1], several[:-1]
                 own = own[:, several]
-                last_m, last_h = m[-1], h[-1]
+                last_m, last_h, last_g = m[-1], h[-1], g[-1]
                 yield pd.DataFrame({"m": own[0], "doc": own[1], "place": own[2], "end": 0}).astype({"m": "Int64"})
             d, s, e = merged(*(np.concatenate(x) for x in zip(*spans, strict=True)))
             yield pd.DataFrame({"m": pd.array([None] * len(d), "Int64"), "doc": d, "place": s, "end": e})
 
-    pieces = docs.mapInPandas(read, "m long, h long, doc long, place long").repartition("m").sortWithinPartitions("m", "h", "doc", "place")
+    pieces = docs.mapInPandas(read, "m long, h long, g long, doc long, place long").repartition("m").sortWithinPartitions("m", "h", "g", "doc", "place")
     compared = written(pieces.mapInPandas(compare, "m long, doc long, place long, end long"), "repeats-compared")
     spans = compared.filter("m is null").select("doc", F.col("place").alias("start"), "end")
     asked = compared.filter("m is not null").select("m", "doc", "place")
@@ -282,22 +297,25 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         yield pd.DataFrame(rows, columns=["m", "doc", "start", "many", "piece"])
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Hashes of the pieces' windows, with the first of equal ones here; the others are spans (w null)."""
+        """Digests (w, v) of the pieces' windows, with the first of equal ones here; the others are spans (w null)."""
         held, size = [], 0
 
         def settled() -> Iterator[pd.DataFrame]:
-            m, w, d, s = (np.concatenate(x) for x in zip(*held, strict=True))
-            by = np.lexsort((s, d, w, m))
-            m, w, d, s = m[by], w[by], d[by], s[by]
-            first = np.r_[True, (m[1:] != m[:-1]) | (w[1:] != w[:-1])]
-            yield pd.DataFrame({"m": m[first], "w": pd.array(w[first], "Int64"), "doc": d[first], "start": s[first], "end": s[first] + width})
-            d, s, e = merged(d[~first], s[~first], s[~first] + width)
-            yield pd.DataFrame({"m": 0, "w": pd.array([None] * len(d), "Int64"), "doc": d, "start": s, "end": e})
+            w, v, d, s = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.lexsort((s, d, v, w))
+            w, v, d, s = w[by], v[by], d[by], s[by]
+            first = np.r_[True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])]
+            yield pd.DataFrame({"w": pd.array(w[first], "Int64"), "v": v[first], "doc": d[first], "start": s[first], "end": s[first] + width})
+            # the same window in two pieces comes next to itself
+            again = first | np.r_[False, (d[1:] == d[:-1]) & (s[1:] == s[:-1])]
+            d, s, e = merged(d[~again], s[~again], s[~again] + width)
+            yield pd.DataFrame({"w": pd.array([None] * len(d), "Int64"), "v": 0, "doc": d, "start": s, "end": e})
 
         for b in batches:
-            for m, doc, start, many, piece in zip(b.m, b.doc, b.start, b.many, b.piece, strict=True):
+            for doc, start, many, piece in zip(b.doc, b.start, b.many, b.piece, strict=True):
                 at = np.arange(many)
-                held.append((np.full(many, m), Sums(np.frombuffer(piece, np.uint8)).of(at, width).view(np.int64), np.full(many, doc), start + at))
+                digest = digests(piece, at, np.full(many, width))
+                held.append((digest[:, 0], digest[:, 1], np.full(many, doc), start + at))
                 size += many
                 if size >= HELD_ROWS:
                     yield from settled()
@@ -346,10 +364,10 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     edges = fetched.filter("hot is null").select("m", "doc", "start", "many", "piece").repartition("m").sortWithinPartitions("m").mapInPandas(shard, "doc long, start long, end long")
     if still.isEmpty():
         return spans.unionByName(edges)
-    windows = written(fetched.filter("hot").select("m", "doc", "start", "many", "piece").mapInPandas(whole, "m long, w long, doc long, start long, end long"), "repeats-windows")
-    hot = windows.filter("w is not null").select("m", "w", F.struct("doc", "start", "end").alias("at"))
-    firsts = hot.groupBy("m", "w").agg(F.min("at").alias("first"))
-    later = hot.join(firsts, ["m", "w"]).filter("at <> first").select("at.*").unionByName(windows.filter("w is null").select("doc", "start", "end"))
+    windows = written(fetched.filter("hot").select("doc", "start", "many", "piece").mapInPandas(whole, "w long, v long, doc long, start long, end long"), "repeats-windows")
+    hot = windows.filter("w is not null").select("w", "v", F.struct("doc", "start", "end").alias("at"))
+    firsts = hot.groupBy("w", "v").agg(F.min("at").alias("first"))
+    later = hot.join(firsts, ["w", "v"]).filter("at <> first").select("at.*").unionByName(windows.filter("w is null").select("doc", "start", "end"))
     return spans.unionByName(edges).unionByName(later)
 
 

@@ -1,4 +1,4 @@
-"""Suffix arrays of byte strings by induced sorting, with permuted common prefixes; vectorised over whole buckets."""
+"""Suffix arrays by induced sorting, with permuted common prefixes. Strings of bytes are sorted a bucket at a time, their recursions by lists."""
 
 from __future__ import annotations
 
@@ -60,60 +60,87 @@ def induced(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return sa
 
 
+def listed(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """``induced`` for large alphabets and long runs, where buckets are too small to be worth whole-array steps."""
+    s, is_small, n = t.tolist(), small.tolist(), len(t)
+    ends = np.cumsum(np.bincount(t))
+    sa, tail = [-1] * n, (ends - 1).tolist()
+    for i in reversed(lms.tolist()):
+        c = s[i]
+        sa[tail[c]] = i
+        tail[c] -= 1
+    head = np.concatenate([[0], ends[:-1]]).tolist()
+    c = s[-1]  # the last suffix follows what stands before all others
+    sa[head[c]] = n - 1
+    head[c] += 1
+    for i in sa:  # sees what the loop puts further on
+        if i > 0 and not is_small[i - 1]:
+            c = s[i - 1]
+            sa[head[c]] = i - 1
+            head[c] += 1
+    tail = (ends - 1).tolist()
+    for at in range(n - 1, -1, -1):
+        i = sa[at]
+        if i > 0 and is_small[i - 1]:
+            c = s[i - 1]
+            sa[tail[c]] = i - 1
+            tail[c] -= 1
+    return np.array(sa, np.int64)
+
+
+def words_at(t: np.ndarray, room: int) -> np.ndarray:
+    """The eight bytes from each byte on, as one number; ``room`` zeros follow the last byte."""
+    raw = t.tobytes() + bytes(room + 8)
+    return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+
 def substring_names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For the leftmost-smaller substrings in text order, the rank of each among the different ones."""
-    rng = np.random.default_rng(11)
-    table, base = rng.integers(1, 1 << 63, 256, np.uint64), np.uint64(0x9E3779B97F4A7C15)
-    power = np.full(len(t), base)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[t] * power)])
-    stop = np.append(lms[1:] + 1, len(t))
-    size = stop - lms
-    # a substring's hash, moved to the place of the last: places differ, so each is multiplied up to the same power
-    value = (total[stop] - total[lms]) * power[len(t) - 1 - lms]
+    """For the leftmost-smaller substrings in text order, the rank of each among the different ones; ``order`` has them sorted."""
+    wide = t.itemsize
+    size = np.append(lms[1:] + 1, len(t)) - lms
     place = np.empty(len(t), np.int64)
     place[lms] = np.arange(len(lms))
     by = place[order]
-    new = (value[by][1:] != value[by][:-1]) | (size[by][1:] != size[by][:-1])
+    left = (size[by][1:] * wide).astype(np.int64)
+    # the last one ends with the text and equals no other
+    equal = (size[by][1:] == size[by][:-1]) & (by[1:] < len(lms) - 1) & (by[:-1] < len(lms) - 1)
+    words, alive, at = words_at(t, 8), np.flatnonzero(equal), 0
+    one, other = lms[by][:-1] * wide, lms[by][1:] * wide
+    while len(alive):
+        rest = left[alive] - at
+        differ = words[one[alive] + at] ^ words[other[alive] + at]
+        differ <<= (8 * np.maximum(8 - rest, 0)).astype(np.uint64)  # bytes behind the end don't count
+        equal[alive[differ != 0]] = False
+        alive = alive[(differ == 0) & (rest > 8)]
+        at += 8
     names = np.empty(len(lms), np.int64)
-    names[by] = np.concatenate([[0], np.cumsum(new)])
+    names[by] = np.concatenate([[0], np.cumsum(~equal)])
     return names
 
 
-def ranked(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names: names of pairs, pairs of pairs, and so on, until all differ."""
-    rank, k = names, 1
-    while True:
-        follow = np.append(rank[k:] + 1, np.zeros(min(k, len(rank)), np.int64))
-        key = rank * (int(rank.max()) + 2) + follow[: len(rank)]
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        if rank[order[-1]] == len(rank) - 1:
-            return order
-        k *= 2
-
-
 def suffix_array(t: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string of numbers from 0: the leftmost-smaller substrings are sorted, by recursion
+    on the string of their names where some are equal, and induce the rest."""
     if len(t) < 2:
         return np.arange(len(t))
     small = smaller_types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    new = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    longest_run = np.diff(new, append=len(t)).max()
+    induce = induced if t.dtype == np.uint8 and longest_run < 500 else listed
     if len(lms) > 1:
-        sa = induced(t, small, lms)
+        sa = induce(t, small, lms)
         is_lms = np.zeros(len(t), bool)
         is_lms[lms] = True
         names = substring_names(t, lms, sa[is_lms[sa]])
-        lms = lms[ranked(names)] if names.max() < len(lms) - 1 else lms[np.argsort(names)]
-    return induced(t, small, lms)
+        lms = lms[suffix_array(names.astype(np.int32)) if names.max() < len(lms) - 1 else np.argsort(names)]
+    return induce(t, small, lms)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """In text order, how much each suffix has in common with the one before it in the suffix array, up to ``most`` bytes."""
     n = len(t)
-    padded = np.concatenate([t, np.zeros(most + 16, np.uint8)])
-    words = np.ndarray((n + most + 8,), "<u8", padded.tobytes(), strides=(1,))
+    words = words_at(t, most)
     before = np.empty(n, np.int64)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = -1
