@@ -348,10 +348,11 @@ def components_by_brute_force(texts, n, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("n, percent, block, banded", [(3, 90, 4_000_000, False), (5, 80, 4_000_000, False), (3, 90, 300, False), (5, 80, 300, True), (5, 80, 4_000_000, True)])
-def test_jaccard_components(spark, monkeypatch, n, percent, block, banded):
+@pytest.mark.parametrize("n, percent, block, cells", [(3, 90, 4_000_000, 1 << 21), (5, 80, 4_000_000, 1 << 15), (3, 90, 300, 1 << 15), (5, 80, 300, 1 << 21), (2, 60, 4_000_000, 1 << 15)])
+def test_jaccard_components(spark, monkeypatch, n, percent, block, cells):
     random.seed(percent)
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard, "CELLS", cells)
     texts = {}
     for _ in range(12):
         base = [f"w{random.randint(0, 60)}" for _ in range(random.choice([1, 4, 12, 40, 150]))]
@@ -361,7 +362,7 @@ def test_jaccard_components(spark, monkeypatch, n, percent, block, banded):
                 own[random.randrange(len(own))] = f"z{random.randint(0, 9)}"
             texts[len(texts)] = " ".join(own + ["tail"] * random.randint(0, 2))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, n, percent, banded=banded).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, n, percent).collect()}
     assert got == components_by_brute_force(texts, n, percent)
 
 
@@ -370,6 +371,7 @@ def test_jaccard_edges(spark):
     assert got[:4] == [(1, 5, 1), (1, 5, 1), (2, 0, 2), (3, 0, 3)] and got[-1] == (99, 1, None)
     assert jaccard.jaccard_components(awkward(spark).limit(0)).count() == 0
     assert jaccard.one_of_each(awkward(spark)).columns == awkward(spark).columns
+    assert sorted(r.doc_id or 0 for r in jaccard.one_of_each(awkward(spark)).collect()) == [0, 1, 2, 3, 4, 5]
 
 
 def test_divide_skip_and_components(spark):

@@ -1,20 +1,22 @@
 """N-gram Jaccard join: T-occurrence search.
 
-Sets of word shingles that are linked (Jaccard at least ``percent`` / 100) differ in few elements. So a set is cut by
-hash in one part more than linked sets of its size can differ in: linked sets have an equal part. Equal parts, each
-linked with the first of its like and never paired out, give clusters of candidates. In a cluster's task, sets are
-searched by T-occurrence with DivideSkip: the short inverted lists of the set's elements are merged by a heap, those
-found often enough are probed by binary search in the long lists, and what reaches the required overlap is linked.
+All sets' shingles are put in one order, the rarest of the corpus first. Two linked sets (Jaccard at least ``percent`` /
+100) of n shingles and more then share one of the first n - ceil(n * percent / 100) + 1 of either: their prefixes.
+So the documents of each prefix shingle are linked with the first of them, never paired out, which gives clusters of
+candidates without losing a link. As prefixes hold the rarest shingles, texts that only share a passage or common lines
+don't meet. In a cluster's task, sets are searched by T-occurrence with DivideSkip: the short inverted lists of the
+set's elements are merged by a heap, those found often enough are probed by binary search in the long lists, and what
+reaches the required overlap is linked.
+
+How common a shingle is comes from counters of a fixed number of cells over all documents, summed in each task before
+they are shuffled; shingles that share cells only come later in the order than they could. The order is the same for
+all documents, whatever the counters hold, and no more is needed of it.
 
 Only leaders are indexed: a set that is linked to one is its member. Jaccard distance obeys the triangle inequality, so
 a set linked to a member is within twice the distance of the leader; those leaders' members are looked at as well. Large
 groups of near copies thus cost one list entry each, and no link between different components is lost.
 
-At low thresholds the parts are so small that texts with one passage in common have equal ones. There, ``bands`` of
-MinHashes take the parts' place: fewer keys, which texts with a common passage don't share. Linked sets are then missed
-with a chance of at most ``MISS``, and only those right at the threshold.
-
-Elements are 64-bit hashes of shingles.
+Elements are 64-bit hashes of shingles; equal sets are told by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import heapq
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 from itertools import groupby
 
 import numpy as np
@@ -40,8 +42,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 RATIO = 1.5
 #: Up to so many shingles in all, a cluster is searched in one task; a larger one is cut in blocks.
 BLOCK_SHINGLES = 1_500_000
-#: Chance at most that no band of two sets right at the threshold is equal, and MinHashes in a band.
-MISS, ROWS = 1e-5, 6
+#: Counters in each of two rows, how many of them travel together, and shingles that are counted at a time.
+CELLS, STRIP, COUNTED = 1 << 21, 1 << 15, 1 << 20
 
 
 class WordHashes(dict):
@@ -68,65 +70,29 @@ def shingle_set(text: str | None, n: int, hashes: dict) -> np.ndarray:
     return np.unique(out)
 
 
-@lru_cache(maxsize=None)
-def parts_of(k: int, percent: int) -> tuple[int, int]:
-    """For size class k: the number of parts, and in how many of them linked sets can differ at most."""
-    low, most = RATIO**k, RATIO ** (k + 1) * 100 / percent
-    differ = int(2 * most * (100 - percent) / (100 + percent))
-    parts = differ + 1
-    while parts > 1:  # until nearly all sets have more parts with elements than can differ
-        empty = np.exp(-low / parts)
-        if parts * (1 - empty) - 3 * np.sqrt(parts * empty) >= differ + 1 or parts > 3 * differ + 3:
-            break
-        parts += max(1, parts // 50)
-    return parts, differ
-
-
 def classes(size: int, percent: int) -> list[int]:
-    """The size classes in which a set is compared: its own, and the one below where a linked set can be in that."""
+    """The size classes in which a set is compared: its own, and those below where a linked set can be."""
     c = int(np.floor(np.log(size) / np.log(RATIO)))
-    return [c] + [c - 1] * (c > 0 and size * percent <= 100 * RATIO**c)
+    out = [c]
+    while c > 0 and size * percent <= 100 * RATIO**c:
+        c -= 1
+        out.append(c)
+    return out
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the set's parts, with class and part mixed in.
+def cells(s: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle's counter in either row of ``many``, a power of two."""
+    shift = np.uint64(65 - many.bit_length())
+    return (s * MIX >> shift).astype(np.int64), ((s ^ (s >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> shift).astype(np.int64)
 
-    A part without elements says little and is left out, but for sets with so few other parts that all those could
-    differ from a linked set's.
-    """
-    out = []
-    for k in classes(len(s), percent):
-        parts, differ = parts_of(k, percent)
-        part = ((s * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        mixed = (s ^ (s >> np.uint64(29))) * MIX
-        total = np.zeros(parts, np.uint64)
-        np.add.at(total, part, mixed ^ (mixed >> np.uint64(32)))
-        key = (total ^ np.uint64((k + 2) * 0x51ED27)) * MIX + np.arange(parts, dtype=np.uint64)
-        key = (key ^ (key >> np.uint64(30))) * MIX
-        full = np.bincount(part, minlength=parts) > 0
-        out.append(key[full] if full.sum() > differ else key)
-    return np.concatenate(out)
-
-
-@lru_cache(maxsize=None)
-def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(31)
-    return rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
-
-
-def bands(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the set's bands of MinHashes."""
-    n = int(np.ceil(np.log(MISS) / np.log(1 - (percent / 100) ** ROWS)))
-    a, b = _multipliers(n * ROWS)
-    x = (s ^ (s >> np.uint64(32))).astype(np.uint32)
-    least = np.full(n * ROWS, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(x), 4096):
-        least = np.minimum(least, (a[:, None] * x[None, at : at + 4096] + b[:, None]).min(1))
-    key = np.arange(n, dtype=np.uint64)
-    for row in least.reshape(n, ROWS).T:
-        key = (key ^ row) * MIX
-        key ^= key >> np.uint64(29)
-    return key
+
+def prefix_keys(s: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """Keys of the set's rarest shingles, with its size classes mixed in: as many as linked sets must share one of."""
+    first, second = cells(s, common.shape[1])
+    n = len(s) - -(-percent * len(s) // 100) + 1
+    rarest = s[np.argsort(np.minimum(common[0][first], common[1][second]), kind="stable")[:n]]
+    keys = [(rarest ^ np.uint64((k + 2) * 0x51ED27)) * MIX for k in classes(len(s), percent)]
+    return np.concatenate([key ^ (key >> np.uint64(30)) for key in keys])
 
 
 class UnionFind:
@@ -207,7 +173,7 @@ def search(sets: list[np.ndarray], percent: int) -> UnionFind:
 
 
 def _searched(groups: DataFrame, by: list[str], n: int, percent: int) -> DataFrame:
-    """Links (a, b) of documents (``id``, ``t``) to their component's first in each group."""
+    """Links (a, b) of documents (``id``, ``t``) to their component's first in each group, which has about a block's text at most."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("id")
@@ -221,21 +187,59 @@ def _searched(groups: DataFrame, by: list[str], n: int, percent: int) -> DataFra
     return groups.groupBy(*by).applyInPandas(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, banded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def commonness(rows: DataFrame, n: int) -> np.ndarray:
+    """Two rows of CELLS counters of the shingles of all texts ``t``, on a logarithmic scale in one byte each."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, total, held, size = WordHashes(), np.zeros((2, CELLS), np.int64), [], 0
+
+        def add() -> None:
+            for row, at in zip(total, cells(np.concatenate(held), CELLS), strict=True):
+                row += np.bincount(at, minlength=CELLS)
+
+        for b in batches:
+            for t in b.t:
+                held.append(shingle_set(t, n, hashes))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    add()
+                    held, size = [], 0
+        if size:
+            add()
+        strips = total.reshape(-1, STRIP)
+        for i in np.flatnonzero(strips.any(1)):
+            # more than 65,535 in one task count as that many
+            yield pd.DataFrame({"strip": [int(i)], "counts": [np.minimum(strips[i], 65_535).astype("<u2").tobytes()]})
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, counts in zip(b.strip, b.counts, strict=True):
+                total[i] = total.get(i, 0) + np.frombuffer(counts, "<u2").astype(np.int64)
+        scaled = [(4 * np.log2(c + 1)).astype(np.uint8).tobytes() for c in total.values()]
+        yield pd.DataFrame({"strip": list(total), "counts": scaled})
+
+    kind = "strip int, counts binary"
+    out = np.zeros((2 * CELLS // STRIP, STRIP), np.uint8)
+    # at most 2 * CELLS bytes
+    for r in rows.select("t").mapInPandas(count, kind).repartition("strip").mapInPandas(add_up, kind).collect():
+        out[r.strip] = np.frombuffer(r.counts, np.uint8)
+    return out.reshape(2, CELLS)
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
     A text's set is its distinct ``n``-word shingles (A-Z lower-cased, words by white space); a text with fewer words is
     one shingle, a text without words has an empty set and no links. Two texts are linked when 100 * intersection >=
     ``percent`` * union. Rows with one id are linked with each other. A row without id has no component and links
     nothing. Other columns are not read. An empty table gives an empty table.
-
-    Candidates share a part of their sets, which loses no link, or with ``banded`` a band of MinHashes, as above.
     """
-    keyed = bands if banded else signatures
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    common = docs.sparkSession.sparkContext.broadcast(commonness(rows.filter("id is not null"), n))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Kind 0: id and size. Kind 1: part and id, once per batch. Kind 2: ids that share a part in the batch. Kind 3: whole set and id."""
+        """Kind 0: id and size. Kind 1: prefix key and id, once per batch. Kind 2: ids that share a key in the batch. Kind 3: whole set (a, c) and id."""
         hashes = WordHashes()
         for b in batches:
             ids, sizes, keys, owners, wholes = b.id, [], [], [], []
@@ -243,29 +247,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, banded
                 s = shingle_set(t, n, hashes)
                 sizes.append(len(s))
                 if len(s) and not pd.isna(i):
-                    own = keyed(s, percent)
+                    own = prefix_keys(s, percent, common.value)
                     keys.append(own)
                     owners.append(np.full(len(own), int(i)))
-                    wholes.append((xxh3_64_intdigest(s.tobytes()) - (1 << 63), int(i)))
-            yield pd.DataFrame({"kind": 0, "a": ids.astype("Int64"), "b": sizes})
+                    wholes.append((*np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist(), int(i)))
+            yield pd.DataFrame({"kind": 0, "a": ids.astype("Int64"), "b": sizes, "c": 0})
             if keys:
                 key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
                 order = np.lexsort((owner, key))
                 key, owner = key[order], owner[order]
                 first = np.r_[True, key[1:] != key[:-1]]
-                yield pd.DataFrame({"kind": 1, "a": key[first], "b": owner[first]})
+                yield pd.DataFrame({"kind": 1, "a": key[first], "b": owner[first], "c": 0})
                 heads = owner[first][np.cumsum(first) - 1]
                 pairs = np.unique(np.stack([owner, heads])[:, owner != heads], axis=1)
-                yield pd.DataFrame({"kind": 2, "a": pairs[0], "b": pairs[1]})
-                yield pd.DataFrame(wholes, columns=["a", "b"]).assign(kind=3)[["kind", "a", "b"]]
+                yield pd.DataFrame({"kind": 2, "a": pairs[0], "b": pairs[1], "c": 0})
+                yield pd.DataFrame(wholes, columns=["a", "c", "b"]).assign(kind=3)[["kind", "a", "b", "c"]]
 
-    cuts = written(rows.mapInPandas(cut, "kind int, a long, b long"), "jaccard-parts")
+    cuts = written(rows.mapInPandas(cut, "kind int, a long, b long, c long"), "jaccard-prefixes")
     sizes = cuts.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles"))
     # equal sets are linked: one of them stands for all in the search
-    wholes = cuts.filter("kind = 3").select("a", "b")
-    firsts = wholes.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "m")
-    equal = written(wholes.join(firsts, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "jaccard-equal")
-    # a part is on at most one row of a batch, so that no key is hot; rows of a part are linked with its first
+    wholes = cuts.filter("kind = 3").select("a", "c", "b")
+    firsts = wholes.groupBy("a", "c").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "c", "m")
+    equal = written(wholes.join(firsts, ["a", "c"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "jaccard-equal")
+    # a key is on at most one row of a batch, so that none is hot; rows of a key are linked with its first
     parts = cuts.filter("kind = 1").select("a", "b").repartition("a").sortWithinPartitions("a", "b")
 
     def star(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,7 +295,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, banded
     loads = clusters.join(size, F.col("node") == F.col("id")).groupBy("component").agg(F.sum("n_shingles").alias("load"), F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("load") / F.lit(float(BLOCK_SHINGLES))).cast("int")
     members = written(clusters.join(loads.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "jaccard-clusters")
-    texts = rows.join(members, F.col("id") == F.col("node")).select("id", "t", "component", "block", "blocks")
+    texts = rows.join(members, F.col("id") == F.col("node")).select("id", "t", "component", "block")
     found = written(_searched(texts, ["component", "block"], n, percent), "jaccard-links").unionByName(equal)
     if not members.filter("blocks > 1").isEmpty():
         found = _across_blocks(rows, members, found, n, percent)
@@ -331,9 +335,20 @@ def _across_blocks(rows: DataFrame, members: DataFrame, found: DataFrame, n: int
     return written(_searched(texts, ["component", "block", "slice"], n, percent).unionByName(found), "jaccard-links")
 
 
-def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, *, banded: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest of their component, with the columns they have; rows without id stay."""
-    reach = jaccard_components(docs, n, percent, banded=banded, id_col=id_col, text_col=text_col)
-    gone = reach.filter("component_id <> doc_id").select(F.col("doc_id").alias(f"{OWN}gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col(f"{OWN}gone"), "left_anti")
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are the smallest of their component, with the columns they have.
 
+    Of rows that repeat an id, which are one component, the one with the smallest text stays. Rows without id stay, as
+    do rows with null or empty texts, which are linked with nothing. An empty table gives an empty table.
+    """
+    reach = jaccard_components(docs, n, percent, id_col=id_col, text_col=text_col)
+    gone = reach.filter("component_id <> doc_id").select(F.col("doc_id").alias(f"{OWN}gone")).distinct()
+    kept = docs.join(gone, F.col(id_col).cast("long") == F.col(f"{OWN}gone"), "left_anti")
+    repeated = reach.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(f"{OWN}again"))
+    if repeated.isEmpty():
+        return kept
+    repeated = written(repeated, "jaccard-repeated")
+    same = F.col(id_col).cast("long") == F.col(f"{OWN}again")
+    order = F.struct(F.col(text_col), F.xxhash64(*docs.columns))
+    firsts = kept.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias(f"{OWN}id")).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias(f"{OWN}row"))
+    return kept.join(repeated, same, "left_anti").unionByName(firsts.select(f"{OWN}row.*"))
