@@ -351,6 +351,7 @@ def components_by_brute_force(texts, n, percent):
 @pytest.mark.parametrize("n, percent, block, cells", [(3, 90, 4_000_000, 1 << 21), (5, 80, 4_000_000, 1 << 15), (3, 90, 300, 1 << 15), (5, 80, 300, 1 << 21), (2, 60, 4_000_000, 1 << 15)])
 def test_jaccard_components(spark, monkeypatch, n, percent, block, cells):
     random.seed(percent)
+    monkeypatch.setattr(jaccard, "AROUND", 20_000 if block > 300 else 3)
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
     monkeypatch.setattr(jaccard, "CELLS", cells)
     texts = {}
@@ -374,6 +375,27 @@ def test_jaccard_edges(spark):
     assert sorted(r.doc_id or 0 for r in jaccard.one_of_each(awkward(spark)).collect()) == [0, 1, 2, 3, 4, 5]
 
 
+def test_near_sketches_lose_no_link():
+    rng = np.random.default_rng(4)
+    for percent in (80, 90):
+        sets = []
+        for _ in range(6):
+            base = rng.integers(0, 1 << 63, 90).astype(np.uint64)
+            sets += [np.unique(np.r_[base[rng.random(90) > rng.random() / 4], rng.integers(0, 1 << 63, 4).astype(np.uint64)]) for _ in range(25)]
+        sets = [sets[i] for i in rng.permutation(len(sets))]
+        bits = np.frombuffer(b"".join(jaccard.sketch(s, 11) for s in sets), np.uint64).reshape(len(sets), -1)
+        sizes = np.array([len(s) for s in sets])
+        uf, leaders = jaccard.near(bits, sizes, percent)
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(a, sets[j]))
+                if 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                    assert uf.find(i) == uf.find(j)
+                far = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+                assert far <= len(a) + len(sets[j]) - 2 * both
+        assert len({uf.find(i) for i in range(len(sets))}) >= 6 and len(leaders) < len(sets)
+
+
 def test_divide_skip_and_components(spark):
     random.seed(1)
     for _ in range(100):

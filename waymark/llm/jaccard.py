@@ -1,22 +1,24 @@
 """N-gram Jaccard join: T-occurrence search.
 
-All sets' shingles are put in one order, the rarest of the corpus first. Two linked sets (Jaccard at least ``percent`` /
-100) of n shingles and more then share one of the first n - ceil(n * percent / 100) + 1 of either: their prefixes.
-So the documents of each prefix shingle are linked with the first of them, never paired out, which gives clusters of
-candidates without losing a link. As prefixes hold the rarest shingles, texts that only share a passage or common lines
-don't meet. In a cluster's task, sets are searched by T-occurrence with DivideSkip: the short inverted lists of the
-set's elements are merged by a heap, those found often enough are probed by binary search in the long lists, and what
-reaches the required overlap is linked.
-
-How common a shingle is comes from counters of a fixed number of cells over all documents, summed in each task before
-they are shuffled; shingles that share cells only come later in the order than they could. The order is the same for
-all documents, whatever the counters hold, and no more is needed of it.
-
-Only leaders are indexed: a set that is linked to one is its member. Jaccard distance obeys the triangle inequality, so
-a set linked to a member is within twice the distance of the leader; those leaders' members are looked at as well. Large
-groups of near copies thus cost one list entry each, and no link between different components is lost.
-
-Elements are 64-bit hashes of shingles; equal sets are told by 128-bit digests.
+1. Keys. Linked sets (Jaccard at least ``percent`` / 100) share a key of those that either has. At high thresholds these
+   are parts: a set is cut by hash in one part more than linked sets of its size can differ in, so one part is equal. At
+   lower ones, where parts would be small, they are the rarest shingles: of n, linked sets of any size share one of the
+   first n - ceil(n * percent / 100) + 1 in an order that all sets have in common.
+2. Candidates. The documents of a key are linked with the first of them, never paired out. Around each such first
+   document, a sketch tells which of the others can be linked at all: bit i is the parity of the shingles with hash i, so
+   sets differ in at least as many shingles as their sketches in bits. What is left is near; texts that only share a
+   passage don't meet. Their connected components are the clusters.
+3. Search. In a cluster's task, sets are searched by T-occurrence with DivideSkip: the short inverted lists of the set's
+   elements are merged by a heap, those found often enough are probed by binary search in the long lists, and what
+   reaches the required overlap is linked.
+
+No step loses a link. In 2 and 3 only leaders are compared with or indexed: a set near one is its member. Distances
+(of sketches, and Jaccard's) obey the triangle inequality, so what a member is linked with is within twice the distance
+of its leader, and such leaders' members are looked at as well. Large groups of near copies thus cost one entry each.
+
+How rare a shingle is comes from counters of a fixed number of cells over all documents, summed in each task before they
+are shuffled; shingles that share cells only come later than they could. Elements are 64-bit hashes of shingles; equal
+sets are told by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import heapq
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from itertools import groupby
 
@@ -42,6 +45,12 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 RATIO = 1.5
 #: Up to so many shingles in all, a cluster is searched in one task; a larger one is cut in blocks.
 BLOCK_SHINGLES = 1_500_000
+#: From this threshold on, keys are parts of sets.
+PARTS_FROM = 85
+#: Documents around a first one that are told apart in one task; more are cut in blocks.
+AROUND = 20_000
+#: The bits of a key that name its size class.
+CLASS = np.uint64(63)
 #: Counters in each of two rows, how many of them travel together, and shingles that are counted at a time.
 CELLS, STRIP, COUNTED = 1 << 21, 1 << 15, 1 << 20
 
@@ -86,13 +95,87 @@ def cells(s: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
     return (s * MIX >> shift).astype(np.int64), ((s ^ (s >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> shift).astype(np.int64)
 
 
-def prefix_keys(s: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
-    """Keys of the set's rarest shingles, with its size classes mixed in: as many as linked sets must share one of."""
+@lru_cache(maxsize=None)
+def parts_of(k: int, percent: int) -> tuple[int, int]:
+    """For size class k: the number of parts, and in how many of them linked sets can differ at most."""
+    low, most = RATIO**k, RATIO ** (k + 1) * 100 / percent
+    differ = int(2 * most * (100 - percent) / (100 + percent))
+    parts = differ + 1
+    while parts > 1:  # until nearly all sets have more parts with elements than can differ
+        empty = np.exp(-low / parts)
+        if parts * (1 - empty) - 3 * np.sqrt(parts * empty) >= differ + 1 or parts > 3 * differ + 3:
+            break
+        parts += max(1, parts // 50)
+    return parts, differ
+
+
+def part_keys(s: np.ndarray, k: int, percent: int) -> np.ndarray:
+    """Hashes of the set's parts in size class k.
+
+    A part without elements says little and is left out, but for sets with so few other parts that all those could
+    differ from a linked set's.
+    """
+    parts, differ = parts_of(k, percent)
+    part = ((s * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    scrambled = (s ^ (s >> np.uint64(29))) * MIX
+    total = np.zeros(parts, np.uint64)
+    np.add.at(total, part, scrambled ^ (scrambled >> np.uint64(32)))
+    key = total * MIX + np.arange(parts, dtype=np.uint64)
+    full = np.bincount(part, minlength=parts) > 0
+    return key[full] if full.sum() > differ else key
+
+
+def rarest(s: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """The set's rarest shingles, as many as linked sets must share one of."""
     first, second = cells(s, common.shape[1])
     n = len(s) - -(-percent * len(s) // 100) + 1
-    rarest = s[np.argsort(np.minimum(common[0][first], common[1][second]), kind="stable")[:n]]
-    keys = [(rarest ^ np.uint64((k + 2) * 0x51ED27)) * MIX for k in classes(len(s), percent)]
-    return np.concatenate([key ^ (key >> np.uint64(30)) for key in keys])
+    return s[np.argsort(np.minimum(common[0][first], common[1][second]), kind="stable")[:n]]
+
+
+def keys_of(s: np.ndarray, percent: int, common: np.ndarray | None) -> np.ndarray:
+    """The set's keys in all its size classes; the lowest bits are the class."""
+    out = []
+    for k in classes(len(s), percent):
+        key = part_keys(s, k, percent) if common is None else rarest(s, percent, common)
+        key = (key ^ np.uint64((k + 2) * 0x51ED27)) * MIX
+        out.append((key ^ (key >> np.uint64(30))) & ~CLASS | np.uint64(k))
+    return np.concatenate(out)
+
+
+def sketch(s: np.ndarray, k: int) -> bytes:
+    """Parities of the numbers of shingles with each hash; about two hashes for a shingle of a set of class k."""
+    bits = 64 * -(-int(2 * RATIO ** (k + 1)) // 64)
+    place = ((s ^ (s >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) >> np.uint64(32)) % np.uint64(bits)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def near(sketches: np.ndarray, sizes: np.ndarray, percent: int, slack: int = 1) -> tuple[UnionFind, list[int]]:
+    """Components of the sets whose sketches differ in at most ``slack`` times as many bits as linked ones can; and leaders."""
+    uf, leaders, members = UnionFind(len(sizes)), [], []
+    led, widest = np.zeros((16, sketches.shape[1]), np.uint64), int(sizes.max())
+    most = lambda n, m: slack * (n + m) * (100 - percent) // (100 + percent)
+    for x, own in enumerate(sketches):
+        home = None
+        if leaders:
+            far = np.bitwise_count(led[: len(leaders)] ^ own).sum(1, dtype=np.int64)
+            reach = far <= most(int(sizes[x]), sizes[leaders])
+            for at in np.flatnonzero(reach).tolist():
+                uf.join(x, leaders[at])
+                home = at if home is None else home
+            for at in np.flatnonzero(~reach & (far <= 2 * most(widest, widest))).tolist():
+                if uf.find(x) != uf.find(leaders[at]) and members[at]:
+                    hits = np.bitwise_count(sketches[members[at]] ^ own).sum(1, dtype=np.int64) <= most(int(sizes[x]), sizes[members[at]])
+                    if hits.any():
+                        uf.join(x, members[at][int(hits.argmax())])
+        if home is None:
+            if len(leaders) == len(led):
+                led = np.concatenate([led, np.zeros_like(led)])
+            led[len(leaders)] = own
+            leaders.append(x)
+            members.append([])
+        else:
+            members[home].append(x)
+    return uf, leaders
 
 
 class UnionFind:
@@ -227,6 +310,82 @@ def commonness(rows: DataFrame, n: int) -> np.ndarray:
     return out.reshape(2, CELLS)
 
 
+def firsts_of(key: np.ndarray, owner: np.ndarray, head: np.ndarray) -> pd.DataFrame:
+    """Distinct (a, b, c): documents, the first that has their key, and the key's class."""
+    linked = owner != head
+    k = (key[linked].view(np.uint64) & CLASS).astype(np.int64)
+    return pd.DataFrame(np.unique(np.stack([owner[linked], head[linked], k], 1), axis=0), columns=["a", "b", "c"])
+
+
+def near_links(candidates: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all documents ``a`` around each first ``b`` in class ``c`` whose sketches (``x``, ``k``, size ``n``, bits ``s``) are near.
+
+    Where there are too many for a task, they are compared in blocks; the blocks' leaders, which stand for what is near
+    them, are compared with as much more slack, blocks with blocks if there are too many of them still.
+    """
+    candidates = written(candidates, "jaccard-candidates")
+    counts = candidates.groupBy("b", "c").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(AROUND))).cast("int").alias("blocks"))
+    own = candidates.join(counts, ["b", "c"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    heads = counts.withColumn("a", F.col("b")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    seated = own.select("c", "b", "block", "blocks", "a").unionByName(heads.select("c", "b", "block", "blocks", "a"))
+    found = written(_near(seated, sketches, percent, 1), "jaccard-near")
+    links = found.filter("not leader").select("a", "b")
+    many = found.filter("leader").select("a", "b", "c")
+    if many.isEmpty():
+        return links
+    # slack 3: a document to its leader, to the other's leader, and the link itself
+    counts = many.groupBy("b", "c").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(AROUND))).cast("int").alias("n"))
+    own = many.join(counts, ["b", "c"]).withColumn("i", F.pmod(F.xxhash64("a"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    pair = F.least("i", "j") * F.col("n") + F.greatest("i", "j")
+    seated = own.select("c", "b", pair.cast("int").alias("block"), F.lit(1).alias("blocks"), "a").distinct()
+    return links.unionByName(_near(seated, sketches, percent, 3).filter("not leader").select("a", "b"))
+
+
+def _near(seated: DataFrame, sketches: DataFrame, percent: int, slack: int) -> DataFrame:
+    """Links (a, b) of near documents in each group (c, b, block), and where there are further blocks its leaders (a of b, c)."""
+    rows = seated.join(sketches, (F.col("a") == F.col("x")) & (F.col("c") == F.col("k"))).select("c", "b", "block", "blocks", "a", "n", "s")
+    rows = rows.repartition("c", "b", "block").sortWithinPartitions("c", "b", "block", "a")
+
+    def told(own: pd.DataFrame) -> pd.DataFrame:
+        """Whole groups of one class."""
+        bits = np.frombuffer(b"".join(own.s), np.uint64).reshape(len(own), -1)
+        a, b, n, blocks = (own[c].to_numpy() for c in ("a", "b", "n", "blocks"))
+        new = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (own.block.to_numpy()[1:] != own.block.to_numpy()[:-1])])
+        stop = np.append(new[1:], len(own))
+        left, right, leaders = [], [], []
+        two = new[(stop - new == 2) & (blocks[new] == 1)]
+        far = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1, dtype=np.int64)
+        linked = two[far <= slack * (n[two] + n[two + 1]) * (100 - percent) // (100 + percent)]
+        left += a[linked + 1].tolist()
+        right += a[linked].tolist()
+        for at, to in zip(new.tolist(), stop.tolist(), strict=True):
+            if to - at > 2 or blocks[at] > 1:
+                uf, led = near(bits[at:to], n[at:to], percent, slack)
+                root = [uf.find(i) for i in range(to - at)]
+                left += [int(a[at + i]) for i, r in enumerate(root) if i != r]
+                right += [int(a[at + r]) for i, r in enumerate(root) if i != r]
+                if blocks[at] > 1:
+                    leaders += [(int(a[at + i]), int(b[at]), int(own.c.iloc[0])) for i in led]
+        links = pd.DataFrame({"a": left, "b": right, "c": 0, "leader": False})
+        return pd.concat([links, pd.DataFrame(leaders, columns=["a", "b", "c"]).assign(leader=True)]) if leaders else links
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            own = b if held is None else pd.concat([held, b], ignore_index=True)
+            if not len(own):
+                continue
+            last = own.iloc[-1]
+            whole = ~((own.c == last.c) & (own.b == last.b) & (own.block == last.block)).to_numpy()
+            held = own[~whole]
+            for _, same in own[whole].groupby("c"):
+                yield told(same)
+        if held is not None and len(held):
+            yield told(held)
+
+    return rows.mapInPandas(run, "a long, b long, c long, leader boolean")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
@@ -236,41 +395,41 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col
     nothing. Other columns are not read. An empty table gives an empty table.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    common = docs.sparkSession.sparkContext.broadcast(commonness(rows.filter("id is not null"), n))
+    common = docs.sparkSession.sparkContext.broadcast(None if percent >= PARTS_FROM else commonness(rows.filter("id is not null"), n))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Kind 0: id and size. Kind 1: prefix key and id, once per batch. Kind 2: ids that share a key in the batch. Kind 3: whole set (a, c) and id."""
+        """Kind 0: id and size. Kind 1: key and id, once per batch. Kind 2: ids that share a key in the batch, and class. Kind 3: whole set (a, c) and id. Kind 4: id, size, class and sketch."""
         hashes = WordHashes()
         for b in batches:
-            ids, sizes, keys, owners, wholes = b.id, [], [], [], []
+            ids, sizes, keys, owners, wholes, sketches = b.id, [], [], [], [], []
             for i, t in zip(ids, b.t, strict=True):
                 s = shingle_set(t, n, hashes)
                 sizes.append(len(s))
                 if len(s) and not pd.isna(i):
-                    own = prefix_keys(s, percent, common.value)
+                    own = keys_of(s, percent, common.value)
                     keys.append(own)
                     owners.append(np.full(len(own), int(i)))
                     wholes.append((*np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist(), int(i)))
-            yield pd.DataFrame({"kind": 0, "a": ids.astype("Int64"), "b": sizes, "c": 0})
+                    sketches += [(int(i), len(s), k, sketch(s, k)) for k in classes(len(s), percent)]
+            yield pd.DataFrame({"kind": 0, "a": ids.astype("Int64"), "b": sizes, "c": 0, "s": None})
             if keys:
                 key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
                 order = np.lexsort((owner, key))
                 key, owner = key[order], owner[order]
                 first = np.r_[True, key[1:] != key[:-1]]
-                yield pd.DataFrame({"kind": 1, "a": key[first], "b": owner[first], "c": 0})
-                heads = owner[first][np.cumsum(first) - 1]
-                pairs = np.unique(np.stack([owner, heads])[:, owner != heads], axis=1)
-                yield pd.DataFrame({"kind": 2, "a": pairs[0], "b": pairs[1], "c": 0})
-                yield pd.DataFrame(wholes, columns=["a", "c", "b"]).assign(kind=3)[["kind", "a", "b", "c"]]
+                yield pd.DataFrame({"kind": 1, "a": key[first], "b": owner[first], "c": 0, "s": None})
+                yield firsts_of(key, owner, owner[first][np.cumsum(first) - 1]).assign(kind=2, s=None)[["kind", "a", "b", "c", "s"]]
+                yield pd.DataFrame(wholes, columns=["a", "c", "b"]).assign(kind=3, s=None)[["kind", "a", "b", "c", "s"]]
+                yield pd.DataFrame(sketches, columns=["a", "b", "c", "s"]).assign(kind=4)[["kind", "a", "b", "c", "s"]]
 
-    cuts = written(rows.mapInPandas(cut, "kind int, a long, b long, c long"), "jaccard-prefixes")
+    cuts = written(rows.mapInPandas(cut, "kind int, a long, b long, c long, s binary"), "jaccard-keys")
     sizes = cuts.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles"))
     # equal sets are linked: one of them stands for all in the search
     wholes = cuts.filter("kind = 3").select("a", "c", "b")
     firsts = wholes.groupBy("a", "c").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "c", "m")
     equal = written(wholes.join(firsts, ["a", "c"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "jaccard-equal")
     # a key is on at most one row of a batch, so that none is hot; rows of a key are linked with its first
-    parts = cuts.filter("kind = 1").select("a", "b").repartition("a").sortWithinPartitions("a", "b")
+    by_key = cuts.filter("kind = 1").select("a", "b").repartition("a").sortWithinPartitions("a", "b")
 
     def star(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_key, head = None, None
@@ -282,20 +441,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col
             heads = owner[first]
             heads[0] = head if key[0] == last_key else heads[0]
             last_key, head = key[-1], heads[-1]
-            heads = heads[np.cumsum(first) - 1]
-            linked = owner != heads
-            yield pd.DataFrame(np.unique(np.stack([owner[linked], heads[linked]], 1), axis=0), columns=["a", "b"])
+            yield firsts_of(key, owner, heads[np.cumsum(first) - 1])
 
-    candidates = parts.mapInPandas(star, "a long, b long").unionByName(cuts.filter("kind = 2").select("a", "b")).distinct()
+    candidates = by_key.mapInPandas(star, "a long, b long, c long").unionByName(cuts.filter("kind = 2").select("a", "b", "c")).distinct()
     to_first = equal.select(F.col("a").alias("x"), F.col("b").alias("y"))
     for end in ("a", "b"):
         candidates = candidates.join(to_first, F.col(end) == F.col("x"), "left").withColumn(end, F.coalesce("y", end)).drop("x", "y")
-    clusters = components(candidates.filter("a <> b"))
+    sketches = cuts.filter("kind = 4").select(F.col("a").alias("x"), F.col("c").alias("k"), F.col("b").alias("n"), "s").dropDuplicates(["x", "k"])
+    clusters = components(near_links(candidates.filter("a <> b").distinct(), sketches, percent))
     size = sizes.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
     loads = clusters.join(size, F.col("node") == F.col("id")).groupBy("component").agg(F.sum("n_shingles").alias("load"), F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("load") / F.lit(float(BLOCK_SHINGLES))).cast("int")
     members = written(clusters.join(loads.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "jaccard-clusters")
-    texts = rows.join(members, F.col("id") == F.col("node")).select("id", "t", "component", "block")
+    # about a quarter of a block's shingles to a task, however many bytes they are
+    tasks = 1 + int((loads.agg(F.sum("load").alias("s")).first().s or 0) * 4 // BLOCK_SHINGLES)
+    texts = rows.join(members, F.col("id") == F.col("node")).select("id", "t", "component", "block").repartition(tasks, "component", "block")
     found = written(_searched(texts, ["component", "block"], n, percent), "jaccard-links").unionByName(equal)
     if not members.filter("blocks > 1").isEmpty():
         found = _across_blocks(rows, members, found, n, percent)
