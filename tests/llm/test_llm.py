@@ -443,6 +443,21 @@ def test_nearest(spark):
     assert hits / (20 * (ids % 20 == 0).sum()) >= 0.9
 
 
+def test_leaves_are_split_where_the_sample_is_small(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 8)).astype(np.float32) + 4 * rng.normal(size=(12, 8)).astype(np.float32)[rng.integers(0, 12, 3000)]
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest_neighbours(v, F.col("vec_id") % 50 == 0, 10, sample_rows=300, region_rows=100).toPandas()
+    hits = 0
+    for q in range(0, 3000, 50):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        own = got[got.query_id == q].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 11)) and np.allclose(own.score, s[own.vec_id], rtol=1e-12)
+        hits += len(set(own.vec_id) & set(np.argsort(-s)[:10]))
+    assert hits >= 0.9 * 600
+
+
 def test_nearest_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (40, [0.0, 0.0]), (None, [1.0, 1.0]), (2, [0.5, 0.5])]

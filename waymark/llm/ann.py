@@ -1,8 +1,13 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample of vectors; every vector is then sent to its leaf. A query keeps a priority
-queue of branches ordered by how near their centres are and visits leaves in that order. How many leaves are visited is
-calibrated: the number is raised until the wanted recall against brute force is reached on sampled queries.
+The tree is fitted on a bounded sample of vectors and has about four times the root of the table's size in leaves; what
+the sample is too small to split is split further by a k-means for each leaf, on the executors. Every vector is then sent
+to its leaf. A query keeps a priority queue of branches ordered by how near their centres are and visits leaves in that
+order. How many leaves are visited is calibrated: the number is raised until the wanted recall against brute force is
+reached on sampled queries.
+
+Leaves that follow each other in the tree form regions of a bounded number of points. A region's points are held by one
+task, past which the queries that visit it are streamed, each with the leaves that it visits there.
 
 Equal vectors are one point with a list of its smallest ids (no more than a query can need), so that a vector which
 is repeated very often stays one row of its leaf.
@@ -13,9 +18,11 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,11 +55,11 @@ class Tree:
             todo += [(c, rows[near == k]) for k, c in enumerate(self.children[node]) if (near == k).any()]
         return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
+    def visit(self, query: np.ndarray) -> Iterator[int]:
         """Leaves, best bin first."""
         q = np.append(query, 0.0)
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+        queue = [(0.0, 0)]
+        while queue:
             _, node = heapq.heappop(queue)
             while self.children[node]:
                 far = ((self.centres[node] - q) ** 2).sum(1)
@@ -61,7 +68,34 @@ class Tree:
                     if k != best:
                         heapq.heappush(queue, (float(far[k]), c))
                 node = self.children[node][best]
-            out.append(self.leaf[node])
+            yield self.leaf[node]
+
+    def split(self, centres: dict[int, np.ndarray]) -> Tree:
+        """The tree with new leaves around the given centres in place of some leaves; leaves are numbered in the tree's order."""
+        out = Tree(self.radius)
+
+        def grow(node: int) -> int:
+            here = len(out.centres)
+            out.centres.append(self.centres[node])
+            out.children.append([])
+            out.leaf.append(-1)
+            below = self.children[node]
+            if below:
+                out.children[here] = [grow(c) for c in below]
+            elif (own := centres.get(self.leaf[node])) is not None and len(own) > 1:
+                out.centres[here] = own
+                for _ in own:
+                    out.children[here].append(len(out.centres))
+                    out.centres.append(np.zeros((0, own.shape[1])))
+                    out.children.append([])
+                    out.leaf.append(out.leaves)
+                    out.leaves += 1
+            else:
+                out.leaf[here] = out.leaves
+                out.leaves += 1
+            return here
+
+        grow(0)
         return out
 
 
@@ -79,7 +113,7 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return centres
 
 
-def fit_tree(sample: np.ndarray, radius: float, branching: int = 16, leaf_size: int = 256, seed: int = 5) -> Tree:
+def fit_tree(sample: np.ndarray, radius: float, leaf_size: int, branching: int = 16, seed: int = 5) -> Tree:
     """Splits the sample by k-means until a part has at most ``leaf_size`` vectors or no two different ones."""
     tree, rng = Tree(radius), np.random.default_rng(seed)
     x = tree.lifted(sample) if len(sample) else np.zeros((0, 1))
@@ -105,6 +139,24 @@ def fit_tree(sample: np.ndarray, radius: float, branching: int = 16, leaf_size:
     return tree
 
 
+def split_leaves(points: DataFrame, tree: Broadcast, parts: int) -> dict[int, np.ndarray]:
+    """Centres of about ``parts`` new leaves for each leaf, from at most ``32 * parts`` of its points; all centres are as many as leaves."""
+    low = points.withColumn("h", F.xxhash64("embedding"))
+    order = Window.partitionBy("leaf").orderBy("h", "embedding")
+    some = low.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 32 * parts)
+
+    def fit(own: pd.DataFrame) -> pd.DataFrame:
+        x = tree.value.lifted(np.stack(own.embedding.to_numpy()).astype(np.float64))
+        centres = k_means(x, max(1, min(parts, len(x) // 8)), np.random.default_rng(5))
+        return pd.DataFrame({"leaf": int(own.leaf.iloc[0]), "centre": list(centres.astype(np.float32))})
+
+    rows = some.groupBy("leaf").applyInPandas(fit, "leaf int, centre array<float>").collect()
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(r.leaf, []).append(r.centre)
+    return {leaf: np.array(own, np.float64) for leaf, own in out.items()}
+
+
 def usable(c: Column) -> Column:
     """Not null, not empty, not all zero, with finite components only."""
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
@@ -128,7 +180,29 @@ def brute_force(points: DataFrame, queries: np.ndarray, k: int) -> list[np.ndarr
     return [found.leaf[found.q == i].to_numpy() for i in range(len(queries))]
 
 
-def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample_rows: int = 20_000, calibrate: int = 100, leaf_rows: int = 4096) -> DataFrame:
+def best_of(queries: pd.DataFrame, x: np.ndarray, flat: np.ndarray, owner: np.ndarray, spans: dict[int, slice], k: int) -> pd.DataFrame:
+    """The k nearest to each query among the points ``x`` of the leaves that it visits; ``flat`` are the points' ids and ``owner`` their points."""
+    q = np.stack(queries.embedding.to_numpy()).astype(np.float64)
+    by_leaf: dict[int, list[int]] = {}
+    for i, leaves in enumerate(queries.leaves):
+        for leaf in leaves:
+            by_leaf.setdefault(leaf, []).append(i)
+    scores = np.full((len(q), len(x)), -np.inf)
+    for leaf, rows in by_leaf.items():
+        if leaf in spans:
+            scores[np.array(rows), spans[leaf]] = q[rows] @ x[spans[leaf]].T
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for own, near in zip(queries.id.to_numpy(), scores, strict=True):
+        least = np.partition(near, len(near) - k - 1)[len(near) - k - 1] if len(near) > k + 1 else -np.inf
+        mask = (near[owner] >= least) & (near[owner] > -np.inf) & (flat != own)
+        s, v = near[owner[mask]], flat[mask]
+        best = np.lexsort((v, -s))[:k]
+        out.append((np.full(len(best), own), v[best], s[best]))
+    ids, found, s = map(np.concatenate, zip(*out, strict=True))
+    return pd.DataFrame({"query_id": ids, "vec_id": found, "score": s})
+
+
+def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample_rows: int = 20_000, calibrate: int = 100, region_rows: int = 4096, most_leaves: int = 1 << 16) -> DataFrame:
     """The ``k`` rows with the largest inner product for each row that ``queries`` selects, without the row itself.
 
     Returns ``query_id``, ``rank`` from 1, ``vec_id`` and ``score`` (in double precision on the vectors as given),
@@ -137,7 +211,8 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, *, id_c
     rows with one id and one vector, one counts. Columns other than the two named are not read. An empty table gives an
     empty result.
 
-    The tree is fitted on about ``sample_rows`` points and calibrated on at most ``calibrate`` queries against all points.
+    The tree is fitted on about ``sample_rows`` points, has at most about ``most_leaves`` leaves, and is calibrated on at most
+    ``calibrate`` queries against all points. A region has at most about ``region_rows`` points.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), queries.alias("is_query")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
@@ -154,80 +229,100 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, *, id_c
 
     share = min(1.0, sample_rows / size.n)
     sample = points.filter(F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("embedding").toPandas().embedding
-    tree = spark.sparkContext.broadcast(fit_tree(np.stack(sample.to_numpy()).astype(np.float64), float(np.sqrt(size.r))) if len(sample) else Tree(0.0, [np.zeros((0, 1))], [[]], [0], 1))
-
-    def leaves(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield pd.Series(tree.value.leaf_of(np.stack(b.to_numpy()).astype(np.float64)) if len(b) else [], dtype="int32")
-
-    placed = written(points.withColumn("leaf", F.pandas_udf(leaves, "int")(F.col("embedding"))), "ann-index")
+    wanted = min(most_leaves, int(4 * np.sqrt(size.n)))
+    at_first = max(1, min(wanted, len(sample) // 16))
+    fitted = fit_tree(np.stack(sample.to_numpy()).astype(np.float64), float(np.sqrt(size.r)), -(-len(sample) // at_first)) if len(sample) else Tree(0.0, [np.zeros((0, 1))], [[]], [0], 1)
+
+    def placed_by(tree: Broadcast) -> DataFrame:
+        def leaves(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for b in batches:
+                yield pd.Series(tree.value.leaf_of(np.stack(b.to_numpy()).astype(np.float64)) if len(b) else [], dtype="int32")
+
+        return written(points.withColumn("leaf", F.pandas_udf(leaves, "int")(F.col("embedding"))), "ann-index")
+
+    tree = spark.sparkContext.broadcast(fitted)
+    placed = placed_by(tree)
+    if wanted > 2 * fitted.leaves and len(sample) < size.n:
+        tree = spark.sparkContext.broadcast(fitted.split(split_leaves(placed, tree, -(-wanted // fitted.leaves))))
+        placed = placed_by(tree)
     some = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(calibrate).toPandas().embedding
     if not len(some):
         return empty
     trial = np.stack(some.to_numpy()).astype(np.float64)
     places = []
     for q, near in zip(trial, brute_force(placed, trial, k), strict=True):
-        at = {leaf: i for i, leaf in enumerate(tree.value.visit(q, tree.value.leaves))}
-        places.append([at[x] for x in near])
-    visits = 1
-    while visits < tree.value.leaves and np.mean([i < visits for p in places for i in p]) < recall:
-        visits += 1
-
-    # leaves with many points are dealt out in pieces of about leaf_rows, each of which the query visits
-    counts = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}
-    pieces = {leaf: -(-n // leaf_rows) for leaf, n in counts.items()}
-    least = spark.sparkContext.broadcast((pieces, counts))
+        at = {leaf: i for i, leaf in enumerate(tree.value.visit(q))}
+        places += [at[x] for x in near]
+    # as many visits as the wanted share of all neighbours found takes
+    visits = 1 + int(np.sort(places)[max(0, int(np.ceil(recall * len(places))) - 1)])
+
+    counts = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # one row per leaf
+    regions, n_regions, filled = {}, 0, region_rows
+    for leaf in sorted(counts):
+        if filled + counts[leaf] > region_rows:
+            n_regions, filled = n_regions + 1, 0
+        pieces = -(-counts[leaf] // region_rows)
+        regions[leaf] = (n_regions - 1, pieces)  # a larger leaf is dealt out to regions of its own
+        n_regions, filled = n_regions + pieces - 1, filled + counts[leaf]
+    shared = spark.sparkContext.broadcast((regions, counts))
+    vector = points.schema["embedding"].dataType.simpleString()
+    schema = f"region int, kind int, leaf int, id long, ids array<long>, leaves array<int>, embedding {vector}"
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, _ = shared.value
+        for b in batches:
+            first, pieces = (np.array([where[x][j] for x in b.leaf], np.int64) for j in (0, 1))
+            spread = np.array([crc32(x.tobytes()) for x in b.ids.map(np.asarray)], np.int64) if len(b) and pieces.max() > 1 else 0
+            yield b.assign(region=first + spread % np.maximum(pieces, 1), kind=0, id=0, leaves=None)[columns]
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, counts = least.value
-
-        def rows(out: list[tuple], b: pd.DataFrame) -> pd.DataFrame:
-            i, leaf, piece = map(list, zip(*out, strict=True))
-            own = b.iloc[i]
-            return pd.DataFrame({"query_id": own.query_id.to_numpy(), "leaf": leaf, "piece": piece, "embedding": own.embedding.to_numpy()})
-
+        where, counts = shared.value
         for b in batches:
-            out = []
+            out, rows = [], []
             for i, x in enumerate(b.embedding):
-                got = 0
-                for nth, leaf in enumerate(tree.value.visit(np.asarray(x, np.float64), tree.value.leaves)):
+                got, visited = 0, {}
+                for nth, leaf in enumerate(tree.value.visit(np.asarray(x, np.float64))):
                     if nth >= visits and got > k:  # never fewer than k where there are as many
                         break
                     got += counts.get(leaf, 0)
-                    out += [(i, leaf, p) for p in range(pieces.get(leaf, 0))]
-                if len(out) > 2000:
-                    yield rows(out, b)
-                    out = []
-            if out:
-                yield rows(out, b)
-
-    visiting = asked.mapInPandas(plan, f"query_id long, leaf int, piece int, embedding {points.schema['embedding'].dataType.simpleString()}")
-    n_pieces = F.create_map(*[x for leaf, n in pieces.items() if n > 1 for x in (F.lit(leaf), F.lit(n))]) if any(n > 1 for n in pieces.values()) else None
-    piece = F.pmod(F.xxhash64("embedding"), F.coalesce(n_pieces[F.col("leaf")], F.lit(1))).cast("int") if n_pieces is not None else F.lit(0)
-    index = placed.withColumn("piece", piece)
-
-    def search(_: tuple, found: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(found) and len(q):
-            x = np.stack(found.embedding.to_numpy()).astype(np.float64)
-            flat = np.concatenate(found.ids.to_numpy()).astype(np.int64)
-            owner = np.repeat(np.arange(len(found)), found.ids.map(len))
-            for at in range(0, len(q), 256):
-                block = q.iloc[at : at + 256]
-                scores = np.stack(block.embedding.to_numpy()).astype(np.float64) @ x.T
-                for i, own in enumerate(block.query_id.to_numpy()):
-                    near = np.argpartition(-scores[i], k)[: k + 1] if len(x) > k + 1 else np.arange(len(x))
-                    rows = np.flatnonzero(scores[i] >= scores[i][near].min())
-                    mask = np.isin(owner, rows) & (flat != own)
-                    s, v = scores[i][owner[mask]], flat[mask]
-                    best = np.lexsort((v, -s))[:k]
-                    out.append((np.full(len(best), own), v[best], s[best]))
-        if not out:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        q_ids, v_ids, s_all = map(np.concatenate, zip(*out, strict=True))
-        return pd.DataFrame({"query_id": q_ids, "vec_id": v_ids, "score": s_all})
-
-    near = index.groupBy("leaf", "piece").cogroup(visiting.groupBy("leaf", "piece")).applyInPandas(search, "query_id long, vec_id long, score double")
+                    first, pieces = where.get(leaf, (0, 0))
+                    for p in range(pieces):
+                        visited.setdefault(first + p, []).append(leaf)
+                rows += [i] * len(visited)
+                out += visited.items()
+                if len(out) > 2000 or i == len(b) - 1:
+                    own = b.iloc[rows]
+                    yield pd.DataFrame({"region": [r for r, _ in out], "kind": 1, "leaf": -1, "id": own.query_id.to_numpy(), "ids": None, "leaves": [v for _, v in out], "embedding": own.embedding.to_numpy()})
+                    out, rows = [], []
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come by region: its points, by leaf, and then its queries."""
+        now, held, ready = None, [], None
+        for b in batches:
+            cuts = np.flatnonzero(np.r_[True, (b.region.to_numpy()[1:] != b.region.to_numpy()[:-1]) | (b.kind.to_numpy()[1:] != b.kind.to_numpy()[:-1])]) if len(b) else []
+            for at, to in zip(cuts, np.append(cuts[1:], len(b)), strict=True):
+                own = b.iloc[at:to]
+                if now != own.region.iloc[0]:
+                    now, held, ready = own.region.iloc[0], [], None
+                if own.kind.iloc[0] == 0:
+                    held.append(own)
+                    continue
+                if not held:
+                    continue
+                if ready is None:
+                    there = pd.concat(held)
+                    ids = there.ids.map(len).to_numpy()
+                    leaf = there.leaf.to_numpy()
+                    first = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
+                    spans = {leaf[i]: slice(i, j) for i, j in zip(first, np.append(first[1:], len(leaf)), strict=True)}
+                    ready = np.stack(there.embedding.to_numpy()).astype(np.float64), np.concatenate(there.ids.to_numpy()).astype(np.int64), np.repeat(np.arange(len(there)), ids), spans
+                for i in range(0, len(own), 256):
+                    yield best_of(own.iloc[i : i + 256], *ready, k)
+
+    both = placed.mapInPandas(index, schema).unionByName(asked.mapInPandas(plan, schema))
+    by_region = both.repartition("region").sortWithinPartitions("region", "kind", "leaf")
+    near = by_region.mapInPandas(search, "query_id long, vec_id long, score double")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
