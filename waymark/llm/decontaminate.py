@@ -6,8 +6,8 @@ floor((1 - share) * size) of them, and k is one more than that for the class's l
 nothing. Texts stream past the sketches (long texts need no signature of their own, which short items would drown in);
 each candidate is verified by exact shingle containment in the same task, so no text is shuffled.
 
-Items are read in blocks of at most ``block_words`` words; a block's sketches are broadcast, further blocks are further
-columns of the same scan.
+Items are read in blocks of about ``block_words`` words; a block's sketches are broadcast. Each block is a scan of its own,
+so neither the driver nor a worker holds more than one, and a larger benchmark takes more scans.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN
+from .common import OWN, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -97,34 +97,46 @@ def searcher(shared: Broadcast) -> Callable[[Iterator[pd.Series]], Iterator[pd.D
     return search
 
 
-def matches(items: DataFrame, *, item_id: str = "item_id", text_col: str = "text", item_text: str = "text", n: int = 5, percent: int = 80, block_words: int = 200_000) -> Column:
-    """A column over texts: arrays ``item_id``, ``n_shared`` and ``n_shingles`` of the items contained in each.
-
-    An item is contained when at least ``percent`` of its distinct ``n``-word shingles are in the text; an item of
-    fewer words is one shingle of that many. Null, empty or wordless texts contain nothing, and such items are in
-    nothing. Items that repeat an id count each by itself; an item without id is left out.
-    """
+def blocks_of(items: DataFrame, *, item_id: str = "item_id", text_col: str = "text", item_text: str = "text", n: int = 5, percent: int = 80, block_words: int = 200_000) -> Iterator[Column]:
+    """For each block of items a column over texts: arrays ``item_id``, ``n_shared`` and ``n_shingles`` of those contained in each."""
     spark = items.sparkSession
     items = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null")
     total = items.agg(F.sum(F.octet_length("t")).alias("b")).first().b or 0
     blocks = max(1, -(-total // (4 * block_words)))
     kind = "item_id array<long>, n_shared array<long>, n_shingles array<long>"
-    columns = []
     for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()
+        rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(Sketches([(r.i, r.t) for r in rows], n, percent))
-
-        columns.append(F.pandas_udf(searcher(shared), kind)(F.col(text_col)))
-    return columns[0] if blocks == 1 else F.struct(*[F.flatten(F.array(*[c[f] for c in columns])).alias(f) for f in ("item_id", "n_shared", "n_shingles")])
+        yield F.pandas_udf(searcher(shared), kind)(F.col(text_col))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """One row per document and item contained in it: ``doc_id``, ``item_id``, ``n_shared``, ``n_shingles``, ``containment``."""
-    found = docs.select(F.col(doc_id).alias("doc_id"), matches(items, **options).alias("m")).filter(F.size("m.item_id") > 0)
-    rows = found.select("doc_id", F.explode(F.arrays_zip("m.item_id", "m.n_shared", "m.n_shingles")).alias("m"))
-    return rows.select("doc_id", "m.*").withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    """One row per document and item contained in it: ``doc_id``, ``item_id``, ``n_shared``, ``n_shingles``, ``containment``.
+
+    An item is contained when at least ``percent`` of its distinct ``n``-word shingles are in the text; an item of
+    fewer words is one shingle of that many. Null, empty or wordless texts contain nothing, and such items are in
+    nothing. Items that repeat an id count each by itself, as do repeated documents; an item without id is left out.
+    Other columns aren't read. Empty tables give an empty table.
+    """
+    out = None
+    for found in blocks_of(items, **options):
+        rows = docs.select(F.col(doc_id).alias("doc_id"), found.alias("m")).filter(F.size("m.item_id") > 0)
+        rows = rows.select("doc_id", F.explode(F.arrays_zip("m.item_id", "m.n_shared", "m.n_shingles")).alias("m")).select("doc_id", "m.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
 def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents in which no item is contained, with the columns they have."""
-    return docs.withColumn(f"{OWN}m", matches(items, **options)).filter(F.size(f"{OWN}m.item_id") == 0).drop(f"{OWN}m")
+    """The documents in which no item is contained, with the columns they have; those with null or empty texts stay.
+
+    With several blocks of items, what each finds is written as digests of texts, and the documents are read once more
+    without those.
+    """
+    found = list(blocks_of(items, **options))
+    if len(found) == 1:
+        return docs.withColumn(f"{OWN}m", found[0]).filter(F.size(f"{OWN}m.item_id") == 0).drop(f"{OWN}m")
+    digest, gone = F.sha2(options.get("text_col", "text"), 256), None
+    for m in found:
+        rows = written(docs.select(digest.alias(f"{OWN}d"), m.alias("m")).filter(F.size("m.item_id") > 0).select(f"{OWN}d").distinct(), "leaks")
+        gone = rows if gone is None else gone.unionByName(rows)
+    return docs.join(gone.distinct(), digest == F.col(f"{OWN}d"), "left_anti")
