@@ -94,6 +94,7 @@ def test_blocks_of_items_give_the_same(spark, corpus):
     items = spark.read.parquet(str(DATA / "benchmark.parquet"))
     whole = rows_of(decontaminate.contained_items(corpus, items), "doc_id", "item_id", "n_shared")
     assert whole and whole == rows_of(decontaminate.contained_items(corpus, items, block_words=500), "doc_id", "item_id", "n_shared")
+    assert rows_of(decontaminate.without_items(corpus, items), "doc_id") == rows_of(decontaminate.without_items(corpus, items, block_words=500), "doc_id")
 
 
 # 3 token counts
@@ -171,6 +172,40 @@ def test_further_mentions_and_formats():
     assert all(pii.replaced(t, b"k", {}) == (t, 0) for t in ("at 12:30:45 h", "std::vector and a::b", "aa:bb:cc:00:11:22"))
 
 
+def test_no_part_of_a_secret_is_left_and_kinds_stay():
+    for found in ("token=" + "aB3_" * 75, "key " + "0123456789abcdef" * 9, f"{'x' * 90}.y@{'a.' * 12}example.com", f"Mr. {'A' + 'b' * 60} Keller"):
+        made, n = pii.replaced(found, b"k", {})
+        own = found.split("=")[-1].split(" ")[-1]
+        assert n == 1 and own not in made and (found[:6] != "token=" or own[200:] not in made)
+    good = [f"DE{pii.iban_check('DE', f'{i:018d}')}{i:018d}" for i in range(0, 4000, 7)]
+    made = [pii.surrogate("iban", v, b"k") for v in good]
+    assert len(set(made)) == len(good) and all(m[2:4] == pii.iban_check("DE", m[4:]) for m in made) and pii.iban_check("DE", "370400440532013000") == "89"
+    assert (m := pii.surrogate("iban", "DE00370400440532013000", b"k"))[2:4] != pii.iban_check("DE", m[4:])
+    for net in ("10.0.0.0/8", "192.168.0.0/16", "172.16.0.0/12", "127.0.0.0/8"):
+        assert all(ipaddress.ip_address(pii.surrogate("ip", str(ipaddress.ip_network(net)[i]), b"k")) in ipaddress.ip_network(net) for i in range(1, 90))
+    assert all(ipaddress.ip_address(pii.surrogate("ip", f"8.8.{i}.8", b"k")).is_private is False for i in range(200))
+    assert pii.surrogate("card", "378282246310005", b"k")[:2] == "37"
+    text = "Dr. Anna Keller and Anna Keller; Paul Weber came, Weber said. Anna alone, Annabell Keller."
+    made, n = pii.replaced(text, b"k", {})
+    assert n == 6 and "Annabell" in made and not re.search(r"\b(Keller|Anna|Paul|Weber)\b", made)
+
+
+def test_surrogates_of_the_whole_corpus(spark, corpus):
+    """Different entities stay different, equal ones equal, and no text holds an entity of its own original."""
+    before = {r.doc_id: r.text for r in corpus.collect()}
+    docs = corpus.unionByName(corpus.filter("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    after = {r.doc_id: r.text for r in pii.pseudonymize(docs, b"other key").collect()}
+    pairs, n = {}, 0
+    for i, t in before.items():
+        assert i % 3 or after[i] == after[i + 1_000_000]
+        old, new = ([pii.entity_of(kind, x[a:b]) for a, b, kind in pii.mentions(x)] for x in (t, after[i]))
+        assert len(old) == len(new) and all(k == q for (k, _), (q, _) in zip(old, new, strict=True))
+        for a, b in zip(old, new, strict=True):
+            assert pairs.setdefault(a, b) == b and a != b
+            n += 1
+    assert n > 20 and len(set(pairs.values())) == len(pairs)
+
+
 # 5 context-tree weighting
 
 

@@ -1,19 +1,21 @@
 """PII: surrogate generation.
 
 Detected entities get keyed replacements of the same kind, script and format: digits for digits, letters for letters of
-the same case, valid octets for octets, a card number that passes the Luhn test for one that does, a given name of the
-same gender and script. The mapping is a keyed permutation of all strings of one format (a Feistel network, walked
-until it stays in the format's range), so different originals stay different, one original gets one surrogate in every
-text and on every executor without a lookup, and no original is its own surrogate. Given names come from short lists,
+the same case, an address of the same kind of network, a card number of the same issuer and a bank account of the same
+country whose check digits are right where the original's are, a given name of the same gender and script. The mapping is
+a keyed permutation of all strings of one format (a Feistel network, walked until it stays in the format's range), so
+different originals stay different, and one original gets one surrogate in every text and on every executor without a
+lookup. Given names come from short lists,
 where two may meet; a collision check over all distinct entities of the corpus finds those and keys them anew. One that
 meets others ``LIST_TRIES`` times gets a permutation of its own letters with an ending that no listed name has, which is
 distinct by construction, so the check ends however many given names share a surname.
 
-A name is found by its title; further whole-word mentions of its given name and surname in the same text, written as
-there or in capitals, get the same surrogates, also those before it. Not detected: names that no title introduces
-anywhere in the text, initials and names with a capital inside (McDonald, O'Brien), other scripts than Latin with
-Western European accents and Cyrillic, phones without separators or a leading plus, IPv6 addresses without a decimal
-digit, postal addresses, and dates.
+A name is found by its title, with up to three capitalised words after it, or by a listed given name before a
+capitalised word; further whole-word mentions of its given name and surname in the same text, written as there or in
+capitals, get the same surrogates, also those before it. Not detected: other names that no title introduces anywhere in
+the text, initials and names with a capital inside (McDonald, O'Brien), other scripts than Latin with Western European
+accents and Cyrillic, phones without separators or a leading plus, IPv6 addresses without a decimal digit, postal
+addresses, and dates.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ LIST_TRIES = 8
 #: Endings that no listed name has.
 ENDINGS = {"latin": "en", "cyrillic": "ин"}
 TITLES = {"mr": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "sra": "f", "dr": "", "prof": ""}
+#: First and last address of the IPv4 networks that aren't public.
+NETWORKS = [(int(n[0]), int(n[-1])) for n in map(ipaddress.ip_network, ("10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "224.0.0.0/4", "240.0.0.0/4"))]
 LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщъьё")
 ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁ"
@@ -54,20 +58,21 @@ _HEX = "[0-9A-Fa-f]{1,4}"
 _IPV6 = "|".join([rf"(?:{_HEX}:){{7}}{_HEX}", *(rf"(?:{_HEX}:){{{n}}}(?::{_HEX}){{1,{7 - n}}}" for n in range(6, 0, -1)), rf":(?::{_HEX}){{1,7}}", rf"(?:{_HEX}:){{1,7}}:"])
 
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?:(?<=(?i:password)=)|(?<=(?i:passwd)=)|(?<=(?i:secret)=)|(?<=(?i:token)=)|(?<=(?i:key)=))[0-9A-Za-z_+/=-]{6,200}|(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{0,31}[0-9])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pous]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])|(?<=[=:] [\"'])[0-9A-Za-z_+/=-]{16,200}(?=[\"'])|(?<=[=:][\"'])[0-9A-Za-z_+/=-]{16,200}(?=[\"'])",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])",
+    "secret": r"(?:(?<=(?i:password)=)|(?<=(?i:passwd)=)|(?<=(?i:secret)=)|(?<=(?i:token)=)|(?<=(?i:key)=))[0-9A-Za-z_+/=-]{6,}|(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pous]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])|(?<=[=:] [\"'])[0-9A-Za-z_+/=-]{16,}(?=[\"'])|(?<=[=:][\"'])[0-9A-Za-z_+/=-]{16,}(?=[\"'])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)" rf"|(?<![\w:.])(?=[0-9A-Fa-f]{{0,4}}:)(?=[A-Fa-f:]*[0-9])(?:{_IPV6})(?![\w:]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w]|\.\d)|(?<![\w.])\d{4}[ -]\d{6}[ -]\d{5}(?![\w]|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "name": rf"(?<!\w)(?:(?i:{'|'.join(TITLES)}))\.? (?:[{_UP}][{_LOW}'’-]{{1,40}}(?: (?=[{_UP}])|(?![{_LOW}{_UP}]))){{1,3}}",
+    "name": rf"(?<!\w)(?:(?i:{'|'.join(TITLES)}))\.? (?:[{_UP}][{_LOW}'’-]+(?: (?=[{_UP}])|(?![{_LOW}{_UP}]))){{1,3}}",
+    "person": rf"(?<!\w)(?=[{_UP}])(?:{'|'.join(n for own in GIVEN.values() for n in own)}) [{_UP}][{_LOW}]+(?!\w)",
 }
 ANY = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
 #: What follows a name and isn't of it: a genitive, a quote or dash, a space.
 AFTER = re.compile(r"(?:['’]s)?['’ -]*$")
 #: What a text must hold to have any entity.
-MAYBE = re.compile(rf"[0-9@=]|: ?[\"']|(?<!\w)(?i:{'|'.join(TITLES)})\.? [{_UP}]")
+MAYBE = re.compile(rf"[0-9@=]|: ?[\"']|(?<!\w)(?i:{'|'.join(TITLES)})\.? [{_UP}]|" + PATTERNS["person"])
 
 Entity = tuple[str, str]  # kind and canonical value
 
@@ -144,6 +149,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_check(country: str, account: str) -> str:
+    """The check digits that make the number leave 1 when divided by 97."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
+
+
 def canonical(kind: str, found: str) -> str:
     """What makes two mentions the same entity: format and case don't."""
     if kind in ("card", "phone", "ssn"):
@@ -154,13 +164,18 @@ def canonical(kind: str, found: str) -> str:
         return found.lower()
     if kind == "ip" and ":" in found:
         return ipaddress.ip_address(found).exploded
-    if kind == "name":
-        title, *rest = found.split()
+    if kind in ("name", "person"):
+        title, rest = ("", found.split()) if kind == "person" else (found.split()[0], found.split()[1:])
         given = rest[0].lower() if len(rest) > 1 else ""
-        return f"{TITLES[title.rstrip('.').lower()]}|{given}|{' '.join(rest[bool(given) :]).lower()}"
+        gender = next((g for (_, g), names in GIVEN.items() if given.title() in names), TITLES.get(title.rstrip(".").lower(), ""))
+        return f"{gender}|{given}|{' '.join(rest[bool(given) :]).lower()}"
     return found
 
 
+def entity_of(kind: str, found: str) -> Entity:
+    return "name" if kind == "person" else kind, canonical(kind, found)
+
+
 def given_name(given: str, gender: str, key: bytes, attempt: int) -> str:
     """A given name of the same gender and script; after ``LIST_TRIES`` attempts, one that no other given name gets."""
     script = "cyrillic" if re.search("[а-яё]", given) else "latin"
@@ -185,22 +200,31 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         n = 0
         for octet in value.split("."):
             n = n * 256 + int(octet)
-        n = permutation(1 << 32, key, tweak)(n)
+        first, last = next((x for x in NETWORKS if x[0] <= n <= x[1]), (0, (1 << 32) - 1))
+        move, special = permutation(last - first + 1, key, f"{tweak}/{first}"), first > 0
+        n = first + move(n - first)
+        while not special and any(a <= n <= b for a, b in NETWORKS):
+            n = move(n)
         return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
     if kind == "card":
         valid = luhn(value)
-        return like(value, key, f"{tweak}/{valid}", lambda s: luhn(s) == valid)
+        head = value[:2]
+        return head + like(value[2:], key, f"{tweak}/{head}/{valid}", lambda s: luhn(head + s) == valid)
     if kind == "phone":
         head = min(1 if value[0] == "1" else 2, len(value) - 7) if len(value) > 10 else 0
         return value[:head] + like(value[head:], key, f"{tweak}/{value[:head]}")
     if kind == "iban":
-        return value[:2] + like(value[2:], key, f"{tweak}/{value[:2]}", alphabets=("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        country, letters = value[:2], ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        if value[2:4] == iban_check(country, value[4:]):
+            account = like(value[4:], key, f"{tweak}/{country}", alphabets=letters)
+            return country + iban_check(country, account) + account
+        return country + like(value[2:], key, f"{tweak}/{country}/wrong", lambda s: s[:2] != iban_check(country, s[2:]), letters)
     if kind == "secret":
         if re.fullmatch("[0-9a-f]+", value):
             return like(value, key, tweak, alphabets=("0123456789abcdef",))
         head = re.match("AKIA|gh[pous]_|sk-|", value)[0]
         return head + like(value[len(head) :], key, f"{tweak}/{head}", alphabets=("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    if kind == "name":
+    if kind in ("name", "person"):
         gender, given, surname = value.split("|")
         return f"{gender}|{given and given_name(given, gender, key, attempt)}|{like(surname, key, 'surname', alphabets=LETTERS)}"
     return like(value, key, tweak)
@@ -218,10 +242,10 @@ def rendered(kind: str, found: str, made: str) -> str:
         return made.upper() if any(c.isalpha() for c in found) else made
     if kind == "email":
         return "".join(m.upper() if c.isupper() else m for c, m in zip(found, made, strict=True))
-    if kind == "name":
-        title = found.split()[0]
+    if kind in ("name", "person"):
+        title = found.split()[:1] if kind == "name" else []
         _, given, surname = made.split("|")
-        return " ".join([title, *([given.title()] if given else []), *[s.title() for s in surname.split()]])
+        return " ".join([*title, *([given.title()] if given else []), *[s.title() for s in surname.split()]])
     return made
 
 
@@ -229,12 +253,12 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
     """Start, end and kind of each entity of a text, in order and without overlap."""
     if not text or not MAYBE.search(text):
         return []
-    return [(m.start(), m.start() + len(AFTER.sub("", m[0]) if m.lastgroup == "name" else m[0].rstrip(" ")), m.lastgroup) for m in ANY.finditer(text)]
+    return [(m.start(), m.start() + len(AFTER.sub("", m[0]) if m.lastgroup in ("name", "person") else m[0].rstrip(" ")), m.lastgroup) for m in ANY.finditer(text)]
 
 
-def further(found: str, made: str) -> dict[str, str]:
-    """What a name found behind a title is called by elsewhere: in full, and each word of it alone."""
-    own, new = found.split()[1:], made.split()[1:]
+def further(found: str, made: str, title: bool) -> dict[str, str]:
+    """What a found name is called by elsewhere: in full without its title, and each word of it alone."""
+    own, new = found.split()[title:], made.split()[title:]
     pairs = [(" ".join(own), " ".join(new)), *zip(own, new, strict=True)]
     return {a: b for x, y in pairs for a, b in ((x, y), (x.upper(), y.upper()))}
 
@@ -242,10 +266,10 @@ def further(found: str, made: str) -> dict[str, str]:
 def replaced(text: str | None, key: bytes, attempts: dict[Entity, int]) -> tuple[str | None, int]:
     out, at, names = [], 0, {}
     for start, end, kind in mentions(text):
-        value = canonical(kind, text[start:end])
-        made = rendered(kind, text[start:end], surrogate(kind, value, key, attempts.get((kind, value), 0)))
-        if kind == "name":
-            names = further(text[start:end], made) | names
+        entity = entity_of(kind, text[start:end])
+        made = rendered(kind, text[start:end], surrogate(*entity, key, attempts.get(entity, 0)))
+        if kind in ("name", "person"):
+            names = further(text[start:end], made, kind == "name") | names
         out += [text[at:start], made]
         at = end
     if not out:
@@ -265,7 +289,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = {(kind, canonical(kind, t[start:end])) for t in b[text_col] for start, end, kind in mentions(t)}
+            own = {entity_of(kind, t[start:end]) for t in b[text_col] for start, end, kind in mentions(t)}
             yield pd.DataFrame(sorted(own), columns=["kind", "value"], dtype="object")
 
     return docs.select(text_col).mapInPandas(found, "kind string, value string").distinct()
@@ -310,7 +334,7 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", count_col:
 
         def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = {(h, kind, canonical(kind, t[start:end])) for h, t in zip(b.h, b.t, strict=True) for start, end, kind in mentions(t)}
+                rows = {(h, *entity_of(kind, t[start:end])) for h, t in zip(b.h, b.t, strict=True) for start, end, kind in mentions(t)}
                 yield pd.DataFrame(sorted(rows), columns=["h", "kind", "value"])
 
         texts = docs.select(F.sha2(text_col, 256).alias("h"), F.col(text_col).alias("t")).filter("h is not null")
