@@ -389,6 +389,7 @@ def test_jaccard_components(spark, monkeypatch, n, percent, block, cells):
     monkeypatch.setattr(jaccard, "AROUND", 20_000 if block > 300 else 3)
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
     monkeypatch.setattr(jaccard, "CELLS", cells)
+    monkeypatch.setattr(jaccard, "HELD_KEYS", 200 if block > 300 else 60)
     texts = {}
     for _ in range(12):
         base = [f"w{random.randint(0, 60)}" for _ in range(random.choice([1, 4, 12, 40, 150]))]

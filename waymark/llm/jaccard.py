@@ -52,13 +52,15 @@ AROUND = 20_000
 #: The bits of a key that name its size class.
 CLASS = np.uint64(63)
 #: Counters in each of two rows, how many of them travel together, and shingles that are counted at a time.
-CELLS, STRIP, COUNTED = 1 << 21, 1 << 15, 1 << 20
+CELLS, STRIP, COUNTED = 1 << 21, 1 << 15, 1 << 18
+#: Words whose hashes a task keeps, and keys that it holds before it hands them on.
+HELD_WORDS, HELD_KEYS = 200_000, 200_000
 
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxh3_64_intdigest(word)
-        if len(self) >= 500_000:
+        if len(self) >= HELD_WORDS:
             self.clear()
         if len(word) < 100:
             self[word] = h
@@ -274,11 +276,11 @@ def commonness(rows: DataFrame, n: int) -> np.ndarray:
     """Two rows of CELLS counters of the shingles of all texts ``t``, on a logarithmic scale in one byte each."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, total, held, size = WordHashes(), np.zeros((2, CELLS), np.int64), [], 0
+        hashes, total, held, size = WordHashes(), np.zeros((2, CELLS), np.uint32), [], 0
 
         def add() -> None:
             for row, at in zip(total, cells(np.concatenate(held), CELLS), strict=True):
-                row += np.bincount(at, minlength=CELLS)
+                row += np.bincount(at, minlength=CELLS).astype(np.uint32)
 
         for b in batches:
             for t in b.t:
@@ -310,13 +312,6 @@ def commonness(rows: DataFrame, n: int) -> np.ndarray:
     return out.reshape(2, CELLS)
 
 
-def firsts_of(key: np.ndarray, owner: np.ndarray, head: np.ndarray) -> pd.DataFrame:
-    """Distinct (a, b, c): documents, the first that has their key, and the key's class."""
-    linked = owner != head
-    k = (key[linked].view(np.uint64) & CLASS).astype(np.int64)
-    return pd.DataFrame(np.unique(np.stack([owner[linked], head[linked], k], 1), axis=0), columns=["a", "b", "c"])
-
-
 def near_links(candidates: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join all documents ``a`` around each first ``b`` in class ``c`` whose sketches (``x``, ``k``, size ``n``, bits ``s``) are near.
 
@@ -398,29 +393,35 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col
     common = docs.sparkSession.sparkContext.broadcast(None if percent >= PARTS_FROM else commonness(rows.filter("id is not null"), n))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Kind 0: id and size. Kind 1: key and id, once per batch. Kind 2: ids that share a key in the batch, and class. Kind 3: whole set (a, c) and id. Kind 4: id, size, class and sketch."""
+        """Kind 0: id and size. Kind 1: key and id, once per batch. Kind 2: ids that share a key with a first of the batch, and the key. Kind 3: whole set (a, c) and id. Kind 4: id, size, class and sketch."""
         hashes = WordHashes()
         for b in batches:
-            ids, sizes, keys, owners, wholes, sketches = b.id, [], [], [], [], []
-            for i, t in zip(ids, b.t, strict=True):
-                s = shingle_set(t, n, hashes)
-                sizes.append(len(s))
-                if len(s) and not pd.isna(i):
-                    own = keys_of(s, percent, common.value)
-                    keys.append(own)
-                    owners.append(np.full(len(own), int(i)))
-                    wholes.append((*np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist(), int(i)))
-                    sketches += [(int(i), len(s), k, sketch(s, k)) for k in classes(len(s), percent)]
-            yield pd.DataFrame({"kind": 0, "a": ids.astype("Int64"), "b": sizes, "c": 0, "s": None})
-            if keys:
-                key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
-                order = np.lexsort((owner, key))
-                key, owner = key[order], owner[order]
-                first = np.r_[True, key[1:] != key[:-1]]
-                yield pd.DataFrame({"kind": 1, "a": key[first], "b": owner[first], "c": 0, "s": None})
-                yield firsts_of(key, owner, owner[first][np.cumsum(first) - 1]).assign(kind=2, s=None)[["kind", "a", "b", "c", "s"]]
-                yield pd.DataFrame(wholes, columns=["a", "c", "b"]).assign(kind=3, s=None)[["kind", "a", "b", "c", "s"]]
-                yield pd.DataFrame(sketches, columns=["a", "b", "c", "s"]).assign(kind=4)[["kind", "a", "b", "c", "s"]]
+            at = 0
+            while at < len(b):
+                ids, sizes, keys, owners, wholes, sketches, many = [], [], [], [], [], [], 0
+                while at < len(b) and many < HELD_KEYS:
+                    i, s = b.id.iloc[at], shingle_set(b.t.iloc[at], n, hashes)
+                    at += 1
+                    ids.append(i)
+                    sizes.append(len(s))
+                    if len(s) and not pd.isna(i):
+                        own = keys_of(s, percent, common.value)
+                        many += len(own)
+                        keys.append(own)
+                        owners.append(np.full(len(own), int(i)))
+                        wholes.append((*np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist(), int(i)))
+                        sketches += [(int(i), len(s), k, sketch(s, k)) for k in classes(len(s), percent)]
+                yield pd.DataFrame({"kind": 0, "a": pd.array(ids, "Int64"), "b": sizes, "c": 0, "s": None})
+                if keys:
+                    key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
+                    order = np.lexsort((owner, key))
+                    key, owner = key[order], owner[order]
+                    first = np.r_[True, key[1:] != key[:-1]]
+                    yield pd.DataFrame({"kind": 1, "a": key[first], "b": owner[first], "c": 0, "s": None})
+                    head = owner[first][np.cumsum(first) - 1]
+                    yield pd.DataFrame({"kind": 2, "a": owner, "b": head, "c": key, "s": None})[owner != head]
+                    yield pd.DataFrame(wholes, columns=["a", "c", "b"]).assign(kind=3, s=None)[["kind", "a", "b", "c", "s"]]
+                    yield pd.DataFrame(sketches, columns=["a", "b", "c", "s"]).assign(kind=4)[["kind", "a", "b", "c", "s"]]
 
     cuts = written(rows.mapInPandas(cut, "kind int, a long, b long, c long, s binary"), "jaccard-keys")
     sizes = cuts.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles"))
@@ -428,7 +429,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col
     wholes = cuts.filter("kind = 3").select("a", "c", "b")
     firsts = wholes.groupBy("a", "c").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "c", "m")
     equal = written(wholes.join(firsts, ["a", "c"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "jaccard-equal")
-    # a key is on at most one row of a batch, so that none is hot; rows of a key are linked with its first
+    # a key is on at most one row of a batch, so that none is hot; batches' firsts are linked with the first of all
     by_key = cuts.filter("kind = 1").select("a", "b").repartition("a").sortWithinPartitions("a", "b")
 
     def star(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -441,9 +442,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col
             heads = owner[first]
             heads[0] = head if key[0] == last_key else heads[0]
             last_key, head = key[-1], heads[-1]
-            yield firsts_of(key, owner, heads[np.cumsum(first) - 1])
-
-    candidates = by_key.mapInPandas(star, "a long, b long, c long").unionByName(cuts.filter("kind = 2").select("a", "b", "c")).distinct()
+            heads = heads[np.cumsum(first) - 1]
+            yield pd.DataFrame({"a": owner, "b": heads, "c": key})[owner != heads]
+
+    moved = written(by_key.mapInPandas(star, "a long, b long, c long"), "jaccard-firsts")
+    # and so are those that share a key with a batch's first: no more of them have one first and key than are in a batch
+    firsts = moved.select(F.col("a").alias("b"), "c", F.col("b").alias("first"))
+    inner = cuts.filter("kind = 2").select("a", "b", "c").join(firsts, ["b", "c"], "left").select("a", F.coalesce("first", "b").alias("b"), "c")
+    candidates = moved.unionByName(inner).select("a", "b", F.col("c").bitwiseAND(F.lit(int(CLASS))).alias("c")).distinct()
     to_first = equal.select(F.col("a").alias("x"), F.col("b").alias("y"))
     for end in ("a", "b"):
         candidates = candidates.join(to_first, F.col(end) == F.col("x"), "left").withColumn(end, F.coalesce("y", end)).drop("x", "y")
