@@ -48,6 +48,10 @@ def test_query(spark, duck, name):
         assert len(got)
 
 
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
 def one(spark, **columns):
     return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first().asDict()
 
@@ -62,6 +66,52 @@ def test_house_numbers(spark):
     assert got == {"a": "37A", "b": True, "c": "12-2 OAK ST", "d": False, "e": True, "f": 100}
 
 
+@pytest.mark.parametrize(
+    "line, number, rest",
+    [("278A Main St", "278A", "Main St"), ("278 A Main St", "278A", "Main St"), ("278 N Main St", "278", "N Main St"), ("49-5 Oak", "49-5", "Oak"), ("75 1/2 Oak St", "75 1/2", "Oak St"), ("75-1/2 Oak St", "75-1/2", "Oak St"), ("75½ Oak St", "75 1/2", "Oak St"), ("12¾, Hill", "12 3/4", "Hill"), ("Lot 7b", "7B", "Lot 7b"), ("Oak", None, "Oak"), (None, None, "")],
+)
+def test_house_number_forms(spark, line, number, rest):
+    c = F.lit(line).cast("string")
+    assert one(spark, a=text.house_number(c), b=text.strip_house_number(c)) == {"a": number, "b": rest}
+
+
+def test_match_percent(spark):
+    pairs = [("12 Oak St", "12 Oak Street, Salem", None), ("12 Oak St", "13 Oak St, Salem", None), ("75½ Oak", "75-1/2 Oak", None), ("", "12 Oak", None), ("12 Oak", None, None), ("!!", "12 Oak", None), ("12 Oak", "Oak, Salem", "14")]
+    rows = spark.createDataFrame(pairs, "a string, f string, n string")
+    x, y = text.house_number(F.col("a")), text.house_number(F.col("f"))
+    percent = text.match_percent(F.col("a"), F.col("f"), x, y)
+    got = [tuple(r) for r in rows.select(percent, text.match_percent_for_geo(percent, F.col("a"), x, F.coalesce("n", y))).collect()]
+    assert got == [(100, 100), (40, 40), (100, 100), (0, 100), (0, 0), (0, 0), (100, 40)]
+    got = one(spark, a=text.token_set_ratio(F.lit("3rd Ave"), F.lit("3 AVE")), b=text.without_category(F.lit("homes: 4 Elm"), F.lit("Homes"), F.lit("4 Elm")), c=text.valid_house_number(F.lit("012")), d=text.valid_house_number(F.lit("37A")))
+    assert got == {"a": 100, "b": "4 Elm", "c": False, "d": True}
+
+
+def test_consensus_sums_weights(spark):
+    seen = [(1, 1, "412", 0.9, None), (1, 2, "1234", 0.5, None), (1, 3, "412", 0.4, None), (1, 4, "1999", 9.0, None), (2, 1, "412", 0.9, "No. 55"), (2, 2, "55", 0.1, "No. 55"), (3, 1, "001", 0.9, None)]
+    got = rows_of(providers.ocr_consensus(spark.createDataFrame(seen, "id long, position long, number string, confidence double, expected string")))
+    assert got == [(1, "412", 5.7), (2, "55", 0.9)]
+
+
+def test_synthesis(spark):
+    """The reference result's branches: reject, vacant, large and small buildings, votes, the floor of a sure number, no results at all."""
+    fields = "address_id long, agent1_status string, agent1_score int, vacant boolean, agent3_land_use string, agent4_structure string, agent4_score int, agent5_structure string, agent5_detail string, agent5_score int, units_min int, units_max int, house_number_sure boolean"
+    rows = [
+        (1, "REJECT", 70, True, None, "sfh", 90, None, None, None, None, None, None),
+        (2, "AUTO_ACCEPT", 95, True, None, "sfh", 90, None, None, None, None, None, None),
+        (3, "MANUAL_REVIEW", 50, None, "Apartment", "multi-family", 80, "house", "high rise apt", 60, 4, 12, None),
+        (4, "AUTO_ACCEPT", 90, None, "vacant", "Home", 70, None, None, 60, 0, None, None),
+        (5, "AUTO_ACCEPT", 10, None, None, "industrial", 10, None, None, 10, None, None, True),
+        (6, None, None, None, None, None, None, None, None, None, None, None, None),
+    ]
+    got = {r.address_id: tuple(r)[1:] for r in rules.synthesize(spark.createDataFrame(rows, fields)).collect()}
+    assert got[1] == ("rejected", "Unknown", None, None, 0, "SKIP") and got[2] == ("classified", "Vacant", False, 0, 95, "SKIP")
+    assert got[3] == ("classified", "MDU_LARGE", True, 12, 72, "HIGH") and got[4] == ("classified", "SFH", False, 1, 84, "MEDIUM")
+    assert got[5] == ("classified", "Commercial", False, 1, 90, "LOW") and got[6] == ("classified", "Unknown", False, 1, 0, "LOW")
+    scores = spark.createDataFrame([(1, "agent1", 5, "MATCH", "SFH"), (9, "agent1", 5, "MATCH", "SFH")], "address_id long, stage string, score int, status string, structure string")
+    wide = rules.wide_stages(scores, ["agent1"], spark.createDataFrame([(1,), (2,)], "address_id long"))
+    assert rows_of(wide.select("address_id", F.coalesce("agent1_score", F.lit(-1)))) == [(1, 5), (2, -1)]
+
+
 def test_scores(spark):
     got = one(spark, a=confidence.percent_score(F.lit(0.91)), b=confidence.percent_score(F.lit(82.5)), c=confidence.percent_score(F.lit(float("nan"))), d=confidence.as_percent(F.lit(-3.0)), e=confidence.is_mismatch(F.lit("coord mismatch")), f=confidence.is_match(F.lit("auto-accept")))
     assert got == {"a": 91, "b": 82, "c": None, "d": 0, "e": True, "f": True}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,15 +87,34 @@ def extract_zip(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"\b(\d{5})(?:-\d{4})?\b", 1), F.lit(""))
 
 
+#: Forms of a leading house number, tried in this order: with a fraction, with a letter, with a letter apart
+#: that is no direction, alone; and the first number anywhere.
+NUMBER_FRACTION = r"^(\d+(?:-\d+)?(?:\s*[½¼¾]|\s*1/[234]|\s*3/4|-[½¼¾]|-1/[234]|-3/4))(?:\s|,|$)"
+NUMBER_LETTER = r"^(\d+(?:-\d+)?[A-Za-z])\b"
+NUMBER_UNIT = r"^(\d+(?:-\d+)?)\s+([A-DF-MO-RT-VX-Za-df-mo-rt-vx-z])\b"
+NUMBER_PLAIN = r"^(\d+(?:-\d+)?)\b"
+NUMBER_ANYWHERE = r"\b(\d+(?:-\d+)?[A-Za-z]?)\b"
+FRACTIONS = (("½", "1/2"), ("¼", "1/4"), ("¾", "3/4"))
+
+
 def house_number(c: Column) -> Column:
-    """I-16: a number with fraction, with attached letter, alone at the start, else the first number anywhere."""
-    found = [F.regexp_extract(F.trim(c), p, 1) for p in (r"^(\d+[ -]\d/\d)\b", r"^(\d+[A-Za-z])\b", r"^(\d+)\b", r"\b(\d+)\b")]
-    return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
+    """I-16: the leading number with its fraction or letter, else the first number anywhere; null without one."""
+    t = F.regexp_replace(c, r"^\s+|\s+$", "")
+    fraction = F.upper(F.regexp_extract(t, NUMBER_FRACTION, 1))
+    for sign, digits in FRACTIONS:
+        fraction = F.replace(fraction, F.lit(sign), F.lit(f" {digits}"))
+    unit = F.concat(F.regexp_extract(t, NUMBER_UNIT, 1), F.regexp_extract(t, NUMBER_UNIT, 2))
+    found = [squeeze(fraction), F.regexp_extract(t, NUMBER_LETTER, 1), unit, F.regexp_extract(t, NUMBER_PLAIN, 1), F.regexp_extract(t, NUMBER_ANYWHERE, 1)]
+    return F.coalesce(*[F.nullif(F.upper(f), F.lit("")) for f in found])
 
 
 def normalize_house_number(c: Column) -> Column:
-    """I-17."""
-    return F.coalesce(F.upper(F.replace(F.replace(F.replace(c, F.lit("½"), F.lit("1/2")), F.lit(" "), F.lit("")), F.lit("-1/"), F.lit("1/"))), F.lit(""))
+    """I-17: without spaces, with fractions in digits; empty for null."""
+    t = F.upper(c)
+    for sign, digits in FRACTIONS:
+        t = F.replace(t, F.lit(sign), F.lit(digits))
+    t = F.regexp_replace(t, r"\s+", "")
+    return F.coalesce(F.replace(F.replace(t, F.lit("-1/"), F.lit("1/")), F.lit("-3/"), F.lit("3/")), F.lit(""))
 
 
 def house_numbers_equal(a: Column, b: Column) -> Column:
@@ -105,15 +123,67 @@ def house_numbers_equal(a: Column, b: Column) -> Column:
     return (x != "") & (x == y)
 
 
+def house_numbers_differ(a: Column, b: Column) -> Column:
+    """Two numbers that are both there and not equal."""
+    x, y = normalize_house_number(a), normalize_house_number(b)
+    return (x != "") & (y != "") & (x != y)
+
+
 def house_numbers_match(a: Column, b: Column) -> Column:
-    """I-19: also true where either has none."""
-    x, y = normalize_house_number(house_number(a)), normalize_house_number(house_number(b))
-    return (x == "") | (y == "") | (x == y)
+    """I-19: of two lines; also true where either has none."""
+    return ~house_numbers_differ(house_number(a), house_number(b))
 
 
 def strip_house_number(c: Column) -> Column:
-    """I-20."""
-    return F.trim(F.regexp_replace(F.trim(c), r"^\d+[A-Za-z]?(?:[ -]\d/\d)?\s+", ""))
+    """I-20: the line without its leading number in the first form that it has; empty for null."""
+    t = F.coalesce(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    out = t
+    for form in (NUMBER_PLAIN, NUMBER_UNIT, NUMBER_LETTER, NUMBER_FRACTION):
+        out = F.when(t.rlike(form), F.regexp_replace(F.regexp_replace(t, form, ""), "^[ ,]+", "")).otherwise(out)
+    return out
+
+
+def match_text(c: Column) -> Column:
+    """I-13: lower case, ordinals as numbers, words alone."""
+    t = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"\b(\d+)(?:st|nd|rd|th)\b", "$1")
+    return squeeze(F.regexp_replace(t, r"(?U)[^\w\s]", " "))
+
+
+def without_category(line: Column, category: Column, placemark: Column) -> Column:
+    """I-24: the placemark's name where the line is ``category: placemark``, empty where it is the category alone."""
+    t, own, name = (F.trim(F.coalesce(x, F.lit(""))) for x in (line, category, placemark))
+    whole = (own != "") & (name != "") & (F.lower(t) == F.lower(F.concat(own, F.lit(": "), name)))
+    return F.when(whole, name).when((own != "") & (F.lower(t) == F.lower(own)), "").otherwise(t)
+
+
+def comparison_candidates(address: Column, formatted: Column, city: Column, state: Column, zip_code: Column) -> Column:
+    """I-23: the distinct texts that an upload line is compared with, in this order."""
+    parts = F.split(formatted, ",")
+    return F.array_distinct(F.array(input_line(address, city, state, zip_code), F.trim(address), F.trim(formatted), F.trim(parts[0]), F.trim(F.concat_ws(",", F.slice(parts, 1, 2)))))
+
+
+def match_percent(address: Column, formatted: Column, number: Column, formatted_number: Column) -> Column:
+    """I-26: how far an upload line agrees with a geocoder's line, 0 to 100, given the house numbers of both.
+
+    0 where either is blank; at most 40 where both have a house number and these differ; else 100 where the upload line
+    has any word. (City, state, zip and distance can only raise a score; it is 100 already, as the line itself is among
+    the texts that it is compared with.) Only lines whose numbers differ are compared word by word.
+    """
+    blank = (F.trim(F.coalesce(address, F.lit(""))) == "") | (F.trim(F.coalesce(formatted, F.lit(""))) == "")
+    same = ~house_numbers_differ(number, formatted_number)
+    ratio = token_set_ratio(F.when(~blank & ~same, address), formatted)
+    return F.when(blank, 0).when(~same, F.least(ratio, F.lit(40))).when(match_text(address) == "", 0).otherwise(100).cast("int")
+
+
+def match_percent_for_geo(percent: Column, address: Column, number: Column, geo_number: Column) -> Column:
+    """I-28: ``percent`` of the line, at most 40 where the result's own house number differs; 100 for a blank upload line."""
+    differ = house_numbers_differ(number, geo_number)
+    return F.when(F.trim(F.coalesce(address, F.lit(""))) == "", 100).when(differ, F.least(percent, F.lit(40))).otherwise(percent).cast("int")
+
+
+def matches_exactly(percent: Column, required: int = 100) -> Column:
+    """I-27."""
+    return percent >= required
 
 
 def looks_like_street(c: Column) -> Column:
@@ -141,10 +211,18 @@ def clean_ocr(c: Column) -> Column:
     return F.translate(F.upper(c), "OILSBZ", "011582")
 
 
+def noise_house_number(c: Column) -> Column:
+    """I-59: no digits, 0 or 1, or padded with zeros."""
+    digits = F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "")
+    n = digits.cast("decimal(38,0)")
+    return (digits == "") | (n <= 1) | ((F.length(digits) >= 3) & (n < 100))
+
+
 def valid_house_number(c: Column) -> Column:
-    """I-58: two to five digits, no year."""
-    n = F.try_cast(c, "int") if hasattr(F, "try_cast") else c.try_cast("int")
-    return F.coalesce(c.rlike(r"^\d{2,5}$") & (n > 1) & ~n.between(1900, 2100), F.lit(False))
+    """I-58: two to five digits, not noise and no year."""
+    digits = F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "")
+    fits = F.length(digits).between(2, 5)
+    return fits & ~noise_house_number(F.when(fits, digits)) & ~F.when(fits, digits).cast("int").between(1900, 2100)
 
 
 def address_tokens(c: Column) -> Column:
@@ -177,7 +255,7 @@ def _indel(a: str, b: str) -> float:
 
 
 def _token_set(a: str | None, b: str | None) -> int:
-    x, y = ({t for t in re.split(r"\W+", (s or "").lower()) if t} for s in (a, b))
+    x, y = (set((s or "").split()) for s in (a, b))
     if not x or not y:
         return 0
     both = " ".join(sorted(x & y))
@@ -189,10 +267,12 @@ def _token_set(a: str | None, b: str | None) -> int:
 
 
 def token_set_ratio(left: Column, right: Column) -> Column:
-    """I-14: how alike two texts' sets of words are, 0 to 100."""
+    """I-14: how alike two texts' sets of words are, 0 to 100; equal texts aren't taken apart."""
+    left, right = match_text(left), match_text(right)
+    same = (left == right) & (left != "")
 
     def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in pairs:
             yield pd.Series([_token_set(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    return F.pandas_udf(ratio, "int")(left, right)
+    return F.when(same, 100).otherwise(F.pandas_udf(ratio, "int")(F.when(~same, left), right))

@@ -102,9 +102,16 @@ def validation_score(rows: DataFrame) -> DataFrame:
 
 
 def ocr_consensus(detections: DataFrame) -> DataFrame:
-    """E-7, F-f: the house number of each address with the largest weight: confidence, 0.8 for each time it has been seen so far, and a bonus by length; of equals the first. ``detections``: id, position, number, confidence."""
-    seen = F.row_number().over(Window.partitionBy("id", "number").orderBy("position"))
-    bonus = F.when(F.length("number") == 3, 1.0).when(F.length("number") == 4, 1.5).when(F.length("number") == 5, 1.2).otherwise(0.0)
-    weighed = detections.withColumn("weight", F.col("confidence") + 0.8 * seen + bonus)
-    return weighed.groupBy("id").agg(F.max_by("number", F.struct("weight", -F.col("position"))).alias("number"), F.round(F.max("weight"), 6).alias("weight"))
+    """E-7, F-f: the house number of each address with the largest sum of weights: the k-th sight of a number weighs its
+    confidence, 0.8 k, and a bonus by length. Numbers that can't be one don't count; where the expected number (digits)
+    is among the others, it alone counts. Of equals the one seen first.
 
+    ``detections``: id, position, number, confidence, expected (or null). The weights of n sights sum to the confidences
+    and 0.4 n (n + 1), so no window is needed.
+    """
+    bonus = F.when(F.length("number") == 3, 1.0).when(F.length("number") == 4, 1.5).when(F.length("number") == 5, 1.2).otherwise(0.0)
+    hit = F.coalesce(F.col("number") == F.nullif(F.regexp_replace("expected", "[^0-9]", ""), F.lit("")), F.lit(False))
+    sums = detections.filter(text.valid_house_number(F.col("number"))).groupBy("id", "number").agg(F.sum("confidence").alias("s"), F.count(F.lit(1)).alias("n"), F.min("position").alias("at"), F.max(hit).alias("hit"))
+    weighed = sums.withColumn("weight", F.col("s") + F.lit(0.4) * F.col("n") * (F.col("n") + 1) + F.col("n") * bonus)
+    order = F.struct("hit", F.round("weight", 9).alias("w"), (-F.col("at")).alias("at"))
+    return weighed.groupBy("id").agg(F.max_by("number", order).alias("number"), F.round(F.max_by("weight", order), 4).alias("weight"))

@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import confidence as conf
 
 
-def wide_stages(scores: DataFrame, stages: list[str]) -> DataFrame:
-    """C-45, D-6: one row per address with each stage's score, status and structure: one aggregation instead of a join per stage."""
+def wide_stages(scores: DataFrame, stages: list[str], addresses: DataFrame | None = None) -> DataFrame:
+    """C-45, D-6: one row per address with each stage's score, status and structure: one aggregation instead of a join per stage.
+
+    With ``addresses`` (``address_id``), all of them and no others have a row, with nulls where a stage has no result.
+    """
     pick = lambda c, s: F.max(F.when(F.col("stage") == s, F.col(c))).alias(f"{s}_{c}")
-    return scores.groupBy("address_id").agg(*[pick(c, s) for s in stages for c in ("score", "status", "structure")])
+    picks = [pick(c, s) for s in stages for c in ("score", "status", "structure")]
+    if addresses is None:
+        return scores.groupBy("address_id").agg(*picks)
+    every = scores.withColumn("listed", F.lit(False)).unionByName(addresses.select("address_id", F.lit(True).alias("listed")), allowMissingColumns=True)
+    return every.groupBy("address_id").agg(F.max("listed").alias("listed"), *picks).filter("listed").drop("listed")
 
 
 def majority(votes: Column) -> Column:
@@ -35,22 +42,56 @@ def resolution_gate(scores: DataFrame, stage: str, threshold: int, status_counts
     return own.select("address_id", "stage", "score", "status", F.when(passed, "accepted").otherwise("continued").alias("decision"))
 
 
+#: Structure labels, with ``_`` for spaces and hyphens, and their categories.
+STRUCTURE_LABELS = {
+    "sfh": "SFH", "single_family": "SFH", "single_family_residential": "SFH", "detached_house": "SFH", "house": "SFH", "home": "SFH",
+    "mdu": "MDU", "multi_family": "MDU", "multifamily": "MDU", "multi_family_residential": "MDU", "low_rise_apt": "MDU", "high_rise_apt": "MDU", "apartment": "MDU", "apartment_building": "MDU", "townhouse": "MDU",
+    "commercial": "Commercial", "industrial": "Commercial", "mixed_use": "Commercial",
+    "vacant": "Vacant", "vacant_lot": "Vacant", "empty_lot": "Vacant", "no_structure": "Vacant",
+}
+
+
+def structure_type(c: Column) -> Column:
+    """I-55: SFH, MDU, Commercial or Vacant, else Unknown."""
+    key = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "[- ]", "_")
+    labels = F.create_map(*[F.lit(x) for pair in STRUCTURE_LABELS.items() for x in pair])
+    return F.coalesce(labels[key], F.lit("Unknown"))
+
+
 def synthesize(wide: DataFrame) -> DataFrame:
-    """L-22: final structure, confidence and priority of each address from the wide stage scores."""
-    a1, a4, a5 = (F.coalesce(F.col(f"agent{i}_score"), F.lit(0)) for i in (1, 4, 5))
-    votes = F.array("agent4_structure", "agent5_structure", "agent3_structure")
-    known = F.filter(votes, lambda v: v.isNotNull() & (v != "Unknown"))
-    agreement = F.when(F.size(known) == 0, 0).when(F.size(F.array_distinct(known)) == 1, 100).otherwise(50)
-    kind = majority(votes)
+    """L-22, L-24: final status, structure, units, confidence and priority of each address.
+
+    Reads ``agent1_status``, ``agent1_score``, ``vacant``, ``agent3_land_use``, ``agent4_structure``, ``agent4_score``,
+    ``agent5_structure``, ``agent5_detail``, ``agent5_score``, ``units_min``, ``units_max`` and ``house_number_sure``;
+    those that ``wide`` lacks count as null.
+    """
+    own = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in wide.columns else F.lit(other)
+    a1, a4, seen5 = own("agent1_score", 0), own("agent4_score", 0), own("agent5_score", 0)
+    status, vacant, sure, land = own("agent1_status", "UNKNOWN"), own("vacant", False), own("house_number_sure", False), F.lower(own("agent3_land_use", ""))
+    kind4, detail, kind5 = structure_type(own("agent4_structure", "")), structure_type(own("agent5_detail", "")), structure_type(own("agent5_structure", ""))
+    kind5 = F.when(detail != "Unknown", detail).otherwise(kind5)
+    occupied = kind4.isin("SFH", "MDU", "Commercial") | kind5.isin("SFH", "MDU", "Commercial")
+    use = F.when(land.contains("vacant"), F.when(~occupied, "Vacant")).when(land.contains("multi") | land.contains("apartment"), "MDU").when(land.contains("single") | land.contains("sfh"), "SFH").when(land.contains("commercial"), "Commercial")
+    voted = wide.withColumn("vote_pool", F.filter(F.array(kind4, kind5, use), lambda v: v.isNotNull() & (v != "Unknown")))
+    votes, kind = F.col("vote_pool"), majority(F.col("vote_pool"))
+    some = lambda c: F.coalesce(F.nullif(own(c, 1), F.lit(0)), F.lit(1))
+    units = F.when(kind == "Vacant", 0).otherwise(F.greatest(some("units_min"), some("units_max")))
+    final = F.when(kind != "MDU", kind).when(units >= 8, "MDU_LARGE").otherwise("MDU_SMALL")
+    agreement = F.when(F.size(votes) == 0, 0).when(F.size(F.array_distinct(votes)) == 1, 100).otherwise(50)
+    a5 = F.when(sure, F.greatest(seen5, F.lit(90))).otherwise(seen5)
     score = F.least(F.lit(100), (a1 * 0.4 + F.greatest(a4, a5) * 0.4 + agreement * 0.2).cast("int"))
-    rejected = F.coalesce(F.col("agent1_status") == "REJECT", F.lit(False))
-    ready = F.coalesce(F.col("agent1_status") == "AUTO_ACCEPT", F.lit(False))
-    priority = F.when(kind == "Vacant", "SKIP").when(kind == "Commercial", "LOW").when(kind == "MDU_LARGE", "HIGH").when(kind == "MDU_SMALL", "MEDIUM").when((kind == "SFH") & ready, "MEDIUM").otherwise("LOW")
-    return wide.select(
+    score = F.when(sure & (final != "Unknown"), F.greatest(score, F.lit(90))).otherwise(score)
+    priority = F.when(final == "Vacant", "SKIP").when(final == "MDU_LARGE", "HIGH").when((final == "MDU_SMALL") | ((final == "SFH") & (status == "AUTO_ACCEPT")), "MEDIUM").otherwise("LOW")
+    rejected = status == "REJECT"
+    pick = lambda no, empty, other: F.when(rejected, no).when(vacant, empty).otherwise(other)
+    return voted.select(
         "address_id",
-        F.when(rejected, "Rejected").otherwise(kind).alias("final_structure_type"),
-        F.when(rejected, 0).otherwise(score).alias("final_confidence"),
-        F.when(rejected, "SKIP").otherwise(priority).alias("priority"),
+        F.when(rejected, "rejected").otherwise("classified").alias("status"),
+        pick("Unknown", "Vacant", final).alias("final_structure_type"),
+        pick(F.lit(None), F.lit(False), kind == "MDU").alias("final_is_mdu"),
+        pick(F.lit(None), F.lit(0), F.when(kind.isin("MDU", "Vacant"), units).otherwise(1)).cast("int").alias("final_unit_count"),
+        pick(F.lit(0), F.greatest(F.lit(80), a1.cast("int")), score).cast("int").alias("final_confidence"),
+        pick("SKIP", "SKIP", priority).alias("priority"),
     )
 
 

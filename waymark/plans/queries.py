@@ -76,17 +76,69 @@ def search_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses(spark, sf_dir).select("id", text.search_key(line).alias("search_key"))
 
 
-_LINE = "CASE c_custkey % 4 WHEN 0 THEN (c_custkey % 90 + 1)::VARCHAR || ' 1/2 OAK ST' WHEN 1 THEN (c_custkey % 90 + 1)::VARCHAR || 'B MAIN ST' WHEN 2 THEN (c_custkey % 90 + 1)::VARCHAR || ' HILL' ELSE 'LOT ' || (c_custkey % 90)::VARCHAR END"
+#: Behind a number: fractions, letters, ranges, directions and none at all.
+LINE_ENDS = [" 1/2 OAK ST", "½ Oak St", "-3/4 Hill Rd", "B MAIN ST", " b Main St", " N Main St", "-5 Oak", " HILL", ", Park", " 3rd St"]
+_LINE = f"CASE WHEN c_custkey % 11 = 10 THEN 'LOT ' || (c_custkey % 90)::VARCHAR ELSE (c_custkey % 90 + 1)::VARCHAR || ({LINE_ENDS!r})[c_custkey % 11 + 1] END"
 
 
-@query(rf"""WITH l AS (SELECT c_custkey, {_LINE} AS t FROM customer)
-SELECT c_custkey, coalesce(nullif(regexp_extract(t, '^(\d+[ -]\d/\d)\b', 1), ''), nullif(regexp_extract(t, '^(\d+[A-Za-z])\b', 1), ''), nullif(regexp_extract(t, '^(\d+)\b', 1), ''), nullif(regexp_extract(t, '\b(\d+)\b', 1), '')) AS house_number,
-  trim(regexp_replace(t, '^\d+[A-Za-z]?(?:[ -]\d/\d)?\s+', '')) AS rest FROM l""")
-def house_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    n = (k % 90 + 1).cast("string")
-    line = F.when(k % 4 == 0, F.concat(n, F.lit(" 1/2 OAK ST"))).when(k % 4 == 1, F.concat(n, F.lit("B MAIN ST"))).when(k % 4 == 2, F.concat(n, F.lit(" HILL"))).otherwise(F.concat(F.lit("LOT "), (k % 90).cast("string")))
-    return table(spark, sf_dir, "customer").select("c_custkey", text.house_number(line).alias("house_number"), text.strip_house_number(line).alias("rest"))
+    ends = F.element_at(F.array(*map(F.lit, LINE_ENDS)), (F.least(k % 11, F.lit(9)) + 1).cast("int"))
+    line = F.when(k % 11 == 10, F.concat(F.lit("LOT "), (k % 90).cast("string"))).otherwise(F.concat((k % 90 + 1).cast("string"), ends))
+    return table(spark, sf_dir, "customer").select("c_custkey", line.alias("t"))
+
+
+def _number_sql(t: str) -> str:
+    """SQL of the house number."""
+    n = text
+    fraction = f"upper(regexp_extract({t}, '{n.NUMBER_FRACTION}', 1))"
+    for sign, digits in n.FRACTIONS:
+        fraction = f"replace({fraction}, '{sign}', ' {digits}')"
+    fraction = rf"trim(regexp_replace({fraction}, '\s+', ' ', 'g'))"
+    unit = f"regexp_extract({t}, '{n.NUMBER_UNIT}', 1) || regexp_extract({t}, '{n.NUMBER_UNIT}', 2)"
+    others = [f"regexp_extract({t}, '{p}', 1)" for p in (n.NUMBER_LETTER, n.NUMBER_PLAIN, n.NUMBER_ANYWHERE)]
+    return f"coalesce({', '.join(f'nullif(upper({x}), {chr(39) * 2})' for x in (fraction, others[0], unit, *others[1:]))})"
+
+
+def _bare_sql(t: str) -> str:
+    """SQL of the house number in one spelling."""
+    out = f"upper({t})"
+    for sign, digits in text.FRACTIONS:
+        out = f"replace({out}, '{sign}', '{digits}')"
+    return rf"coalesce(replace(replace(regexp_replace({out}, '\s+', '', 'g'), '-1/', '1/'), '-3/', '3/'), '')"
+
+
+_REST = "t"
+for _form in (text.NUMBER_PLAIN, text.NUMBER_UNIT, text.NUMBER_LETTER, text.NUMBER_FRACTION):
+    _REST = f"CASE WHEN regexp_matches(t, '{_form}') THEN regexp_replace(regexp_replace(t, '{_form}', ''), '^[ ,]+', '') ELSE {_REST} END"
+
+
+@query(f"WITH l AS (SELECT c_custkey, {_LINE} AS t FROM customer) SELECT c_custkey, {_number_sql('t')} AS house_number, {_bare_sql(_number_sql('t'))} AS bare, {_REST} AS rest FROM l")
+def house_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("t")
+    return _lines(spark, sf_dir).select("c_custkey", text.house_number(t).alias("house_number"), text.normalize_house_number(text.house_number(t)).alias("bare"), text.strip_house_number(t).alias("rest"))
+
+
+@query(f"""WITH l AS (SELECT c_custkey, {_LINE} AS t, CASE WHEN c_custkey % 13 = 0 THEN ' ' ELSE CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 90 + 2)::VARCHAR || ' ' ELSE '' END || {_LINE} || ', Springfield, OR' END AS f FROM customer),
+n AS (SELECT *, {_bare_sql(_number_sql('t'))} AS x, {_bare_sql(_number_sql('f'))} AS y FROM l),
+p AS (SELECT c_custkey, x, y, f, CASE WHEN trim(f) = '' THEN 0 WHEN x <> '' AND y <> '' AND x <> y THEN 40 ELSE 100 END AS percent FROM n)
+SELECT c_custkey, percent, percent >= 100 AS exact, CASE WHEN c_custkey % 5 = 0 AND x <> '' AND x <> '7' THEN least(percent, 40) WHEN c_custkey % 5 <> 0 AND x <> '' AND y <> '' AND x <> y THEN least(percent, 40) ELSE percent END AS with_number FROM p""")
+def match_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, t = F.col("c_custkey"), F.col("t")
+    other = F.when(k % 3 == 0, F.concat((k % 90 + 2).cast("string"), F.lit(" "))).otherwise("")
+    f = F.when(k % 13 == 0, " ").otherwise(F.concat(other, t, F.lit(", Springfield, OR")))
+    rows = _lines(spark, sf_dir).withColumn("f", f).withColumn("geo", F.when(k % 5 == 0, "7"))
+    rows = rows.withColumns({"x": text.house_number(t), "y": text.house_number(F.col("f"))})
+    rows = rows.withColumn("percent", text.match_percent(t, F.col("f"), F.col("x"), F.col("y")))
+    with_number = text.match_percent_for_geo(F.col("percent"), t, F.col("x"), F.coalesce("geo", "y"))
+    return rows.select("c_custkey", "percent", text.matches_exactly(F.col("percent")).alias("exact"), with_number.alias("with_number"))
+
+
+@query(f"WITH {ADDRESSES} SELECT id, CASE WHEN id % 3 = 0 AND raw_address IS NOT NULL THEN raw_address WHEN id % 3 = 1 THEN '' ELSE coalesce(raw_address, '') END AS line FROM addr")
+def category_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, raw, own = F.col("id"), F.col("raw_address"), F.col("category")
+    line = F.when(k % 3 == 0, F.concat(F.lower(own), F.lit(": "), raw)).when(k % 3 == 1, F.lower(own)).otherwise(raw)
+    return addresses(spark, sf_dir).select("id", text.without_category(line, own, raw).alias("line"))
 
 
 @query(rf"""WITH {ADDRESSES} SELECT id, CASE WHEN regexp_matches(lower(coalesce(raw_address, '')), '\bapt\b|apartment|unit #|ste |suite| #') THEN 'Multi-Family' WHEN regexp_matches(lower(coalesce(raw_address, '')), 'hwy|highway|industrial|warehouse|park') THEN 'Commercial'
@@ -223,12 +275,12 @@ def unique_table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.unique_table_names(files)
 
 
-@query("""WITH r AS (SELECT l_orderkey AS placemark, l_linenumber AS row_number, l_returnflag || l_linestatus AS field, l_shipdate::DATE::VARCHAR AS value, CASE WHEN l_linenumber > 1 THEN l_suppkey::VARCHAR END AS coordinates FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("""WITH r AS (SELECT l_orderkey AS placemark, l_linenumber AS row_number, l_returnflag || l_linestatus AS field, l_shipdate::DATE::VARCHAR AS value, CASE WHEN l_linenumber > 1 THEN l_suppkey::VARCHAR END AS coordinates FROM lineitem),
 f AS (SELECT placemark, field, max_by(value, struct_pack(a := row_number, b := value)) AS value FROM r GROUP BY ALL), g AS (SELECT placemark, string_agg(field || '=' || value, ',' ORDER BY field) AS fields FROM f GROUP BY ALL)
 SELECT placemark, min(row_number) AS row_number, min_by(coordinates, struct_pack(a := row_number, b := coordinates)) FILTER (coordinates IS NOT NULL) AS coordinates, any_value(fields) AS fields FROM r JOIN g USING (placemark) GROUP BY placemark""")
 def flatten_kml_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select(c("l_orderkey").alias("placemark"), c("l_linenumber").alias("row_number"), F.concat("l_returnflag", "l_linestatus").alias("field"), c("l_shipdate").cast("date").cast("string").alias("value"), F.when(c("l_linenumber") > 1, c("l_suppkey").cast("string")).alias("coordinates"))
+    rows = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("placemark"), c("l_linenumber").alias("row_number"), F.concat("l_returnflag", "l_linestatus").alias("field"), c("l_shipdate").cast("date").cast("string").alias("value"), F.when(c("l_linenumber") > 1, c("l_suppkey").cast("string")).alias("coordinates"))
     out = records.flattened_placemarks(rows)
     return out.select("placemark", "row_number", "coordinates", F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("fields"))
 
@@ -236,13 +288,13 @@ def flatten_kml_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 # stages and rules
 
 _PICK = ", ".join(f"max({c}) FILTER (stage = '{s}') AS {s}_{c}" for s in (f"agent{i}" for i in range(6)) for c in ("score", "status", "structure"))
-_WIDE = f"wide AS (SELECT address_id, {_PICK} FROM latest GROUP BY address_id)"
+_WIDE = f"found AS (SELECT address_id, {_PICK} FROM latest GROUP BY address_id), wide AS (SELECT c_custkey AS address_id, found.* EXCLUDE (address_id) FROM customer LEFT JOIN found ON address_id = c_custkey)"
 STAGE_NAMES = [f"agent{i}" for i in range(6)]
 
 
 @query(f"WITH {SCORES}, {LATEST}, {_WIDE} SELECT * FROM wide")
 def stage_left_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.wide_stages(latest(spark, sf_dir), STAGE_NAMES)
+    return rules.wide_stages(latest(spark, sf_dir), STAGE_NAMES, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("address_id")))
 
 
 _VOTE = """votes AS (SELECT address_id, list_filter([agent4_structure, agent5_structure, agent3_structure], lambda v: v IS NOT NULL AND v <> 'Unknown') AS v FROM wide),
@@ -251,17 +303,32 @@ kinds AS (SELECT address_id, v, CASE WHEN len(v) = 0 THEN 'Unknown' WHEN len(v)
 
 @query(f"WITH {SCORES}, {LATEST}, {_WIDE}, {_VOTE} SELECT address_id, kind FROM kinds")
 def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = rules.wide_stages(latest(spark, sf_dir), STAGE_NAMES)
+    wide = stage_left_joins(spark, sf_dir)
     return wide.select("address_id", rules.majority(F.array("agent4_structure", "agent5_structure", "agent3_structure")).alias("kind"))
 
 
-@query(f"""WITH {SCORES}, {LATEST}, {_WIDE}, {_VOTE},
-s AS (SELECT w.*, kind, least(100, trunc(coalesce(agent1_score, 0) * 0.4::DOUBLE + greatest(coalesce(agent4_score, 0), coalesce(agent5_score, 0)) * 0.4::DOUBLE + CASE WHEN len(v) = 0 THEN 0 WHEN len(list_distinct(v)) = 1 THEN 100 ELSE 50 END * 0.2::DOUBLE)::INTEGER) AS score
-  FROM wide w JOIN kinds USING (address_id))
-SELECT address_id, CASE WHEN agent1_status = 'REJECT' THEN 'Rejected' ELSE kind END AS final_structure_type, CASE WHEN agent1_status = 'REJECT' THEN 0 ELSE score END AS final_confidence,
-  CASE WHEN agent1_status = 'REJECT' OR kind = 'Vacant' THEN 'SKIP' WHEN kind = 'Commercial' THEN 'LOW' WHEN kind = 'MDU_LARGE' THEN 'HIGH' WHEN kind = 'MDU_SMALL' THEN 'MEDIUM' WHEN kind = 'SFH' AND agent1_status = 'AUTO_ACCEPT' THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM s""")
+_KIND = lambda c: f"CASE replace(replace(lower(coalesce({c}, '')), '-', '_'), ' ', '_') WHEN 'sfh' THEN 'SFH' WHEN 'apartment_building' THEN 'MDU' WHEN 'mixed_use' THEN 'Commercial' WHEN 'vacant_lot' THEN 'Vacant' ELSE 'Unknown' END"
+
+
+@query(f"""WITH {SCORES}, {LATEST}, {_WIDE},
+a AS (SELECT w.*, w.address_id % 17 = 0 AS vacant, w.address_id % 7 = 0 AS sure, CASE w.address_id % 6 WHEN 0 THEN 'Vacant land' WHEN 1 THEN 'Multi-Family' WHEN 2 THEN 'single family' WHEN 3 THEN 'COMMERCIAL' END AS land,
+  {_KIND('agent4_structure')} AS k4, {_KIND('agent5_structure')} AS k5, (w.address_id % 4)::INTEGER AS lo, (w.address_id % 12)::INTEGER AS hi FROM wide w),
+v AS (SELECT *, list_filter([k4, k5, CASE WHEN lower(land) LIKE '%vacant%' THEN CASE WHEN k4 NOT IN ('SFH', 'MDU', 'Commercial') AND k5 NOT IN ('SFH', 'MDU', 'Commercial') THEN 'Vacant' END WHEN lower(land) LIKE '%multi%' THEN 'MDU' WHEN lower(land) LIKE '%single%' THEN 'SFH' WHEN lower(land) LIKE '%commercial%' THEN 'Commercial' END], lambda x: x IS NOT NULL AND x <> 'Unknown') AS p FROM a),
+k AS (SELECT *, CASE WHEN len(p) = 0 THEN 'Unknown' WHEN len(p) = 3 AND p[2] = p[3] THEN p[2] ELSE p[1] END AS kind FROM v),
+u AS (SELECT *, CASE WHEN kind = 'Vacant' THEN 0 ELSE greatest(coalesce(nullif(lo, 0), 1), coalesce(nullif(hi, 0), 1)) END AS units FROM k),
+f AS (SELECT *, CASE WHEN kind <> 'MDU' THEN kind WHEN units >= 8 THEN 'MDU_LARGE' ELSE 'MDU_SMALL' END AS final,
+  least(100, trunc(coalesce(agent1_score, 0) * 0.4::DOUBLE + greatest(coalesce(agent4_score, 0), coalesce(agent5_score, 0), CASE WHEN sure THEN 90 ELSE 0 END) * 0.4::DOUBLE + CASE WHEN len(p) = 0 THEN 0 WHEN len(list_distinct(p)) = 1 THEN 100 ELSE 50 END * 0.2::DOUBLE)::INTEGER) AS score FROM u)
+SELECT address_id, CASE WHEN agent1_status = 'REJECT' THEN 'rejected' ELSE 'classified' END AS status,
+  CASE WHEN agent1_status = 'REJECT' THEN 'Unknown' WHEN vacant THEN 'Vacant' ELSE final END AS final_structure_type,
+  CASE WHEN agent1_status = 'REJECT' THEN NULL WHEN vacant THEN FALSE ELSE kind = 'MDU' END AS final_is_mdu,
+  CASE WHEN agent1_status = 'REJECT' THEN NULL WHEN vacant THEN 0 WHEN kind IN ('MDU', 'Vacant') THEN units ELSE 1 END::INTEGER AS final_unit_count,
+  CASE WHEN agent1_status = 'REJECT' THEN 0 WHEN vacant THEN greatest(80, coalesce(agent1_score, 0)) WHEN sure AND final <> 'Unknown' THEN greatest(90, score) ELSE score END::INTEGER AS final_confidence,
+  CASE WHEN agent1_status = 'REJECT' OR vacant OR final = 'Vacant' THEN 'SKIP' WHEN final = 'MDU_LARGE' THEN 'HIGH' WHEN final = 'MDU_SMALL' OR final = 'SFH' AND agent1_status = 'AUTO_ACCEPT' THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM f""")
 def final_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.synthesize(rules.wide_stages(latest(spark, sf_dir), STAGE_NAMES))
+    k = F.col("address_id")
+    land = F.when(k % 6 == 0, "Vacant land").when(k % 6 == 1, "Multi-Family").when(k % 6 == 2, "single family").when(k % 6 == 3, "COMMERCIAL")
+    more = {"vacant": k % 17 == 0, "house_number_sure": k % 7 == 0, "agent3_land_use": land, "units_min": (k % 4).cast("int"), "units_max": (k % 12).cast("int")}
+    return rules.synthesize(stage_left_joins(spark, sf_dir).withColumns(more))
 
 
 @query(f"WITH {SCORES}, {LATEST} SELECT address_id, stage, score, status, CASE WHEN score >= 60 AND status IN ('MATCH', 'AUTO_ACCEPT') THEN 'accepted' ELSE 'continued' END AS decision FROM latest WHERE stage = 'agent1'")
@@ -500,14 +567,17 @@ def sliding_window_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # provider results
 
 
-@query("""WITH d AS (SELECT l_orderkey AS id, l_linenumber * 1000000 + l_partkey * 100 + l_suppkey AS position, (l_partkey % 40 * 37 + 5)::VARCHAR AS number, (l_quantity / 50.0)::DOUBLE AS confidence FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1),
-w AS (SELECT *, confidence + 0.8::DOUBLE * row_number() OVER (PARTITION BY id, number ORDER BY position) + CASE length(number) WHEN 3 THEN 1.0::DOUBLE WHEN 4 THEN 1.5::DOUBLE WHEN 5 THEN 1.2::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM d)
-SELECT id, max_by(number, struct_pack(w := weight, p := -position)) AS number, round(max(weight), 6) AS weight FROM w GROUP BY id""")
+@query("""WITH d AS (SELECT l_orderkey AS id, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey AS position, (l_partkey % 40 * 53 + 5)::VARCHAR AS number, (l_quantity / 50.0)::DOUBLE AS confidence, CASE WHEN l_orderkey % 3 = 0 THEN (l_orderkey % 40 * 53 + 5)::VARCHAR END AS expected FROM lineitem),
+v AS (SELECT * FROM d WHERE length(number) BETWEEN 2 AND 5 AND number::INTEGER NOT BETWEEN 1900 AND 2100),
+e AS (SELECT * FROM v QUALIFY NOT coalesce(bool_or(number = expected) OVER (PARTITION BY id), FALSE) OR number = expected),
+w AS (SELECT *, confidence + 0.8::DOUBLE * row_number() OVER (PARTITION BY id, number ORDER BY position) + CASE length(number) WHEN 3 THEN 1.0::DOUBLE WHEN 4 THEN 1.5::DOUBLE WHEN 5 THEN 1.2::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM e),
+s AS (SELECT id, number, sum(weight) AS weight, min(position) AS place FROM w GROUP BY ALL)
+SELECT id, max_by(number, struct_pack(w := round(weight, 9), p := -place)) AS number, round(max_by(weight, struct_pack(w := round(weight, 9), p := -place)), 4) AS weight FROM s GROUP BY id""")
 def ocr_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    rows = table(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))).filter("r = 1")
-    detections = rows.select(c("l_orderkey").alias("id"), (c("l_linenumber") * 1000000 + c("l_partkey") * 100 + c("l_suppkey")).alias("position"), (c("l_partkey") % 40 * 37 + 5).cast("string").alias("number"), (c("l_quantity") / 50.0).alias("confidence"))
-    return providers.ocr_consensus(detections)
+    expected = F.when(c("l_orderkey") % 3 == 0, (c("l_orderkey") % 40 * 53 + 5).cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("id"), (c("l_linenumber").cast("long") * 1000000000 + c("l_partkey") * 1000 + c("l_suppkey")).alias("position"), (c("l_partkey") % 40 * 53 + 5).cast("string").alias("number"), (c("l_quantity") / 50.0).alias("confidence"), expected.alias("expected"))
+    return providers.ocr_consensus(rows)
 
 
 @query(r"""WITH r AS (SELECT o_custkey AS id, o_orderkey AS position, (['street_address', 'point_of_interest', 'locality', 'route'])[o_orderkey % 4 + 1] AS t, (['ROOFTOP', 'RANGE_INTERPOLATED', 'APPROXIMATE'])[o_orderkey % 3 + 1] AS l, CASE WHEN o_orderkey % 5 < 3 THEN o_orderkey::VARCHAR || ' OAK' ELSE 'OAK' END AS a FROM orders),
@@ -526,12 +596,12 @@ def classify_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.routes(addresses(spark, sf_dir)).select("id", "route")
 
 
-@query(f"""WITH {ADDRESSES}, r AS (SELECT DISTINCT format('{{:.3f}},{{:.3f}}', lat, lon) AS place, round(lat, 3) + CASE WHEN id % 2 = 0 THEN 0.0 ELSE 1.0 END AS y, round(lon, 3) AS x FROM addr WHERE id % 3 = 0 AND lat <= 90 AND id <= 1000)
+@query(f"""WITH {ADDRESSES}, r AS (SELECT format('{{:.3f}},{{:.3f}}', lat, lon) AS place, min(round(lat, 3) + CASE WHEN id % 2 = 0 THEN 0.0 ELSE 1.0 END) AS y, min(round(lon, 3)) AS x FROM addr WHERE lat <= 90 GROUP BY 1)
 SELECT a.id, CASE WHEN {haversine_sql('a.lat', 'a.lon', 'r.y', 'r.x')} <= 2000.0 THEN round(r.y, 6) END AS result_lat FROM addr a LEFT JOIN r ON format('{{:.3f}},{{:.3f}}', a.lat, a.lon) = r.place WHERE a.lat <= 90""")
 def cached_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = addresses(spark, sf_dir).filter("lat <= 90").select("id", "lat", "lon")
     y = F.round("lat", 3) + F.when(F.col("id") % 2 == 0, 0.0).otherwise(1.0)
-    results = a.filter("id % 3 = 0 and id <= 1000").select(providers.place_key(F.col("lat"), F.col("lon"), 3).alias("place"), y.alias("result_lat"), F.round("lon", 3).alias("result_lon")).distinct()
+    results = a.groupBy(providers.place_key(F.col("lat"), F.col("lon"), 3).alias("place")).agg(F.min(y).alias("result_lat"), F.min(F.round("lon", 3)).alias("result_lon"))
     return providers.looked_up(a, results, 3).select("id", F.round("result_lat", 6).alias("result_lat"))
 
 
@@ -600,13 +670,13 @@ def unconfirmed_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ADDRESSES}, f AS (SELECT id, id AS ord, raw_address AS address, lat, lon, {key_sql('raw_address')} AS key, CASE WHEN {_ring_sql(RINGS[0][1])} THEN 1 WHEN {_ring_sql(RINGS[1][1])} THEN 2 END AS polygon_id FROM addr WHERE file_role = 'geospatial'),
-k AS (SELECT *, {key_sql('raw_address')} AS key FROM addr WHERE file_role = 'tabular' AND id % 50 = 1),
+k AS (SELECT *, {key_sql('raw_address')} AS key FROM addr WHERE file_role = 'tabular'),
 o AS (SELECT f.*, EXISTS (SELECT 1 FROM k WHERE k.key = f.key) AS known, EXISTS (SELECT 1 FROM k WHERE abs(k.lat - f.lat) < 0.001 AND {haversine_sql('f.lat', 'f.lon', 'k.lat', 'k.lon')} <= 25.0) AS near, min(ord) OVER (PARTITION BY key) AS first FROM f)
 SELECT id, key, CASE WHEN polygon_id IS NULL THEN 'outside' WHEN known THEN 'known' WHEN near THEN 'near' WHEN key IS NOT NULL AND first < ord THEN 'repeated' ELSE 'new' END AS outcome FROM o""")
 def discovery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = addresses(spark, sf_dir).withColumnRenamed("raw_address", "address")
     found = spatial.in_polygons(a.filter("file_role = 'geospatial'"), RINGS)
-    return stages.new_geocodes(found, a.filter("file_role = 'tabular' and id % 50 = 1"))
+    return stages.new_geocodes(found, a.filter("file_role = 'tabular'"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN s >= 3600 THEN (s // 3600)::VARCHAR || 'h ' || (s % 3600 // 60)::VARCHAR || 'm' WHEN s >= 60 THEN (s // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' ELSE s::VARCHAR || 's' END AS duration FROM (SELECT o_orderkey, o_orderkey * 13 % 9000 AS s FROM orders)""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STREETS = ["OAK", "MAIN", "HILL", "LAKE", "PARK"]
-STRUCTURES = ["SFH", "MDU_SMALL", "Commercial", "Unknown", "Vacant"]
+STRUCTURES = ["SFH", "Apartment Building", "mixed-use", "Unknown", "vacant_lot"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES = """scores AS (
   SELECT o_custkey AS address_id, 'agent' || ((o_orderkey + o_custkey) % 6)::VARCHAR AS stage, o_orderkey AS version, (floor(o_totalprice)::BIGINT % 101)::INTEGER AS score,
     CASE o_orderstatus WHEN 'F' THEN 'MATCH' WHEN 'O' THEN 'AUTO_ACCEPT' ELSE 'REJECT' END AS status,
-    (['SFH','MDU_SMALL','Commercial','Unknown','Vacant'])[(o_orderkey * 3 + o_custkey) % 5 + 1] AS structure
+    (['SFH','Apartment Building','mixed-use','Unknown','vacant_lot'])[(o_orderkey * 3 + o_custkey) % 5 + 1] AS structure
   FROM orders)"""
 LATEST = """latest AS (
   SELECT address_id, stage, version, score, status, structure FROM scores
