@@ -320,7 +320,9 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, *, id_c
                 for i in range(0, len(own), 256):
                     yield best_of(own.iloc[i : i + 256], *ready, k)
 
-    both = placed.mapInPandas(index, schema).unionByName(asked.mapInPandas(plan, schema))
+    # few bytes but much work: dealt by number, which isn't coalesced
+    dealt = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query_id")
+    both = placed.mapInPandas(index, schema).unionByName(dealt.mapInPandas(plan, schema))
     by_region = both.repartition("region").sortWithinPartitions("region", "kind", "leaf")
     near = by_region.mapInPandas(search, "query_id long, vec_id long, score double")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
