@@ -99,7 +99,10 @@ def greedy_distinct(points: DataFrame, group: str, threshold_m: float = 20.0) ->
     """
     spark = points.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="waymark-"))
     firsts = points.filter("lat is not null and lon is not null").groupBy(group, "lat", "lon").agg(F.min(F.struct("ord", "id")).alias("f")).select(group, "lat", "lon", "f.ord", "f.id")
     firsts = firsts.checkpoint()
     near = pairs_within(firsts, firsts, threshold_m).filter(F.col("distance_m") < threshold_m)
