@@ -283,6 +283,29 @@ def test_license_edges(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+NOTICES = {
+    "This program is free software: you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License": "gpl-3",
+    "under the GNU General Public License, version 2": "gpl-2",
+    "GNU Lesser General Public License, version 2.1": "lgpl-2-1",
+    "the terms of the Mozilla Public License, v. 2.0. If a copy": "mpl-2",
+    "CC BY-SA 4.0": "cc-by-sa",
+    "Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa",
+    "CC0 1.0 Universal": "cc0",
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction': "mit",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "The GNU General Public License is long. " + "word " * 30 + "version 3": "",
+    "source and binary": "",
+}
+
+
+def test_license_notices(spark):
+    """Key phrases alone decide, with words between them; words before and long distances don't."""
+    docs = spark.createDataFrame([(i, pad + text) for i, (text, pad) in enumerate((t, pad) for t in NOTICES for pad in ("", "some words ", "gnu license " * 3))], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(got))] == [label for label in NOTICES.values() for _ in range(3)]
+
+
 # 7 suffix arrays
 
 

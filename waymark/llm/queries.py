@@ -94,10 +94,9 @@ w AS (
 p AS (
   SELECT doc_id, w, label, base, tw, keys, spot, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(keys[1])] = keys[1])) AS p
   FROM w, t WHERE len(list_intersect(w, keys[1])) > 0),
-a AS (
+f AS (
   SELECT doc_id, label, base, p, len(list_filter(range(len(tw)), lambda j: p - spot[1] + j >= 0 AND w[p - spot[1] + j + 1] = tw[j + 1])) / len(tw)::DOUBLE AS s
-  FROM p WHERE len(keys) = 1 OR (p - spot[1] + spot[2] >= 0 AND w[p - spot[1] + spot[2] + 1:p - spot[1] + spot[2] + len(keys[2])] = keys[2])),
-f AS (SELECT * FROM a WHERE base OR s >= {licenses.LEAST})
+  FROM p WHERE len(keys) = 1 OR len(list_filter(range(p + len(keys[1]), p + spot[2] - spot[1] + {licenses.SLACK} + 1), lambda q: w[q + 1:q + len(keys[2])] = keys[2])) > 0)
 SELECT w.doc_id, any_value(len(w.w)) AS n_words, count(f.p) FILTER (f.base) AS n_base, min(f.p) FILTER (f.base) AS first_word, max(f.p) FILTER (f.base) AS last_word,
   coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label) FILTER (f.base), '') AS base_labels, coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label), '') AS labels, coalesce(max(f.s), 0.0::DOUBLE) AS score
 FROM w LEFT JOIN f ON f.doc_id IS NOT DISTINCT FROM w.doc_id GROUP BY w.doc_id
