@@ -165,6 +165,51 @@ def test_greedy_distinct_keeps_what_a_loop_keeps(spark):
     assert got == {p[0] for p in kept}
 
 
+def metres(a, b):
+    from math import asin, cos, radians, sin, sqrt
+
+    p, q = radians(a[0]), radians(b[0])
+    return 2 * 6371000 * asin(sqrt(sin((q - p) / 2) ** 2 + cos(p) * cos(q) * sin(radians(b[1] - a[1]) / 2) ** 2))
+
+
+@pytest.mark.parametrize("radius", [50.0, 3000.0])
+def test_pairs_near_poles_and_the_meridian(spark, radius):
+    import random
+
+    random.seed(5)
+    share = radius / 111_000
+    centres = [(85.0, 10.0), (89.9999, 0.0), (89.9999, 179.0), (-89.999, -90.0), (0.0, 180.0), (60.0, -179.9999), (60.0, 179.9999), (32.0, -84.0)]
+    points = [(y + random.uniform(-share, share), x + random.uniform(-share, share) * 4) for y, x in centres for _ in range(25)]
+    points = [(min(max(y, -90.0), 90.0), (x + 180) % 360 - 180) for y, x in points] + [(None, 1.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id long, lat double, lon double")
+    got = {(r.left_id, r.right_id) for r in spatial.pairs_within(df, df, radius).collect()}
+    want = {(i, j) for i, p in enumerate(points[:-1]) for j, q in enumerate(points[:-1]) if metres(p, q) <= radius}
+    assert got == want and len(want) > len(points)
+
+
+def test_first_of_key_or_place_keeps_what_a_loop_keeps(spark):
+    import random
+
+    random.seed(6)
+    rows = [(i, random.randrange(90), random.choice([None, "a", *"bcdefghijklmnop", str(i)]), 32 + random.randrange(12) * 1e-4, -84 + random.randrange(12) * 1e-4) for i in range(150)] + [(150, 0, "z", None, 1.0)]
+    got = {r.id for r in spatial.first_of_key_or_place(spark.createDataFrame(rows, "id long, ord long, key string, lat double, lon double"), 25.0).collect()}
+    kept = []
+    for r in sorted(rows[:-1], key=lambda r: (r[1], r[0])):
+        if all((r[2] is None or r[2] != k[2]) and metres(r[3:], k[3:]) > 25 for k in kept):
+            kept.append(r)
+    assert got == {r[0] for r in kept}
+
+
+def test_nearest_polygon_edges(spark):
+    ring = lambda y, x, s: [(y, x), (y, x + s), (y + s, x + s), (y + s, x)]
+    polygons = spark.createDataFrame([(1, ring(0.0, 0.0, 1.0)), (2, ring(0.0, 1.0, 1.0)), (3, [(0.0, 0.0), (9.0, 9.0)]), (4, None), (5, [(0.0, 0.0), (float("inf"), 1.0), (1.0, 1.0)])], "polygon_id long, ring array<struct<lat:double,lon:double>>")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.5, 1.0), (3, 0.5, -0.0001), (4, 40.0, 1.9), (5, None, 0.0), (6, float("nan"), 0.0)], "id long, lat double, lon double")
+    got = {r.id: (r.polygon_id, r.match_type, r.confidence) for r in spatial.nearest_polygon(points, polygons).collect()}
+    assert got == {1: (1, "ST_WITHIN", 85), 2: (1, "ST_DWITHIN", 80), 3: (1, "ST_DWITHIN", 80), 4: (2, "NEAREST", 75)}
+    assert spatial.nearest_polygon(points, polygons.limit(0)).count() == 0
+    assert {r.id: r.polygon_id for r in spatial.containing(points, polygons).collect()} == {1: 1, 2: 1, 3: None, 4: None, 5: None, 6: None}
+
+
 def test_majority(spark):
     vote = lambda *v: rules.majority(F.array(*[F.lit(x) for x in v]))
     assert one(spark, a=vote("SFH", "MDU", "MDU"), b=vote("SFH", "MDU"), c=vote("Unknown", None)) == {"a": "MDU", "b": "SFH", "c": "Unknown"}

@@ -67,6 +67,40 @@ def in_ring(lat: Column, lon: Column, ring: list[tuple[float, float]], boundary:
     return (inside | on) if boundary else (inside & ~on)
 
 
+def edges(ring: Column) -> Column:
+    """The edges of an array of structs ``lat``, ``lon`` with three corners or more, open or closed."""
+    n = F.size(ring)
+    corner = lambda i: F.get(ring, i)
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(corner(i)["lat"].alias("y1"), corner(i)["lon"].alias("x1"), corner(F.pmod(i + 1, n))["lat"].alias("y2"), corner(F.pmod(i + 1, n))["lon"].alias("x2")))
+
+
+def in_edges(lat: Column, lon: Column, edges: Column, boundary: bool = True) -> Column:
+    """R-e over edges: whether a point is in their ring; the boundary counts as inside, or as outside for strict containment."""
+    def crosses(e: Column) -> Column:
+        x = (e["x2"] - e["x1"]) * (lat - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        return ((lat < e["y1"]) != (lat < e["y2"])) & F.coalesce(lon < x, F.lit(False))
+
+    def touches(e: Column) -> Column:
+        cross = (lon - e["x1"]) * (e["y2"] - e["y1"]) - (lat - e["y1"]) * (e["x2"] - e["x1"])
+        box = lat.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])) & lon.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+        return (F.abs(cross) < 1e-12) & box
+
+    inside = F.aggregate(edges, F.lit(False), lambda odd, e: odd != crosses(e))
+    on = F.exists(edges, touches)
+    return (inside | on) if boundary else (inside & ~on)
+
+
+def degrees_to_edges(lat: Column, lon: Column, edges: Column) -> Column:
+    """Least distance in degrees, as on a plane, of a point to the edges."""
+    def away(e: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        t = ((lon - e["x1"]) * dx + (lat - e["y1"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+        t = F.least(F.greatest(F.coalesce(t, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        return F.sqrt(F.pow(lon - e["x1"] - t * dx, 2) + F.pow(lat - e["y1"] - t * dy, 2))
+
+    return F.array_min(F.transform(edges, away))
+
+
 def ring_area_m2(ring: Column) -> Column:
     """Q-n: spherical area of an array of structs ``lat``, ``lon``, open or closed."""
     n = F.size(ring)

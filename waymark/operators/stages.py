@@ -58,14 +58,19 @@ def without_unconfirmed(rows: DataFrame, scores: DataFrame, gate: int = 90) -> t
 
 
 def new_geocodes(found: DataFrame, known: DataFrame, near_m: float = 25.0) -> DataFrame:
-    """D-19, E-5: ``outcome`` of each geocode (``id``, ``ord``, ``address``, ``lat``, ``lon``) in this order: outside any polygon, a known key, near a known place, a key that an earlier one has, else new."""
+    """D-19, E-5: ``outcome`` of each geocode (``id``, ``ord``, ``address``, ``lat``, ``lon``, ``polygon_id``).
+
+    In this order: ``failed`` without address or coordinates, ``outside`` any polygon, ``known`` by its key or near a
+    known place, ``repeated`` by the key or near the place of an earlier new one, else ``new``.
+    """
     keyed = found.withColumn("key", text.address_key(F.col("address")))
     keys = known.select(text.address_key(F.col("address")).alias("known_key")).filter("known_key is not null").distinct()
     near = spatial.near_any(keyed, known, near_m).select("id", "near")
-    firsts = keyed.groupBy("key").agg(F.min("ord").alias("first"))
-    joined = keyed.join(keys, F.col("key") == F.col("known_key"), "left").join(near, "id").join(firsts, "key", "left")
-    outcome = F.when(F.col("polygon_id").isNull(), "outside").when(F.col("known_key").isNotNull(), "known").when(F.col("near"), "near").when(F.col("first") < F.col("ord"), "repeated").otherwise("new")
-    return joined.select("id", "key", outcome.alias("outcome"))
+    failed = (F.trim(F.coalesce("address", F.lit(""))) == "") | F.col("lat").isNull() | F.col("lon").isNull()
+    outcome = F.when(failed, "failed").when(F.col("polygon_id").isNull(), "outside").when(F.col("known_key").isNotNull() | F.col("near"), "known")
+    judged = keyed.join(keys, F.col("key") == F.col("known_key"), "left").join(near, "id").withColumn("outcome", outcome)
+    new = spatial.first_of_key_or_place(judged.filter("outcome is null"), near_m).withColumn("new", F.lit(True))
+    return judged.join(new, "id", "left").select("id", "key", F.coalesce("outcome", F.when(F.col("new"), "new"), F.lit("repeated")).alias("outcome"))
 
 
 def tighter_views(current: Column, recommended: Column, steps: int = 5) -> Column:

@@ -492,20 +492,54 @@ def quadkey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses(spark, sf_dir).filter("lat <= 85").select("id", geo.quadkey(F.col("lat"), F.col("lon"), 9).alias("quadkey"))
 
 
-@query("""WITH b AS (SELECT n_nationkey AS id, 30.0::DOUBLE + n_nationkey * 0.01::DOUBLE AS south, -90.0::DOUBLE + n_nationkey * 0.02::DOUBLE AS west, n_nationkey % 4 + 1 AS r, n_nationkey % 3 + 2 AS c FROM nation)
-SELECT id, round(south + (i + oy) * 0.00025::DOUBLE, 9) AS lat, round(west + (j + ox) * 0.00025::DOUBLE, 9) AS lon
-FROM b, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j), (SELECT unnest([0.5, 0.25, 0.75]::DOUBLE[]) AS oy), (SELECT unnest([0.5, 0.25, 0.75]::DOUBLE[]) AS ox) WHERE i < r AND j < c""")
-def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slanted square for each nation; some overlap."""
     k = F.col("n_nationkey")
-    boxes = table(spark, sf_dir, "nation").select(k.alias("id"), (30.0 + k * 0.01).alias("south"), (-90.0 + k * 0.02).alias("west"), (k % 4 + 1).alias("rows"), (k % 3 + 2).alias("cols"))
-    return spatial.grid_points(boxes, 0.00025).select("id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+    y, x = 32.0 + k * 0.004, -84.1 + k * 7 % 25 * 0.0035
+    corner = lambda a, b: F.struct(a.alias("lat"), b.alias("lon"))
+    ring = F.array(corner(y, x), corner(y + 0.006, x + 0.001), corner(y + 0.005, x + 0.006), corner(y + 0.001, x + 0.005))
+    return table(spark, sf_dir, "nation").select(k.alias("polygon_id"), ring.alias("ring"))
+
+
+_CORNERS = ["y", "x"], ["y + 0.006::DOUBLE", "x + 0.001::DOUBLE"], ["y + 0.005::DOUBLE", "x + 0.006::DOUBLE"], ["y + 0.001::DOUBLE", "x + 0.005::DOUBLE"]
+_EDGES = ", ".join(f"{{'y1': {p[0]}, 'x1': {p[1]}, 'y2': {q[0]}, 'x2': {q[1]}}}" for p, q in zip(_CORNERS, [*_CORNERS[1:], _CORNERS[0]]))
+_POLYGONS = f"""polys AS (SELECT n_nationkey AS polygon_id, 32.0::DOUBLE + n_nationkey * 0.004::DOUBLE AS y, -84.1::DOUBLE + n_nationkey * 7 % 25 * 0.0035::DOUBLE AS x FROM nation),
+edges AS (SELECT polygon_id, e.y1, e.x1, e.y2, e.x2 FROM (SELECT polygon_id, unnest([{_EDGES}]) AS e FROM polys))"""
+_HELD = "(sum(CASE WHEN (lat < y1) <> (lat < y2) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1)"
+_TOUCHED = "bool_or(abs((lon - x1) * (y2 - y1) - (lat - y1) * (x2 - x1)) < 1e-12 AND lat BETWEEN least(y1, y2) AND greatest(y1, y2) AND lon BETWEEN least(x1, x2) AND greatest(x1, x2))"
+_ALONG = "least(greatest(((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / (power(x2 - x1, 2) + power(y2 - y1, 2)), 0.0), 1.0)"
+_AWAY = f"sqrt(power(lon - x1 - {_ALONG} * (x2 - x1), 2) + power(lat - y1 - {_ALONG} * (y2 - y1), 2))"
+
+
+@query(f"WITH {ADDRESSES}, {_POLYGONS}, h AS (SELECT id, polygon_id, {_HELD} OR {_TOUCHED} AS held FROM addr, edges GROUP BY id, polygon_id) SELECT id, min(polygon_id) FILTER (held) AS polygon_id FROM h GROUP BY id")
+def polygon_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.containing(addresses(spark, sf_dir), _polygons(spark, sf_dir)).select("id", "polygon_id")
+
 
+@query(f"""WITH {ADDRESSES}, {_POLYGONS}, h AS (SELECT id, polygon_id, {_HELD} AND NOT {_TOUCHED} AS held, min({_AWAY}) AS d FROM addr, edges GROUP BY id, polygon_id),
+b AS (SELECT id, min(polygon_id) FILTER (held) AS held_by, min(d) AS d, min_by(polygon_id, struct_pack(d := d, p := polygon_id)) AS nearest FROM h GROUP BY id)
+SELECT id, coalesce(held_by, nearest) AS polygon_id, CASE WHEN held_by IS NOT NULL THEN 'ST_WITHIN' WHEN d < 0.00015 THEN 'ST_DWITHIN' ELSE 'NEAREST' END AS match_type, CASE WHEN held_by IS NOT NULL THEN 85 WHEN d < 0.00015 THEN 80 ELSE 75 END AS confidence FROM b""")
+def polygon_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.nearest_polygon(addresses(spark, sf_dir), _polygons(spark, sf_dir))
 
-@query(f"""WITH {ADDRESSES}, d AS (SELECT unnest([{{'d': 0, 'n': 1.0::DOUBLE, 'e': 0.0::DOUBLE}}, {{'d': 1, 'n': -1.0::DOUBLE, 'e': 0.0::DOUBLE}}, {{'d': 2, 'n': 0.0::DOUBLE, 'e': 1.0::DOUBLE}}, {{'d': 3, 'n': 0.0::DOUBLE, 'e': -1.0::DOUBLE}}]) AS s), r AS (SELECT unnest([1.0, 1.5]::DOUBLE[]) AS radius),
-p AS (SELECT id AS seed_id, s.d AS direction, radius, round(lat + s.n * 60.0::DOUBLE * radius / 111320.0::DOUBLE, 6) AS lat, round(lon + s.e * 60.0::DOUBLE * radius / (111320.0::DOUBLE * greatest(0.1, cos(radians(lat)))), 6) AS lon FROM addr, d, r WHERE file_role = 'geospatial' AND lat <= 90)
-SELECT seed_id, direction::INTEGER AS direction, radius, lat, lon FROM p QUALIFY row_number() OVER (PARTITION BY lat, lon ORDER BY direction, radius, seed_id) = 1""")
+
+@query(f"""WITH {_POLYGONS}, b AS (SELECT polygon_id, min(y1) AS s, min(x1) AS w FROM edges GROUP BY polygon_id),
+p AS (SELECT polygon_id, s + (i + oy) * 0.0005::DOUBLE AS lat, w + (j + ox) * 0.0005::DOUBLE AS lon FROM b, (SELECT unnest(range(14)) AS i), (SELECT unnest(range(14)) AS j), (SELECT unnest([0.5, 0.25, 0.75]::DOUBLE[]) AS oy), (SELECT unnest([0.5, 0.25, 0.75]::DOUBLE[]) AS ox))
+SELECT polygon_id, round(lat, 9) AS lat, round(lon, 9) AS lon FROM p JOIN edges USING (polygon_id) GROUP BY polygon_id, p.lat, p.lon HAVING {_HELD} AND NOT {_TOUCHED}""")
+def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.grid_points(_polygons(spark, sf_dir), 0.0005).select("polygon_id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
+@query(f"""WITH {ADDRESSES}, {_POLYGONS}, h AS (SELECT id, polygon_id, {_HELD} OR {_TOUCHED} AS held FROM addr, edges WHERE file_role = 'geospatial' AND lat <= 90 GROUP BY id, polygon_id),
+seeds AS (SELECT id, lat AS y, lon AS x, own AS polygon_id FROM (SELECT id, min(polygon_id) FILTER (held) AS own FROM h GROUP BY id) JOIN addr USING (id) WHERE own IS NOT NULL),
+d AS (SELECT unnest([{{'d': 0, 'n': 1.0::DOUBLE, 'e': 0.0::DOUBLE}}, {{'d': 1, 'n': -1.0::DOUBLE, 'e': 0.0::DOUBLE}}, {{'d': 2, 'n': 0.0::DOUBLE, 'e': 1.0::DOUBLE}}, {{'d': 3, 'n': 0.0::DOUBLE, 'e': -1.0::DOUBLE}}]) AS s), r AS (SELECT unnest([1.0, 1.5]::DOUBLE[]) AS radius),
+p AS (SELECT id AS seed_id, polygon_id, s.d AS direction, radius, y + s.n * 60.0::DOUBLE * radius / 111320.0::DOUBLE AS lat, x + s.e * 60.0::DOUBLE * radius / (111320.0::DOUBLE * greatest(0.1, cos(radians(y)))) AS lon FROM seeds, d, r),
+i AS (SELECT seed_id, direction, radius, round(p.lat, 6) AS lat, round(p.lon, 6) AS lon FROM p JOIN edges USING (polygon_id) GROUP BY seed_id, direction, radius, p.lat, p.lon HAVING {_HELD} AND NOT {_TOUCHED})
+SELECT seed_id, direction::INTEGER AS direction, radius, lat, lon FROM i QUALIFY row_number() OVER (PARTITION BY lat, lon ORDER BY direction, radius, seed_id) = 1""")
 def neighborhood_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.neighbourhood_candidates(addresses(spark, sf_dir).filter("file_role = 'geospatial' and lat <= 90"))
+    polygons = _polygons(spark, sf_dir)
+    seeds = spatial.containing(addresses(spark, sf_dir).filter("file_role = 'geospatial' and lat <= 90"), polygons)
+    return spatial.neighbourhood_candidates(seeds.filter("polygon_id is not null"), polygons)
 
 
 @query(f"WITH {ADDRESSES}, u AS (SELECT id, raw_address, unnest(range(1, least(greatest(id % 6, 2), 4) + 1)) AS unit FROM addr WHERE raw_address IS NOT NULL) SELECT id, unit::INTEGER AS unit, regexp_replace(raw_address, '^(\\d+)', '\\1-' || unit::VARCHAR) AS address FROM u".replace("\\\\", "\\"))
@@ -669,12 +703,21 @@ def unconfirmed_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.without_unconfirmed(rows, latest(spark, sf_dir))[0].select("id", "raw_address")
 
 
-@query(f"""WITH {ADDRESSES}, f AS (SELECT id, id AS ord, raw_address AS address, lat, lon, {key_sql('raw_address')} AS key, CASE WHEN {_ring_sql(RINGS[0][1])} THEN 1 WHEN {_ring_sql(RINGS[1][1])} THEN 2 END AS polygon_id FROM addr WHERE file_role = 'geospatial'),
-k AS (SELECT *, {key_sql('raw_address')} AS key FROM addr WHERE file_role = 'tabular'),
-o AS (SELECT f.*, EXISTS (SELECT 1 FROM k WHERE k.key = f.key) AS known, EXISTS (SELECT 1 FROM k WHERE abs(k.lat - f.lat) < 0.001 AND {haversine_sql('f.lat', 'f.lon', 'k.lat', 'k.lon')} <= 25.0) AS near, min(ord) OVER (PARTITION BY key) AS first FROM f)
-SELECT id, key, CASE WHEN polygon_id IS NULL THEN 'outside' WHEN known THEN 'known' WHEN near THEN 'near' WHEN key IS NOT NULL AND first < ord THEN 'repeated' ELSE 'new' END AS outcome FROM o""")
+_FOUND = "CASE WHEN id % 2 = 0 THEN raw_address || ' UNIT ' || (id % 35)::VARCHAR ELSE raw_address END"
+
+
+@query(f"""WITH RECURSIVE {ADDRESSES}, a AS (SELECT id, {_FOUND} AS address, lat, lon, {key_sql(_FOUND)} AS key, file_role FROM addr), k AS (SELECT * FROM a WHERE file_role = 'tabular'),
+f AS (SELECT *, CASE WHEN {_ring_sql(RINGS[0][1])} THEN 1 WHEN {_ring_sql(RINGS[1][1])} THEN 2 END AS polygon_id FROM a WHERE file_role = 'geospatial'),
+o AS (SELECT f.*, CASE WHEN coalesce(trim(address), '') = '' THEN 'failed' WHEN polygon_id IS NULL THEN 'outside'
+  WHEN EXISTS (SELECT 1 FROM k WHERE k.key = f.key) OR EXISTS (SELECT 1 FROM k WHERE abs(k.lat - f.lat) < 0.001 AND {haversine_sql('f.lat', 'f.lon', 'k.lat', 'k.lon')} <= 25.0) THEN 'known' END AS early FROM f),
+c AS (SELECT *, row_number() OVER (ORDER BY id) AS turn FROM o WHERE early IS NULL),
+g AS (SELECT 0::BIGINT AS turn, [{{'id': 0::BIGINT, 'key': NULL::VARCHAR, 'lat': 0.0::DOUBLE, 'lon': 0.0::DOUBLE}}] AS kept UNION ALL
+  SELECT c.turn, CASE WHEN len(list_filter(kept, lambda x: coalesce(x.key = c.key, FALSE) OR {haversine_sql('x.lat', 'x.lon', 'c.lat', 'c.lon')} <= 25.0)) > 0 THEN kept ELSE list_append(kept, {{'id': c.id, 'key': c.key, 'lat': c.lat, 'lon': c.lon}}) END FROM g JOIN c ON c.turn = g.turn + 1),
+n AS (SELECT unnest(list_transform(kept, lambda x: x.id)) AS id FROM g WHERE turn = (SELECT max(turn) FROM g))
+SELECT id, key, coalesce(early, CASE WHEN id IN (SELECT id FROM n) THEN 'new' ELSE 'repeated' END) AS outcome FROM o""")
 def discovery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = addresses(spark, sf_dir).withColumnRenamed("raw_address", "address")
+    unit = F.concat("raw_address", F.lit(" UNIT "), (F.col("id") % 35).cast("string"))
+    a = addresses(spark, sf_dir).withColumn("address", F.when(F.col("id") % 2 == 0, unit).otherwise(F.col("raw_address")))
     found = spatial.in_polygons(a.filter("file_role = 'geospatial'"), RINGS)
     return stages.new_geocodes(found, a.filter("file_role = 'tabular'"))
 
