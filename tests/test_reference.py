@@ -210,6 +210,28 @@ def test_nearest_polygon_edges(spark):
     assert {r.id: r.polygon_id for r in spatial.containing(points, polygons).collect()} == {1: 1, 2: 1, 3: None, 4: None, 5: None, 6: None}
 
 
+def test_flow_status(spark):
+    rows = [(1, True, "MATCH", 99, None, None, None, None), (2, False, "match", 70, None, "MISMATCH", 99, None), (3, False, "MATCH", 69, None, "REJECT", 99, None), (4, False, "MATCH", 50, 50, None, None, None), (5, None, None, None, None, "", 70, None), (6, None, None, None, None, None, None, 10), (7, None, None, None, None, "SKIPPED", None, 10)]
+    df = spark.createDataFrame(rows, "id int, sticky_duplicate boolean, first_status string, first_score int, first_threshold int, final_status string, final_score int, final_threshold int").withColumn("default_score", F.lit(40))
+    got = {r.id: (r.flow_status, r.rule_status) for r in rules.flow_status(df).collect()}
+    valid, invalid = ("verified", "valid"), ("invalid", "invalid")
+    # without a final result its score isn't looked at (6 has none); a status alone is one, with the default score (7)
+    assert got == {1: ("duplicate", "duplicate"), 2: valid, 3: invalid, 4: valid, 5: valid, 6: invalid, 7: valid}
+
+
+def test_choice_of_geocodes(spark):
+    kind = "struct<house:string,road:string,types:array<string>,location_type:string>"
+    rows = [
+        (1, "49-5 Oak St", ("49-5", "Oak", ["street_address"], "ROOFTOP"), ("49", "Oak", ["street_address"], "ROOFTOP"), 90, 100, False),
+        (2, "49 Oak St", ("49", "Oak", ["route"], "ROOFTOP"), ("49", "Oak", ["ROUTE"], "rooftop"), 90, 90, None),
+        (3, "49 Oak St", ("50", "Oak", None, None), ("49", None, None, None), 90, 90, True),
+        (4, None, ("50", "Oak", ["premise"], None), ("50", "Oak", ["house"], None), None, None, False),
+        (5, "x", None, None, 1, 1, True),
+    ]
+    df = spark.createDataFrame(rows, f"id int, line string, reverse {kind}, forward {kind}, reverse_percent int, forward_percent int, coordinate_driven boolean")
+    assert {r.id: r.direction for r in rules.choose_geocode(df).collect()} == {1: "reverse", 2: "forward", 3: "reverse", 4: "reverse", 5: None}
+
+
 def test_majority(spark):
     vote = lambda *v: rules.majority(F.array(*[F.lit(x) for x in v]))
     assert one(spark, a=vote("SFH", "MDU", "MDU"), b=vote("SFH", "MDU"), c=vote("Unknown", None)) == {"a": "MDU", "b": "SFH", "c": "Unknown"}

@@ -70,3 +70,17 @@ def routes(rows: DataFrame) -> DataFrame:
     """C-15: which stages a row goes through: both, geocode only, validator only, or none."""
     has_address, has_coords = F.col("raw_address").isNotNull(), geo.valid_pair(F.col("lat"), F.col("lon"))
     return rows.withColumn("route", F.when(has_address & has_coords, "both").when(has_address, "geocode").when(has_coords, "validator").otherwise("skipped"))
+
+
+#: Exchange codes and their place.
+EXCHANGES = {"AMRC": ("Americus", "GA")}
+
+
+def place_hint(*values: Column) -> tuple[Column, Column]:
+    """C-6: (city, state) that exchange codes in the values hint at; else the state before the digits or at the end of such a code."""
+    hay = F.upper(F.concat_ws(" ", *[F.coalesce(text.clean_value(v), F.lit("")) for v in values]))
+    city, state = F.lit(None).cast("string"), F.nullif(F.regexp_extract(hay, r"\b[A-Z]{4}([A-Z]{2})\b", 1), F.lit(""))
+    state = F.coalesce(F.nullif(F.regexp_extract(hay, r"\b([A-Z]{2})\d{3,}[A-Z]{3,}\b", 1), F.lit("")), state)
+    for code, (named, of) in reversed(EXCHANGES.items()):
+        city, state = F.when(hay.contains(code), named).otherwise(city), F.when(hay.contains(code), of).otherwise(state)
+    return city, state

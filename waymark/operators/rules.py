@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import confidence as conf
+from ..functions import geo, text
 
 
 def wide_stages(scores: DataFrame, stages: list[str], addresses: DataFrame | None = None) -> DataFrame:
@@ -142,3 +143,115 @@ def quality_gates(rows: DataFrame) -> DataFrame:
     s = F.when(F.col("distance_m") > 150, F.least(s, F.lit(79))).otherwise(s)
     s = F.when(F.col("hard_mismatch"), F.least(s, F.lit(30))).otherwise(s)
     return rows.withColumn("gated_score", s.cast("int")).withColumn("gated_status", conf.status_from_score(s))
+
+
+def _reaches(score: Column, threshold: Column) -> Column:
+    """J-8 with a threshold per row; 70 where it is null."""
+    return F.coalesce(score.cast("int"), F.lit(0)) >= F.coalesce(threshold.cast("int"), F.lit(70))
+
+
+def flow_status(rows: DataFrame) -> DataFrame:
+    """L-2, L-4: ``flow_status`` and ``rule_status`` from the first stage's and the final result.
+
+    Reads sticky_duplicate, first_status, first_score, first_threshold, final_status, final_score, final_threshold and
+    default_score, which counts where there is no final score. A final result with neither status nor score is none.
+    """
+    c = F.col
+    score = F.coalesce("final_score", "default_score")
+    named = F.nullif("final_status", F.lit("")).isNotNull()
+    enough = _reaches(score, c("final_threshold"))
+    status = (
+        F.when(F.coalesce("sticky_duplicate", F.lit(False)), "duplicate")
+        .when(conf.is_match(c("first_status")) & _reaches(c("first_score"), c("first_threshold")), "verified")
+        .when(named & conf.is_mismatch(c("final_status")), "invalid")
+        .when((c("final_status").isNotNull() | c("final_score").isNotNull()) & enough, "verified")
+        .otherwise("invalid")
+    )
+    return rows.withColumn("flow_status", status).withColumn("rule_status", rule_of_merge(F.col("flow_status")))
+
+
+def rule_of_merge(status: Column) -> Column:
+    """L-4: a verified merge is valid; what is unknown is invalid."""
+    s = F.lower(F.trim(status))
+    return F.when(s == "verified", "valid").when(s.isin("duplicate", "new", "excluded"), s).otherwise("invalid")
+
+
+def exact_with_warning(status: Column, *percents: Column) -> Column:
+    """L-8: a soft coordinate warning where a text matched wholly."""
+    whole = F.array_max(F.array(*[F.coalesce(p, F.lit(0)) for p in percents])) >= 100
+    return F.coalesce(F.upper(F.trim(status)) == "MISMATCH_WARN", F.lit(False)) & whole
+
+
+def executed(ids: DataFrame, results: DataFrame, stage: str) -> DataFrame:
+    """C-16: addresses whose stage wasn't skipped; those without a result count as executed."""
+    skipped = results.filter((F.col("stage") == stage) & (F.col("status") == "skipped")).select("address_id")
+    return ids.join(skipped, "address_id", "left_anti")
+
+
+def best_coordinates(rows: DataFrame, threshold: int = 90) -> DataFrame:
+    """C-40: ``lat``, ``lon`` and their ``origin``, from the first source in order that is sure enough and has a valid pair.
+
+    Sources are struct columns with ``lat`` and ``lon``: agent2 (with status, score), final_result and final_meta (with
+    final_score on the row), validator (with score and, on the row, validator_score of its chosen result), parcel (with
+    source, status, score), then validated, stored, final_meta, final_result and source at any score. Null structs are
+    skipped.
+    """
+    c = F.col
+    percent = lambda v: conf.as_percent(v) >= threshold
+    works = lambda v: ~F.lower(F.trim(F.coalesce(v, F.lit("")))).isin("failed", "error", "skipped")
+    final_sure = percent(c("final_score"))
+    order = [
+        ("agent2", works(c("agent2.status")) & percent(c("agent2.score"))),
+        ("final_result", final_sure),
+        ("final_meta", final_sure),
+        ("validator", percent(c("validator.score")) | percent(c("validator_score"))),
+        ("parcel", (F.lower(F.trim(F.coalesce("parcel.source", F.lit("")))) == "regrid") & works(c("parcel.status")) & percent(c("parcel.score"))),
+        *[(name, F.lit(True)) for name in ("validated", "stored", "final_meta", "final_result", "source")],
+    ]
+    tried = [F.when(sure & geo.valid_pair(c(f"{name}.lat"), c(f"{name}.lon")), F.struct(c(f"{name}.lat").alias("lat"), c(f"{name}.lon").alias("lon"), F.lit(name).alias("origin"))) for name, sure in order]
+    best = F.coalesce(*tried)
+    return rows.withColumns({"lat": best["lat"], "lon": best["lon"], "origin": best["origin"]})
+
+
+#: How exact types of addresses and of locations are.
+ADDRESS_TYPE_QUALITY = {
+    "street_address": 100, "premise": 95, "subpremise": 92, "house": 90, "residential": 88, "building": 85, "establishment": 75, "point_of_interest": 70, "route": 45, "road": 45,
+    "intersection": 40, "postal_code": 25, "neighborhood": 20, "locality": 15, "administrative_area_level_1": 10, "administrative_area_level_2": 10, "country": 5,
+}
+LOCATION_TYPE_QUALITY = {"ROOFTOP": 100, "RANGE_INTERPOLATED": 80, "GEOMETRIC_CENTER": 55, "APPROXIMATE": 30}
+
+
+def _quality(key: Column, table: dict[str, int]) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key], F.lit(0))
+
+
+def geocode_rank(line: Column, found: Column, percent: Column) -> Column:
+    """G-3: what orders two geocodes (structs ``house``, ``road``, ``types``, ``location_type``) of a line: equal house numbers, percent, best type, completeness, location."""
+    types = F.transform(F.coalesce(found["types"], F.array().cast("array<string>")), lambda t: _quality(F.lower(F.trim(t)), ADDRESS_TYPE_QUALITY))
+    equal = text.house_numbers_equal(text.house_number(line), found["house"])
+    has = lambda v: F.trim(F.coalesce(v, F.lit(""))) != ""
+    return F.struct(
+        F.coalesce(equal, F.lit(False)).cast("int").alias("house"),
+        F.coalesce(percent.cast("int"), F.lit(0)).alias("percent"),
+        F.coalesce(F.array_max(types), F.lit(0)).alias("type"),
+        (has(found["house"]) & has(found["road"])).cast("int").alias("complete"),
+        _quality(F.upper(F.trim(found["location_type"])), LOCATION_TYPE_QUALITY).alias("location"),
+    )
+
+
+def choose_geocode(rows: DataFrame) -> DataFrame:
+    """G-4: ``direction`` of the geocode that counts, of the structs ``reverse`` and ``forward`` with ``reverse_percent`` and ``forward_percent``.
+
+    By rank, equals to forward; rows marked ``coordinate_driven`` take reverse where it is there; without any, null.
+    """
+    c = F.col
+    ahead = geocode_rank(c("line"), c("reverse"), c("reverse_percent")) > geocode_rank(c("line"), c("forward"), c("forward_percent"))
+    both = c("reverse").isNotNull() & c("forward").isNotNull()
+    only = F.when(c("reverse").isNotNull(), "reverse").when(c("forward").isNotNull(), "forward")
+    return rows.withColumn("direction", F.when(both & ~F.coalesce("coordinate_driven", F.lit(False)), F.when(ahead, "reverse").otherwise("forward")).otherwise(only))
+
+
+def final_geocoder_score(score: Column, location_type: Column, percent: Column, required: int = 100, cap: float = 35.0) -> Column:
+    """J-31: the score of a rooftop result whose text matches as required; others have ``cap`` at most."""
+    sure = (F.upper(F.trim(location_type)) == "ROOFTOP") & (F.coalesce(percent, F.lit(0)) >= required)
+    return F.when(F.coalesce(sure, F.lit(False)), score.cast("double")).otherwise(F.least(score.cast("double"), F.lit(cap)))

@@ -381,6 +381,85 @@ def validator_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_gates(rows).select("o_orderkey", "gated_score", "gated_status")
 
 
+_M = "('MATCH', 'AUTO_ACCEPT')"
+
+
+@query(f"""WITH {SCORES}, {LATEST}, {_WIDE}, f AS (SELECT address_id, CASE WHEN address_id % 41 = 0 THEN 'duplicate' WHEN agent1_status IN {_M} AND coalesce(agent1_score, 0) >= CASE WHEN address_id % 3 = 0 THEN 60 ELSE 70 END THEN 'verified'
+  WHEN agent5_status = 'REJECT' THEN 'invalid' WHEN agent5_status IS NOT NULL AND agent5_score >= CASE WHEN address_id % 5 = 0 THEN 40 ELSE 70 END THEN 'verified' ELSE 'invalid' END AS flow_status FROM wide)
+SELECT address_id, flow_status, CASE flow_status WHEN 'verified' THEN 'valid' ELSE flow_status END AS rule_status FROM f""")
+def flow_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("address_id")
+    of = {"first_status": "agent1_status", "first_score": "agent1_score", "final_status": "agent5_status", "final_score": "agent5_score"}
+    rows = stage_left_joins(spark, sf_dir).withColumnsRenamed({v: n for n, v in of.items()})
+    rows = rows.withColumns({"sticky_duplicate": k % 41 == 0, "first_threshold": F.when(k % 3 == 0, 60), "final_threshold": F.when(k % 5 == 0, 40), "default_score": F.lit(0)})
+    return rules.flow_status(rows).select("address_id", "flow_status", "rule_status")
+
+
+@query("""SELECT o_orderkey, o_orderkey % 3 = 0 AND greatest(o_orderkey % 101, o_orderkey % 7 * 20, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 90 END, 0)) >= 100 AS exact_warning FROM orders""")
+def exact_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    status = F.when(k % 3 == 0, " mismatch_warn ").when(k % 3 == 1, "MATCH")
+    return table(spark, sf_dir, "orders").select(k, rules.exact_with_warning(status, k % 101, k % 7 * 20, F.when(k % 2 == 0, 90)).alias("exact_warning"))
+
+
+@query(f"WITH {SCORES}, {LATEST} SELECT c_custkey AS address_id FROM customer WHERE c_custkey NOT IN (SELECT address_id FROM latest WHERE stage = 'agent5' AND status = 'REJECT')")
+def executed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = latest(spark, sf_dir).withColumn("status", F.when(F.col("status") == "REJECT", "skipped").otherwise(F.col("status")))
+    return rules.executed(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("address_id")), results, "agent5")
+
+
+@query(f"""WITH {ADDRESSES}, t AS (SELECT id, [CASE WHEN id % 2 = 0 AND id % 3 <> 0 AND (id % 101 >= 90 OR id % 101 = 1) THEN {{'o': 'agent2', 'y': lat, 'x': lon}} END, CASE WHEN id % 97 >= 90 OR id % 97 = 1 THEN {{'o': 'final_result', 'y': 0.0::DOUBLE, 'x': lon}} END, CASE WHEN id % 97 >= 90 OR id % 97 = 1 THEN {{'o': 'final_meta', 'y': lat + 1, 'x': lon}} END,
+  CASE WHEN id % 89 >= 85 OR id % 89 = 6 OR id % 5 = 0 THEN {{'o': 'validator', 'y': CASE WHEN id % 7 <> 0 THEN lat + 2 END, 'x': lon}} END, CASE WHEN id % 4 = 0 THEN {{'o': 'parcel', 'y': lat + 3, 'x': lon}} END, {{'o': 'validated', 'y': CASE WHEN id % 11 = 0 THEN lat + 4 END, 'x': lon}}, {{'o': 'stored', 'y': lat, 'x': lon}}, {{'o': 'final_meta', 'y': lat + 1, 'x': lon}}, {{'o': 'source', 'y': 1.0::DOUBLE, 'x': 1.0::DOUBLE}}] AS t FROM addr),
+b AS (SELECT id, list_filter(t, lambda s: s IS NOT NULL AND s.y BETWEEN -90 AND 90 AND s.y <> 0)[1] AS b FROM t) SELECT id, b.y AS lat, b.x AS lon, b.o AS origin FROM b""")
+def best_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, y, x = F.col("id"), F.col("lat"), F.col("lon")
+    at = lambda lat, **more: F.struct(lat.alias("lat"), x.alias("lon"), *[v.alias(n) for n, v in more.items()])
+    rows = addresses(spark, sf_dir).select(
+        "id",
+        F.when(k % 2 == 0, at(y, status=F.when(k % 3 == 0, "Failed").otherwise("ok"), score=k % 101)).alias("agent2"),
+        at(F.lit(0.0)).alias("final_result"), at(y + 1).alias("final_meta"), (k % 97).alias("final_score"),
+        at(F.when(k % 7 != 0, y + 2), score=k % 89 + F.when(k % 89 >= 85, 5).otherwise(-5)).alias("validator"), F.when(k % 5 == 0, 95).alias("validator_score"),
+        at(y + 3, source=F.when(k % 4 == 0, "Regrid").otherwise("county"), status=F.lit(None).cast("string"), score=F.lit(0.92)).alias("parcel"),
+        at(F.when(k % 11 == 0, y + 4)).alias("validated"), at(y).alias("stored"), F.struct(F.lit(1.0).alias("lat"), F.lit(1.0).alias("lon")).alias("source"),
+    )
+    return rules.best_coordinates(rows).select("id", "lat", "lon", "origin")
+
+
+@query("""WITH g AS (SELECT c_custkey, c_custkey % 3 AS h, c_custkey % 13 AS m, c_custkey % 4 AS a, c_custkey % 5 AS b FROM customer),
+r AS (SELECT *, [(h = 0)::INT, (50 + a)::INT, [100, 45, 15, 0][a + 1], (a <> 1)::INT, [100, 80, 30, 0, 55][b + 1]] AS rev, [(h <> 2)::INT, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 51 END, [95, 90, 0, 45, 20][b + 1], 1, [100, 80, 30, 0][a + 1]] AS fwd FROM g)
+SELECT c_custkey, CASE WHEN m = 0 AND b = 0 THEN NULL WHEN m = 0 THEN 'forward' WHEN b = 0 AND m < 4 THEN 'reverse' WHEN c_custkey % 17 = 0 THEN 'reverse' WHEN rev > fwd THEN 'reverse' ELSE 'forward' END AS direction FROM r""")
+def chosen_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (k % n + 1).cast("int"))
+    number = lambda same: F.when(same, "12").otherwise("14")
+    found = lambda house, road, kind, place: F.struct(house.alias("house"), road.alias("road"), F.array(F.lit("other"), kind).alias("types"), place.alias("location_type"))
+    reverse = found(number(k % 3 == 0), F.when(k % 4 != 1, "OAK ST"), pick(4, "street_address", " Route ", "locality", "nothing"), pick(5, "rooftop", "RANGE_INTERPOLATED", "APPROXIMATE", "X", "GEOMETRIC_CENTER"))
+    forward = found(number(k % 3 != 2), F.lit("OAK ST"), pick(5, "premise", "house", "x", "road", "neighborhood"), pick(4, "ROOFTOP", "RANGE_INTERPOLATED", "APPROXIMATE", "X"))
+    rows = table(spark, sf_dir, "customer").select(
+        k, F.lit("12 Oak St").alias("line"), F.when(k % 13 != 0, reverse).alias("reverse"), F.when(~((k % 5 == 0) & (k % 13 < 4)), forward).alias("forward"),
+        (50 + k % 4).alias("reverse_percent"), F.when(k % 7 != 0, 51).alias("forward_percent"), (k % 17 == 0).alias("coordinate_driven"),
+    )
+    return rules.choose_geocode(rows).select("c_custkey", "direction")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN (o_orderkey % 100)::DOUBLE ELSE least((o_orderkey % 100)::DOUBLE, 35.0::DOUBLE) END AS score FROM orders")
+def geocoder_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    place = F.when(k % 3 == 0, " rooftop ").when(k % 3 == 1, "APPROXIMATE")
+    percent = F.when(k % 2 == 0, 100).when(k % 5 == 0, 99)
+    return table(spark, sf_dir, "orders").select(k, rules.final_geocoder_score(k % 100, place, percent).alias("score"))
+
+
+@query(r"""WITH h AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'x-amrc-1' WHEN 1 THEN 'FL1234ABC ABCDTX' WHEN 2 THEN 'abcdtx ' || c_custkey::VARCHAR WHEN 3 THEN 'n/a' ELSE c_mktsegment END || ' ' || c_name AS h FROM customer),
+u AS (SELECT c_custkey, upper(h) AS h FROM h)
+SELECT c_custkey, CASE WHEN contains(h, 'AMRC') THEN 'Americus' END AS city, CASE WHEN contains(h, 'AMRC') THEN 'GA' ELSE coalesce(nullif(regexp_extract(h, '\b([A-Z]{2})\d{3,}[A-Z]{3,}\b', 1), ''), nullif(regexp_extract(h, '\b[A-Z]{4}([A-Z]{2})\b', 1), '')) END AS state FROM u""")
+def place_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    first = F.when(k % 5 == 0, "x-amrc-1").when(k % 5 == 1, "FL1234ABC ABCDTX").when(k % 5 == 2, F.concat(F.lit("abcdtx "), k.cast("string"))).when(k % 5 == 3, "n/a").otherwise(F.col("c_mktsegment"))
+    city, state = mapping.place_hint(first, F.col("c_name"))
+    return table(spark, sf_dir, "customer").select(k, city.alias("city"), state.alias("state"))
+
+
 # metrics and exports
 
 
@@ -703,7 +782,7 @@ def unconfirmed_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.without_unconfirmed(rows, latest(spark, sf_dir))[0].select("id", "raw_address")
 
 
-_FOUND = "CASE WHEN id % 2 = 0 THEN raw_address || ' UNIT ' || (id % 35)::VARCHAR ELSE raw_address END"
+_FOUND = "CASE WHEN id % 2 = 0 THEN raw_address || CASE file_role WHEN 'geospatial' THEN ' LOT ' ELSE ' UNIT ' END || (id % 5)::VARCHAR ELSE raw_address END"
 
 
 @query(f"""WITH RECURSIVE {ADDRESSES}, a AS (SELECT id, {_FOUND} AS address, lat, lon, {key_sql(_FOUND)} AS key, file_role FROM addr), k AS (SELECT * FROM a WHERE file_role = 'tabular'),
@@ -716,7 +795,7 @@ g AS (SELECT 0::BIGINT AS turn, [{{'id': 0::BIGINT, 'key': NULL::VARCHAR, 'lat':
 n AS (SELECT unnest(list_transform(kept, lambda x: x.id)) AS id FROM g WHERE turn = (SELECT max(turn) FROM g))
 SELECT id, key, coalesce(early, CASE WHEN id IN (SELECT id FROM n) THEN 'new' ELSE 'repeated' END) AS outcome FROM o""")
 def discovery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit = F.concat("raw_address", F.lit(" UNIT "), (F.col("id") % 35).cast("string"))
+    unit = F.concat("raw_address", F.when(F.col("file_role") == "geospatial", " LOT ").otherwise(" UNIT "), (F.col("id") % 5).cast("string"))
     a = addresses(spark, sf_dir).withColumn("address", F.when(F.col("id") % 2 == 0, unit).otherwise(F.col("raw_address")))
     found = spatial.in_polygons(a.filter("file_role = 'geospatial'"), RINGS)
     return stages.new_geocodes(found, a.filter("file_role = 'tabular'"))
