@@ -782,7 +782,7 @@ def unconfirmed_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.without_unconfirmed(rows, latest(spark, sf_dir))[0].select("id", "raw_address")
 
 
-_FOUND = "CASE WHEN id % 2 = 0 THEN raw_address || CASE file_role WHEN 'geospatial' THEN ' LOT ' ELSE ' UNIT ' END || (id % 5)::VARCHAR ELSE raw_address END"
+_FOUND = "CASE WHEN id % 2 = 0 AND file_role = 'geospatial' THEN 'LOT ' || city ELSE raw_address END"
 
 
 @query(f"""WITH RECURSIVE {ADDRESSES}, a AS (SELECT id, {_FOUND} AS address, lat, lon, {key_sql(_FOUND)} AS key, file_role FROM addr), k AS (SELECT * FROM a WHERE file_role = 'tabular'),
@@ -795,8 +795,8 @@ g AS (SELECT 0::BIGINT AS turn, [{{'id': 0::BIGINT, 'key': NULL::VARCHAR, 'lat':
 n AS (SELECT unnest(list_transform(kept, lambda x: x.id)) AS id FROM g WHERE turn = (SELECT max(turn) FROM g))
 SELECT id, key, coalesce(early, CASE WHEN id IN (SELECT id FROM n) THEN 'new' ELSE 'repeated' END) AS outcome FROM o""")
 def discovery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit = F.concat("raw_address", F.when(F.col("file_role") == "geospatial", " LOT ").otherwise(" UNIT "), (F.col("id") % 5).cast("string"))
-    a = addresses(spark, sf_dir).withColumn("address", F.when(F.col("id") % 2 == 0, unit).otherwise(F.col("raw_address")))
+    lot = F.when((F.col("id") % 2 == 0) & (F.col("file_role") == "geospatial"), F.concat(F.lit("LOT "), "city")).otherwise(F.col("raw_address"))
+    a = addresses(spark, sf_dir).withColumn("address", lot)
     found = spatial.in_polygons(a.filter("file_role = 'geospatial'"), RINGS)
     return stages.new_geocodes(found, a.filter("file_role = 'tabular'"))
 
