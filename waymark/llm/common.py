@@ -35,6 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder; partitions and the order of their rows stay."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(c, UPPER, UPPER.lower())
