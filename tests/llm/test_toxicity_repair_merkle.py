@@ -181,7 +181,7 @@ def test_repair_edges(spark):
     big = [((1 << 60) + 1, 0, "user", "A."), ((1 << 60) + 1, 0, "user", "A."), ((1 << 60) + 1, (1 << 60) + 3, "assistant", "B."), (None, None, "user", "A."), (None, None, "assistant", "A.")]
     for limits in (repair.Limits(), repair.Limits(1, 10**6)):
         got = {r.conv_id: r for r in repair.repair(spark.createDataFrame(big, CONVERSATIONS), damage=False, limits=limits).collect()}
-        assert got[(1 << 60) + 1].duplicate == 1 and got[(1 << 60) + 1].gaps == (1 << 60) + 2 and got[(1 << 60) + 1].audit == "DKK"
+        assert got[(1 << 60) + 1].duplicate == 1 and got[(1 << 60) + 1].gaps == (1 << 60) + 2 and got[(1 << 60) + 1].audit == "KDK"
         assert got[None].gaps == 0 and got[None].audit == "RR"
 
 

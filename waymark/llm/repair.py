@@ -208,11 +208,11 @@ def whole(rows: list[tuple]) -> tuple[np.ndarray, tuple]:
     return codes, (gaps, blank, duplicate, int((codes & TRUNCATED > 0).sum()), sum(p not in LEGAL for p in zip(first, first[1:])))
 
 
-def in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[object, list[tuple]]]]:
-    """Lists of (conv_id, rows that aren't gone) of whole conversations; the last one waits for the next batch."""
-    open_id, open_rows, begun = None, [], False
+def in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.DataType, list[tuple[object, list[tuple]]]]]:
+    """The type of ids and lists of (conv_id, rows that aren't gone) of whole conversations; the last one waits for the next batch."""
+    open_id, open_rows, begun, kind = None, [], False, pa.null()
     for batch in batches:
-        done = []
+        done, kind = [], batch.schema.field(0).type
         for conv, turn, role, text, gone in zip(*(c.to_pylist() for c in batch.columns)):
             if begun and conv != open_id:
                 done.append((open_id, open_rows))
@@ -221,18 +221,18 @@ def in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[object,
             if not gone:
                 open_rows.append((turn, role, text))
         if done:
-            yield done
+            yield kind, done
     if begun:
-        yield [(open_id, open_rows)]
+        yield kind, [(open_id, open_rows)]
 
 
 def repair_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for conversations in in_batches(batches):
+    for kind, conversations in in_batches(batches):
         coded = [whole(rows) for _, rows in conversations]
         n = len(coded)
         letters, costs, _ = edits([c for c, _ in coded], np.repeat(END[:, None], n, 1), np.zeros(n, np.int64), True)
         hashes = [sha256("\n".join(repaired([r for _, r, _ in rows], [t for _, _, t in rows], x, 0)).encode()).hexdigest() for (_, rows), x in zip(conversations, letters)]
-        columns = [pa.array([c for c, _ in conversations]), *(pa.array(list(x), pa.int64()) for x in zip(*(counts for _, counts in coded))), pa.array(costs), pa.array([x.decode() for x in letters]), pa.array(hashes)]
+        columns = [pa.array([c for c, _ in conversations], kind), *(pa.array(list(x), pa.int64()) for x in zip(*(counts for _, counts in coded))), pa.array(costs), pa.array([x.decode() for x in letters]), pa.array(hashes)]
         yield pa.RecordBatch.from_arrays(columns, names=["conv_id", *COUNTS, "cost", "audit", "repaired_sha256"])
 
 
