@@ -190,6 +190,52 @@ def test_no_part_of_a_secret_is_left_and_kinds_stay():
     assert n == 6 and "Annabell" in made and not re.search(r"\b(Keller|Anna|Paul|Weber)\b", made)
 
 
+@pytest.mark.parametrize("n", [250, 300, 400, 1000, 3000, 5000])
+def test_long_values_share_no_run_with_their_surrogates(n):
+    """No four characters in place beyond chance: about n / 16^4 for hex digits, less for mixed ones."""
+    rng = random.Random(n)
+    mixed, hexed = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n)), "".join(rng.choices("0123456789abcdef", k=n))
+    for text, own in ((f"token={mixed}", mixed), (f"key {hexed} .", hexed), (f"{mixed}@{hexed[:200]}.example.com", mixed)):
+        made, count = pii.replaced(text, b"k", {})
+        at = text.index(own)
+        same = [x == y for x, y in zip(own, made[at : at + n], strict=True)]
+        assert count == 1 and len(made) == len(text) and sum(all(same[i : i + 4]) for i in range(n - 3)) <= 2
+
+
+def test_one_person_has_one_surrogate_and_all_keys_are_found():
+    for names in (("Mr. Tom Hall", "Dr. Tom Hall", "Prof. Tom Hall", "Mrs. Tom Hall"), ("Herr Paul Weber", "Dr. Paul Weber", "Paul Weber")):
+        assert len({" ".join(pii.replaced(x, b"k", {})[0].split()[-2:]) for x in names}) == 1
+        made, n = pii.replaced(" and ".join(names), b"k", {})
+        assert n == len(names) and len({" ".join(x.split()[-2:]) for x in made.split(" and ")}) == 1
+    for text, own in (("use sk-" + "abcdEFGH" * 3 + " now", "abcdEFGH"), ("see ghp_" + "abcDEF" * 6 + " there", "abcDEF"), ("with AKIA" + "QWERTYUIOPASDFGH" + " end", "QWERTYUIOP"), ("my password: hunter22 it is", "hunter22")):
+        made, n = pii.replaced(text, b"k", {})
+        assert n == 1 and own not in made
+    for name in ("Łukasz Żak", "Liam O'Brien", "Ian McDonald", "Zoë Müller", "Şule Çiçek"):
+        made, n = pii.replaced(f"Mr. {name} came.", b"k", {})
+        assert n == 1 and made.startswith("Mr. ") and made.endswith(" came.") and not set(made.split()[1:3]) & set(name.split())
+    assert pii.replaced("the secret: nothing happened, password: unknown", b"k", {})[1] == 0
+
+
+def test_planted_entities_are_gone(spark):
+    """Against the list of what was planted, not the detector."""
+    rng = random.Random(5)
+    pick = lambda a, n: "".join(rng.choices(a, k=n))
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    planted, texts = [], []
+    for i in range(120):
+        own = [f"{pick(low, 7)}.{i}@{pick(low, 6)}.example.org", f"+1 (555) {pick(digits, 3)}-{pick(digits, 4)}", f"9.{rng.randrange(1, 250)}.{rng.randrange(250)}.{i}", pick("0123456789abcdef", 39) + "7", f"4{pick(digits, 15)}", f"{pick(digits, 3)}-{pick(digits, 2)}-{pick(digits, 4)}"]
+        surname = f"{pick('BCDFG', 1)}{pick(low, 6)}x"
+        words = [pick(low, rng.randint(2, 9)) for _ in range(40)]
+        for x in [*own, f"Mr. {pick('KLMN', 1)}{pick(low, 5)} {surname}", surname]:
+            words.insert(rng.randrange(len(words)), x)
+        planted.append([*own, surname])
+        texts.append(" ".join(words))
+    out = {r.doc_id: r.text for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"k").collect()}
+    for i, own in enumerate(planted):
+        assert not [x for x in own if x in out[i]]
+    assert len(set(out.values())) == 120
+
+
 def test_surrogates_of_the_whole_corpus(spark, corpus):
     """Different entities stay different, equal ones equal, and no text holds an entity of its own original."""
     before = {r.doc_id: r.text for r in corpus.collect()}

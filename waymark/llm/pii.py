@@ -2,7 +2,9 @@
 
 Detected entities get keyed replacements of the same kind, script and format: digits for digits, letters for letters of
 the same case, an address of the same kind of network, a card number of the same issuer and a bank account of the same
-country whose check digits are right where the original's are, a given name of the same gender and script. The mapping is
+country whose check digits are right where the original's are, a listed given name of the same gender and script. A given
+name that isn't listed gets letters of its own kinds instead: its gender may be told by a title in one text and not in
+the next, and one person must have one surrogate; titles stay. The mapping is
 a keyed permutation of all strings of one format (a Feistel network, walked until it stays in the format's range), so
 different originals stay different, and one original gets one surrogate in every text and on every executor without a
 lookup. Given names come from short lists,
@@ -13,8 +15,7 @@ distinct by construction, so the check ends however many given names share a sur
 A name is found by its title, with up to three capitalised words after it, or by a listed given name before a
 capitalised word; further whole-word mentions of its given name and surname in the same text, written as there or in
 capitals, get the same surrogates, also those before it. Not detected: other names that no title introduces anywhere in
-the text, initials and names with a capital inside (McDonald, O'Brien), other scripts than Latin with Western European
-accents and Cyrillic, phones without separators or a leading plus, IPv6 addresses without a decimal digit, postal
+the text, initials, other scripts than Latin (with accents, to U+017F) and Cyrillic, internationalised domains, phones without separators or a leading plus, IPv6 addresses without a decimal digit, postal
 addresses, and dates.
 """
 
@@ -46,33 +47,38 @@ GIVEN = {
 LIST_TRIES = 8
 #: Endings that no listed name has.
 ENDINGS = {"latin": "en", "cyrillic": "ин"}
-TITLES = {"mr": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "sra": "f", "dr": "", "prof": ""}
+TITLES = ("mr", "herr", "monsieur", "señor", "sr", "mrs", "ms", "miss", "frau", "madame", "mme", "señora", "sra", "dr", "prof")
 #: First and last address of the IPv4 networks that aren't public.
 NETWORKS = [(int(n[0]), int(n[-1])) for n in map(ipaddress.ip_network, ("10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "224.0.0.0/4", "240.0.0.0/4"))]
 LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщъьё")
 ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
-_UP = "A-ZÀ-ÖØ-ÞА-ЯЁ"
-_LOW = "a-zß-öø-ÿа-яё"
+#: Latin Extended-A: letters whose capital is one letter too.
+EXTENDED = "".join(c for c in map(chr, range(0x100, 0x180)) if c.islower() and c.upper() != c and len(c.upper()) == 1 and c.upper().lower() == c)
+_UP = "A-ZÀ-ÖØ-ÞА-ЯЁ" + EXTENDED.upper()
+_LOW = "a-zß-öø-ÿа-яё" + EXTENDED
+NAME_LETTERS = (*LETTERS, ACCENTED, EXTENDED)
+#: A capitalised word of a name.
+_WORD = rf"(?:[OD]['’]|Mc)?[{_UP}][{_LOW}'’-]+"
 
 _HEX = "[0-9A-Fa-f]{1,4}"
 _IPV6 = "|".join([rf"(?:{_HEX}:){{7}}{_HEX}", *(rf"(?:{_HEX}:){{{n}}}(?::{_HEX}){{1,{7 - n}}}" for n in range(6, 0, -1)), rf":(?::{_HEX}){{1,7}}", rf"(?:{_HEX}:){{1,7}}:"])
 
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])",
-    "secret": r"(?:(?<=(?i:password)=)|(?<=(?i:passwd)=)|(?<=(?i:secret)=)|(?<=(?i:token)=)|(?<=(?i:key)=))[0-9A-Za-z_+/=-]{6,}|(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pous]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])|(?<=[=:] [\"'])[0-9A-Za-z_+/=-]{16,}(?=[\"'])|(?<=[=:][\"'])[0-9A-Za-z_+/=-]{16,}(?=[\"'])",
+    "secret": r"(?:(?<=(?i:password)=)|(?<=(?i:passwd)=)|(?<=(?i:secret)=)|(?<=(?i:token)=)|(?<=(?i:key)=))[0-9A-Za-z_+/=-]{6,}|(?:(?<=(?i:password): )|(?<=(?i:passwd): )|(?<=(?i:secret): )|(?<=(?i:token): )|(?<=(?i:key): ))(?=[A-Za-z_+/=-]*[0-9])[0-9A-Za-z_+/=-]{6,}|(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pous]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])|(?<=[=:] [\"'])[0-9A-Za-z_+/=-]{16,}(?=[\"'])|(?<=[=:][\"'])[0-9A-Za-z_+/=-]{16,}(?=[\"'])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)" rf"|(?<![\w:.])(?=[0-9A-Fa-f]{{0,4}}:)(?=[A-Fa-f:]*[0-9])(?:{_IPV6})(?![\w:]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w]|\.\d)|(?<![\w.])\d{4}[ -]\d{6}[ -]\d{5}(?![\w]|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "name": rf"(?<!\w)(?:(?i:{'|'.join(TITLES)}))\.? (?:[{_UP}][{_LOW}'’-]+(?: (?=[{_UP}])|(?![{_LOW}{_UP}]))){{1,3}}",
-    "person": rf"(?<!\w)(?=[{_UP}])(?:{'|'.join(n for own in GIVEN.values() for n in own)}) [{_UP}][{_LOW}]+(?!\w)",
+    "name": rf"(?<!\w)(?:(?i:{'|'.join(TITLES)}))\.? (?:{_WORD}(?: (?=[{_UP}])|(?![{_LOW}{_UP}]))){{1,3}}",
+    "person": rf"(?<!\w)(?=[{_UP}])(?:{'|'.join(n for own in GIVEN.values() for n in own)}) (?:[OD]['’]|Mc)?[{_UP}][{_LOW}]+(?!\w)",
 }
 ANY = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
 #: What follows a name and isn't of it: a genitive, a quote or dash, a space.
 AFTER = re.compile(r"(?:['’]s)?['’ -]*$")
 #: What a text must hold to have any entity.
-MAYBE = re.compile(rf"[0-9@=]|: ?[\"']|(?<!\w)(?i:{'|'.join(TITLES)})\.? [{_UP}]|" + PATTERNS["person"])
+MAYBE = re.compile(rf"[0-9@=]|: ?[\"']|gh[pous]_|sk-|AKIA|(?<!\w)(?i:{'|'.join(TITLES)})\.? [{_UP}]|" + PATTERNS["person"])
 
 Entity = tuple[str, str]  # kind and canonical value
 
@@ -87,7 +93,10 @@ class Permutation:
 
     def _round(self, i: int, x: int) -> int:
         size = -(-self.half // 8)
-        digest = hashlib.blake2b(x.to_bytes(size, "big"), key=self.keys[i], digest_size=min(64, size + 8)).digest()
+        if size + 8 <= 64:
+            digest = hashlib.blake2b(x.to_bytes(size, "big"), key=self.keys[i], digest_size=size + 8).digest()
+        else:  # as wide as the half, however long the value is
+            digest = hashlib.shake_256(self.keys[i] + x.to_bytes(size, "big")).digest(size + 8)
         return int.from_bytes(digest, "big") & ((1 << self.half) - 1)
 
     def _walk(self, x: int, back: bool) -> int:
@@ -165,10 +174,9 @@ def canonical(kind: str, found: str) -> str:
     if kind == "ip" and ":" in found:
         return ipaddress.ip_address(found).exploded
     if kind in ("name", "person"):
-        title, rest = ("", found.split()) if kind == "person" else (found.split()[0], found.split()[1:])
+        rest = found.split()[kind == "name" :]  # a title isn't of the person: Mr. and Dr. of one name are one
         given = rest[0].lower() if len(rest) > 1 else ""
-        gender = next((g for (_, g), names in GIVEN.items() if given.title() in names), TITLES.get(title.rstrip(".").lower(), ""))
-        return f"{gender}|{given}|{' '.join(rest[bool(given) :]).lower()}"
+        return f"{given}|{' '.join(rest[bool(given) :]).lower()}"
     return found
 
 
@@ -176,13 +184,13 @@ def entity_of(kind: str, found: str) -> Entity:
     return "name" if kind == "person" else kind, canonical(kind, found)
 
 
-def given_name(given: str, gender: str, key: bytes, attempt: int) -> str:
-    """A given name of the same gender and script; after ``LIST_TRIES`` attempts, one that no other given name gets."""
+def given_name(given: str, key: bytes, attempt: int) -> str:
+    """A given name of the same gender and script; for one that isn't listed, and after ``LIST_TRIES`` attempts, one that no other given name gets."""
     script = "cyrillic" if re.search("[а-яё]", given) else "latin"
-    if attempt >= LIST_TRIES:
-        return like(given, key, "given", alphabets=(*LETTERS, ACCENTED)) + ENDINGS[script]
-    gender = next((g for (s, g), names in GIVEN.items() if s == script and given.title() in names), gender)
-    names = sorted({n for (s, g), own in GIVEN.items() if s == script and g in (gender or "fm") for n in own} - {given.title()})
+    gender = next((g for (s, g), names in GIVEN.items() if s == script and given.title() in names), None)
+    if gender is None or attempt >= LIST_TRIES:
+        return like(given, key, "given", alphabets=NAME_LETTERS) + ENDINGS[script]
+    names = sorted(set(GIVEN[(script, gender)]) - {given.title()})
     digest = hashlib.blake2b(f"given|{script}|{gender}|{given}|{attempt}".encode(), key=key, digest_size=8).digest()
     return names[int.from_bytes(digest, "big") % len(names)].lower()
 
@@ -225,8 +233,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         head = re.match("AKIA|gh[pous]_|sk-|", value)[0]
         return head + like(value[len(head) :], key, f"{tweak}/{head}", alphabets=("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     if kind in ("name", "person"):
-        gender, given, surname = value.split("|")
-        return f"{gender}|{given and given_name(given, gender, key, attempt)}|{like(surname, key, 'surname', alphabets=LETTERS)}"
+        given, surname = value.split("|")
+        return f"{given and given_name(given, key, attempt)}|{like(surname, key, 'surname', alphabets=NAME_LETTERS)}"
     return like(value, key, tweak)
 
 
@@ -244,7 +252,7 @@ def rendered(kind: str, found: str, made: str) -> str:
         return "".join(m.upper() if c.isupper() else m for c, m in zip(found, made, strict=True))
     if kind in ("name", "person"):
         title = found.split()[:1] if kind == "name" else []
-        _, given, surname = made.split("|")
+        given, surname = made.split("|")
         return " ".join([*title, *([given.title()] if given else []), *[s.title() for s in surname.split()]])
     return made
 
