@@ -478,6 +478,69 @@ def test_jaccard_edges(spark):
     assert jaccard.jaccard_components(awkward(spark).limit(0)).count() == 0
     assert jaccard.one_of_each(awkward(spark)).columns == awkward(spark).columns
     assert sorted(r.doc_id or 0 for r in jaccard.one_of_each(awkward(spark)).collect()) == [0, 1, 2, 3, 4, 5]
+    assert jaccard.one_of_each(awkward(spark).limit(0)).count() == 0
+
+
+def repeated_rows(seed, percent):
+    """Ids on up to three rows, with texts near each other's or unrelated, equal, empty or null; rows without id."""
+    rng, rows = random.Random(seed), []
+    for _ in range(30):
+        base = [f"w{rng.randint(0, 200)}" for _ in range(rng.choice([3, 12, 40, 90]))]
+        for _ in range(rng.randint(1, 6)):
+            own = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                own[rng.randrange(len(own))] = f"z{rng.randint(0, 9)}"
+            rows.append((rng.choice([None, *range(60)]) if rng.random() < 0.7 else 100 + len(rows), " ".join(own)))
+    return rows + [(7, None), (7, ""), (8, ""), (8, ""), (None, None)]
+
+
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_repeated_ids_lose_no_link(spark, n, percent):
+    for seed in range(2):
+        rows = repeated_rows(seed, percent)
+        by_row = components_by_brute_force(dict(enumerate(t for _, t in rows)), n, percent)
+        up = {i: i for i, _ in rows if i is not None}
+
+        def find(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a in range(len(rows)):
+            for b in range(a):
+                if rows[a][0] is not None and rows[b][0] is not None:
+                    one, two = (components_by_brute_force({0: rows[x][1]}, n, percent)[0][0] for x in (a, b))
+                    if one and two and components_by_brute_force({0: rows[a][1], 1: rows[b][1]}, n, percent)[1][1] == 0:
+                        x, y = find(rows[a][0]), find(rows[b][0])
+                        up[max(x, y)] = min(x, y)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, n, percent).collect() if r.doc_id is not None)
+        assert got == sorted((i, by_row[k][0], find(i)) for k, (i, _) in enumerate(rows) if i is not None)
+
+
+def test_one_of_each_deletes_linked_texts_only(spark):
+    a, b, c = ("one two three four five six seven eight nine ten", "alpha beta gamma delta epsilon zeta eta theta iota", "p q r s t u v w x y z")
+    near = " ".join([*["same"] * 30, *(f"v{k}" for k in range(60))])
+    rows = [(5, a), (5, b), (6, b), (6, c), (7, None), (7, None), (8, near + " x"), (8, near + " y"), (9, near), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("k"), F.lit(1))).withColumn("a.b", F.lit(1)).withColumn("n", F.lit(2))
+    out = jaccard.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id or 0), r.text or "") for r in out.collect())
+    last = sorted((near + " x", near + " y"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())[0]
+    assert got == sorted([(0, a), (0, a), (5, a), (5, b), (6, c), (7, ""), (7, ""), (8, last)])
+    single = docs.filter("doc_id in (5, 6, 9)").dropDuplicates(["doc_id"])
+    assert jaccard.one_of_each(single).count() == 3
+
+
+@pytest.mark.parametrize("around", [64, 4096])
+def test_blocks_by_bytes_give_the_same(spark, monkeypatch, around):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(80)]
+    texts = {k: " ".join(base[:-2] + [f"z{rng.randint(0, 30)}", "end"]) for k in range(40)}
+    monkeypatch.setattr(jaccard, "AROUND_BYTES", around)
+    assert jaccard.seats(40) == 2 and jaccard.sketch_bits(40) > 8 * around
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 5, 80).collect()}
+    assert got == components_by_brute_force(texts, 5, 80)
 
 
 def test_near_sketches_lose_no_link():

@@ -47,8 +47,8 @@ RATIO = 1.5
 BLOCK_SHINGLES = 1_500_000
 #: From this threshold on, keys are parts of sets.
 PARTS_FROM = 85
-#: Documents around a first one that are told apart in one task; more are cut in blocks.
-AROUND = 20_000
+#: Documents around a first one, and bytes of their sketches, that are told apart in one task; more are cut in blocks.
+AROUND, AROUND_BYTES = 20_000, 64 << 20
 #: The bits of a key that name its size class.
 CLASS = np.uint64(63)
 #: Counters in each of two rows, how many of them travel together, and shingles that are counted at a time.
@@ -144,9 +144,19 @@ def keys_of(s: np.ndarray, percent: int, common: np.ndarray | None) -> np.ndarra
     return np.concatenate(out)
 
 
+def sketch_bits(k: int) -> int:
+    """About two hashes for a shingle of a set of class k."""
+    return 64 * -(-int(2 * RATIO ** (k + 1)) // 64)
+
+
+def seats(k: int) -> int:
+    """Sketches of class k that are compared in one task."""
+    return max(2, min(AROUND, AROUND_BYTES * 8 // sketch_bits(k)))
+
+
 def sketch(s: np.ndarray, k: int) -> bytes:
-    """Parities of the numbers of shingles with each hash; about two hashes for a shingle of a set of class k."""
-    bits = 64 * -(-int(2 * RATIO ** (k + 1)) // 64)
+    """Parities of the numbers of shingles with each hash."""
+    bits = sketch_bits(k)
     place = ((s ^ (s >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) >> np.uint64(32)) % np.uint64(bits)
     return np.packbits(np.bincount(place.astype(np.int64), minlength=bits) & 1).tobytes()
 
@@ -319,7 +329,8 @@ def near_links(candidates: DataFrame, sketches: DataFrame, percent: int) -> Data
     them, are compared with as much more slack, blocks with blocks if there are too many of them still.
     """
     candidates = written(candidates, "jaccard-candidates")
-    counts = candidates.groupBy("b", "c").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(AROUND))).cast("int").alias("blocks"))
+    most = F.element_at(F.array(*(F.lit(float(seats(k))) for k in range(int(CLASS) + 1))), (F.col("c") + 1).cast("int"))
+    counts = candidates.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")).select("b", "c", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
     own = candidates.join(counts, ["b", "c"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     heads = counts.withColumn("a", F.col("b")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     seated = own.select("c", "b", "block", "blocks", "a").unionByName(heads.select("c", "b", "block", "blocks", "a"))
@@ -329,7 +340,7 @@ def near_links(candidates: DataFrame, sketches: DataFrame, percent: int) -> Data
     if many.isEmpty():
         return links
     # slack 3: a document to its leader, to the other's leader, and the link itself
-    counts = many.groupBy("b", "c").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(AROUND))).cast("int").alias("n"))
+    counts = many.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")).select("b", "c", F.ceil(F.col("n") / most).cast("int").alias("n"))
     own = many.join(counts, ["b", "c"]).withColumn("i", F.pmod(F.xxhash64("a"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     pair = F.least("i", "j") * F.col("n") + F.greatest("i", "j")
     seated = own.select("c", "b", pair.cast("int").alias("block"), F.lit(1).alias("blocks"), "a").distinct()
@@ -381,6 +392,15 @@ def _near(seated: DataFrame, sketches: DataFrame, percent: int, slack: int) -> D
     return rows.mapInPandas(run, "a long, b long, c long, leader boolean")
 
 
+def repeats_ids(docs: DataFrame, id_col: str) -> bool:
+    return not docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty()
+
+
+def numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` as a table with a number for each row that has an id."""
+    return written(docs.withColumn(f"{OWN}n", F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())), "jaccard-numbered")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
@@ -388,9 +408,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col
     one shingle, a text without words has an empty set and no links. Two texts are linked when 100 * intersection >=
     ``percent`` * union. Rows with one id are linked with each other. A row without id has no component and links
     nothing. Other columns are not read. An empty table gives an empty table.
+
+    Where an id is on several rows, rows are numbered first and compared as texts of their own; their links are joined by
+    id at the end, so none is lost whichever of an id's texts has it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    common = docs.sparkSession.sparkContext.broadcast(None if percent >= PARTS_FROM else commonness(rows.filter("id is not null"), n))
+    if not repeats_ids(rows, "id"):
+        return _components(rows, n, percent)
+    rows = numbered(rows, "id")
+    by_row = _components(rows.select(F.col(f"{OWN}n").alias("id"), "t"), n, percent)
+    nameless = by_row.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    named = rows.select(F.col("id").alias("own"), F.col(f"{OWN}n").alias("doc_id")).join(by_row, "doc_id")
+    named = written(named.select("own", "n_shingles", "component_id"), "jaccard-by-row")
+    least = named.groupBy("component_id").agg(F.min("own").alias("least"))
+    reach = components(named.join(least, "component_id").filter("own <> least").select(F.col("own").alias("a"), F.col("least").alias("b")).distinct())
+    joined = named.join(reach, F.col("own") == F.col("node"), "left").select(F.col("own").alias("doc_id"), "n_shingles", F.coalesce("component", "own").alias("component_id"))
+    return joined.unionByName(nameless)
+
+
+def _components(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """``jaccard_components`` of rows (``id``, ``t``) whose ids are distinct where they aren't null."""
+    common = rows.sparkSession.sparkContext.broadcast(None if percent >= PARTS_FROM else commonness(rows.filter("id is not null"), n))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Kind 0: id and size. Kind 1: key and id, once per batch. Kind 2: ids that share a key with a first of the batch, and the key. Kind 3: whole set (a, c) and id. Kind 4: id, size, class and sketch."""
@@ -502,19 +540,20 @@ def _across_blocks(rows: DataFrame, members: DataFrame, found: DataFrame, n: int
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest of their component, with the columns they have.
+    """The rows that are the first of those linked with each other: by id, then by the SHA-256 of their text; with the columns they have.
 
-    Of rows that repeat an id, which are one component, the one with the smallest text stays. Rows without id stay, as
-    do rows with null or empty texts, which are linked with nothing. An empty table gives an empty table.
+    A row goes only if its own text is linked with one that stays or with others that are linked with that; rows that
+    have nothing but an id in common all stay, of equal rows one stays. Rows without id stay, as do rows with null or
+    empty texts, which are linked with nothing. Columns may have any type and name. An empty table gives an empty table.
     """
-    reach = jaccard_components(docs, n, percent, id_col=id_col, text_col=text_col)
-    gone = reach.filter("component_id <> doc_id").select(F.col("doc_id").alias(f"{OWN}gone")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col(f"{OWN}gone"), "left_anti")
-    repeated = reach.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(f"{OWN}again"))
-    if repeated.isEmpty():
-        return kept
-    repeated = written(repeated, "jaccard-repeated")
-    same = F.col(id_col).cast("long") == F.col(f"{OWN}again")
-    order = F.struct(F.col(text_col), F.xxhash64(*docs.columns))
-    firsts = kept.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias(f"{OWN}id")).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias(f"{OWN}row"))
-    return kept.join(repeated, same, "left_anti").unionByName(firsts.select(f"{OWN}row.*"))
+    if not repeats_ids(docs, id_col):
+        reach = jaccard_components(docs, n, percent, id_col=id_col, text_col=text_col)
+        gone = reach.filter("component_id <> doc_id").select(F.col("doc_id").alias(f"{OWN}gone"))
+        return docs.join(gone, F.col(id_col).cast("long") == F.col(f"{OWN}gone"), "left_anti")
+    rows = numbered(docs, id_col)
+    reach = _components(rows.select(F.col(f"{OWN}n").alias("id"), F.col(text_col).alias("t")), n, percent).filter("doc_id is not null").select("doc_id", "component_id")
+    order = rows.filter(F.col(f"{OWN}n").isNotNull()).select(F.col(f"{OWN}n").alias("doc_id"), F.struct(F.col(id_col).alias("i"), F.sha2(F.col(text_col).cast("binary"), 256).alias("h"), F.col(f"{OWN}n").alias("n")).alias("o"))
+    placed = written(reach.join(order, "doc_id"), "jaccard-placed")
+    firsts = placed.groupBy("component_id").agg(F.min("o").alias("first"))
+    gone = placed.join(firsts, "component_id").filter("first.n <> doc_id").select(F.col("doc_id").alias(f"{OWN}gone"))
+    return rows.join(gone, F.col(f"{OWN}n") == F.col(f"{OWN}gone"), "left_anti").drop(f"{OWN}n")
