@@ -114,12 +114,22 @@ def cell(lat: Column, lon: Column, degrees: float) -> tuple[Column, Column]:
     return F.floor(lat / degrees).cast("long"), F.floor(lon / degrees).cast("long")
 
 
-def quadkey(lat: Column, lon: Column, level: int) -> Column:
-    """D-15: the tile's quadkey in web Mercator."""
+def tile(lat: Column, lon: Column, level: int) -> tuple[Column, Column]:
+    """Column and row of the tile in web Mercator; rows count from the north."""
     n = float(1 << level)
     s = F.sin(F.radians(F.least(F.greatest(lat, F.lit(-85.05112878)), F.lit(85.05112878))))
     clip = lambda v: F.least(F.greatest(F.floor(v * n).cast("int"), F.lit(0)), F.lit((1 << level) - 1))
-    x = clip((lon + 180) / 360)
-    y = clip(0.5 - F.log((1 + s) / (1 - s)) / (4 * F.pi()))
+    return clip((lon + 180) / 360), clip(0.5 - F.log((1 + s) / (1 - s)) / (4 * F.pi()))
+
+
+def quadkey(lat: Column, lon: Column, level: int) -> Column:
+    """D-15: the tile's quadkey in web Mercator."""
+    x, y = tile(lat, lon, level)
     digits = [(F.shiftright(x, i).bitwiseAND(F.lit(1)) + 2 * F.shiftright(y, i).bitwiseAND(F.lit(1))).cast("string") for i in range(level - 1, -1, -1)]
     return F.concat(*digits)
+
+
+def quadkey_at(x: Column, y: Column, level: Column) -> Column:
+    """The quadkey, as long as ``level`` (1 or more), of the tile in that column and row."""
+    bit = lambda v, i: F.call_function("shiftright", v, i).bitwiseAND(F.lit(1))
+    return F.array_join(F.transform(F.sequence(level - 1, F.lit(0), F.lit(-1)), lambda i: (bit(x, i) + 2 * bit(y, i)).cast("string")), "")
