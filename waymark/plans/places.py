@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lines
+from ..operators import linkage
 from ..sources import footprints
 from ..sources.shared import new_folder
 from .queries import query
-from .views import ADDRESSES, addresses, table
+from .views import ADDRESSES, STREETS, addresses, haversine_sql, table
 
 # footprint tiles
 
@@ -135,3 +137,114 @@ def tile_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = keys.select("quadkey", F.explode(F.array(F.lit("United States"), F.lit("Canada"))).alias("location"), F.lit(1).alias("ord")).withColumn("url", F.concat("quadkey", F.lit("/"), "location"))
     sources = footprints.tile_sources(keys.withColumn("preferred", F.lit("Canada")), index, 14)
     return footprints.chosen_regions(points, _footprints(spark, sf_dir), sources, 14)
+
+
+# property records
+
+_STREETS = "(['OAK', 'MAIN', 'HILL', 'LAKE', 'PARK'])"
+_LINES = f"""props AS (
+  SELECT p_partkey AS property_id, CASE WHEN p_partkey % 19 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN (p_partkey % 23 + 1)::VARCHAR || ' ST, ' || (30000 + p_partkey % 25 * 7)::VARCHAR
+      ELSE (p_partkey % 23 + 1)::VARCHAR || CASE WHEN p_partkey % 4 = 0 THEN ' NW ' ELSE ' ' END || {_STREETS}[p_partkey * 3 % 5 + 1] || ' Rd' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ', ' || (30000 + p_partkey % 25 * 7)::VARCHAR END END AS p_line,
+    CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE 32.0::DOUBLE + (p_partkey % 1000) / 10000.0::DOUBLE END AS p_lat, -84.0::DOUBLE - ((p_partkey * 13) % 1000) / 10000.0::DOUBLE AS p_lon FROM part),
+targets AS (
+  SELECT id, CASE WHEN id % 9 = 0 THEN (id % 23 + 1)::VARCHAR || ' road, ' || zip_code || '-0001' ELSE raw_address || ', ' || city || ' ' || zip_code END AS line, lat, lon FROM addr)"""
+_STOP = "['REDDICK', 'FL', 'FLORIDA', 'USA', 'US', 'MARION', 'GA', 'GEORGIA', 'ST', 'STREET', 'RD', 'ROAD', 'DR', 'DRIVE', 'AVE', 'AVENUE', 'TER', 'TERRACE', 'LN', 'LANE', 'CT', 'COURT', 'BLVD', 'BOULEVARD', 'HWY', 'HIGHWAY', 'NW', 'NE', 'SW', 'SE', 'N', 'S', 'E', 'W']"
+
+
+def _line_sql(table_name: str, line: str) -> str:
+    tokens = f"list_distinct(regexp_extract_all(upper({line}), '[A-Z0-9]+'))"
+    return rf"SELECT *, nullif(regexp_extract({line}, '^\s*(\d+)', 1), '') AS num, nullif(regexp_extract({line}, '^\s*\d+\b.*\b(\d{{5}})(-\d{{4}})?\b', 1), '') AS zip, {tokens} AS tok, list_filter({tokens}, lambda t: NOT list_contains({_STOP}, t) AND NOT regexp_full_match(t, '[0-9]+')) AS street FROM {table_name}"
+
+
+_MILES = f"coalesce(round({haversine_sql('t.lat', 't.lon', 'p.p_lat', 'p.p_lon')} / 1609.344, 6), 0.0)"
+_SCORE = "100 + least(len(list_intersect(t.tok, p.tok)) * 5, 40) + CASE WHEN contains(upper(t.line), upper(p.p_line)) OR contains(upper(p.p_line), upper(t.line)) THEN 20 ELSE 0 END"
+_WORDS = "list_has_any(t.street, p.street)"
+_MEETS = f"t.num = p.num AND ({_WORDS} OR (t.zip = p.zip AND (len(t.street) = 0 OR len(p.street) = 0)))"
+
+
+@query(f"""WITH {ADDRESSES}, {_LINES}, t AS ({_line_sql('targets', 'line')}), p AS ({_line_sql('props', 'p_line')}),
+m AS (SELECT id, property_id, ({_SCORE})::INTEGER AS score, {_MILES} AS miles FROM t, p WHERE {_MEETS})
+SELECT id, property_id, score, miles FROM m WHERE miles <= 3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, miles, property_id) = 1""")
+def property_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D-12, I-52: against all pairs in SQL."""
+    return linkage.pick_properties(_targets(spark, sf_dir), _properties(spark, sf_dir), max_miles=3.0)
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("id")
+    bare = F.concat((k % 23 + 1).cast("string"), F.lit(" road, "), "zip_code", F.lit("-0001"))
+    line = F.when(k % 9 == 0, bare).otherwise(F.concat("raw_address", F.lit(", "), "city", F.lit(" "), "zip_code"))
+    return addresses(spark, sf_dir).select("id", line.alias("line"), "lat", "lon")
+
+
+def _properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    number, zip_code = (k % 23 + 1).cast("string"), (30000 + k % 25 * 7).cast("string")
+    street = F.element_at(F.array(*map(F.lit, STREETS)), (k * 3 % 5 + 1).cast("int"))
+    named = F.concat(number, F.when(k % 4 == 0, " NW ").otherwise(" "), street, F.lit(" Rd"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(", "), zip_code)))
+    line = F.when(k % 19 == 0, None).when(k % 7 == 0, F.concat(number, F.lit(" ST, "), zip_code)).otherwise(named)
+    return table(spark, sf_dir, "part").select(k.alias("property_id"), line.alias("line"), F.when(k % 37 != 0, 32.0 + (k % 1000) / 10000.0).alias("lat"), (-84.0 - ((k * 13) % 1000) / 10000.0).alias("lon"))
+
+
+@query(f"""WITH {ADDRESSES}, {_LINES}, own AS (SELECT id, CASE WHEN id % 4 = 1 THEN '99' || substr(line, 1, 1) || ' NOWHERE' ELSE line END AS line, lat, lon, line AS other FROM targets),
+cand AS (SELECT id, 0 AS k, line, lat, lon FROM own WHERE line <> '' UNION ALL SELECT id, 1, other, lat, lon FROM own WHERE id % 2 = 1 AND other <> ''),
+c AS ({_line_sql('cand', 'line')}), t AS ({_line_sql('own', 'line')}), p AS ({_line_sql('props', 'p_line')}),
+l AS (SELECT id, k AS via, property_id, ({_SCORE})::INTEGER AS score, {_MILES} AS miles FROM c AS t, p WHERE {_MEETS} QUALIFY row_number() OVER (PARTITION BY id ORDER BY k, score DESC, miles, property_id) = 1),
+n AS (
+  SELECT id, NULL::INTEGER AS via, property_id, CASE WHEN coalesce(t.line, '') = '' OR coalesce(p.p_line, '') = '' THEN 0 WHEN t.num <> p.num THEN -1 ELSE ({_SCORE}) - CASE WHEN t.num = p.num THEN 0 ELSE 100 END END::INTEGER AS score, {_MILES} AS miles
+  FROM t, p WHERE NOT EXISTS (FROM l WHERE l.id = t.id) AND t.lat IS NOT NULL AND p.p_lat IS NOT NULL AND {haversine_sql('t.lat', 't.lon', 'p.p_lat', 'p.p_lon')} <= 2.0 * 1609.344
+    AND (coalesce(t.line, '') = '' OR coalesce(p.p_line, '') = '' OR (coalesce(t.num = p.num, true) AND (len(t.street) = 0 OR len(p.street) = 0 OR {_WORDS})))),
+m AS (SELECT * FROM n WHERE score >= 0 AND miles <= 1.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, miles, property_id) = 1)
+SELECT id, property_id, score, miles, via FROM l UNION ALL SELECT id, property_id, score, miles, via FROM m""")
+def property_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D-13: some targets' own line leads nowhere; half of these have a second one, the others are left to their place."""
+    k = F.col("id")
+    rows = _targets(spark, sf_dir).withColumn("other", F.col("line"))
+    rows = rows.withColumn("line", F.when(k % 4 == 1, F.concat(F.lit("99"), F.substring("line", 1, 1), F.lit(" NOWHERE"))).otherwise(F.col("line")))
+    lines_of = F.posexplode(F.when(k % 2 == 1, F.array("line", "other")).otherwise(F.array("line"))).alias("k", "line")
+    candidates = rows.select("id", lines_of).filter("line is not null")
+    return linkage.lookup_properties(rows.select("id", "line", "lat", "lon"), candidates, _properties(spark, sf_dir), 2.0, 1.5)
+
+
+# address lines
+
+#: Lines in several forms: with country, without zip, state names, zip in a part of its own, blanks and doubled commas.
+_LINE_OF = r"""CASE id % 8 WHEN 0 THEN raw_address || ', ' || city || ', ' || state || ' ' || zip_code || ', USA' WHEN 1 THEN '  ' || raw_address || ' , ' || city || ', GEORGIA  ' || zip_code || '-1234'
+  WHEN 2 THEN raw_address || ',, ' || city || ' ,New York' WHEN 3 THEN raw_address || ', ' || city || ', north carolina, ga ' || zip_code WHEN 4 THEN raw_address WHEN 5 THEN raw_address || ', united states'
+  WHEN 6 THEN raw_address || ', ' || city || ', tx, x, TX ' || zip_code ELSE ' , ' END"""
+_STATE_LIST = ", ".join(f"'{k}': '{v}'" for k, v in lines.STATES.items())
+
+
+def _code_sql(s: str) -> str:
+    return f"coalesce(map {{{_STATE_LIST}}}[upper({s})], upper({s}))"
+
+
+@query(rf"""WITH {ADDRESSES}, l AS (SELECT id, coalesce({_LINE_OF}, '') AS line, CASE WHEN id % 3 = 0 THEN ' ' || city || ' , texas ' WHEN id % 3 = 1 THEN city ELSE city || ',Ga, x' END AS cs FROM addr),
+p AS (SELECT *, list_filter(list_transform(string_split(line, ','), lambda x: trim(x)), lambda x: x <> '') AS q FROM l),
+t AS (SELECT *, CASE WHEN len(q) > 1 AND upper(q[-1]) IN ('USA', 'US', 'UNITED STATES') THEN q[:-2] ELSE q END AS r FROM p),
+z AS (SELECT *, '^([A-Za-z]{{2,}})\s+(\d{{5}}(?:-\d{{4}})?)$' AS pat FROM t),
+o AS (SELECT *, CASE WHEN len(r) >= 3 THEN regexp_extract(r[3], pat, 2) ELSE '' END AS z3, CASE WHEN len(r) >= 4 THEN regexp_extract(r[4], pat, 2) ELSE '' END AS z4 FROM z)
+SELECT id, coalesce(r[1], '') AS street, coalesce(r[2], '') AS city,
+  CASE WHEN z3 <> '' THEN {_code_sql("regexp_extract(r[3], pat, 1)")} WHEN z4 <> '' THEN {_code_sql("regexp_extract(r[4], pat, 1)")} WHEN len(r) >= 3 THEN {_code_sql('r[3]')} ELSE '' END AS state,
+  substr(CASE WHEN z3 <> '' THEN z3 ELSE z4 END, 1, 5) AS zip_code,
+  trim(string_split(trim(cs), ',')[1]) AS own_city, CASE WHEN contains(cs, ',') THEN trim(substr(trim(cs), instr(trim(cs), ',') + 1)) ELSE '' END AS own_state, {_code_sql("CASE WHEN contains(cs, ',') THEN trim(substr(trim(cs), instr(trim(cs), ',') + 1)) ELSE '' END")} AS own_code
+FROM o""")
+def address_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-40, I-41, T-91, T-131."""
+    k, c = F.col("id") % 8, F.concat
+    forms = [
+        c("raw_address", F.lit(", "), "city", F.lit(", "), "state", F.lit(" "), "zip_code", F.lit(", USA")),
+        c(F.lit("  "), "raw_address", F.lit(" , "), "city", F.lit(", GEORGIA  "), "zip_code", F.lit("-1234")),
+        c("raw_address", F.lit(",, "), "city", F.lit(" ,New York")),
+        c("raw_address", F.lit(", "), "city", F.lit(", north carolina, ga "), "zip_code"),
+        F.col("raw_address"),
+        c("raw_address", F.lit(", united states")),
+        c("raw_address", F.lit(", "), "city", F.lit(", tx, x, TX "), "zip_code"),
+    ]
+    line = F.lit(" , ")
+    for i, form in enumerate(forms):
+        line = F.when(k == i, form).otherwise(line)
+    own = F.when(F.col("id") % 3 == 0, c(F.lit(" "), "city", F.lit(" , texas "))).when(F.col("id") % 3 == 1, F.col("city")).otherwise(c("city", F.lit(",Ga, x")))
+    parts = lines.address_parts(line)
+    plain, coded = lines.city_and_state(own), lines.city_and_state_code(own)
+    return addresses(spark, sf_dir).select("id", *(parts[x].alias(x) for x in ("street", "city", "state", "zip_code")), plain["city"].alias("own_city"), plain["state"].alias("own_state"), coded["state"].alias("own_code"))
