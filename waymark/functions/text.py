@@ -193,12 +193,12 @@ def looks_like_street(c: Column) -> Column:
 
 
 def input_line(address: Column, city: Column, state: Column, zip_code: Column) -> Column:
-    """I-22: the address with those of city, state and zip that it doesn't hold."""
+    """I-22: the address, then ``city, state`` as one part unless the address holds it, then the zip's first five unless it holds them."""
+    edge = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    some = lambda c: F.nullif(c, F.lit(""))
     line = F.coalesce(address, F.lit(""))
-    for part in (city, state, zip_code):
-        absent = part.isNotNull() & (part != "") & ~F.upper(line).contains(F.upper(part))
-        line = F.when(absent, F.concat(line, F.lit(", "), part)).otherwise(line)
-    return line
+    place, zip5 = some(F.concat_ws(", ", some(edge(city)), some(edge(state)))), some(F.substring(edge(zip_code), 1, 5))
+    return F.concat_ws(", ", some(edge(line)), F.when(~F.lower(line).contains(F.lower(place)), place), F.when(~line.contains(zip5), zip5))
 
 
 def suffix_address(address: Column, unit: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, text
+from ..functions import geo, text, uploads
 
 #: Headers (as ``normalize_header`` leaves them) of each canonical column.
 ALIASES = {
@@ -25,9 +25,14 @@ ADDRESS_ALSO = ["address 1", "address line 1", "address line", "addr1", "raw add
 
 
 def lookup(fields: Column) -> Column:
-    """C-2: header, normalised, to cleaned value, in column order; values that are null are left out."""
-    entries = F.transform(F.map_entries(fields), lambda e: F.struct(text.normalize_header(e["key"]).alias("key"), text.clean_value(e["value"]).alias("value")))
-    return F.filter(entries, lambda e: e["value"].isNotNull())
+    """C-2: header, normalised, to cleaned value, in column order; values that are null are left out.
+
+    Of columns whose headers are one when normalised, the last one's value counts, in the first one's place.
+    """
+    entries = F.filter(F.transform(F.map_entries(fields), lambda e: F.struct(text.normalize_header(e["key"]).alias("key"), text.clean_value(e["value"]).alias("value"))), lambda e: e["key"] != "")
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    last = F.transform(names, lambda n: F.struct(n.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == n), -1)["value"].alias("value")))
+    return F.filter(last, lambda e: e["value"].isNotNull())
 
 
 def first_value(entries: Column, names: list[str]) -> Column:
@@ -35,29 +40,60 @@ def first_value(entries: Column, names: list[str]) -> Column:
     return F.get(F.filter(entries, lambda e: e["key"].isin(names)), F.lit(0))["value"]
 
 
-def map_records(rows: DataFrame) -> DataFrame:
-    """C-1, C-4, C-5: rows with ``fields`` to canonical columns. Coordinates that aren't a valid pair are null."""
-    e = F.col("__entries")
-    address = F.coalesce(*[first_value(e, [n]) for n in ADDRESS_FIRST], first_value(e, ADDRESS_ALSO))
+#: Columns that the upload itself adds, and those that may name an exchange.
+UPLOAD_KEYS = ["upload_batch_id", "upload_file_index", "original_source_file", "source_format", "file_role", "upload_group_source_files"]
+EXCHANGE_KEYS = ["win_exchange_id", "data_source", "noc_plan_desc", "network_node", "gcomms_ft_to_bb"]
+
+
+def map_records(rows: DataFrame, labels: bool = True) -> DataFrame:
+    """C-1 to C-6: rows with ``fields`` to canonical columns.
+
+    Where either coordinate is absent, both come from the pair column; coordinates that aren't a valid pair are null. A
+    city or state that isn't there is the exchange's. With ``labels``, the address is the best that the columns give
+    (residential and commercial labels are none) and its key has the zip; without, it is the first address column, or
+    the placemark's name. ``uploaded`` has the upload's own columns, ``meta`` these with what labels say, ``old`` the mapped
+    values at this time.
+    """
+    e, fields = F.col("__entries"), F.col("fields")
+    raw = lambda k: F.try_element_at(fields, F.lit(k))
+    either = lambda *keys: text.clean_value(F.coalesce(*(F.nullif(raw(k), F.lit("")) for k in keys)))
+    address = F.coalesce(*[first_value(e, [n]) for n in ADDRESS_FIRST], first_value(e, ADDRESS_ALSO), either("placemark_name", "name"))
     pair_lat, pair_lon = geo.parse_coordinate(first_value(e, ALIASES["coordinates"]))
-    lat = F.coalesce(first_value(e, ALIASES["latitude"]).try_cast("double"), pair_lat)
-    lon = F.coalesce(first_value(e, ALIASES["longitude"]).try_cast("double"), pair_lon)
+    lat, lon = (first_value(e, ALIASES[c]).try_cast("double") for c in ("latitude", "longitude"))
+    from_pair = (lat.isNull() | lon.isNull()) & first_value(e, ALIASES["coordinates"]).isNotNull()
+    lat, lon = F.when(from_pair, pair_lat).otherwise(lat), F.when(from_pair, pair_lon).otherwise(lon)
     valid = geo.mapper_pair(lat, lon)
-    out = rows.withColumn("__entries", lookup(F.col("fields")))
-    return out.withColumns(
+    hint_city, hint_state = place_hint(*map(raw, EXCHANGE_KEYS))
+    own_id, node = first_value(e, ALIASES["address_id"]), either("win_lon", "WIN_LON")
+    uploaded = F.map_filter(fields, lambda k, v: ~k.isin(UPLOAD_KEYS) & ~F.startswith(k, F.lit("_")))
+    out = rows.withColumn("__entries", lookup(fields)).withColumns(
         {
             "raw_address": address,
-            "city": first_value(e, ALIASES["city"]),
-            "state": text.normalize_state(first_value(e, ALIASES["state"])),
+            "city": F.coalesce(first_value(e, ALIASES["city"]), hint_city),
+            "state": text.normalize_state(F.coalesce(first_value(e, ALIASES["state"]), hint_state)),
             "zip_code": text.normalize_zip(first_value(e, ALIASES["zip_code"])),
             "lat": F.when(valid, lat),
             "lon": F.when(valid, lon),
             "network_node": first_value(e, ALIASES["network_node"]),
             "terminal_id": first_value(e, ALIASES["terminal_id"]),
-            "address_id": first_value(e, ALIASES["address_id"]),
-            "normalized_key": text.duplicate_key(address),
+            "address_id": F.when((own_id.isNull() | own_id.isin("0", "0.0")) & F.startswith(F.upper(node), F.lit("A")), node).otherwise(own_id),
+            "uploaded": uploaded,
+            "meta": uploads.annotated(fields, address) if labels else fields,
         }
-    ).drop("__entries")
+    )
+    c = F.col
+    some = lambda name: F.coalesce(c(name), F.lit(""))
+    if labels:
+        out = uploads.with_parts(out, c("meta"), c("raw_address"), c("city"), c("state"), c("zip_code"))
+        out = out.withColumn("raw_address", F.coalesce(F.nullif(uploads.built_address(), F.lit("")), "raw_address"))
+        out = uploads.with_parts(out.drop("__u"), c("meta"), c("raw_address"), c("city"), c("state"), c("zip_code"))
+        key = uploads.best_key(uploads.built_address(), c("zip_code"))
+    else:
+        place = F.when(c("zip_code").isNotNull(), c("zip_code")).when(c("city").isNotNull() & c("state").isNotNull(), F.concat_ws("|", F.upper("city"), F.upper("state")))
+        key = F.when(text.address_key(c("raw_address")).isNotNull(), F.concat_ws("|", text.address_key(c("raw_address")), place))
+    both = F.when((some("city") != "") & (some("state") != ""), F.concat_ws(", ", "city", "state")).otherwise(F.concat(some("city"), some("state")))
+    old = F.struct(some("raw_address").alias("street_number_name"), some("zip_code").alias("zip_postal_code"), c("lat").alias("latitude"), c("lon").alias("longitude"), both.alias("city_state"), some("city").alias("city"), some("state").alias("state"), F.lit("").alias("country_code"))
+    return out.withColumns({"normalized_key": key, "old": old}).drop("__entries", "__u")
 
 
 def household(category: Column, folder_path: Column) -> Column:
