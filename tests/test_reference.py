@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import confidence, geo, text
 from waymark.operators import mapping, metrics, providers, records, rules, spatial
-from waymark.plans import nested, places, queries, uploaded  # noqa: F401  all register their queries
+from waymark.plans import nested, ordered, places, queries, uploaded  # noqa: F401  all register their queries
 from waymark.sources import placemarks, sinks, tabular
 from waymark.streaming import limiter
 
