@@ -1,13 +1,16 @@
-"""Queries over quotas, turns and tiers, each beside its SQL."""
+"""Queries over quotas, turns, tiers, refreshes and upserts, each beside its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import quotas, waterfall
+from ..functions import text
+from ..operators import quotas, refresh, waterfall
+from ..sources.shared import new_folder
+from ..streaming import upserts
 from .queries import query
-from .views import ADDRESSES, addresses, table
+from .views import ADDRESSES, addresses, key_sql, table
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,3 +68,44 @@ def provider_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiers = [waterfall.Tier(name, lambda left, own=_provider(spark, sf_dir, salt): own, settles) for name, salt, settles in (("first", 5, 80.0), ("second", 7, 60.0), ("third", 3, 1000.0))]
     rows = addresses(spark, sf_dir).filter("raw_address is not null").select("id", F.col("raw_address").alias("line"))
     return waterfall.waterfall(rows, tiers)
+
+
+#: The second state of the flags: every 17th address is found exactly by then, every 23rd has lost its line, and every 29th is gone.
+_CHANGED = "id % 29 <> 4"
+
+
+def _inputs(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
+    k = F.col("id")
+    flag = lambda n, r: k % n == r
+    rows = addresses(spark, sf_dir)
+    line = F.when(flag(23, 5) & F.lit(later), None).otherwise(F.col("raw_address"))
+    out = rows.select(
+        "id", text.address_key(F.concat(line, F.lit(" "), "zip_code")).alias("key"), "file_role", F.when(flag(2, 0), "verified").alias("flow_status"), flag(41, 0).alias("sticky_duplicate"), line.isNull().alias("missing_address"), flag(37, 1).alias("interpolated_conflict"), (F.col("lat") > 90).alias("coord_mismatch"),
+        (F.col("file_role") == "geospatial").alias("is_geospatial"), flag(2, 0).alias("is_discovered"), (flag(5, 0) | (flag(17, 3) & F.lit(later))).alias("exact_found"), flag(7, 0).alias("exact_warning"), flag(11, 0).alias("not_found"), flag(13, 0).alias("failed_validation"), flag(3, 1).alias("has_final"),
+    )
+    return out.filter(_CHANGED) if later else out
+
+
+@query(f"""WITH {ADDRESSES}, a AS (SELECT *, CASE WHEN id % 23 = 5 THEN NULL ELSE raw_address END AS line FROM addr WHERE {_CHANGED}),
+k AS (SELECT *, {key_sql("(line || ' ' || zip_code)")} AS key FROM a),
+c AS (SELECT *, key IS NOT NULL AND id > min(id) OVER (PARTITION BY key) AS seen, key IS NOT NULL AND bool_or(file_role = 'tabular') OVER (PARTITION BY key) AS tab FROM k),
+r AS (SELECT id, CASE WHEN id % 41 = 0 OR seen THEN 'duplicate' WHEN line IS NULL THEN 'excluded' WHEN id % 37 = 1 OR lat > 90 THEN 'invalid' WHEN file_role = 'geospatial' AND NOT tab AND id % 2 = 0 THEN 'new'
+  WHEN (file_role = 'geospatial' AND NOT tab) OR id % 5 = 0 OR id % 17 = 3 OR id % 7 = 0 THEN 'verified' WHEN id % 11 = 0 OR id % 13 = 0 THEN 'invalid' WHEN id % 3 = 1 AND id % 2 = 0 THEN 'verified' ELSE 'invalid' END AS rule_status FROM c)
+SELECT id, rule_status, count(*) OVER (PARTITION BY rule_status) AS n_status FROM r""")
+def refreshed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-8, E-c: statuses after a change, from those before it; equal to a full run in SQL."""
+    first = refresh.refreshed(_inputs(spark, sf_dir, False))
+    then = refresh.refreshed(_inputs(spark, sf_dir, True), first)
+    counts = F.create_map(*(F.lit(x) for pair in then.counts.items() for x in pair))
+    return then.rows.select("id", "rule_status", F.element_at(counts, F.col("rule_status")).cast("long").alias("n_status"))
+
+
+@query("""SELECT o_custkey AS address_id, 'agent' || (o_orderkey % 6)::VARCHAR AS stage, o_orderkey AS version, (floor(o_totalprice)::BIGINT % 101)::INTEGER AS score FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % 6 ORDER BY o_orderkey DESC) = 1""")
+def streamed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B-11 to B-13: results from a stream, the latest version of each address and stage."""
+    orders = spark.readStream.schema(table(spark, sf_dir, "orders").schema).parquet(f"{sf_dir}/order[s].parquet")  # a pattern, as a stream from one file needs one
+    k = F.col("o_orderkey")
+    results = orders.select(F.col("o_custkey").alias("address_id"), F.concat(F.lit("agent"), (k % 6).cast("string")).alias("stage"), k.alias("version"), F.pmod(F.floor("o_totalprice"), F.lit(101)).cast("int").alias("score"))
+    path, keys = new_folder(spark, "results"), ["address_id", "stage"]
+    upserts.upsert_stream(results, path, new_folder(spark, "progress"), keys, "version").awaitTermination()
+    return upserts.current(spark, path, "address_id bigint, stage string, version bigint, score int", keys, "version")
