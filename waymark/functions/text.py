@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 NULL_LIKE = ["", "none", "null", "nan", "nat", "n/a", "na", "<na>"]
 #: Words of an address key, in the order in which they are replaced.
 KEY_WORDS = [("N", "NORTH"), ("S", "SOUTH"), ("E", "EAST"), ("W", "WEST"), ("STREET", "ST"), ("AVENUE", "AVE"), ("BOULEVARD", "BLVD"), ("DRIVE", "DR"), ("ROAD", "RD"), ("COURT", "CT"), ("LANE", "LN")]
-#: Street suffixes of the search key.
-SEARCH_WORDS = [("street", "st"), ("avenue", "ave"), ("boulevard", "blvd"), ("drive", "dr"), ("road", "rd"), ("court", "ct"), ("lane", "ln")]
+#: Words of the search key, in the order in which they are replaced.
+SEARCH_WORDS = [("drive", "dr"), ("avenue", "ave"), ("street", "st"), ("road", "rd"), ("lane", "ln"), ("court", "ct"), ("terrace", "ter"), ("georgia", "ga"), ("florida", "fl"), ("usa", ""), ("united states", "")]
 
 
 def clean_value(c: Column) -> Column:
@@ -67,12 +67,11 @@ def normalize_state(c: Column) -> Column:
 
 
 def search_key(c: Column) -> Column:
-    """Q-b: lower case, short suffixes, no country at the end."""
-    t = F.lower(F.trim(c))
+    """Q-b: lower case, short suffixes and states, no country, one space between words."""
+    t = F.lower(c)
     for word, short in SEARCH_WORDS:
         t = F.regexp_replace(t, rf"\b{word}\b", short)
-    t = F.regexp_replace(t, r",?\s*(usa|us|united states)$", "")
-    return squeeze(F.regexp_replace(t, "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 
 def safe_table_name(c: Column) -> Column:

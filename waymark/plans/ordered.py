@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import quotas, refresh, waterfall
+from ..operators import quotas, refresh, search, waterfall
 from ..sources.shared import new_folder
 from ..streaming import upserts
-from .queries import query
+from .queries import _search_sql, query
 from .views import ADDRESSES, addresses, key_sql, table
 
 
@@ -109,3 +109,21 @@ def streamed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, keys = new_folder(spark, "results"), ["address_id", "stage"]
     upserts.upsert_stream(results, path, new_folder(spark, "progress"), keys, "version").awaitTermination()
     return upserts.current(spark, path, "address_id bigint, stage string, version bigint, score int", keys, "version")
+
+
+_ASKED = "SELECT id AS query_id, CASE id % 5 WHEN 0 THEN substr(raw_address, 2) WHEN 1 THEN raw_address || ', ' || lower(left(city, 4)) WHEN 2 THEN ' ' || lower(substr(raw_address, 1, 4)) WHEN 3 THEN left(raw_address, 2) ELSE 'zz' || raw_address END AS query FROM addr WHERE id % 20 = 1 OR id % 20 = 12"
+
+
+@query(f"""WITH {ADDRESSES}, h AS (SELECT id, raw_address || ', ' || city || ', USA' AS t, CASE id % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'new' ELSE 'invalid' END AS st FROM addr WHERE raw_address IS NOT NULL),
+n AS (SELECT *, lower(t) AS r, {_search_sql('t')} AS k FROM h), q0 AS ({_ASKED}), q AS (SELECT query_id, lower(trim(query)) AS r, {_search_sql('lower(trim(query))')} AS k FROM q0 WHERE query IS NOT NULL),
+m AS (SELECT query_id, n.id, n.k, CASE st WHEN 'verified' THEN 3 WHEN 'new' THEN 2 ELSE 1 END AS rank FROM q JOIN n ON q.k <> '' AND (contains(n.r, q.r) OR contains(n.k, q.k))),
+b AS (SELECT query_id, k, min(id) AS first, max(struct_pack(r := rank, i := -id)) AS z FROM m GROUP BY query_id, k)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY first))::INTEGER AS place, -z.i AS id FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY first) <= 30""")
+def address_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-f, Q-c, Q-d: parts of one address in ten as queries."""
+    k, raw = F.col("id"), F.col("raw_address")
+    rows = addresses(spark, sf_dir)
+    query = F.when(k % 5 == 0, F.substring(raw, 2, 1000)).when(k % 5 == 1, F.concat(raw, F.lit(", "), F.lower(F.substring("city", 1, 4)))).when(k % 5 == 2, F.concat(F.lit(" "), F.lower(F.substring(raw, 1, 4)))).when(k % 5 == 3, F.substring(raw, 1, 2)).otherwise(F.concat(F.lit("zz"), raw))
+    asked = rows.filter("id % 20 in (1, 12)").select(k.alias("query_id"), query.alias("query"))
+    held = rows.filter("raw_address is not null").select("id", F.concat(raw, F.lit(", "), "city", F.lit(", USA")).alias("text"), F.when(k % 4 == 0, "verified").when(k % 4 == 1, "new").otherwise("invalid").alias("rule_status"))
+    return search.search(held, asked)

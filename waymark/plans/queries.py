@@ -64,10 +64,10 @@ def parse_coordinate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search_sql(c: str) -> str:
-    out = f"lower(trim({c}))"
+    out = f"lower({c})"
     for word, short in text.SEARCH_WORDS:
         out = rf"regexp_replace({out}, '\b{word}\b', '{short}', 'g')"
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace({out}, ',?\s*(usa|us|united states)$', ''), '[^a-z0-9]+', ' ', 'g'), '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(f"WITH {ADDRESSES} SELECT id, {_search_sql(chr(39).join(['raw_address || ', ', ', ' || city || ', ', USA', '']))} AS search_key FROM addr")
