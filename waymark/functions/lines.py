@@ -92,18 +92,30 @@ def street_tokens(c: Column) -> Column:
     return F.filter(address_tokens(F.coalesce(c, F.lit(""))), lambda t: ~t.isin(STREET_STOPWORDS) & ~t.rlike("^[0-9]+$"))
 
 
-def lines_match(a: Column, b: Column) -> Column:
+def line_facts(c: Column) -> Column:
+    """What lines are compared by, made once a line: struct ``upper``, ``number``, ``words``, ``street``."""
+    line = F.coalesce(c, F.lit(""))
+    return F.struct(F.upper(line).alias("upper"), leading_number(line).alias("number"), address_tokens(line).alias("words"), street_tokens(line).alias("street"))
+
+
+def facts_match(a: Column, b: Column) -> Column:
     """D-12's filter: equal leading numbers where both have one, and a street word in common where both have some; true where either line is blank."""
-    blank = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
-    x, y = street_tokens(a), street_tokens(b)
-    numbers = F.coalesce(leading_number(a) == leading_number(b), F.lit(True))
-    return blank | (numbers & ((F.size(x) == 0) | (F.size(y) == 0) | F.arrays_overlap(x, y)))
+    blank = (a["upper"] == "") | (b["upper"] == "")
+    numbers = F.coalesce(a["number"] == b["number"], F.lit(True))
+    return blank | (numbers & ((F.size(a["street"]) == 0) | (F.size(b["street"]) == 0) | F.arrays_overlap(a["street"], b["street"])))
 
 
-def line_score(a: Column, b: Column) -> Column:
+def facts_score(a: Column, b: Column) -> Column:
     """I-52: 100 for equal leading numbers (-1 for different ones), 5 for each word in common up to 40, 20 where one line holds the other; 0 where either is blank."""
-    x, y = F.upper(F.coalesce(a, F.lit(""))), F.upper(F.coalesce(b, F.lit("")))
-    same = leading_number(x) == leading_number(y)
-    words = F.least(F.size(F.array_intersect(address_tokens(x), address_tokens(y))) * 5, F.lit(40))
-    score = F.when(same, 100).otherwise(0) + words + F.when(x.contains(y) | y.contains(x), 20).otherwise(0)
-    return F.when((x == "") | (y == ""), 0).when(~same, -1).otherwise(score).cast("int")
+    same = a["number"] == b["number"]
+    words = F.least(F.size(F.array_intersect(a["words"], b["words"])) * 5, F.lit(40))
+    score = F.when(same, 100).otherwise(0) + words + F.when(F.contains(a["upper"], b["upper"]) | F.contains(b["upper"], a["upper"]), 20).otherwise(0)
+    return F.when((a["upper"] == "") | (b["upper"] == ""), 0).when(~same, -1).otherwise(score).cast("int")
+
+
+def lines_match(a: Column, b: Column) -> Column:
+    return facts_match(line_facts(a), line_facts(b))
+
+
+def line_score(a: Column, b: Column) -> Column:
+    return facts_score(line_facts(a), line_facts(b))

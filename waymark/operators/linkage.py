@@ -37,7 +37,7 @@ def _miles(rows: DataFrame) -> Column:
 def _best(pairs: DataFrame, by: list[str], max_miles: float | None) -> DataFrame:
     """D-12 on candidate pairs: the strict match of the highest score, then the nearest, then the smallest id."""
     c = F.col
-    scored = pairs.filter(lines.lines_match(c("line"), c("p_line"))).withColumn("score", lines.line_score(c("line"), c("p_line"))).withColumn("miles", _miles(pairs)).filter("score >= 0")
+    scored = pairs.filter(lines.facts_match(c("facts"), c("p_facts"))).withColumn("score", lines.facts_score(c("facts"), c("p_facts"))).withColumn("miles", _miles(pairs)).filter("score >= 0")
     if max_miles is not None:
         scored = scored.filter(c("miles") <= max_miles)
     order = F.struct((-c("score")).alias("s"), c("miles").alias("m"), c("property_id").alias("p"))
@@ -45,9 +45,10 @@ def _best(pairs: DataFrame, by: list[str], max_miles: float | None) -> DataFrame
 
 
 def _sides(targets: DataFrame, properties: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
-    own = targets.select("id", *extra, "line", "lat", "lon")
-    other = properties.select("property_id", F.col("line").alias("p_line"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    return own, other
+    """Both sides with the facts of their lines, as tables, so that no pair works them out anew."""
+    own = targets.select("id", *extra, "line", "lat", "lon", lines.line_facts(F.col("line")).alias("facts"))
+    other = properties.select("property_id", F.col("line").alias("p_line"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), lines.line_facts(F.col("line")).alias("p_facts"))
+    return written(own, "targets"), written(other, "properties")
 
 
 def pick_properties(targets: DataFrame, properties: DataFrame, max_miles: float | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -61,10 +62,10 @@ def pick_properties(targets: DataFrame, properties: DataFrame, max_miles: float
     target that looks it up goes to each of them; the best of each slice is found before the shuffle that joins them.
     """
     own, other = _sides(targets, properties, list(extra))
-    right = written(other.withColumn("key", F.explode(block_keys(F.col("p_line"), True))), "properties")
+    right = written(other.withColumn("key", F.explode(block_keys(F.col("p_line"), True))).drop("p_line"), "property-keys")
     large = right.groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("slices"))
     large = written(large, "large-blocks")
-    left = own.withColumn("key", F.explode(block_keys(F.col("line"), False)))
+    left = own.withColumn("key", F.explode(block_keys(F.col("line"), False))).drop("line")
     slices = F.coalesce("slices", F.lit(1))
     left = left.join(large, "key", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("slices")
     right = right.join(large, "key", "left").withColumn("slice", F.pmod(F.xxhash64("property_id"), slices).cast("int")).drop("slices")

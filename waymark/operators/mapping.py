@@ -85,15 +85,16 @@ def map_records(rows: DataFrame, labels: bool = True) -> DataFrame:
     some = lambda name: F.coalesce(c(name), F.lit(""))
     if labels:
         out = uploads.with_parts(out, c("meta"), c("raw_address"), c("city"), c("state"), c("zip_code"))
-        out = out.withColumn("raw_address", F.coalesce(F.nullif(uploads.built_address(), F.lit("")), "raw_address"))
-        out = uploads.with_parts(out.drop("__u"), c("meta"), c("raw_address"), c("city"), c("state"), c("zip_code"))
-        key = uploads.best_key(uploads.built_address(), c("zip_code"))
+        out = out.withColumn("__built", uploads.built_address())
+        # built once more from itself, the address would be the same, so its key is that of the record
+        out = out.withColumn("raw_address", F.coalesce(F.nullif("__built", F.lit("")), "raw_address"))
+        key = uploads.best_key(c("__built"), c("zip_code"))
     else:
         place = F.when(c("zip_code").isNotNull(), c("zip_code")).when(c("city").isNotNull() & c("state").isNotNull(), F.concat_ws("|", F.upper("city"), F.upper("state")))
         key = F.when(text.address_key(c("raw_address")).isNotNull(), F.concat_ws("|", text.address_key(c("raw_address")), place))
     both = F.when((some("city") != "") & (some("state") != ""), F.concat_ws(", ", "city", "state")).otherwise(F.concat(some("city"), some("state")))
     old = F.struct(some("raw_address").alias("street_number_name"), some("zip_code").alias("zip_postal_code"), c("lat").alias("latitude"), c("lon").alias("longitude"), both.alias("city_state"), some("city").alias("city"), some("state").alias("state"), F.lit("").alias("country_code"))
-    return out.withColumns({"normalized_key": key, "old": old}).drop("__entries", "__u")
+    return out.withColumns({"normalized_key": key, "old": old}).drop("__entries", "__u", "__built")
 
 
 def household(category: Column, folder_path: Column) -> Column:
