@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import text, uploads
 from waymark.operators import mapping
+from waymark.sources import tabular
 
 SUFFIXED = {"Street Number": "37", "Street Number Suffix": "A", "Street Name": "JOHN", "Street Type": "ST", "City": "St. Catharines", "State": "ON", "Postal Code": "L2N4P2"}
 
@@ -78,3 +79,18 @@ def test_mapped_rows(spark):
     assert (r.raw_address, r.state, r.meta["category"]) == ("5 Elm, TX", "TX", "household") and "category" not in r.uploaded
     r = mapped(spark, {"Address": "5 Elm", "City": "P", "State": "TX"}, labels=False)
     assert r.normalized_key == "5 ELM|P|TX" and mapped(spark, {"Address": "5 Elm", "Zip": "30301", "City": "P", "State": "TX"}, labels=False).normalized_key == "5 ELM|30301"
+
+
+def test_csv_with_line_breaks_and_a_header_twice(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Address, City ,City,Note\n"1 Oak\nSt, ""rear""",P,Q,x\n,,,\n2 Elm,R,n/a,\n')
+    rows = {r.row_number: r.fields for r in tabular.read_csv(spark, str(tmp_path / "a.csv")).collect()}
+    assert rows == {2: {"Address": '1 Oak\nSt, "rear"', "City": "Q", "Note": "x"}, 4: {"Address": "2 Elm", "City": None, "Note": None}}
+    (tmp_path / "b.csv").write_text("Address\n" + "".join(f"{k} Oak St\n" for k in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+        split = tabular.read_csv(spark, str(tmp_path / "b.csv"), multi_line=False)
+        assert {(r.row_number, r.fields["Address"]) for r in split.collect()} == {(k + 2, f"{k} Oak St") for k in range(5000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.row_number, r.fields["Address"]) for r in tabular.read_csv(spark, str(tmp_path / "b.csv")).collect()} == {(k + 2, f"{k} Oak St") for k in range(5000)}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text, uploads
 from ..operators import mapping
+from ..sources import tabular
+from ..sources.shared import new_folder
 from .queries import query
 from .views import ADDRESSES, addresses, key_sql
 
@@ -100,3 +102,18 @@ def mapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = mapping.map_records(addresses(spark, sf_dir).select("id", fields.alias("fields")))
     return out.select("id", "raw_address", "city", "state", "zip_code", "lat", "lon", "address_id", "network_node", "normalized_key", F.col("old.city_state").alias("old_place"), F.size("uploaded").alias("n_uploaded"))
+
+
+@query(rf"""WITH {ADDRESSES}, a AS (SELECT id, raw_address || CASE WHEN id % 3 = 0 THEN chr(10) || 'Apt "' || (id % 7)::VARCHAR || '", rear' ELSE '' END AS line, CASE WHEN id % 5 = 0 THEN NULL ELSE city || ', ' || state END AS city, lat FROM addr)
+SELECT id::VARCHAR AS id, line AS address, city, CASE WHEN lat <= 90 THEN lat END AS lat, CASE WHEN id % 4 = 0 THEN 'two' END AS note FROM a""")
+def uploaded_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-1, C-1: CSV files with quotes, commas and line breaks in fields, a header twice, null-like texts; read and mapped."""
+    k, c = F.col("id"), F.concat
+    line = F.when(k % 3 == 0, c("raw_address", F.lit('\nApt "'), (k % 7).cast("string"), F.lit('", rear'))).otherwise(F.col("raw_address"))
+    rows = addresses(spark, sf_dir).select(
+        k.cast("string").alias("Address ID"), line.alias("Address"), F.when(k % 5 == 0, " N/A ").otherwise(c("city", F.lit(", "), "state")).alias("City"), F.col("lat").cast("string").alias("Lat"), F.col("lon").cast("string").alias("Long"), F.lit("one").alias("note"), F.when(k % 4 == 0, "two").otherwise("none").alias("note "),
+    )
+    rows.write.csv(path := new_folder(spark, "csv"), header=True, escape='"', quoteAll=True)
+    read = tabular.read_csv(spark, path)
+    mapped = mapping.map_records(read, labels=False)
+    return mapped.select(F.col("address_id").alias("id"), F.col("raw_address").alias("address"), "city", "lat", F.col("fields")["note"].alias("note"))

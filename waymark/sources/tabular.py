@@ -17,20 +17,22 @@ from ..functions.text import clean_value
 ROW = "source_file string, source_sheet string, row_number long, fields map<string,string>"
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A-1: all columns as text, null-like texts as null, rows without any value dropped after they have been numbered.
 
-    A file is read in splits by many tasks. A row's number (2 for the first below the header) is its place in its split
+    Of headers that are one without white space around them the last one's value counts. With ``multi_line``, quoted
+    fields may hold line breaks; then a file is one task's, which suits uploads (``upload_problems`` limits their size).
+    Without, a file is read in splits by many tasks, and its fields must be free of line breaks. A row's number (2 for the first below the header) is its place in its split
     and the rows of the file's earlier splits, of which there are as many numbers as splits.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", escape='"')
-    columns = raw.columns
+    raw = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", escape='"', multiLine=multi_line)
+    columns = {c.strip(): c for c in raw.columns}
     rows = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
     splits = rows.groupBy("__file", "__at").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("__file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
     numbered = rows.join(splits, ["__file", "__at"]).withColumn("row_number", F.col("__id") - F.col("__first") + F.col("__before") + 2)
-    values = F.map_from_arrays(F.array(*[F.lit(c.strip()) for c in columns]), F.array(*[clean_value(F.col(f"`{c}`")) for c in columns]))
+    values = F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[clean_value(F.col(f"`{c}`")) for c in columns.values()]))
     out = numbered.select(F.regexp_replace("__file", "^.*/", "").alias("source_file"), F.lit(None).cast("string").alias("source_sheet"), "row_number", values.alias("fields"))
     return out.filter(F.exists(F.map_values("fields"), lambda v: v.isNotNull()))
 
