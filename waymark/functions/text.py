@@ -241,16 +241,21 @@ def land_use(parcel: Column, address: Column) -> Column:
     )
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a whole row of the table in the bits of one integer: a cleared bit is a step up."""
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        met = row & where.get(y, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(a) - row.bit_count()
+
+
 def _indel(a: str, b: str) -> float:
     """Indel similarity in percent, from the longest common subsequence."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * _common(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
 def _token_set(a: str | None, b: str | None) -> int:

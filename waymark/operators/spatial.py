@@ -231,7 +231,10 @@ def first_of_key_or_place(rows: DataFrame, near_m: float) -> DataFrame:
 
 
 def hulls(points: DataFrame, group: str) -> DataFrame:
-    """Q-a: the convex hull of each group, as the hull of its parts' hulls, so that no group is gathered whole."""
+    """Q-a: the convex hull of each group, against the clock from its least longitude, as the hull of its parts' hulls, so that no group is gathered whole. Null is a group too."""
+
+    def turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
+        return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
 
     def hull(p: np.ndarray) -> np.ndarray:
         p = np.unique(p, axis=0)
@@ -241,7 +244,7 @@ def hulls(points: DataFrame, group: str) -> DataFrame:
         for side in (p, p[::-1]):
             start = len(out)
             for q in side:
-                while len(out) >= start + 2 and np.cross(out[-1] - out[-2], q - out[-2]) <= 0:
+                while len(out) >= start + 2 and turn(out[-2], out[-1], q) <= 0:
                     out.pop()
                 out.append(q)
             out.pop()
@@ -249,9 +252,9 @@ def hulls(points: DataFrame, group: str) -> DataFrame:
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for g, own in b.groupby(group):
+            for g, own in b.groupby(group, dropna=False):
                 h = hull(own[["lon", "lat"]].to_numpy(float))
-                yield pd.DataFrame({group: g, "lon": h[:, 0], "lat": h[:, 1]})
+                yield pd.DataFrame({group: pd.Series([None if pd.isna(g) else g] * len(h), dtype="object"), "lon": h[:, 0], "lat": h[:, 1]})
 
     def whole(own: pd.DataFrame) -> pd.DataFrame:
         h = hull(own[["lon", "lat"]].to_numpy(float))
