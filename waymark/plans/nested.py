@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metadata
+from ..operators import inputs
 from .queries import query
 from .views import ADDRESSES, addresses, table
 
@@ -90,3 +91,29 @@ def metadata_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = at("$['google street view addresses'].status")
     old = F.when(shown.isNotNull(), at("$.old.by"))
     return rows.select(k, at("$.k", "bigint").alias("k"), at("$.buildings_address.kind").alias("building"), at("$.reverse_geocode_confidence_score", "bigint").alias("reverse"), shown.alias("status"), old.alias("old"), F.size(metadata.fields(c("m"))).alias("n"))
+
+
+@query(f"""WITH {ADDRESSES} SELECT id, CASE id % 5 WHEN 1 THEN '1 V ' || id::VARCHAR WHEN 2 THEN coalesce(raw_address, '9 Elm Rd') ELSE coalesce(raw_address, '') END AS street, CASE id % 5 WHEN 2 THEN 'Austin' WHEN 3 THEN 'Newtown' ELSE city END AS city, CASE id % 5 WHEN 2 THEN 'TX' WHEN 3 THEN 'GA' ELSE state END AS state,
+  CASE id % 5 WHEN 2 THEN '75001' WHEN 3 THEN '12345' ELSE zip_code END AS zip_code, CASE id % 5 WHEN 3 THEN 'CA' ELSE 'US' END AS country, CASE id % 5 WHEN 4 THEN 44.5 WHEN 2 THEN 7.5 ELSE lat END::DOUBLE AS lat, CASE id % 5 WHEN 3 THEN -99.0 ELSE lon END::DOUBLE AS lon,
+  CASE WHEN id % 5 = 0 THEN 'final_resolution' WHEN id % 5 = 1 THEN 'agent1_smarty' WHEN id % 5 = 4 OR lat > 90 THEN 'none' ELSE 'upload' END AS origin FROM addr""")
+def stage_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C-36, C-39, C-43, I-42: parts from the row, its metadata's blocks and whole lines."""
+    k, c, js = F.col("id"), F.col, F.lit
+    own = addresses(spark, sf_dir)
+    meta = (
+        F.when(k % 5 == 0, js('{"final_resolution": {"lat": 30.25, "longitude": -90}}'))
+        .when(k % 5 == 2, js('{"ADDRESS": "9 Elm Rd, Austin, TX 75001-1234, USA", "Node Latitude": "7.5"}'))
+        .when(k % 5 == 3, js('{"new": {"city_state": "Newtown, Georgia", "zip_postal_code": 12345, "longitude": "-99", "country_code": "ca"}}'))
+        .otherwise(js("{}"))
+    )
+    bare = lambda name: F.when(~(k % 5).isin(2, 3), c(name))
+    text = lambda: F.lit(None).cast("string")
+    rows = own.select(
+        "id", "raw_address", bare("city").alias("city"), bare("state").alias("state"), bare("zip_code").alias("zip_code"), F.when(k % 5 == 4, 0.0).when(k % 5 == 2, None).otherwise(c("lat")).alias("lat"), F.when(k % 5 != 3, c("lon")).alias("lon"),
+        F.when(k % 5 == 1, F.concat(F.lit("1 V "), k.cast("string"))).alias("validated_street_line"), *(text().alias(n) for n in ("validated_raw_address", "validated_city_state", "validated_postcode", "validated_country_code")),
+        *(F.lit(None).cast("double").alias(n) for n in ("validated_lat", "validated_lon")), F.when(k % 5 == 4, 44.5).alias("source_lat"), F.lit(None).cast("double").alias("source_lon"), F.parse_json(meta).alias("meta"),
+        F.when(k % 5 == 1, 1.5).alias("smarty_lat"), F.when(k % 5 == 1, 2.5).alias("smarty_lon"), c("lat").alias("real_lat"), c("lon").alias("real_lon"),
+    )
+    out = inputs.address_input(rows)
+    out = out.withColumns({"lat": F.when(k % 5 != 4, c("real_lat")), "lon": c("real_lon")}).withColumn("place", inputs.imagery_place(c("meta")))
+    return out.select("id", *(f"input.{n}" for n in ("street", "city", "state", "zip_code", "country", "lat", "lon")), c("place.origin").alias("origin"))
