@@ -30,8 +30,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group linked by five-word shingles with Jaccard 0.8 or more.
 
-    Null and empty texts are linked with nothing and stay, as do rows without id. Of rows that repeat an id, the one with
-    the smallest text stays.
+    Null and empty texts are linked with nothing and stay, as do rows without id. Rows that repeat an id are documents of
+    their own: of equal or linked ones one stays, and those that have nothing but the id in common all stay.
     """
     return jaccard.one_of_each(docs, 5, 80)
 
