@@ -69,3 +69,11 @@ def test_streetview(spark):
     rows = [('{"x": 1}', '{"s": 1}'), ('{"old": 5}', '{"s": 1}')]
     assert [json.loads(x) for x in run(spark, rows, f(90.0))] == [{"x": 1, "old": "up", key: {"s": 1}}, {"old": 5, key: {"s": 1}}]
     assert [json.loads(x) for x in run(spark, rows, f(89.4))] == [{"x": 1}, {"old": 5}] and json.loads(run(spark, rows, f(None))[0]) == {"x": 1}
+
+
+def test_osm_results(spark):
+    one = {"lat": "33.5", "lon": -84.25, "display_name": "1 Oak", "place_id": 77, "place_rank": 20}
+    rows = [(json.dumps([one, {**one, "lat": "1"}]), None), ("[]", None), (None, None), (json.dumps([{**one, "lat": ""}]), None), (json.dumps([{**one, "place_rank": 0}]), None), (json.dumps([{**one, "place_rank": 10}]), None), (json.dumps([{"lat": 1, "lon": 2, "place_rank": 25}]), None)]
+    got = [tuple(x) for x in run(spark, rows, lambda a, b: metadata.osm_result(a))]
+    empty = (False, "", None, None, "", "", None, 0.0)
+    assert got == [(True, "1 Oak", 33.5, -84.25, "RANGE_INTERPOLATED", "77", 20, 88.0), empty, empty, empty, (True, "1 Oak", 33.5, -84.25, "APPROXIMATE", "77", 30, 72.0), (True, "1 Oak", 33.5, -84.25, "ROOFTOP", "77", 10, 93.0), (True, "", 1.0, 2.0, "GEOMETRIC_CENTER", "", 25, 82.0)]

@@ -183,3 +183,28 @@ def with_streetview(v: Column, block: Column, old: Column, confidence: Column, l
     enough = F.coalesce(F.bround(confidence) >= least, F.lit(False))
     kept = F.coalesce(F.try_variant_get(v, "$.old", "variant"), old)
     return F.when(enough, with_fields(v, **{"old": kept, "google street view addresses": block})).otherwise(v)
+
+
+#: The largest place rank of each kind of location, with its confidence; what is beyond is approximate.
+PLACE_RANKS = [(10, "ROOFTOP", 93.0), (20, "RANGE_INTERPOLATED", 88.0), (25, "GEOMETRIC_CENTER", 82.0)]
+APPROXIMATE = ("APPROXIMATE", 72.0)
+
+
+def osm_result(v: Column) -> Column:
+    """K-14: struct ``ok``, ``formatted``, ``lat``, ``lon``, ``location_type``, ``place_id``, ``place_rank``, ``confidence`` of the first of a geocoder's results.
+
+    Not ok, and empty, without a result or where it lacks a coordinate, as text or number; rank 30 where it has none or 0.
+    """
+    first = F.try_variant_get(v, "$[0]", "variant")
+    at = lambda p, kind: F.try_variant_get(first, f"$.{p}", kind)
+    lat, lon = at("lat", "double"), at("lon", "double")
+    rank = F.coalesce(F.nullif(at("place_rank", "int"), F.lit(0)), F.lit(30))
+    kind, sure = F.lit(APPROXIMATE[0]), F.lit(APPROXIMATE[1])
+    for most, name, score in reversed(PLACE_RANKS):
+        kind, sure = F.when(rank <= most, name).otherwise(kind), F.when(rank <= most, score).otherwise(sure)
+    ok = lat.isNotNull() & lon.isNotNull()
+    text = lambda c: F.when(ok, F.coalesce(c, F.lit(""))).otherwise("")
+    return F.struct(
+        ok.alias("ok"), text(at("display_name", "string")).alias("formatted"), F.when(ok, lat).alias("lat"), F.when(ok, lon).alias("lon"), text(kind).alias("location_type"),
+        text(at("place_id", "string")).alias("place_id"), F.when(ok, rank).alias("place_rank"), F.when(ok, sure).otherwise(0.0).alias("confidence"),
+    )

@@ -117,3 +117,15 @@ def stage_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = inputs.address_input(rows)
     out = out.withColumns({"lat": F.when(k % 5 != 4, c("real_lat")), "lon": c("real_lon")}).withColumn("place", inputs.imagery_place(c("meta")))
     return out.select("id", *(f"input.{n}" for n in ("street", "city", "state", "zip_code", "country", "lat", "lon")), c("place.origin").alias("origin"))
+
+
+@query(f"""WITH {ADDRESSES}, a AS (SELECT id, city, lat, lon, id % 5 <> 0 AS ok, CASE WHEN id % 31 = 0 THEN 30 ELSE id % 31 END AS rank FROM addr)
+SELECT id, ok, CASE WHEN ok THEN city ELSE '' END AS formatted, CASE WHEN ok THEN lat END AS lat, CASE WHEN NOT ok THEN '' WHEN rank <= 10 THEN 'ROOFTOP' WHEN rank <= 20 THEN 'RANGE_INTERPOLATED' WHEN rank <= 25 THEN 'GEOMETRIC_CENTER' ELSE 'APPROXIMATE' END AS location_type,
+  CASE WHEN ok THEN 'p' || id::VARCHAR ELSE '' END AS place_id, CASE WHEN ok THEN rank END::INTEGER AS place_rank, CASE WHEN NOT ok THEN 0 WHEN rank <= 10 THEN 93 WHEN rank <= 20 THEN 88 WHEN rank <= 25 THEN 82 ELSE 72 END::DOUBLE AS confidence FROM a""")
+def osm_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-14: lists of results, some empty, some whose first one lacks a coordinate."""
+    k, s = F.col("id"), lambda c: c.cast("string")
+    one = F.concat(F.lit('{"lat": "'), s(F.col("lat")), F.lit('", "lon": '), s(F.col("lon")), F.lit(', "place_rank": '), s(k % 31), F.lit(', "place_id": "p'), s(k), F.lit('", "display_name": "'), "city", F.lit('"}'))
+    listed = F.when(k % 10 == 0, "[]").when(k % 5 == 0, F.concat(F.lit('[{"lat": 1}, '), one, F.lit("]"))).otherwise(F.concat(F.lit("["), one, F.lit(', {"lat": 0}]')))
+    rows = addresses(spark, sf_dir).select("id", metadata.osm_result(F.parse_json(listed)).alias("r"))
+    return rows.select("id", *(f"r.{n}" for n in ("ok", "formatted", "lat", "location_type", "place_id", "place_rank", "confidence")))
