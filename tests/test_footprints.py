@@ -115,3 +115,15 @@ def test_sources_across_the_border(spark):
     assert asked((key, "United States")) == [(key, 1, "UnitedStates", "u2"), (key, 2, "Canada", "u1"), (key, 3, "Greenland", "u0")]
     assert asked(("302", "Canada")) == [(key, 1, "Canada", "u1"), (key, 2, "UnitedStates", "u2"), (key, 3, "Greenland", "u0")]
     assert [x[2] for x in asked(("302", None))] == ["Greenland", "Canada", "UnitedStates"] and asked(("33", "Canada")) == []
+
+
+def test_regions_of_wide_footprints_are_not_cut_in_small_tiles(spark, monkeypatch):
+    """Boxes of a continent's size: 200 million tiles of level 14, of which the points have three."""
+    cut = footprints.tiles_of_box
+    monkeypatch.setattr(footprints, "tiles_of_box", lambda *a: pytest.fail("cut in tiles of the points' level") if a else cut)
+    rows = [(i, "Canada" if i % 2 else "United States", square(40.0, -100.0, 30.0)) for i in range(60)] + [(90, "Canada", square(33.0, 20.0, 0.001)), (91, "United States", square(33.0, 20.0, 0.3)), (92, "United States", square(-33.0, 20.0, 0.0001))]
+    points = spark.createDataFrame([(1, 40.0, -100.0), (2, 33.002, 20.002), (3, 33.0021, 20.0019), (4, -33.0, 20.001), (5, None, None)], "id long, lat double, lon double")
+    keys = {r.id: r.k for r in points.filter("lat is not null").select("id", geo.quadkey(F.col("lat"), F.col("lon"), 14).alias("k")).collect()}
+    sources = spark.createDataFrame([(k, n, r, "u") for k in set(keys.values()) for n, r in ((1, "Canada"), (2, "UnitedStates"))], "quadkey string, choice int, region string, url string")
+    got = {r.quadkey: r.region for r in footprints.chosen_regions(points, frame(spark, rows), sources, 14).collect()}
+    assert got == {keys[1]: "Canada", keys[2]: "UnitedStates"}

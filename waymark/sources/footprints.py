@@ -71,6 +71,21 @@ def tile_cover(boxes: DataFrame, level: int = LEVEL) -> DataFrame:
     return own.withColumn("quadkey", geo.quadkey_at(F.col("t.x"), F.col("t.y"), F.col("t.l"))).drop("x0", "x1", "y0", "y1", "t")
 
 
+def _up(name: str) -> Column:
+    """A tile's column or row, ``up`` levels higher."""
+    return F.call_function("shiftright", F.col(name), F.col("up"))
+
+
+def _filed(boxes: DataFrame, level: int) -> DataFrame:
+    """Boxes (``x0``, ``x1``, ``y0``, ``y1`` of ``level``) with a row for each tile ``fx``, ``fy`` that they meet ``up`` levels higher: the smallest tiles of which they meet two columns and two rows at most."""
+    span = lambda s: F.greatest(F.shiftright("x1", s) - F.shiftright("x0", s), F.shiftright("y1", s) - F.shiftright("y0", s))
+    up = F.lit(level - 1)
+    for s in range(level - 2, -1, -1):
+        up = F.when(span(s) <= 1, F.lit(s)).otherwise(up)
+    boxes = boxes.withColumn("up", up)
+    return boxes.withColumn("fx", F.explode(F.sequence(_up("x0"), _up("x1")))).withColumn("fy", F.explode(F.sequence(_up("y0"), _up("y1"))))
+
+
 def write_tiles(footprints: DataFrame, path: str, level: int = LEVEL) -> None:
     """Footprints (``polygon_id``, ``region``, ``ring``) as Parquet partitioned by ``tile``, ``q`` and a quadkey.
 
@@ -80,13 +95,8 @@ def write_tiles(footprints: DataFrame, path: str, level: int = LEVEL) -> None:
     corner = lambda f, axis: f(F.transform("ring", lambda q: q[axis]))
     filed = footprints.filter("size(ring) >= 3 and forall(ring, q -> abs(q.lat) <= 90 and abs(q.lon) <= 180)")
     filed = filed.select("polygon_id", "region", "ring", *_box_tiles(corner(F.array_min, "lat"), corner(F.array_min, "lon"), corner(F.array_max, "lat"), corner(F.array_max, "lon"), level))
-    span = lambda s: F.greatest(F.shiftright("x1", s) - F.shiftright("x0", s), F.shiftright("y1", s) - F.shiftright("y0", s))
-    up = F.lit(level - 1)
-    for s in range(level - 2, -1, -1):
-        up = F.when(span(s) <= 1, F.lit(s)).otherwise(up)
-    at = lambda c: F.call_function("shiftright", F.col(c), F.col("up"))
-    filed = filed.withColumn("up", up).withColumn("x", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("y", F.explode(F.sequence(at("y0"), at("y1"))))
-    key = F.concat(F.lit("q"), geo.quadkey_at(F.col("x"), F.col("y"), level - F.col("up")))
+    filed = _filed(filed, level)
+    key = F.concat(F.lit("q"), geo.quadkey_at(F.col("fx"), F.col("fy"), level - F.col("up")))
     filed.select("polygon_id", "region", "ring", key.alias("tile")).hint("rebalance", F.col("tile")).write.partitionBy("tile").parquet(path)
 
 
@@ -141,14 +151,18 @@ def tile_sources(wanted: DataFrame, index: DataFrame, level: int = LEVEL) -> Dat
 def chosen_regions(points: DataFrame, footprints: DataFrame, sources: DataFrame, level: int = LEVEL) -> DataFrame:
     """A-22: (``quadkey``, ``region``) of the first choice of ``sources`` that has a footprint in the box of the tile's points.
 
-    ``footprints`` has ``region`` and ``ring``. A region without any there is passed over for the next one.
+    ``footprints`` has ``region`` and ``ring``. A region without any there is passed over for the next one. Equal boxes of a
+    region count once; a box is filed in four tiles of its own size at most, and the points' tiles look up those they are in.
     """
     c = F.col
-    boxes = points.filter("lat between -90 and 90 and lon between -180 and 180").groupBy(geo.quadkey(c("lat"), c("lon"), level).alias("quadkey"))
+    x, y = geo.tile(c("lat"), c("lon"), level)
+    boxes = points.filter("lat between -90 and 90 and lon between -180 and 180").groupBy(x.alias("x"), y.alias("y"))
     boxes = boxes.agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
     corner = lambda f, axis: f(F.transform("ring", lambda q: q[axis]))
     placed = footprints.select(normal_region(c("region")).alias("region"), corner(F.array_min, "lat").alias("south"), corner(F.array_min, "lon").alias("west"), corner(F.array_max, "lat").alias("north"), corner(F.array_max, "lon").alias("east"))
-    placed = tiles_of_box(placed, level)
-    there = placed.join(boxes, "quadkey").filter("south <= n and north >= s and west <= e and east >= w").select("quadkey", "region").distinct()
+    placed = _filed(placed.distinct().select("*", *_box_tiles(*map(c, ("south", "west", "north", "east")), level)), level)
+    met = boxes.select("*", F.explode(F.sequence(F.lit(0), F.lit(level - 1))).alias("up")).select("*", _up("x").alias("fx"), _up("y").alias("fy"))
+    there = placed.join(met, ["up", "fx", "fy"]).filter("x between x0 and x1 and y between y0 and y1 and south <= n and north >= s and west <= e and east >= w")
+    there = there.select("x", "y", "region").distinct().select(geo.quadkey_at(c("x"), c("y"), F.lit(level)).alias("quadkey"), "region")
     first = sources.join(there, ["quadkey", "region"]).groupBy("quadkey").agg(F.min(F.struct("choice", "region")).alias("f"))
     return first.select("quadkey", "f.region")
