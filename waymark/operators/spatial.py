@@ -50,18 +50,30 @@ def _around_polygons(points: DataFrame, polygons: DataFrame, margin: float) -> D
     size = F.pow(F.lit(2.0), c("level"))
     cell = lambda v: F.floor(v / size).cast("long")
     filed = filed.withColumn("cy", F.explode(F.sequence(cell(c("s")), cell(c("n"))))).withColumn("cx", F.explode(F.sequence(cell(c("w")), cell(c("e")))))
-    places = points.filter("abs(lat) < double('inf') and abs(lon) < double('inf')").select("id", "lat", "lon")
+    places = points.filter("abs(lat) < double('inf') and abs(lon) < double('inf')")
     places = places.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumns({"cy": cell(c("lat")), "cx": cell(c("lon"))})
-    return places.join(filed, ["level", "cy", "cx"]).select("id", "lat", "lon", "polygon_id", "edges")
+    return places.join(filed, ["level", "cy", "cx"]).select(*points.columns, "polygon_id", "edges")
+
+
+def _places(points: DataFrame) -> DataFrame:
+    """The distinct places of points, with finite coordinates."""
+    return points.filter("abs(lat) < double('inf') and abs(lon) < double('inf')").select("lat", "lon").distinct()
+
+
+def _rings(polygons: DataFrame) -> DataFrame:
+    """Equal rings once, with their smallest ``polygon_id``."""
+    return polygons.groupBy("ring").agg(F.min("polygon_id").alias("polygon_id"))
 
 
 def containing(points: DataFrame, polygons: DataFrame, boundary: bool = True) -> DataFrame:
     """Spatial containment in a table of polygons (``polygon_id``, ``ring`` of structs ``lat``, ``lon``): the smallest ``polygon_id`` that holds each point (``id``), else null.
 
     Rings of fewer than three corners or with infinite ones hold nothing; rings across the 180th meridian are taken as they are.
+    Equal places and equal rings are compared once, whatever number of rows has them.
     """
-    hits = _around_polygons(points, polygons, 0.0).filter(geo.in_edges(F.col("lat"), F.col("lon"), F.col("edges"), boundary))
-    return points.join(hits.groupBy("id").agg(F.min("polygon_id").alias("polygon_id")), "id", "left")
+    hits = _around_polygons(_places(points), _rings(polygons), 0.0).filter(geo.in_edges(F.col("lat"), F.col("lon"), F.col("edges"), boundary))
+    first = hits.groupBy("lat", "lon").agg(F.min("polygon_id").alias("polygon_id"))
+    return points.join(first, ["lat", "lon"], "left").select("id", *(x for x in points.columns if x != "id"), "polygon_id")
 
 
 def nearest_polygon(points: DataFrame, polygons: DataFrame, near_deg: float = 0.00015) -> DataFrame:
