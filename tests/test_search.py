@@ -48,3 +48,22 @@ def test_nothing_to_search(spark):
     rows = spark.createDataFrame([(1, "12 Oak St", "new")], "id long, text string, rule_status string")
     asked = spark.createDataFrame([(1, " "), (2, None)], "query_id long, query string")
     assert search.search(rows, asked).count() == 0 and search.search(rows.limit(0), asked.withColumn("query", F.lit("oak"))).count() == 0
+
+
+def test_copies_are_one_entry_and_one_search(spark, monkeypatch):
+    """Equal texts and equal queries: the index and the searches have the distinct ones, the answer has all queries."""
+    sizes, of = {}, search.written
+
+    def counted(df, name):
+        out = of(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(search, "written", counted)
+    k = F.col("id")
+    rows = spark.range(400).select("id", F.when(k % 2 == 0, "12 Oak Street, Reddick").otherwise("7 Elm Road").alias("text"), F.when(k == 300, "verified").when(k % 7 == 1, "new").otherwise("x").alias("rule_status"))
+    asked = spark.range(300).select(k.alias("query_id"), F.when(k % 3 == 0, "oak st").when(k % 3 == 1, " Elm").otherwise("k").alias("query"))
+    got = sorted(map(tuple, search.search(rows, asked).collect()))
+    first = {0: [300], 1: [1], 2: [300]}
+    assert got == [(q, p + 1, i) for q in range(300) for p, i in enumerate(first[q % 3])]
+    assert sizes["texts"] <= 4 and sizes["asked"] <= 6

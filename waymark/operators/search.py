@@ -33,16 +33,20 @@ def search(rows: DataFrame, queries: DataFrame, limit: int = 30) -> DataFrame:
     letter or digit is left as a search key, find nothing.
 
     An index maps the runs of three characters of each text to its rows (shorter queries have runs of their own length).
-    A query's rarest runs are looked up and their postings intersected; only what is in all of them is compared.
+    A query's rarest runs are looked up and their postings intersected; only what is in all of them is compared. Equal texts
+    are one entry, under the smallest of their ids, and equal queries are one search.
     """
     c = F.col
-    trimmed = queries.select("query_id", F.lower(F.trim("query")).alias("q")).filter(text.search_key(c("q")) != "")
-    asked = _forms(trimmed, "q").filter("own <> ''").withColumn("size", F.least(F.length("own"), F.lit(3)))
+    wanted = written(queries.select(c("query_id").alias("own_id"), F.lower(F.trim("query")).alias("query_id")).filter(text.search_key(c("query_id")) != ""), "wanted")
+    asked = _forms(wanted.select("query_id", c("query_id").alias("q")).distinct(), "q").filter("own <> ''").withColumn("size", F.least(F.length("own"), F.lit(3)))
     asked = written(asked.select("query_id", "form", "own", "size"), "asked")
     sizes = [r["size"] for r in asked.select("size").distinct().collect()]  # three at most
     if not sizes:
         return queries.select("query_id").limit(0).join(rows.select("id").limit(0), F.lit(True), "inner").select("query_id", F.lit(0).alias("place"), "id")
-    texts = written(_forms(rows.select("id", "text", "rule_status").filter("text is not null"), "text").withColumn("key", text.search_key(c("text"))), "texts")
+    rank = F.when(c("rule_status") == "verified", 3).when(c("rule_status") == "new", 2).otherwise(1)
+    better = F.struct(rank.alias("r"), (-c("id")).alias("i"))
+    once = rows.filter("text is not null").groupBy("text").agg(F.min("id").alias("id"), F.max(better).alias("z"))
+    texts = written(_forms(once, "text").withColumn("key", text.search_key(c("text"))), "texts")
     runs = F.explode(F.flatten(F.array(*(_grams(c("own"), n) for n in sorted(sizes))))).alias("gram")
     postings = written(texts.select("form", "id", runs), "postings")
     common = postings.groupBy("form", "gram").agg(F.count(F.lit(1)).alias("n"))
@@ -53,7 +57,7 @@ def search(rows: DataFrame, queries: DataFrame, limit: int = 30) -> DataFrame:
     needed = rarest.groupBy("query_id", "form").agg(F.count(F.lit(1)).alias("needed"))
     hits = rarest.select("query_id", "form", "gram").join(postings, ["form", "gram"]).groupBy("query_id", "form", "id").agg(F.count(F.lit(1)).alias("met"))
     hits = hits.join(needed, ["query_id", "form"]).filter("met = needed").select("query_id", "form", "id")
-    held = hits.join(asked, ["query_id", "form"]).join(texts.select("form", "id", c("own").alias("hay"), "key", "rule_status"), ["form", "id"]).filter(F.contains("hay", "own") & (c("key") != ""))
-    rank = F.when(c("rule_status") == "verified", 3).when(c("rule_status") == "new", 2).otherwise(1)
-    best = held.groupBy("query_id", "key").agg(F.min("id").alias("first"), F.max_by("id", F.struct(rank.alias("r"), (-c("id")).alias("i"))).alias("id"))
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).filter(c("place") <= limit).select("query_id", "place", "id")
+    held = hits.join(asked, ["query_id", "form"]).join(texts.select("form", "id", c("own").alias("hay"), "key", "z"), ["form", "id"]).filter(F.contains("hay", "own") & (c("key") != ""))
+    best = held.groupBy("query_id", "key").agg(F.min("id").alias("first"), (-F.max("z")["i"]).alias("id"))
+    placed = best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).filter(c("place") <= limit)
+    return wanted.join(placed, "query_id").select(c("own_id").alias("query_id"), "place", "id")
