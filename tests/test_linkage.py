@@ -111,3 +111,23 @@ def test_lines_are_scored_once_for_all_places(spark, monkeypatch):
     want = brute([tuple(r) for r in targets.collect()], [tuple(r) for r in props.collect()])
     assert got == {i: v[:2] for i, v in want.items()} and len(got) == 300
     assert seen["key"] <= 8 and seen["p_line"] <= 60
+
+
+def test_neighbours_are_met_by_places_not_by_rows(spark, monkeypatch):
+    """Lines that lead nowhere, blank ones among them: what is near is found once for each place."""
+    seen, of = [], linkage.spatial.pairs_within
+
+    def counted(*a):
+        out = of(*a)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(linkage.spatial, "pairs_within", counted)
+    k = F.col("id")
+    lat = 33.0 + k % 3 * 0.0001
+    targets = spark.range(200).select("id", F.when(k % 2 == 0, None).otherwise("Elm Lane").alias("line"), lat.alias("lat"), F.lit(-84.0).alias("lon"))
+    props = spark.range(300).select(k.alias("property_id"), F.when(k % 4 == 0, None).when(k % 4 == 1, "9 Elm Ln").otherwise("9 Oak St").alias("line"), lat.alias("lat"), F.lit(-84.0).alias("lon"))
+    got = {r.id: (r.property_id, r.score, r.miles, r.via) for r in linkage.lookup_properties(targets, targets.select("id", F.lit(0).alias("k"), "line").filter("line is not null"), props, 0.1, 0.1).collect()}
+    blank, named = {0: 0, 1: 1, 2: 2}, {0: 9, 1: 1, 2: 5}
+    assert {i: v[0] for i, v in got.items()} == {i: blank[i % 3] if i % 2 == 0 else named[i % 3] for i in range(200)}
+    assert all(v[2:] == (0.0, None) and v[1] == (0 if i % 2 == 0 else 5) for i, v in got.items()) and sum(seen) <= 9
