@@ -26,6 +26,9 @@ CITY_KEYS = ["City", "city"]
 STATE_KEYS = ["State", "state"]
 ZIP_KEYS = ["Zip", "ZIP", "zip", "Zip Code", "zip_code", "zipcode", "Postal Code", "postal_code"]
 
+#: Columns of ``with_parts``.
+PARTS = [f"__u_{n}" for n in ("full", "raw", "segment", "named", "exact", "whole", "full_is", "raw_is")]
+
 
 def plain(c: Column) -> Column:
     """Cleaned and stripped; empty where it reads like a null."""
@@ -49,11 +52,13 @@ def entries_of(meta: Column) -> Column:
 def first_of(meta: Column, entries: Column, keys: list[str]) -> Column:
     """K-17: the first value that isn't blank among the columns of these names, as written, then with normalised headers; else empty.
 
-    Of columns whose headers are one when normalised, the first counts, also where it is blank. ``entries``: of ``meta``.
+    Of columns whose headers are one when normalised, the first counts, also where it is blank. ``meta`` has ``plain`` values,
+    ``entries`` are its own.
     """
-    exact = F.transform(F.array(*map(F.lit, keys)), lambda k: plain(F.try_element_at(meta, k)))
-    normal = F.transform(F.array(*map(F.lit, normal_headers(keys))), lambda k: plain(F.get(F.filter(entries, lambda e: e["k"] == k), F.lit(0))["v"]))
-    return F.coalesce(F.get(F.filter(F.concat(exact, normal), lambda v: v != ""), F.lit(0)), F.lit(""))
+    exact = F.transform(F.array(*map(F.lit, keys)), lambda k: F.try_element_at(meta, k))
+    normal = F.transform(F.array(*map(F.lit, normal_headers(keys))), lambda k: F.get(F.filter(entries, lambda e: e["k"] == k), F.lit(0))["v"])
+    some = lambda values: F.get(F.filter(values, lambda v: v != ""), F.lit(0))
+    return F.coalesce(some(exact), some(normal), F.lit(""))
 
 
 def address_type(c: Column) -> Column:
@@ -73,7 +78,9 @@ def looks_like_address(c: Column) -> Column:
 
 
 def with_parts(rows: DataFrame, meta: Column, raw_address: Column, city: Column | None = None, state: Column | None = None, zip_code: Column | None = None) -> DataFrame:
-    """``rows`` with ``__u``: the parts of each row's address, made step by step, as one expression would hold each of them many times.
+    """``rows`` with ``PARTS``: the parts of each row's address, made column by column, as one expression would hold each of them many times.
+
+    They are no structs: Spark puts a struct's fields in place of what reads them, and so works each out as often.
 
     I-29 ``street_no``: the number with its suffix; a single letter, or one with a dash or stroke, follows at once, others after
     a space. I-30 ``segment``: number, name and kind of street, the kind only where the line doesn't end with it. I-31
@@ -81,29 +88,31 @@ def with_parts(rows: DataFrame, meta: Column, raw_address: Column, city: Column
     number and name columns are more exact than a whole address, as they have a suffix or another number.
     """
     c, none = F.col, F.lit(None).cast("string")
-    rows = rows.withColumns({"__meta": meta, "__given": F.struct(raw_address.alias("raw"), *((none if x is None else x).alias(n) for n, x in (("city", city), ("state", state), ("zip", zip_code))))})
+    given = {"raw": raw_address, "city": city, "state": state, "zip": zip_code}
+    rows = rows.withColumns({"__meta": F.transform_values(meta, lambda _, v: plain(v)), **{f"__given_{n}": plain(none if x is None else x) for n, x in given.items()}})
     rows = rows.withColumn("__entries", entries_of(c("__meta")))
-    first = lambda keys: first_of(c("__meta"), c("__entries"), keys)
     found = [("number", NUMBER_KEYS), ("suffix", SUFFIX_KEYS), ("name", NAME_KEYS), ("kind", KIND_KEYS), ("full", FULL_KEYS), ("city", CITY_KEYS), ("state", STATE_KEYS), ("zip", ZIP_KEYS)]
-    rows = rows.withColumn("__u", F.struct(*(first(keys).alias(n) for n, keys in found), plain(c("__given.raw")).alias("raw")))
-    u = lambda n: c(f"__u.{n}")
-    attached = u("suffix").rlike("^[A-Za-z]$") | u("suffix").rlike("^[-/]")
-    has_it = (u("suffix") == "") | F.endswith(F.upper(u("number")), F.upper(u("suffix")))
-    street_no = F.when((u("number") == "") | has_it, u("number")).when(attached, F.concat(u("number"), u("suffix"))).otherwise(F.concat(u("number"), F.lit(" "), u("suffix")))
-    places = {n: _some(F.coalesce(_some(plain(c(f"__given.{n}"))), u(n))) for n in ("city", "state", "zip")}
+    rows = rows.withColumns({f"__p_{n}": first_of(c("__meta"), c("__entries"), keys) for n, keys in found})
+    p = lambda n: c(f"__p_{n}")
+    raw = c("__given_raw")
+    attached = p("suffix").rlike("^[A-Za-z]$") | p("suffix").rlike("^[-/]")
+    has_it = (p("suffix") == "") | F.endswith(F.upper(p("number")), F.upper(p("suffix")))
+    street_no = F.when((p("number") == "") | has_it, p("number")).when(attached, F.concat(p("number"), p("suffix"))).otherwise(F.concat(p("number"), F.lit(" "), p("suffix")))
+    places = {n: _some(F.coalesce(_some(c(f"__given_{n}")), p(n))) for n in ("city", "state", "zip")}
     rows = rows.withColumns({"__no": street_no, "__place": F.concat_ws(", ", _some(F.concat_ws(", ", places["city"], places["state"])), F.substring(places["zip"], 1, 10))})
-    rows = rows.withColumn("__line", strip(F.concat_ws(" ", _some(c("__no")), _some(u("name")))))
-    ends = F.element_at(F.split(F.upper("__line"), r"\s+"), -1) == F.upper(u("kind"))
-    rows = rows.withColumn("__segment", F.when((c("__line") == "") | (u("kind") == "") | ends, c("__line")).otherwise(F.concat("__line", F.lit(" "), u("kind"))))
+    rows = rows.withColumn("__line", strip(F.concat_ws(" ", _some(c("__no")), _some(p("name")))))
+    ends = F.element_at(F.split(F.upper("__line"), r"\s+"), -1) == F.upper(p("kind"))
+    rows = rows.withColumn("__segment", F.when((c("__line") == "") | (p("kind") == "") | ends, c("__line")).otherwise(F.concat("__line", F.lit(" "), p("kind"))))
     own = F.replace(F.upper("__no"), F.lit(" "), F.lit(""))
     leading = lambda t: F.upper(F.regexp_extract(strip(F.get(F.split(t, ",", 2), F.lit(0))), r"^\s*(\d+[A-Za-z]?)", 1))
-    rows = rows.withColumn("__other", F.exists(F.array(u("full"), u("raw")), lambda t: looks_like_address(t) & (leading(t) != "") & (leading(t) != own)))
-    named = (u("number") != "") & (u("name") != "")
-    done = F.struct(
-        u("full").alias("full"), u("raw").alias("raw"), c("__segment").alias("segment"), named.alias("named"), (named & ((u("suffix") != "") | c("__other"))).alias("exact"),
-        F.when(c("__segment") == "", "").otherwise(F.concat_ws(", ", "__segment", _some(c("__place")))).alias("whole"), looks_like_address(u("full")).alias("full_is"), looks_like_address(u("raw")).alias("raw_is"),
-    )
-    return rows.withColumn("__u", done).drop("__meta", "__given", "__entries", "__no", "__place", "__line", "__segment", "__other")
+    rows = rows.withColumn("__other", F.exists(F.array(p("full"), raw), lambda t: looks_like_address(t) & (leading(t) != "") & (leading(t) != own)))
+    named = (p("number") != "") & (p("name") != "")
+    done = {
+        "full": p("full"), "raw": raw, "segment": c("__segment"), "named": named, "exact": named & ((p("suffix") != "") | c("__other")),
+        "whole": F.when(c("__segment") == "", "").otherwise(F.concat_ws(", ", "__segment", _some(c("__place")))), "full_is": looks_like_address(p("full")), "raw_is": looks_like_address(raw),
+    }
+    rows = rows.withColumns({f"__u_{n}": x for n, x in done.items()})
+    return rows.drop("__meta", "__entries", "__no", "__place", "__line", "__segment", "__other", *(f"__given_{n}" for n in given), *(f"__p_{n}" for n, _ in found))
 
 
 def built_address() -> Column:
@@ -112,14 +121,14 @@ def built_address() -> Column:
     Number and name columns where they are more exact, else a column that looks like an address, the given line that
     does, number and name columns, a whole address that is more than a number, the given line.
     """
-    u = lambda n: F.col(f"__u.{n}")
+    u = lambda n: F.col(f"__u_{n}")
     usable = (u("full") != "") & ~is_label(u("full")) & ~u("full").rlike(r"^\s*\d+[A-Za-z]?(?:-\d+[A-Za-z]?)?\s*$")
     return F.when(u("exact"), u("whole")).when(u("full_is"), u("full")).when(u("raw_is"), u("raw")).when(u("named"), u("whole")).when(usable, u("full")).otherwise(F.when(is_label(u("raw")), "").otherwise(u("raw")))
 
 
 def built_street() -> Column:
     """I-37, after ``with_parts``: number and street alone, for keys by which tables are merged; empty where there are none."""
-    u = lambda n: F.col(f"__u.{n}")
+    u = lambda n: F.col(f"__u_{n}")
     first_part = lambda t: strip(F.get(F.split(t, ",", 2), F.lit(0)))
     return F.when(u("exact"), u("segment")).when(u("full_is"), first_part(u("full"))).when(u("raw_is"), first_part(u("raw"))).when(u("named"), u("segment")).otherwise("")
 

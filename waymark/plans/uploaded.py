@@ -10,7 +10,7 @@ from ..operators import mapping
 from ..sources import tabular
 from ..sources.shared import new_folder
 from .queries import query
-from .views import ADDRESSES, addresses, key_sql
+from .views import ADDRESSES, addresses, key_sql, spread
 
 
 def _map(*pairs: tuple[str, Column]) -> Column:
@@ -49,7 +49,7 @@ def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = forms[4]
     for i, form in enumerate(forms[:4]):
         meta = F.when(k % 5 == i, form).otherwise(meta)
-    rows = addresses(spark, sf_dir).filter("raw_address is not null")
+    rows = spread(addresses(spark, sf_dir).filter("raw_address is not null"))
     return rows.select("id", meta.alias("meta"), F.when(k % 5 == 0, "Res").when(k % 5 == 4, F.when(k % 2 == 0, "Com").otherwise(F.col("raw_address"))).alias("raw"), "zip_code")
 
 
@@ -76,7 +76,7 @@ def upload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I-25: a placemark's name behind its category, labels, a routed line, and what is no street at all."""
     k, raw = F.col("id"), F.col("raw_address")
     category = F.when(k % 6 == 0, "Households").when(k % 6 == 2, "Res").when(k % 6 == 4, "Poles")
-    rows = addresses(spark, sf_dir).filter("raw_address is not null").select(
+    rows = spread(addresses(spark, sf_dir).filter("raw_address is not null")).select(
         "id",
         _map(("category", category), ("placemark_name", F.when(k % 6 == 0, raw)), ("Address", F.when(k % 6 == 5, "Pole"))).alias("meta"),
         F.when(k % 6 == 0, F.concat(F.lit("Households: "), raw)).when(k % 6 == 1, raw).when(k % 6 == 2, "Res").when(k % 6 == 4, "Poles").alias("raw"),
@@ -100,7 +100,7 @@ def mapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         _map(("City", F.when(~hinted, "old")), ("city ", F.when(~hinted, F.col("city"))), ("STATE", F.when(~hinted, F.when(k % 2 == 0, "ga").otherwise("al"))), ("win_exchange_id", F.when(f == 1, "AMRC01")), ("noc_plan_desc", F.when(f == 2, "TX123ABC"))),
         _map(("Lat", F.col("lat")), ("Longitude", F.when(f != 3, F.col("lon"))), ("coordinates", F.when(f == 3, "-85.25,33.5,0")), ("Address ID", F.when((f == 4) | (f == 5), F.lit("0")).otherwise(k.cast("string"))), ("win_lon", F.when(f == 4, F.concat(F.lit("A"), k.cast("string")))), ("Node", F.concat(F.lit("N"), (k % 5).cast("string")))),
     )
-    out = mapping.map_records(addresses(spark, sf_dir).select("id", fields.alias("fields")))
+    out = mapping.map_records(spread(addresses(spark, sf_dir)).select("id", fields.alias("fields")))
     return out.select("id", "raw_address", "city", "state", "zip_code", "lat", "lon", "address_id", "network_node", "normalized_key", F.col("old.city_state").alias("old_place"), F.size("uploaded").alias("n_uploaded"))
 
 

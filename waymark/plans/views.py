@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Rows dealt out to all cores, for long work on each row of a table whose files are small and so would be one task each."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One address per customer; many share a key, some lack text or have a latitude out of range."""
     k = F.col("c_custkey")
