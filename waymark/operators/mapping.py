@@ -24,12 +24,16 @@ ADDRESS_FIRST = ["address", "secondary number", "secondarynumber", "street addre
 ADDRESS_ALSO = ["address 1", "address line 1", "address line", "addr1", "raw address", "work location", "installation address", "drop address", "node address", "service location", "service point address", "rawaddress"]
 
 
-def lookup(fields: Column) -> Column:
-    """C-2: header, normalised, to cleaned value, in column order; values that are null are left out.
+def named_values(fields: Column) -> Column:
+    """C-2: headers, normalised, with cleaned values, in column order, without blank headers."""
+    return F.filter(F.transform(F.map_entries(fields), lambda e: F.struct(text.normalize_header(e["key"]).alias("key"), text.clean_value(e["value"]).alias("value"))), lambda e: e["key"] != "")
+
+
+def lookup(entries: Column) -> Column:
+    """C-2: of ``named_values``, a column: header to value; values that are null are left out.
 
     Of columns whose headers are one when normalised, the last one's value counts, in the first one's place.
     """
-    entries = F.filter(F.transform(F.map_entries(fields), lambda e: F.struct(text.normalize_header(e["key"]).alias("key"), text.clean_value(e["value"]).alias("value"))), lambda e: e["key"] != "")
     names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     last = F.transform(names, lambda n: F.struct(n.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == n), -1)["value"].alias("value")))
     return F.filter(last, lambda e: e["value"].isNotNull())
@@ -58,30 +62,32 @@ def map_records(rows: DataFrame, labels: bool = True) -> DataFrame:
     raw = lambda k: F.try_element_at(fields, F.lit(k))
     either = lambda *keys: text.clean_value(F.coalesce(*(F.nullif(raw(k), F.lit("")) for k in keys)))
     address = F.coalesce(*[first_value(e, [n]) for n in ADDRESS_FIRST], first_value(e, ADDRESS_ALSO), either("placemark_name", "name"))
-    pair_lat, pair_lon = geo.parse_coordinate(first_value(e, ALIASES["coordinates"]))
-    lat, lon = (first_value(e, ALIASES[c]).try_cast("double") for c in ("latitude", "longitude"))
-    from_pair = (lat.isNull() | lon.isNull()) & first_value(e, ALIASES["coordinates"]).isNotNull()
-    lat, lon = F.when(from_pair, pair_lat).otherwise(lat), F.when(from_pair, pair_lon).otherwise(lon)
-    valid = geo.mapper_pair(lat, lon)
+    c = F.col
+    rows = rows.withColumn("__named", named_values(fields)).withColumn("__entries", lookup(c("__named")))
+    first = {"__pair": ALIASES["coordinates"], "__y": ALIASES["latitude"], "__x": ALIASES["longitude"], "__id": ALIASES["address_id"]}
+    rows = rows.withColumns({n: first_value(e, names) for n, names in first.items()} | {"__node": either("win_lon", "WIN_LON"), "raw_address": address})
+    pair_lat, pair_lon = geo.parse_coordinate(c("__pair"))
+    rows = rows.withColumns({"__y": c("__y").try_cast("double"), "__x": c("__x").try_cast("double")})
+    from_pair = (c("__y").isNull() | c("__x").isNull()) & c("__pair").isNotNull()
+    rows = rows.withColumns({"__lat": F.when(from_pair, pair_lat).otherwise(c("__y")), "__lon": F.when(from_pair, pair_lon).otherwise(c("__x"))})
+    valid = geo.mapper_pair(c("__lat"), c("__lon"))
     hint_city, hint_state = place_hint(*map(raw, EXCHANGE_KEYS))
-    own_id, node = first_value(e, ALIASES["address_id"]), either("win_lon", "WIN_LON")
+    own_id, node = c("__id"), c("__node")
     uploaded = F.map_filter(fields, lambda k, v: ~k.isin(UPLOAD_KEYS) & ~F.startswith(k, F.lit("_")))
-    out = rows.withColumn("__entries", lookup(fields)).withColumns(
+    out = rows.withColumns(
         {
-            "raw_address": address,
             "city": F.coalesce(first_value(e, ALIASES["city"]), hint_city),
             "state": text.normalize_state(F.coalesce(first_value(e, ALIASES["state"]), hint_state)),
             "zip_code": text.normalize_zip(first_value(e, ALIASES["zip_code"])),
-            "lat": F.when(valid, lat),
-            "lon": F.when(valid, lon),
+            "lat": F.when(valid, c("__lat")),
+            "lon": F.when(valid, c("__lon")),
             "network_node": first_value(e, ALIASES["network_node"]),
             "terminal_id": first_value(e, ALIASES["terminal_id"]),
             "address_id": F.when((own_id.isNull() | own_id.isin("0", "0.0")) & F.startswith(F.upper(node), F.lit("A")), node).otherwise(own_id),
             "uploaded": uploaded,
-            "meta": uploads.annotated(fields, address) if labels else fields,
+            "meta": uploads.annotated(fields, c("raw_address")) if labels else fields,
         }
     )
-    c = F.col
     some = lambda name: F.coalesce(c(name), F.lit(""))
     if labels:
         out = uploads.with_parts(out, c("meta"), c("raw_address"), c("city"), c("state"), c("zip_code"))
@@ -94,7 +100,7 @@ def map_records(rows: DataFrame, labels: bool = True) -> DataFrame:
         key = F.when(text.address_key(c("raw_address")).isNotNull(), F.concat_ws("|", text.address_key(c("raw_address")), place))
     both = F.when((some("city") != "") & (some("state") != ""), F.concat_ws(", ", "city", "state")).otherwise(F.concat(some("city"), some("state")))
     old = F.struct(some("raw_address").alias("street_number_name"), some("zip_code").alias("zip_postal_code"), c("lat").alias("latitude"), c("lon").alias("longitude"), both.alias("city_state"), some("city").alias("city"), some("state").alias("state"), F.lit("").alias("country_code"))
-    return out.withColumns({"normalized_key": key, "old": old}).drop("__entries", "__u", "__built")
+    return out.withColumns({"normalized_key": key, "old": old}).drop("__named", "__entries", "__pair", "__y", "__x", "__id", "__node", "__lat", "__lon", "__built", *uploads.PARTS)
 
 
 def household(category: Column, folder_path: Column) -> Column:
