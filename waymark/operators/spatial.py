@@ -81,24 +81,25 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, near_deg: float = 0.
 
     The smaller id decides ties. The search widens sixteenfold each round and takes on only points that have none yet.
     Points without finite coordinates, and all where there are no polygons, have no row. A point much further from all
-    polygons than they are from each other is measured against most of them.
+    polygons than they are from each other is measured against most of them. Equal places and rings are searched once.
     """
     _checkpoints(points.sparkSession)
     c = F.col
-    held = _around_polygons(points, polygons, 0.0).filter(geo.in_edges(c("lat"), c("lon"), c("edges"), boundary=False))
-    found = held.groupBy("id").agg(F.min("polygon_id").alias("polygon_id")).select("id", "polygon_id", F.lit("ST_WITHIN").alias("match_type"), F.lit(85).alias("confidence")).checkpoint()
-    left = points.filter("abs(lat) < double('inf') and abs(lon) < double('inf')").select("id", "lat", "lon").join(found, "id", "left_anti").checkpoint()
+    places, rings, at = _places(points).checkpoint(), _rings(polygons).checkpoint(), ["lat", "lon"]
+    held = _around_polygons(places, rings, 0.0).filter(geo.in_edges(c("lat"), c("lon"), c("edges"), boundary=False))
+    found = held.groupBy(*at).agg(F.min("polygon_id").alias("polygon_id")).select(*at, "polygon_id", F.lit("ST_WITHIN").alias("match_type"), F.lit(85).alias("confidence")).checkpoint()
+    left = places.join(found, at, "left_anti").checkpoint()
     radius = near_deg
     while not left.isEmpty():
-        pairs = _around_polygons(left, polygons, radius).withColumn("d", geo.degrees_to_edges(c("lat"), c("lon"), c("edges"))).filter(c("d") <= radius)
-        best = pairs.groupBy("id").agg(F.min(F.struct("d", "polygon_id")).alias("b"))
+        pairs = _around_polygons(left, rings, radius).withColumn("d", geo.degrees_to_edges(c("lat"), c("lon"), c("edges"))).filter(c("d") <= radius)
+        best = pairs.groupBy(*at).agg(F.min(F.struct("d", "polygon_id")).alias("b"))
         near = c("b.d") < near_deg
-        best = best.select("id", "b.polygon_id", F.when(near, "ST_DWITHIN").otherwise("NEAREST").alias("match_type"), F.when(near, 80).otherwise(75).alias("confidence")).checkpoint()
+        best = best.select(*at, "b.polygon_id", F.when(near, "ST_DWITHIN").otherwise("NEAREST").alias("match_type"), F.when(near, 80).otherwise(75).alias("confidence")).checkpoint()
         if radius > 1e4 and best.isEmpty():
             break
-        found, left = found.unionByName(best), left.join(best, "id", "left_anti").checkpoint()
+        found, left = found.unionByName(best), left.join(best, at, "left_anti").checkpoint()
         radius *= 16
-    return found
+    return points.select("id", *at).join(found, at).select("id", "polygon_id", "match_type", "confidence")
 
 
 def _bands(lat: Column, dlat: float) -> Column:
