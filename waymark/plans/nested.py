@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metadata
 from ..operators import inputs
 from .queries import query
-from .views import ADDRESSES, addresses, table
+from .views import ADDRESSES, addresses, spread, table
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def metadata_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.when(k % 3 == 0, F.concat(F.lit('"reason": "r", "remark": " ", "comment": "'), "event_type", F.lit('"'))).when(k % 3 == 1, '"reason": 7, "final_resolution": {"a": "v", "b": 1, "c": {"d": "x"}}').otherwise('"final_resolution": "none"')
     lat = F.when(k % 5 == 0, '"lat": 0, "flat": 12.5').otherwise(F.concat(F.lit('"Node Latitude": "'), (33.5 + k % 10).cast("string"), F.lit('", "plat lat": 95')))
     lon = F.when(k % 6 == 0, '"lng": true, "lon": [1]').otherwise('"lng": -84.25')
-    rows = _events(spark, sf_dir).withColumn("m", F.parse_json(F.concat(F.lit("{"), F.concat_ws(", ", score, texts, lat, lon), F.lit("}"))))
-    place = metadata.coordinates_in(F.col("m"))
+    rows = spread(_events(spark, sf_dir), "event_id").withColumn("m", F.parse_json(F.concat(F.lit("{"), F.concat_ws(", ", score, texts, lat, lon), F.lit("}"))))
+    rows, place = rows.withColumn("place", metadata.coordinates_in(F.col("m"))), F.col("place")
     return rows.select(k, metadata.payload_confidence(F.col("m")).cast("int").alias("confidence"), F.array_join(metadata.meta_texts(F.col("m")), "|").alias("texts"), place["lat"].alias("lat"), place["lon"].alias("lon"))
 
 
@@ -99,7 +99,7 @@ def metadata_written(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C-36, C-39, C-43, I-42: parts from the row, its metadata's blocks and whole lines."""
     k, c, js = F.col("id"), F.col, F.lit
-    own = addresses(spark, sf_dir)
+    own = spread(addresses(spark, sf_dir))
     meta = (
         F.when(k % 5 == 0, js('{"final_resolution": {"lat": 30.25, "longitude": -90}}'))
         .when(k % 5 == 2, js('{"ADDRESS": "9 Elm Rd, Austin, TX 75001-1234, USA", "Node Latitude": "7.5"}'))
