@@ -61,12 +61,12 @@ def address_input(rows: DataFrame) -> DataFrame:
     street = F.when(c("__best").contains(","), F.coalesce(some(c("raw_address")), part("street"), c("__best"))).otherwise(c("__best"))
     zip_code = F.substring(F.coalesce(some(c("zip_code")), some(c("validated_postcode")), at("new.zip_postal_code"), part("zip_code"), at("zip"), at("zip_code"), at("postal"), at("old.zip_postal_code")), 1, 5)
     number = lambda x: F.nullif(x.try_cast("double"), F.lit(0.0))
-    found = metadata.coordinates_in(c("meta"))
+    rows, found = rows.withColumn("__found", metadata.coordinates_in(c("meta"))), c("__found")
     axis = lambda short, long: F.coalesce(number(c(short)), number(c(f"validated_{short}")), number(at(f"new.{long}")), found[short], number(c(f"source_{short}")))
     place = lambda name: F.coalesce(some(c(name)), some(c(f"__val.{name}")), some(c(f"__new.{name}")), part(name), at(name), some(c(f"__old.{name}")), F.lit(""))
     country = country_code(F.coalesce(some(c("validated_country_code")), at("new.country_code"), at("old.country_code"), at("country_code"), at("country")))
     fields = F.struct(street.alias("street"), place("city").alias("city"), lines.state_code(place("state")).alias("state"), zip_code.alias("zip_code"), country.alias("country"), axis("lat", "latitude").alias("lat"), axis("lon", "longitude").alias("lon"))
-    return rows.withColumn("input", fields).drop("__line", "__map", "__parsed", "__new", "__old", "__val", "__u", "__best")
+    return rows.withColumn("input", fields).drop("__line", "__map", "__parsed", "__new", "__old", "__val", "__best", "__found", *uploads.PARTS)
 
 
 def street_payload(own: Column) -> Column:
