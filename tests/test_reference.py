@@ -325,3 +325,19 @@ def test_forward_confidence_has_all_terms(spark):
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, base double, matched boolean, m double, cs string, rs int, vs string, vp int, source string, pinned boolean, number boolean, estimated boolean, want double")
     c = providers.forward_confidence(F.col("base"), F.col("matched"), F.col("m"), F.col("cs"), reverse_score=F.col("rs"), validation_status=F.col("vs"), validation_score=F.col("vp"), source=F.col("source"), pinned=F.col("pinned"), has_number=F.col("number"), estimated=F.col("estimated"))
     assert [(r.i, r.got) for r in rows.select("i", c.alias("got")).orderBy("i").collect()] == [(i, case[-1]) for i, case in enumerate(cases)]
+
+
+def test_house_numbers_are_read_once_a_row(spark):
+    """Against Python; and in a filter the digits are taken out once, not once for each condition."""
+
+    def noise(digits):
+        return digits == "" or int(digits) <= 1 or (len(digits) >= 3 and int(digits) < 100)
+
+    values = [None, "", "x", "0", "1", "00", "01", "02", "10", "99", "000", "001", "012", "099", "0100", "100", "00099", "00100", "01899", "1899", "1900", "01950", "2100", "2101", "12345", "123456", "4-1 2b", "9" * 60, "0" * 45 + "5", "٣٤"]
+    digits = ["".join(ch for ch in v or "" if ch in "0123456789") for v in values]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    got = rows.select("i", text.noise_house_number(F.col("v")).alias("n"), text.valid_house_number(F.col("v")).alias("ok")).orderBy("i").collect()
+    assert [r.n for r in got] == [noise(d) for d in digits]
+    assert [r.ok for r in got] == [2 <= len(d) <= 5 and not noise(d) and not 1900 <= int(d) <= 2100 for d in digits]
+    plan = rows.filter(text.valid_house_number(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1

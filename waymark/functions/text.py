@@ -213,15 +213,18 @@ def clean_ocr(c: Column) -> Column:
 def noise_house_number(c: Column) -> Column:
     """I-59: no digits, 0 or 1, or padded with zeros."""
     digits = F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "")
-    n = digits.cast("decimal(38,0)")
-    return (digits == "") | (n <= 1) | ((F.length(digits) >= 3) & (n < 100))
+    return digits.rlike("^(0*[01]?|0+[0-9]{2})$")
 
 
 def valid_house_number(c: Column) -> Column:
-    """I-58: two to five digits, not noise and no year."""
+    """I-58: two to five digits, not noise and no year. The digits are a lambda's variable, made once a row; as an expression they would be made in each condition of a filter."""
     digits = F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "")
-    fits = F.length(digits).between(2, 5)
-    return fits & ~noise_house_number(F.when(fits, digits)) & ~F.when(fits, digits).cast("int").between(1900, 2100)
+
+    def valid(d: Column) -> Column:
+        n, length = d.try_cast("int"), F.length(d)
+        return length.between(2, 5) & (n >= F.when(length == 2, 2).otherwise(100)) & ~n.between(1900, 2100)
+
+    return F.exists(F.array(digits), valid)
 
 
 def address_tokens(c: Column) -> Column:
