@@ -585,6 +585,28 @@ def test_quality(spark, corpus):
     assert (held.predicted == held.quality).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_quality_words_are_learned_together(monkeypatch):
+    """New words of ASCII get their features in one go, of the same buckets and the same mean as one by one; pieces and a full cache change nothing."""
+    rng, of, calls = random.Random(9), quality.feature_ids, []
+    words = ["".join(rng.choice("abcdefgXYZ0189<>.,\0\x7f") for _ in range(n)) for n in (1, 2, 3, 4, 5, 9, 40, 99, 100, 140) for _ in range(20)]
+    odd = ["né", "日本語", "é", "x" * 98 + "é"]
+    settings = quality.Settings(piece_words=30, cache_words=60)
+    for w in words:
+        assert quality.features_of([w, w], settings).tolist() == [of(w, settings)] * 2
+    weights = np.random.default_rng(9).normal(size=settings.buckets).astype(np.float32)
+    model = quality.Model(weights, 0.1, settings)
+    texts = [None, "", "  ", " ".join(words), " ".join(rng.choices(words + odd, k=500)), *(" ".join(rng.choices(words + odd, k=7)) for _ in range(50))]
+    want = []
+    for t in texts:
+        own = quality.words_of(t)
+        z = model.bias + sum(float(weights[of(w, settings)].mean()) for w in own) / max(1, len(own))
+        want.append(float(1 / (1 + np.exp(-z))))
+    monkeypatch.setattr(quality, "feature_ids", lambda w, s: calls.append(w) or of(w, s))
+    got = quality.Words(model)
+    assert list(got.scores(texts)) == want and [quality.Words(model).score(t) for t in texts] == want
+    assert len(got) <= 60 and all(len(w) >= 100 or not w.isascii() for w in calls)
+
+
 def test_quality_edges(spark):
     one_class = quality.fit(["a b", None], [1, 1])
     model = quality.fit(["good words here", "bad ### stuff", "", None] * 5, [1, 0, 1, 0] * 5)

@@ -13,8 +13,10 @@ array, of fixed size, is what is broadcast.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import chain, groupby
 from zlib import crc32
 
 import numpy as np
@@ -38,6 +40,7 @@ class Settings:
     longest: int = 250_000
     seed: int = 7
     cache_words: int = 400_000
+    piece_words: int = 100_000
 
 
 def feature_ids(word: str, s: Settings) -> list[int]:
@@ -49,6 +52,29 @@ def feature_ids(word: str, s: Settings) -> list[int]:
     return ids
 
 
+@cache
+def _tables(n: int) -> tuple[np.ndarray, int]:
+    """For strings of ``n`` bytes: what each byte at each place adds to the CRC-32, by xor, and what strings of ``n`` zeros have."""
+    zeros = crc32(bytes(n))
+    return np.array([[crc32(bytes(at) + bytes([b]) + bytes(n - 1 - at)) ^ zeros for b in range(256)] for at in range(n)], np.uint32), zeros
+
+
+def features_of(words: list[str], s: Settings) -> np.ndarray:
+    """``feature_ids`` of ASCII words of one length, a row for each: CRC-32 is linear, so n-grams are hashed for all words at once."""
+    size, mask = len(words[0]), s.buckets - 1
+    marked = np.full((len(words), size + 2), ord(">"), np.uint8)
+    marked[:, 0] = ord("<")
+    marked[:, 1:-1] = np.frombuffer("".join(words).encode("ascii"), np.uint8).reshape(len(words), size)
+    ids = [np.fromiter((crc32(w.encode()) for w in words), np.uint32, len(words))[:, None]]
+    for n in range(s.min_n, min(s.max_n, size + 2) + 1):
+        table, zeros = _tables(n)
+        grams = np.full((len(words), size + 3 - n), zeros, np.uint32)
+        for at in range(n):
+            grams ^= table[at][marked[:, at : at + size + 3 - n]]
+        ids.append(grams)
+    return np.concatenate(ids, axis=1) & np.uint32(mask)
+
+
 SAME = "\0same"
 
 
@@ -116,25 +142,62 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) ->
 
 
 class Words(dict):
-    """Word to the mean of its features' weights."""
+    """Word to the mean of its features' weights. What a piece of text has of new words is learned at once."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        ids = feature_ids(word, self.model.settings)
-        value = float(self.model.weights[ids].mean())
-        if len(word) < 100:
-            if len(self) >= self.model.settings.cache_words:
-                self.clear()
-            self[word] = value
-        return value
+        return float(self.model.weights[feature_ids(word, self.model.settings)].mean())
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Takes up the words of less than 100 characters; of at most ``piece_words`` at a time, so that the cache is bounded."""
+        words = {w for w in set(words) if len(w) < 100}
+        new = words.difference(self)
+        if len(self) + len(new) > self.model.settings.cache_words:
+            self.clear()
+            new = words
+        plain = sorted((w for w in new if w.isascii()), key=len)
+        for _, own in groupby(plain, len):
+            own = list(own)
+            self.update(zip(own, self.model.weights[features_of(own, self.model.settings)].mean(axis=1).tolist()))
+        self.update((w, self.__missing__(w)) for w in new if not w.isascii())
+
+    def _score(self, words: list[str], values: Iterator[float]) -> float:
+        z = self.model.bias + sum(values) / max(1, len(words))
+        return float(1 / (1 + np.exp(-z)))
+
+    def _piece(self, texts: list[list[str]]) -> Iterator[float]:
+        """Scores of texts that are together a piece, or of one longer text, a piece of it at a time."""
+        size = self.model.settings.piece_words
+        if len(texts) == 1 and len(texts[0]) > size:
+            words = texts[0]
+            yield self._score(words, chain.from_iterable(self._values(words[at : at + size]) for at in range(0, len(words), size)))
+            return
+        self.learn(chain.from_iterable(texts))
+        for words in texts:
+            yield self._score(words, map(self.__getitem__, words))
+
+    def _values(self, words: list[str]) -> Iterator[float]:
+        self.learn(words)
+        return map(self.__getitem__, words)
+
+    def scores(self, texts: Iterable[str | None]) -> Iterator[float]:
+        """The score of every whole text, in order."""
+        held, n = [], 0
+        for text in texts:
+            words = words_of(text)
+            if held and n + len(words) > self.model.settings.piece_words:
+                yield from self._piece(held)
+                held, n = [], 0
+            held.append(words)
+            n += len(words)
+        if held:
+            yield from self._piece(held)
 
     def score(self, text: str | None) -> float:
-        words = words_of(text)
-        z = self.model.bias + sum(map(self.__getitem__, words)) / max(1, len(words))
-        return float(1 / (1 + np.exp(-z)))
+        return next(self.scores([text]))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, usable: Column, s: Settings) -> DataFrame:
@@ -172,6 +235,6 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", out_col
             _workers[key] = Words(shared.value)
         words = _workers[key]
         for batch in texts:
-            yield pd.Series([words.score(t) for t in batch], dtype="float64")
+            yield pd.Series(list(words.scores(batch)), dtype="float64")
 
     return docs.withColumn(out_col, scored(F.col(text_col)))
